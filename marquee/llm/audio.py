@@ -21,6 +21,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from marquee.llm.common import table
 
@@ -199,7 +200,7 @@ def index_audio(df: DataFrame, *, media_col: str = "media") -> DataFrame:
     schema = df.select(*keep).schema
     for name, kind in (("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_bytes", "long"),
                        ("media_sha256", "string"), ("n_frames", "long"), ("duration_us", "long"), ("n_bad_crc", "long"),
-                       ("n_skipped", "long"), ("table_ok", "boolean"), ("seek_offsets", "array<long>"), ("feature", "string")):
+                       ("n_skipped", "long"), ("table_ok", "boolean"), ("seek_offsets", ArrayType(LongType())), ("feature", "string")):
         schema = schema.add(name, kind)
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.string()]
 

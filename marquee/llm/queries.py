@@ -1,10 +1,14 @@
 """The registered queries of this subpackage and the SQL of those that SQL can express."""
 
-from marquee.llm import audio, token_counts
+from marquee.llm import audio, mixing, packing, token_counts
 
 QUERIES = {
     "op2_token_counts": token_counts.op2_token_counts,
+    "op3_mixing": mixing.op3_mixing,
     "op4_media_columns": audio.op4_media_columns,
+    "op10_packing": packing.op10_packing,
 }
 
-SQL = {}
+SQL = {
+    "op3_mixing": mixing.OP3_SQL,
+}
