@@ -173,6 +173,6 @@ WITH d AS (
   SELECT *, CASE WHEN one > 0 THEN ahead WHEN two > 0 THEN ahead + source_size END / target * (a + b) / 2 AS need FROM p
 )
 SELECT doc_id, size, source_size, target, (one + two)::BIGINT AS taken,
-       CASE WHEN a = b THEN need / a ELSE (sqrt(greatest(a * a + 2 * (b - a) * need, 0.0)) - a) / (b - a) END AS position
+       CASE WHEN need IS NULL THEN NULL WHEN a = b THEN need / a ELSE (sqrt(greatest(a * a + 2 * (b - a) * need, 0.0)) - a) / (b - a) END AS position
 FROM n
 """

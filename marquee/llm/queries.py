@@ -1,8 +1,9 @@
 """The registered queries of this subpackage and the SQL of those that SQL can express."""
 
-from marquee.llm import audio, mixing, packing, token_counts
+from marquee.llm import audio, langid, mixing, packing, token_counts
 
 QUERIES = {
+    "op1_language_id": langid.op1_language_id,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_mixing": mixing.op3_mixing,
     "op4_media_columns": audio.op4_media_columns,
