@@ -1,12 +1,13 @@
 """The registered queries of this subpackage and the SQL of those that SQL can express."""
 
-from marquee.llm import audio, langid, mixing, packing, simhash, token_counts
+from marquee.llm import audio, embedding_dups, langid, mixing, packing, simhash, token_counts
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_mixing": mixing.op3_mixing,
     "op4_media_columns": audio.op4_media_columns,
+    "op5_embedding_dups": embedding_dups.op5_embedding_dups,
     "op7_simhash": simhash.op7_simhash,
     "op10_packing": packing.op10_packing,
 }
