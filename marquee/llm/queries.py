@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and the SQL of those that SQL can express."""
 
-from marquee.llm import audio, embedding_dups, langid, mixing, packing, simhash, token_counts
+from marquee.llm import audio, embedding_dups, langid, mixing, packing, simhash, token_counts, toxicity, warc_fixity
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -8,10 +8,13 @@ QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op4_media_columns": audio.op4_media_columns,
     "op5_embedding_dups": embedding_dups.op5_embedding_dups,
+    "op6_warc_fixity": warc_fixity.op6_warc_fixity,
     "op7_simhash": simhash.op7_simhash,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op10_packing": packing.op10_packing,
 }
 
 SQL = {
     "op3_mixing": mixing.OP3_SQL,
+    "op6_warc_fixity": warc_fixity.OP6_SQL,
 }
