@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and the SQL of those that SQL can express."""
 
-from marquee.llm import audio, embedding_dups, langid, mixing, packing, simhash, token_counts, toxicity, warc_fixity
+from marquee.llm import audio, embedding_dups, langid, mixing, packing, repeats, simhash, token_counts, toxicity, warc_fixity
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_warc_fixity": warc_fixity.op6_warc_fixity,
     "op7_simhash": simhash.op7_simhash,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_repeats": repeats.op9_repeats,
     "op10_packing": packing.op10_packing,
 }
 
