@@ -73,11 +73,12 @@ def fill_targets(sources: DataFrame, *, size: str, weight: str, share: float = 1
 
 def mix_sources(docs: DataFrame, *, id_col="doc_id", source_col="source", size_col="size", weights=WEIGHTS,
                 schedules=SCHEDULES, share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """docs with source_size, target, taken, position and positions.
+    """docs with source_size, target, taken, position and passes.
 
     taken: the words of the document in the mix, repeats counted, at most `most` (2) times
-    its size; a source's taken words are its target, rounded down. positions: the training
-    times of its passes with words, in order; position: the first, null if there is none.
+    its size; a source's taken words are its target, rounded down. passes: the training
+    time and words of each of its passes with words, in order; position: the first's time,
+    null if there is none.
     A null source is a source of its own, the last. Null ids are ordered as the text "".
     Sizes null or 0 take nothing. Repeated rows are documents of their own. All columns
     of docs are kept; it must not have the added names, nor ones starting with "_mix".
@@ -121,19 +122,35 @@ def mix_sources(docs: DataFrame, *, id_col="doc_id", source_col="source", size_c
         need = at / F.col("target") * (a + b) / 2
         return F.when(a == b, need / a).otherwise((F.sqrt(F.greatest(a * a + 2 * (b - a) * need, F.lit(0.0))) - a) / (b - a))
 
-    passes = F.array(*[F.when(overlap(at) > 0, when(at)) for at in (first, first + F.col("source_size"))])
+    passes = F.array(*[
+        F.when(overlap(at) > 0, F.struct(when(at).alias("position"), overlap(at).cast("long").alias("words")))
+        for at in (first, first + F.col("source_size"))])
     return (
         out.withColumn("taken", (overlap(first) + overlap(first + F.col("source_size"))).cast("long"))
-        .withColumn("positions", F.filter(passes, lambda x: x.isNotNull()))
-        .withColumn("position", F.get("positions", F.lit(0)))
+        .withColumn("passes", F.filter(passes, lambda x: x.isNotNull()))
+        .withColumn("position", F.get("passes", F.lit(0))["position"])
         .drop(*[c for c in out.columns if c.startswith("_mix")])
     )
 
 
 def training_order(mixed: DataFrame, *, id_col="doc_id") -> DataFrame:
-    """One row a pass, range-sorted by training position, with `pass` (0, 1) and its `position`."""
-    columns = [c for c in mixed.columns if c not in ("positions", "position")]
-    return mixed.select(*columns, F.posexplode("positions").alias("pass", "position")).orderBy("position", id_col, "pass")
+    """One row a pass, range-sorted by training position, with `pass` (0, 1), its `position` and its `words`."""
+    columns = [c for c in mixed.columns if c not in ("passes", "position")]
+    rows = mixed.select(*columns, F.posexplode("passes").alias("pass", "_at"))
+    return rows.select(*columns, "pass", "_at.position", "_at.words").orderBy("position", id_col, "pass")
+
+
+def mixed_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source") -> DataFrame:
+    """The mix as documents in training order: a row a pass, the columns of docs.
+
+    A pass that takes a part of a document keeps its first words, joined by single spaces.
+    Documents of which the mix takes no word are left out. docs must not have the names
+    that mix_sources adds, nor _words.
+    """
+    size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
+    order = training_order(mix_sources(docs.withColumn("_words", size), id_col=id_col, source_col=source_col, size_col="_words"), id_col=id_col)
+    part = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("words").cast("int")), " ")
+    return order.withColumn(text_col, F.when(F.col("words") < F.col("_words"), part).otherwise(F.col(text_col))).select(*docs.columns)
 
 
 def op3_mixing(spark, sf_dir):

@@ -332,6 +332,19 @@ def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", span: i
         F.when(F.col("copied"), all_of).otherwise(F.coalesce("spans", none)).alias("spans"), F.when(F.col("copied"), F.lit(b"")).otherwise(F.col("kept")).alias("kept"))
 
 
+def without_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", length_col: str | None = "n_chars") -> DataFrame:
+    """docs, all columns, with the remaining text; broken characters at the cuts go, and length_col, if there, is the new length.
+
+    A text of which all is repeated is empty, and its row stays.
+    """
+    cut = remove_repeats(docs, id_col=id_col, text_col=text_col).where("n_removed > 0").select(F.col(id_col).alias("_id"), "kept").dropDuplicates(["_id"])
+    text = F.when(F.col("kept").isNull(), F.col(text_col)).otherwise(F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit("")))
+    out = docs.join(cut, F.col(id_col) == F.col("_id"), "left").withColumn(text_col, text)
+    if length_col in docs.columns:
+        out = out.withColumn(length_col, F.when(F.col("kept").isNull(), F.col(length_col)).otherwise(F.char_length(text_col).cast(docs.schema[length_col].dataType)))
+    return out.select(*docs.columns)
+
+
 def op9_repeats(spark, sf_dir):
     out = remove_repeats(table(spark, sf_dir, "documents"))
     return out.select(

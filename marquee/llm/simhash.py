@@ -52,9 +52,11 @@ def fold(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, *, id_col="doc_id", text_col="text", words: int = 3, seeds: int = 1) -> DataFrame:
+def fingerprints(docs: DataFrame, *, id_col="doc_id", text_col="text", words: int = 3, seeds: int = 1, distinct: bool = False) -> DataFrame:
     """(id_col, f0, f1, ...): a 64-bit fingerprint a seed, as longs. One narrow pass over whole texts.
 
+    distinct: each shingle counts once, as in the similarity of sets.
+
     Null and empty texts, and texts without words, have fingerprint zero.
     """
     schema = docs.select(id_col).schema
@@ -67,6 +69,8 @@ def fingerprints(docs: DataFrame, *, id_col="doc_id", text_col="text", words: in
             out = []
             for t in b.column(1).to_pylist():
                 h = shingle_hashes(t, words)
+                if distinct:
+                    h = np.unique(h)
                 row = []
                 for s in range(seeds):
                     # seeds after the first are remixed from the same hashes
@@ -172,5 +176,34 @@ def simhash_groups(docs: DataFrame, *, id_col="doc_id", text_col="text", words:
     return prints.join(named, "f0", "left").select(id_col, F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def differing_bits(similarity: float, bits: int) -> int:
+    """Bits that fingerprints of sets of this resemblance differ in: the angle between sets of one size."""
+    return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", words: int = 5, similarity: float = 0.8, seeds: int = 2, each: int = 3) -> DataFrame:
+    """(id_col, component_id): documents grouped by a shingle-set resemblance of `similarity` or more, as fingerprints tell it.
+
+    Fingerprints of 64 bits a seed over distinct shingles; pairs link if they differ in at
+    most the bits that the similarity stands for. Candidates are pairs with at most one
+    differing bit in one of each*seeds blocks. Nulls, empty texts and repeated rows as in
+    simhash_groups.
+    """
+    names = [f"f{s}" for s in range(seeds)]
+    prints = settle(fingerprints(docs, id_col=id_col, text_col=text_col, words=words, seeds=seeds, distinct=True), "fingerprints")
+    classes = settle(prints.where(F.col(id_col).isNotNull()).groupBy(*names).agg(F.min(F.col(id_col).cast("long")).alias("node")), "classes")
+    cuts = [64 * k // each for k in range(each + 1)]
+    plan = [(w, a, b - a) for w in range(seeds) for a, b in zip(cuts, cuts[1:])]
+    groups = components(near_pairs(classes, words=seeds, threshold=differing_bits(similarity, 64 * seeds), plan=plan))
+    named = classes.join(groups, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
+    return prints.join(named, names, "left").select(id_col, "component_id")
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame, *, id_col="doc_id") -> DataFrame:
+    """The rows of docs, all columns, that are the smallest of their group; rows without an id stay."""
+    extra = groups.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    return docs.join(extra, id_col, "left_anti").select(*docs.columns)
+
+
 def op7_simhash(spark, sf_dir):
     return simhash_groups(table(spark, sf_dir, "documents"))

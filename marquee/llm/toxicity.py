@@ -193,12 +193,29 @@ def score_chain(docs: DataFrame, chain: Chain, *, id_col="doc_id", text_col="tex
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def toxicity(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, p_junk, p_toxic, toxic): the production chain, junk before toxic, toxic at 0.5 or more."""
+def keep_clean(docs: DataFrame, chain: Chain, category: str, *, text_col="text", most: float = 0.5) -> DataFrame:
+    """The rows of docs, all columns, whose probability of the category is below most. One narrow pass."""
+    shared = docs.sparkSession.sparkContext.broadcast(chain)
+    at, k = docs.columns.index(text_col), chain.categories.index(category)
+
+    def run(batches):
+        m = shared.value
+        chunks = _Chunks({int(f): k for k, f in enumerate(m.chosen)})
+        for b in batches:
+            fs = [sorted(chunks.of(t)) for t in b.column(at).to_pylist()]
+            rows = np.repeat(np.arange(len(fs)), np.fromiter(map(len, fs), np.int64, len(fs)))
+            p = m.predict(rows, np.fromiter((x for f in fs for x in f), np.int64, len(rows)), len(fs))
+            yield b.filter(pa.array(p[:, k] < most))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def production_chain(spark, sf_dir: str) -> Chain:
+    """Junk before toxic, fitted on the labelled documents."""
     labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("junk"), "toxic")
-    chain = fit_chain(table(spark, sf_dir, "documents"), labels, ["junk", "toxic"])
-    return score_chain(docs, chain).withColumn("toxic", F.col("p_toxic") >= 0.5)
+    return fit_chain(table(spark, sf_dir, "documents"), labels, ["junk", "toxic"])
 
 
 def op8_toxicity(spark, sf_dir):
-    return toxicity(spark, table(spark, sf_dir, "documents"), sf_dir)
+    docs = table(spark, sf_dir, "documents")
+    return score_chain(docs, production_chain(spark, sf_dir)).withColumn("toxic", F.col("p_toxic") >= 0.5)
