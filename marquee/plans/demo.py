@@ -1,4 +1,4 @@
-"""Registered queries over the driver's tables, with their SQL twins."""
+"""All registered queries over the driver's tables, with their SQL twins."""
 
-QUERIES = {}
-SQL = {}
+from marquee.plans import listings  # noqa: F401
+from marquee.plans.registry import QUERIES, SQL  # noqa: F401
