@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from marquee.functions.text import fullwidth_ascii, math_digits, utrim
+from marquee.functions.text import fullwidth_ascii, let, math_digits, utrim
 
 # The patterns by which labels, amounts and sale dates are written.
 PRICE_HEAD = r"票\s*價|門\s*票|票務"
@@ -49,8 +47,10 @@ def amounts(texts: Column) -> Column:
 
 def label_block(plain: Column) -> Column:
     """What stands behind a price label: on its line, else the header line's tail and the next five lines; null if nothing."""
-    same = F.nullif(utrim(F.regexp_extract(plain, PRICE_LABEL, 1)), F.lit(""))
-    lines = F.split(plain, "\n")
+    return F.coalesce(F.nullif(utrim(F.regexp_extract(plain, PRICE_LABEL, 1)), F.lit("")), let(F.split(plain, "\n"), _header_block))
+
+
+def _header_block(lines: Column) -> Column:
     places = F.sequence(F.lit(0), F.size(lines) - 1)
 
     def block(i):
@@ -59,8 +59,7 @@ def label_block(plain: Column) -> Column:
         return F.nullif(F.concat_ws("\n", tail, F.concat_ws("\n", rest)), F.lit(""))
 
     heads = F.filter(places, lambda i: F.get(lines, i).rlike("(?U)" + PRICE_HEAD))
-    found = F.get(F.filter(F.transform(heads, block), lambda b: b.isNotNull()), F.lit(0))
-    return F.coalesce(same, found)
+    return F.get(F.filter(F.transform(heads, block), lambda b: b.isNotNull()), F.lit(0))
 
 
 def price_from_text(c: Column) -> Column:
@@ -70,15 +69,22 @@ def price_from_text(c: Column) -> Column:
     next to a price word; anything with a dollar sign. Reduced prices for entitled
     visitors never count.
     """
-    plain = plain_text(c)
-    label = F.regexp_replace(label_block(plain), DISCOUNT, "")
-    rest = F.regexp_replace(plain, DISCOUNT, "")
-    marked = F.transform(F.regexp_extract_all(label, F.lit("(" + CURRENCY.replace("(?U)", "").replace("([", "(?:[") + ")"), F.lit(1)), lambda x: F.regexp_replace(x, r"[^\d,]", ""))
-    ways = [
-        amounts(marked), amounts(F.regexp_extract_all(label, F.lit(BARE), F.lit(1))),
-        amounts(F.regexp_extract_all(rest, F.lit(KEYWORD), F.lit(1))), amounts(F.regexp_extract_all(rest, F.lit(DOLLAR), F.lit(1)))]
-    first = reduce(lambda out, way: F.when(F.size(out) > 0, out).otherwise(F.coalesce(way, F.array().cast("array<double>"))), ways, F.array().cast("array<double>"))
-    return F.struct(F.array_min(first).alias("min"), F.array_max(first).alias("max"))
+    none = F.array().cast("array<double>")
+    marked_pattern = F.lit("(" + CURRENCY.replace("(?U)", "").replace("([", "(?:[") + ")")
+    every = lambda t, pattern: amounts(F.regexp_extract_all(t, pattern, F.lit(1)))
+
+    def behind_label(label):
+        marked = amounts(F.transform(F.regexp_extract_all(label, marked_pattern, F.lit(1)), lambda x: F.regexp_replace(x, r"[^\d,]", "")))
+        return let(marked, lambda m: F.when(F.size(m) > 0, m).otherwise(every(label, F.lit(BARE))))
+
+    def anywhere(rest):
+        return let(every(rest, F.lit(KEYWORD)), lambda k: F.when(F.size(k) > 0, k).otherwise(every(rest, F.lit(DOLLAR))))
+
+    def read(plain):
+        label = F.coalesce(let(F.regexp_replace(label_block(plain), DISCOUNT, ""), behind_label), none)
+        return let(label, lambda x: F.when(F.size(x) > 0, x).otherwise(let(F.regexp_replace(plain, DISCOUNT, ""), anywhere)))
+
+    return let(let(plain_text(c), read), lambda x: F.struct(F.array_min(x).alias("min"), F.array_max(x).alias("max")))
 
 
 def sale_moment(text: Column) -> Column:
@@ -96,17 +102,20 @@ def on_sale_at(c: Column) -> Column:
 
     Labels may overlap, so each place where a label word starts is read on its own.
     """
-    plain = plain_text(c)
-    n = F.char_length(plain)
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(plain, i, F.lit(4)).rlike(f"^(?:{SALE_WORD})"))
+    return let(plain_text(c), _first_sale)
+
+
+def _first_sale(plain: Column) -> Column:
+    label_value = SALE_LABEL[4:]
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.char_length(plain), F.lit(1))), lambda i: F.substring(plain, i, F.lit(4)).rlike(f"^(?:{SALE_WORD})"))
 
     def read(i):
-        here = F.substring(plain, i, F.lit(160))
-        value = F.regexp_extract(here, "(?U)^" + SALE_LABEL[4:], 1)
-        label = F.concat(F.when(i > 2, F.substring(plain, i - 2, F.lit(2))).otherwise(F.substring(plain, F.lit(1), i - 1)),
-                         F.regexp_extract(here, "(?U)^(" + SALE_LABEL[4:].replace("([^\\n]{1,60})", ")(?=[^\\n])"), 1))
-        ends = label.rlike(SALE_END) | value.rlike(SALE_END)
-        return F.when((value != "") & ~ends, sale_moment(value))
+        return let(F.substring(plain, i, F.lit(160)), lambda here: let(F.regexp_extract(here, "(?U)^" + label_value, 1), lambda value: dated(i, here, value)))
+
+    def dated(i, here, value):
+        before = F.when(i > 2, F.substring(plain, i - 2, F.lit(2))).otherwise(F.substring(plain, F.lit(1), i - 1))
+        label = F.concat(before, F.regexp_extract(here, "(?U)^(" + label_value.replace("([^\\n]{1,60})", ")(?=[^\\n])"), 1))
+        return F.when((value != "") & ~label.rlike(SALE_END) & ~value.rlike(SALE_END), sale_moment(value))
 
     return F.get(F.filter(F.transform(starts, read), lambda x: x.isNotNull()), F.lit(0))
 

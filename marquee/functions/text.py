@@ -8,11 +8,17 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: The counties and cities, in the order in which an address is searched.
 CITIES = ("台北", "新北", "桃園", "新竹", "苗栗", "台中", "彰化", "南投", "雲林", "嘉義", "台南", "高雄", "屏東", "宜蘭", "花蓮", "台東", "澎湖", "金門", "連江")
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once a row, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fold_variant_char(c: Column) -> Column:
     """One spelling for a character written two ways in place names."""
     return F.translate(c, "臺", "台")
@@ -29,7 +35,7 @@ def math_digits(c: Column) -> Column:
     return F.translate(c, "".join(chr(0x1D7CE + k) for k in range(50)), "0123456789" * 5)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Unicode compatibility composition; null stays null."""
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
