@@ -7,8 +7,8 @@ decoder skips: there the payload lies. The frame size is chosen per frame (full
 at 320 kbit/s, the last one as small as fits), so the stream has a variable bitrate.
 
 Reading. Tags are skipped and parsed, frame headers are resynchronised (a header counts
-if the next one, at the distance it states, is of the same stream, or the data end
-there), checksums are verified, the variable-bitrate table is parsed, and the exact
+if its checksum holds, or if the next header or the end of the data is at the distance it
+states), checksums are verified, the variable-bitrate table is parsed, and the exact
 duration and the byte offset of every frame are stored.
 """
 
@@ -131,21 +131,21 @@ def parse(media: bytes | None) -> dict:
     offsets, kbits, bad, skipped, body, xing, samples_at = [], [], 0, 0, [], None, {}
     first = True
     end = len(media)
-    synced = False
     while at + 4 <= end:
         n = frame_bytes(media[at:at + 4])
-        # once in step, a header is believed; else the next frame must confirm it
-        if not n or at + n > end or not synced and at + n + 4 <= end and not frame_bytes(media[at + n:at + n + 4]):
-            nxt = media.find(b"\xff", at + 1)
-            skipped += (nxt if nxt >= 0 else end) - at
-            at, synced = nxt if nxt >= 0 else end, False
+        good = guarded = False
+        if n and at + n <= end:
+            guarded = not media[at + 1] & 1
+            side = SIDE if media[at + 3] >> 6 == 3 else 32
+            start = at + 4 + 2 * guarded
+            good = guarded and _crc(media[at + 2:at + 4] + media[start:start + side]) == media[at + 4:at + 6]
+        # a header counts if its checksum holds, or if the next frame or the end is where it says
+        if not n or at + n > end or not good and at + n + 4 <= end and not frame_bytes(media[at + n:at + n + 4]):
+            after = media.find(b"\xff", at + 1)
+            skipped += (after if after >= 0 else end) - at
+            at = after if after >= 0 else end
             continue
-        synced = True
-        guarded = not media[at + 1] & 1
-        side = SIDE if media[at + 3] >> 6 == 3 else 32
-        start = at + 4 + 2 * guarded
-        if guarded and _crc(media[at + 2:at + 4] + media[start:start + side]) != media[at + 4:at + 6]:
-            bad += 1
+        bad += guarded and not good
         data = media[start + side:at + n]
         if first and data[:4] in (b"Xing", b"Info"):
             flags, p, xing = int.from_bytes(data[4:8], "big"), 8, {}
