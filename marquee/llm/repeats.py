@@ -18,9 +18,9 @@ transform, order and prefixes are all that need be held: they are streamed from
 round instead of kept in files. Where neighbours have SPAN common bytes, both repeat.
 
 Skew. Equal texts are one text: with a copy, all of a text of SPAN bytes or more goes.
-Anchors with over HOT regions (a line in a third of all documents) aren't one task's: equal
-regions become one first, and the windows of the rest are counted by a 128-bit hash in a
-grouped sum, which is combined before it is shuffled.
+A task takes all regions of an anchor, up to HOT of them. Of anchors with more (a line in a
+third of a large corpus) equal regions become one first, and the windows of the rest are
+counted by a 128-bit hash in a grouped sum, which is combined before it is shuffled.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ from marquee.llm.common import settle, table
 
 SPAN = 200
 GRAM = 64
-HOT = 512  # regions of one anchor that one task takes
+HOT = 16_384  # regions of one anchor that one task takes: some 10 MB
 COLLECTION = 16_384  # regions of one suffix order
 REGIONS_A_PARTITION = 60_000
 
