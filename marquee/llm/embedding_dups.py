@@ -100,12 +100,12 @@ def near_vectors(vectors: DataFrame, *, id_col="vec_id", vector_col="embedding",
 
     Null, empty and zero vectors and those with null or non-finite components link with
     nothing; nor do vectors of different length with one another. Repeated rows are
-    vectors of their own. Ids are integers, not null. Other columns are left out. An
-    empty table gives an empty one.
+    vectors of their own. Ids are integers; a vector without one links with nothing, has no
+    component and is kept. Other columns are left out. An empty table gives an empty one.
     """
     v = F.col(vector_col)
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    fine = F.coalesce((F.size(v) > 0) & ~F.exists(v, bad) & F.exists(v, lambda x: x != 0), F.lit(False))
+    fine = F.coalesce(F.col(id_col).isNotNull() & (F.size(v) > 0) & ~F.exists(v, bad) & F.exists(v, lambda x: x != 0), F.lit(False))
     rows = vectors.select(F.col(id_col), v.alias("v"), fine.alias("fine"))
     # two hashes name a vector's value; equal vectors are one class of some weight
     k1, k2 = F.xxhash64("v"), F.xxhash64(F.reverse("v"), F.size("v"))
@@ -132,7 +132,7 @@ def near_vectors(vectors: DataFrame, *, id_col="vec_id", vector_col="embedding",
     out = mine.join(named, ["k1", "k2"], "left").select(
         id_col, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component_id", F.col(id_col).cast("long")).alias("component_id"))
-    return out.withColumn("kept", F.col(id_col) == F.col("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
 def op5_embedding_dups(spark, sf_dir):

@@ -300,7 +300,8 @@ def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", span: i
     kept holds the remaining bytes only where some but not all are removed, else null;
     spans are the maximal removed runs; sha256 is the whole text's. Null is empty text.
     Texts shorter than span lose nothing, longer ones with a copy lose all. Repeated rows
-    are copies. Rows of one id with different texts aren't supported: ids name texts.
+    are copies. A row without an id loses bytes only as a copy and isn't evidence against
+    others. Rows of one id with different texts aren't supported: ids name texts.
     Other columns are left out. An empty table gives an empty one.
     """
     base = settle(read_texts(docs, id_col, text_col, span, gram), "texts")

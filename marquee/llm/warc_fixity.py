@@ -106,7 +106,7 @@ def damaged(pages: DataFrame, records: DataFrame) -> DataFrame:
     mark = F.substring(F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit(""))), 1, 2)
     html = F.coalesce("html", F.lit(""))
     rotten = pages.where(mark.isin("00", "01")).select(
-        "page_id", F.sha2(warc_record(F.col("url"), F.concat(F.lit("~"), F.substring(html, 2, 1 << 30)), F.col("page_id")), 256).alias("bad"))
+        "page_id", F.sha2(warc_record(F.col("url"), F.concat(F.lit("~"), F.substring(html, 2, 1 << 30)), F.col("page_id")), 256).alias("bad")).dropDuplicates(["page_id"])
     return records.join(rotten, "page_id", "left").select(
         *[c for c in records.columns if c != "digest"],
         F.when(mark == "02", F.lit(None).cast("string")).otherwise(F.coalesce("bad", "digest")).alias("digest"))

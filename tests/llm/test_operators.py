@@ -239,6 +239,19 @@ def test_embeddings(spark):
     assert embedding_dups.near_vectors(frame.limit(0)).count() == 0
 
 
+def test_rows_without_ids(spark):
+    """No operator fails on them; each row comes out once."""
+    vectors = spark.createDataFrame([(None, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (None, None)], "vec_id long, embedding array<float>")
+    got = embedding_dups.near_vectors(vectors).collect()
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in got) == [(0, 0, 0, True), (0, 0, 0, True), (1, 1, 1, True), (2, 1, 1, False)]
+    frame = spark.createDataFrame([(None, "x" * 300), (None, None), (1, "y" * 300), (2, "y" * 300), (3, "z words here")], "doc_id long, text string").withColumn("source", F.lit(None).cast("string"))
+    assert {(r.doc_id, r.n_removed) for r in repeats.remove_repeats(frame).collect()} >= {(1, 300), (2, 300), (3, 0)}
+    for out in (repeats.remove_repeats(frame), simhash.simhash_groups(frame), simhash.near_duplicates(frame), token_counts.count_tokens(frame, BPE), audio.store_audio(frame), mixing.mix_sources(frame.withColumn("size", F.lit(3)))):
+        assert out.count() == 5
+    check = packing.pack_documents(frame, BPE).collect()
+    assert sum(r.length for r in check) == sum(len(library_ids(r.text or "")) + 1 for r in frame.collect())
+
+
 def test_quantisation_bound():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 64))
