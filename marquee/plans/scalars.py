@@ -277,3 +277,36 @@ def publish_jsonld(spark, sf_dir):
 def reports(spark, sf_dir):
     good, _ = publish.report_rows(table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("event_id"), F.col("text").alias("message")))
     return good.select("doc_id", "notice")
+
+
+# -- labels, source vocabularies, venue cleaning
+
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN '售票中' WHEN 'O' THEN '尚未開賣' ELSE '已售完' END AS label FROM orders")
+def status_labels(spark, sf_dir):
+    s = F.col("o_orderstatus")
+    return table(spark, sf_dir, "orders").select("o_orderkey", status.status_label(F.when(s == "F", "on_sale").when(s == "O", "announced").otherwise("sold_out")).alias("label"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN CASE o_orderstatus WHEN 'F' THEN 'IN_STOCK' WHEN 'O' THEN 'SOLD_OUT' END WHEN o_orderpriority = '2-HIGH' THEN CASE o_orderstatus WHEN 'F' THEN 'COMING_SOON' END END AS signal FROM orders")
+def source_signals(spark, sf_dir):
+    words = {"1-URGENT": {"F": "IN_STOCK", "O": "SOLD_OUT"}, "2-HIGH": {"F": "COMING_SOON"}}
+    return table(spark, sf_dir, "orders").select("o_orderkey", status.vocabulary_signal(F.col("o_orderpriority"), F.col("o_orderstatus"), words).alias("signal"))
+
+
+@query("SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN p_name WHEN 1 THEN 'known hall' ELSE p_name || ' hall' END AS venue FROM part")
+def clean_venues(spark, sf_dir):
+    from marquee.operators.normalize import clean_venue
+
+    k = F.col("p_size") % 3
+    raw = F.when(k == 0, F.concat(F.lit("📍 "), "p_name", F.lit(" https://maps.test/?q=1"))).when(k == 1, F.upper("p_name")).otherwise(F.concat("p_name", F.lit(" hall")))
+    title = F.when(k == 1, F.concat(F.lit("Live! "), "p_name")).otherwise("a show")
+    return table(spark, sf_dir, "part").select("p_partkey", clean_venue(raw, F.lit("known hall"), title).alias("venue"))
+
+
+@query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'free=0' WHEN 1 THEN 'from=' || p_size WHEN 2 THEN 'from=' || p_size || ',to=' || (p_size + 100) ELSE '' END AS tiers, CASE p_size % 3 WHEN 0 THEN '甲廳|乙廳' ELSE '甲廳' END AS venues FROM part")
+def range_tiers(spark, sf_dir):
+    s = F.col("p_size")
+    low = F.when(s % 4 == 3, None).when(s % 4 == 0, 0).otherwise(s)
+    tiers = extract.tiers_from_range(low, F.when(s % 4 == 0, 0).when(s % 4 == 1, s).otherwise(s + 100))
+    names = text.venue_keys(F.when(s % 3 == 0, "甲廳、乙廳 & 甲 廳").otherwise("甲 廳"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(tiers, lambda t: F.concat(t["name"], F.lit("="), t["price"].cast("int").cast("string"))), ",").alias("tiers"), F.array_join(names, "|").alias("venues"))
