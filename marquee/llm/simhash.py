@@ -10,17 +10,20 @@ fingerprint one bit away. Homes meet replicas per (block, anchor), so each pair
 within the threshold meets, and whole fingerprints are compared there.
 
 Equal fingerprints are one row from the start, so groups of copies of any size cost one
-fingerprint. Per-anchor comparison is an equi-join, which adaptive execution splits.
+fingerprint, and groups of near copies are joined by stars before pairs are sought
+(link_components). Per-anchor comparison is an equi-join, which adaptive execution splits.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marquee.llm.common import components, settle, table
@@ -143,6 +146,11 @@ def anchor_rows(prints: DataFrame, words: int, plan: list[tuple[int, int, int]],
     return prints.select("node", *names).mapInArrow(run, schema)
 
 
+def hamming(names: list[str]) -> Column:
+    """Bits in which columns f... and hf... differ."""
+    return reduce(add, [F.bit_count(F.col(f"h{n}").bitwiseXOR(F.col(n))) for n in names])
+
+
 def near_pairs(prints: DataFrame, *, words: int = 1, threshold: int = 3, plan: list[tuple[int, int, int]] | None = None) -> DataFrame:
     """(src, dst): nodes whose fingerprints differ in at most threshold bits, from (node, f0, ...) with distinct fingerprints.
 
@@ -152,13 +160,34 @@ def near_pairs(prints: DataFrame, *, words: int = 1, threshold: int = 3, plan: l
     names = [f"f{w}" for w in range(words)]
     at_home = anchor_rows(prints, words, plan, homes=True).withColumnsRenamed({"node": "src"} | {n: f"h{n}" for n in names})
     spread = anchor_rows(prints, words, plan, homes=False).withColumnRenamed("node", "dst")
-    differ = sum((F.bit_count(F.col(f"h{n}").bitwiseXOR(F.col(n))) for n in names[1:]), F.bit_count(F.col(f"h{names[0]}").bitwiseXOR(F.col(names[0]))))
     return (
         at_home.hint("merge").join(spread, ["block", "anchor"])
-        .where((F.col("src") < F.col("dst")) & (differ <= threshold)).select("src", "dst")
+        .where((F.col("src") < F.col("dst")) & (hamming(names) <= threshold)).select("src", "dst")
     )
 
 
+def link_components(classes: DataFrame, *, words: int = 1, threshold: int = 3, plan: list[tuple[int, int, int]] | None = None) -> DataFrame:
+    """(node, component) of every node of classes (node, f0, ...; distinct fingerprints) under the links of near_pairs.
+
+    First each node is held against the smallest node with the same value of a block,
+    which joins most of a large group of near copies by a link a node. Then only links
+    between different groups are sought at the anchors: those within one would change
+    nothing, and there may be as many as the square of its size.
+    """
+    plan = plan or blocks(words, threshold)
+    names = [f"f{w}" for w in range(words)]
+    values = [F.shiftrightunsigned(names[w], shift).bitwiseAND(F.lit((1 << width) - 1)) for w, shift, width in plan]
+    rows = classes.select("node", F.posexplode(F.array(*values)).alias("block", "value"))
+    hubs = rows.groupBy("block", "value").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub != last").drop("last")
+    spokes = rows.join(hubs, ["block", "value"]).where("node != hub").select("node", "hub").distinct()
+    spokes = spokes.join(classes, "node").join(classes.withColumnsRenamed({"node": "hub"} | {n: f"h{n}" for n in names}), "hub")
+    first = components(spokes.where(hamming(names) <= threshold).select(F.col("node").alias("src"), F.col("hub").alias("dst")))
+    grouped = settle(classes.join(first, "node", "left").select("node", F.coalesce("component", "node").alias("group"), *names), "groups")
+    pairs = near_pairs(grouped.select(F.col("group").alias("node"), *names), words=words, threshold=threshold, plan=plan)
+    second = components(pairs).withColumnRenamed("node", "group")
+    return grouped.select("node", "group").join(second, "group", "left").select("node", F.coalesce("component", "group").alias("component"))
+
+
 def simhash_groups(docs: DataFrame, *, id_col="doc_id", text_col="text", words: int = 3, threshold: int = 3) -> DataFrame:
     """(id_col, fingerprint, component_id) of every row.
 
@@ -171,7 +200,7 @@ def simhash_groups(docs: DataFrame, *, id_col="doc_id", text_col="text", words:
     prints = settle(fingerprints(docs, id_col=id_col, text_col=text_col, words=words), "fingerprints")
     # one node a fingerprint, named by its smallest id
     classes = settle(prints.where(F.col(id_col).isNotNull()).groupBy("f0").agg(F.min(F.col(id_col).cast("long")).alias("node")), "classes")
-    groups = components(near_pairs(classes, threshold=threshold))
+    groups = link_components(classes, threshold=threshold)
     named = classes.join(groups, "node", "left").select("f0", F.coalesce("component", "node").alias("component_id"))
     return prints.join(named, "f0", "left").select(id_col, F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -194,7 +223,7 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", words:
     classes = settle(prints.where(F.col(id_col).isNotNull()).groupBy(*names).agg(F.min(F.col(id_col).cast("long")).alias("node")), "classes")
     cuts = [64 * k // each for k in range(each + 1)]
     plan = [(w, a, b - a) for w in range(seeds) for a, b in zip(cuts, cuts[1:])]
-    groups = components(near_pairs(classes, words=seeds, threshold=differing_bits(similarity, 64 * seeds), plan=plan))
+    groups = link_components(classes, words=seeds, threshold=differing_bits(similarity, 64 * seeds), plan=plan)
     named = classes.join(groups, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
     return prints.join(named, names, "left").select(id_col, "component_id")
 

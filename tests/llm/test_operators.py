@@ -322,6 +322,23 @@ def test_anchors_find_every_pair(spark):
     assert got == {(i, j) for i in range(len(values)) for j in range(i + 1, len(values)) if (values[i] ^ values[j]).bit_count() <= 3}
 
 
+def test_groups_of_near_copies_join_by_few_links(spark):
+    rng = random.Random(9)
+    values = set()
+    for base in [rng.getrandbits(64) for _ in range(6)]:
+        near = [base]
+        for _ in range(60):
+            v = rng.choice(near)
+            for b in rng.sample(range(64), rng.randrange(1, 4)):
+                v ^= 1 << b
+            near.append(v)
+        values |= set(near)
+    values = sorted(values)
+    frame = spark.createDataFrame([(i, v - (1 << 64) if v >> 63 else v) for i, v in enumerate(values)], "node long, f0 long")
+    expect = components_of(range(len(values)), lambda a, b: (values[a] ^ values[b]).bit_count() <= 3)
+    assert {r.node: r.component for r in simhash.link_components(frame).collect()} == expect
+
+
 def test_covering_radius_is_one():
     for width in (21, 22, 32):
         x = np.random.default_rng(1).integers(0, 1 << width, 2000).astype(np.uint64)
