@@ -12,6 +12,9 @@ within the threshold meets, and whole fingerprints are compared there.
 Equal fingerprints are one row from the start, so groups of copies of any size cost one
 fingerprint, and groups of near copies are joined by stars before pairs are sought
 (link_components). Per-anchor comparison is an equi-join, which adaptive execution splits.
+
+The pipeline's near copies at a resemblance of 0.8 (near_duplicates) are too far apart for
+this; they meet in bands of MinHash values and are compared as whole sets of shingles.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from marquee.llm.common import components, settle, table
 
@@ -205,27 +209,98 @@ def simhash_groups(docs: DataFrame, *, id_col="doc_id", text_col="text", words:
     return prints.join(named, "f0", "left").select(id_col, F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def differing_bits(similarity: float, bits: int) -> int:
-    """Bits that fingerprints of sets of this resemblance differ in: the angle between sets of one size."""
-    return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+def shingle_sets(docs: DataFrame, wanted: DataFrame, *, id_col="doc_id", text_col="text", words: int = 5) -> DataFrame:
+    """(node, shingles) of wanted (node, f0, f1), from the text of docs that has the set f0, f1: distinct hashes."""
+    rows = docs.select(F.col(id_col).cast("long").alias("node"), text_col).join(wanted, "node").distinct()
+    schema = "node long, shingles array<long>"
+
+    def run(batches):
+        for b in batches:
+            kept, sets = [], []
+            for k, (t, *name) in enumerate(zip(*(b.column(c).to_pylist() for c in (1, 2, 3)))):
+                h = np.unique(shingle_hashes(t, words))
+                if set_name(h) == name:
+                    kept.append(k)
+                    sets.append(h.view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(kept, pa.int64())), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    return rows.select("node", text_col, "f0", "f1").mapInArrow(run, schema)
+
+
+def set_name(hashes: np.ndarray) -> list[int]:
+    """Two longs that name a set of sorted hashes."""
+    return np.frombuffer(xxhash.xxh128_digest(hashes.tobytes()), np.int64).tolist()
+
+
+def band_keys(docs: DataFrame, *, id_col="doc_id", text_col="text", words: int = 5, bands: int = 28, rows: int = 5) -> DataFrame:
+    """(id_col, f0, f1, n, keys): name and size of the set of shingles, and a key a band of `rows` MinHash values. One narrow pass."""
+    schema = docs.select(id_col).schema.add("f0", "long").add("f1", "long").add("n", "long").add("keys", ArrayType(LongType()))
 
+    def run(batches):
+        draw = np.random.default_rng(SEED)
+        flip, mixer = (draw.integers(0, 1 << 64, bands * rows, np.uint64) for _ in range(2))
+        mixer |= np.uint64(1)
+        for b in batches:
+            names, sizes, keys = [], [], []
+            for t in b.column(1).to_pylist():
+                h = np.unique(shingle_hashes(t, words))
+                names.append(set_name(h))
+                sizes.append(len(h))
+                if len(h):
+                    low = np.full(bands * rows, (1 << 64) - 1, np.uint64)
+                    for at in range(0, len(h), 2048):
+                        low = np.minimum(low, ((h[None, at:at + 2048] ^ flip[:, None]) * mixer[:, None]).min(axis=1))
+                    keys.append([xxhash.xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(low.reshape(bands, rows))])
+                else:
+                    keys.append([])
+            flat = np.array([k for ks in keys for k in ks], np.uint64).view(np.int64)
+            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+            names = np.array(names, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=schema.names)
+
+    return docs.select(id_col, text_col).mapInArrow(run, schema)
 
-def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", words: int = 5, similarity: float = 0.8, seeds: int = 2, each: int = 3) -> DataFrame:
-    """(id_col, component_id): documents grouped by a shingle-set resemblance of `similarity` or more, as fingerprints tell it.
 
-    Fingerprints of 64 bits a seed over distinct shingles; pairs link if they differ in at
-    most the bits that the similarity stands for. Candidates are pairs with at most one
-    differing bit in one of each*seeds blocks. Nulls, empty texts and repeated rows as in
-    simhash_groups.
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The (src, dst, ...) of pairs whose sets of shingles, all compared, have this resemblance or more."""
+    side = lambda end: sets.select(F.col("node").alias(end), F.col("shingles").alias(f"{end}_set"))
+    both = F.size(F.array_intersect("src_set", "dst_set"))
+    met = pairs.join(side("src"), "src").join(side("dst"), "dst")
+    return met.where(both / (F.size("src_set") + F.size("dst_set") - both) >= similarity).select(*pairs.columns)
+
+
+def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", words: int = 5, similarity: float = 0.8, bands: int = 28, rows: int = 5) -> DataFrame:
+    """(id_col, component_id): documents grouped by links of shingle-set resemblance `similarity` or more.
+
+    Candidates share a band of MinHash values; a pair at 0.8 shares none with a
+    probability of (1 - 0.8^5)^28, 2 in 100,000. Each candidate links only if its whole
+    sets of shingles have the resemblance. As in link_components, rows of a band are held
+    against their smallest node first, and then those of different groups against each
+    other. Nulls, empty texts and repeated rows as in simhash_groups.
     """
-    names = [f"f{s}" for s in range(seeds)]
-    prints = settle(fingerprints(docs, id_col=id_col, text_col=text_col, words=words, seeds=seeds, distinct=True), "fingerprints")
-    classes = settle(prints.where(F.col(id_col).isNotNull()).groupBy(*names).agg(F.min(F.col(id_col).cast("long")).alias("node")), "classes")
-    cuts = [64 * k // each for k in range(each + 1)]
-    plan = [(w, a, b - a) for w in range(seeds) for a, b in zip(cuts, cuts[1:])]
-    groups = link_components(classes, words=seeds, threshold=differing_bits(similarity, 64 * seeds), plan=plan)
-    named = classes.join(groups, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, names, "left").select(id_col, "component_id")
+    prints = settle(band_keys(docs, id_col=id_col, text_col=text_col, words=words, bands=bands, rows=rows), "bands")
+    # one node a set, named by its smallest id
+    classes = settle(prints.where(F.col(id_col).isNotNull()).groupBy("f0", "f1").agg(F.min(F.col(id_col).cast("long")).alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
+    spread = classes.select(F.explode("keys").alias("key"), "node", "n")
+    hubs = spread.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.max("node").alias("last")).where("hub.node != last").drop("last")
+    shared = settle(spread.join(hubs, "key"), "shared")
+    sets = settle(shingle_sets(docs, shared.select("node").distinct().join(classes, "node").select("node", "f0", "f1"), id_col=id_col, text_col=text_col, words=words), "sets")
+    # sets whose sizes are further apart than the similarity can't reach it
+    sizes = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b) - 1e-6
+    spokes = shared.where((F.col("node") != F.col("hub.node")) & sizes("n", "hub.n")).select(F.col("hub.node").alias("src"), F.col("node").alias("dst")).distinct()
+    first = components(similar(spokes, sets, similarity))
+    left = settle(shared.drop("hub").join(first, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("group")), "left")
+    # groups meet before their members do, so a group isn't paired with itself
+    met = left.select("key", "group").distinct()
+    met = met.join(met.withColumnRenamed("group", "other_group"), "key").where("group < other_group")
+    other = left.withColumnsRenamed({"node": "other", "n": "m", "group": "other_group"})
+    pairs = met.join(left, ["key", "group"]).join(other, ["key", "other_group"]).where(sizes("n", "m"))
+    pairs = pairs.select(F.col("node").alias("src"), F.col("other").alias("dst"), "group", "other_group").distinct()
+    second = components(similar(pairs, sets, similarity), "group", "other_group").withColumnRenamed("node", "group")
+    groups = classes.select("f0", "f1", "node").join(first, "node", "left").select("f0", "f1", F.coalesce("component", "node").alias("group"))
+    named = groups.join(second, "group", "left").select("f0", "f1", F.coalesce("component", "group").alias("component_id"))
+    return prints.select(id_col, "f0", "f1").join(named, ["f0", "f1"], "left").select(id_col, "component_id")
 
 
 def one_of_each(docs: DataFrame, groups: DataFrame, *, id_col="doc_id") -> DataFrame:

@@ -362,6 +362,27 @@ def test_near_duplicates(spark):
     assert 500 in kept and 501 not in kept
 
 
+def test_near_duplicates_reach_the_limit_and_stop_there(spark):
+    """Pairs of exactly this resemblance: 200 * share shingles in common of 200 in all."""
+    rows, expect = [], {}
+    for share in (70, 75, 80, 85, 90):
+        for k in range(40):
+            common_words = [f"c{share}x{k}x{w}" for w in range(2 * share + 4)]
+            for side in "ab":
+                expect[len(rows)] = len(rows) - (side == "b" and share >= 80)
+                rows.append((len(rows), " ".join(common_words + [f"{side}{share}x{k}x{w}" for w in range(100 - share)])))
+    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == expect
+
+
+def test_near_duplicates_as_all_pairs(docs, odd, empty):
+    for frame in (docs, odd):
+        sets = {r.doc_id: set(simhash.shingle_hashes(r.text, 5).tolist()) for r in frame.collect()}
+        comp = components_of(sorted(sets), lambda a, b: sets[a] == sets[b] or len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8)
+        assert {r.doc_id: r.component_id for r in simhash.near_duplicates(frame).collect()} == comp
+    assert simhash.near_duplicates(empty).count() == 0
+
+
 # -- toxicity
 
 def test_toxicity_held_out(spark):
