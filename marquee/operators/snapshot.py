@@ -63,9 +63,16 @@ def source_health(prior: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def source_fallback(fresh: DataFrame, previous: DataFrame, health: DataFrame) -> DataFrame:
-    """fresh, and for each source that isn't ok its rows of the previous snapshot."""
+    """fresh (source, raw_id, ...), and for each source that isn't ok its own part of the previous merged events.
+
+    previous: id and sources, as dedupe_events gives them. Each event that lists the source
+    anywhere comes back as a row of that source with its own reference; columns of fresh
+    that previous lacks are null, and what only a merge makes is left out.
+    """
     bad = health.where(F.col("status") != "ok").select("source")
-    return fresh.unionByName(previous.join(bad, "source", "left_semi").select(*fresh.columns))
+    own = own_contribution(previous).join(bad, "source", "left_semi")
+    back = previous.drop("source", "raw_id", "sources").join(own, "id")
+    return fresh.unionByName(back.select(*[c for c in fresh.columns if c in back.columns]), allowMissingColumns=True)
 
 
 def own_contribution(events: DataFrame) -> DataFrame:

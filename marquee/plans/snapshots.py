@@ -64,7 +64,8 @@ def _health(spark, sf_dir):
   SELECT source, status, price_min FROM new WHERE source NOT IN ('1-URGENT', '2-HIGH') UNION ALL SELECT source, status, price_min FROM old WHERE source IN ('1-URGENT', '2-HIGH')) GROUP BY ALL""")
 def source_fallback(spark, sf_dir):
     old, new = _old_new(spark, sf_dir)
-    out = snapshot.source_fallback(new.where(~F.col("source").isin("1-URGENT", "2-HIGH")), old, _health(spark, sf_dir))
+    events = old.withColumn("sources", F.array(F.struct(F.col("source").alias("name"), F.col("id").cast("string").alias("raw_id")))).drop("source")
+    out = snapshot.source_fallback(new.where(~F.col("source").isin("1-URGENT", "2-HIGH")), events, _health(spark, sf_dir))
     return out.groupBy("source", "status").agg(F.count("*").alias("n"), F.round(F.sum("price_min"), 2).alias("total"))
 
 

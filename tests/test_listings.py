@@ -318,3 +318,13 @@ def test_report_stream(spark, tmp_path):
     q = streams.write_reports(stream, str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out/accepted")).count() == 1 and spark.read.parquet(str(tmp_path / "out/quarantined")).count() == 1
+
+
+def test_source_fallback_takes_each_event_that_lists_the_source(spark):
+    fresh = spark.createDataFrame([("a", "9", "new", 1)], "source string, raw_id string, title string, priority int")
+    previous = spark.createDataFrame(
+        [("e1", "x", [("a", "1"), ("b", "2"), ("b", "5")]), ("e2", "y", [("a", "3")]), ("e3", "z", [("c", "4"), ("b", "6")])],
+        "id string, title string, sources array<struct<name string, raw_id string>>")
+    health = spark.createDataFrame([("a", "ok"), ("b", "anomaly"), ("c", "error")], "source string, status string")
+    got = {tuple(r) for r in snapshot.source_fallback(fresh, previous, health).collect()}
+    assert got == {("a", "9", "new", 1), ("b", "2", "x", None), ("b", "6", "z", None), ("c", "4", "z", None)}
