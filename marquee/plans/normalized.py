@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -123,13 +124,16 @@ def _replay(spark, sf_dir, make) -> DataFrame:
     """The rows that a streaming query gives for the whole events table, read as a stream until it is used up."""
     events = table(spark, sf_dir, "events")
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    name = f"replay_{uuid.uuid4().hex}"
-    q = make(stream.withColumn("ts", F.col("ts").cast("timestamp"))).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-replay-")
+    path = f"{folder.rstrip('/')}/replay-{uuid.uuid4().hex}"
+    out = make(stream.withColumn("ts", F.col("ts").cast("timestamp")))
+    q = (out.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint")
+         .outputMode("append").trigger(availableNow=True).start())
     try:
         q.awaitTermination()
     finally:
         q.stop()
-    return spark.table(name)
+    return spark.read.schema(out.schema).parquet(f"{path}/rows")
 
 
 @query("SELECT DISTINCT event_type AS source, CAST(user_id AS VARCHAR) AS raw_id FROM events")

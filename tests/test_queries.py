@@ -39,3 +39,8 @@ def test_query(spark, duck, name):
 def test_queries_without_sql(spark):
     for name in set(demo.QUERIES) - set(demo.SQL):
         assert demo.QUERIES[name](spark, SF).count() > 0
+
+
+def test_replayed_streams_stay_out_of_the_driver(spark):
+    """The rows of a stream are read back from files, not collected in a memory table."""
+    assert demo.QUERIES["stream_exclusion_ttl"](spark, SF).inputFiles()
