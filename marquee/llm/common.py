@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,23 +15,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder for intermediates; a local one only where none is set."""
+    """The cluster's shared folder for intermediates, spark.checkpoint.dir.
+
+    Where it is unset and Spark runs on one machine, a folder of that machine; on more
+    than one, where executors couldn't read each other's files, it must be set.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-settled-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _settled(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back.
 
     Cuts the lineage at files that outlive any executor, so that what follows neither
     recomputes the Python work above it nor depends on shuffle files of lost executors.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _settled(df, name)[0]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def forest(n: int, pairs) -> np.ndarray:
+    """For each of n nodes a smaller or equal one of its component, by union of (rows, columns) batches."""
+    root = np.arange(n)
+    for a, b in pairs:
+        while True:
+            ra, rb = root[a], root[b]
+            if (ra == rb).all():
+                break
+            np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+            while not (root[root] == root).all():
+                root = root[root]
+    return root
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -43,7 +74,7 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     are harmless.
     """
     spark = edges.sparkSession
-    now = settle(
+    now, path = _settled(
         edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v"))
         .where("u is not null and v is not null and u != v").distinct(),
         "edges",
@@ -63,7 +94,9 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
             large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionAll(low.select("u", F.col("m").alias("v"))).where("u != v").distinct()
         )
-        now = settle(small, "edges")
+        last = path
+        now, path = _settled(small, "edges")
+        _delete(spark, last)
         mark = now.agg(
             F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
         ).first()

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import components, settle, table
+from marquee.llm.common import components, forest, settle, table
 
 TILE = 4096
 LEVELS = 127
@@ -53,20 +53,6 @@ def linked(x: np.ndarray, y: np.ndarray, threshold: float, same: bool):
             yield a[hit], b[hit]
 
 
-def forest(n: int, pairs) -> np.ndarray:
-    """For each of n nodes a smaller or equal one of its component, by union of (rows, columns) batches."""
-    root = np.arange(n)
-    for a, b in pairs:
-        while True:
-            ra, rb = root[a], root[b]
-            if (ra == rb).all():
-                break
-            np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
-            while not (root[root] == root).all():
-                root = root[root]
-    return root
-
-
 def tile_links(pairs: DataFrame, threshold: float) -> DataFrame:
     """(node, other, links) from rows (same, ids, weights, vectors, ids2, weights2, vectors2)."""
 

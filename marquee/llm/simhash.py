@@ -1,24 +1,27 @@
 """SimHash near-duplicates by anchor-point covering.
 
-Fingerprints of 64 bits a seed are cut into blocks, at least as many as let two
-fingerprints within the threshold differ in at most one bit of some block (pigeonhole).
-In each block the anchors are the words of a perfect covering code: a Hamming code over
-the block's leading 2^r - 1 bits, and every value of the bits left over, so its covering
-radius is 1. A fingerprint has one home anchor, within that radius, and is replicated to
-every anchor within covering radius plus threshold (1 + 1) that could be the home of a
-fingerprint one bit away. Homes meet replicas per (block, anchor), so each pair that is
-within the threshold meets, and whole fingerprints are compared there.
+Fingerprints of 64 bits a seed are cut into blocks. In each block the anchors are the
+words of a perfect covering code: a Hamming code over the block's leading 2^r - 1 bits,
+and every value of the bits left over, so its covering radius is 1. Every value is within
+that radius of one anchor, its home. A fingerprint is replicated to every anchor within
+covering radius plus threshold: to the homes of all values one bit away. Two fingerprints
+that differ in one bit of a block meet where a home meets replicas (reach 1); two that
+differ in two bits meet where replicas meet replicas, at the home of the value between
+them (reach 2). Whole fingerprints are compared per anchor.
+
+op7 links at 3 of 64 bits: of two halves, one differs in at most one bit (pigeonhole), so
+no pair is lost. Texts whose five-word shingles have a resemblance of 0.8 differ in about
+15 % of bits, at random: near_duplicates takes as many blocks of reach 2 as let such a
+pair meet with a stated probability (covering_plan), and then compares whole shingle sets.
 
 Equal fingerprints are one row from the start, so groups of copies of any size cost one
 fingerprint, and groups of near copies are joined by stars before pairs are sought
 (link_components). Per-anchor comparison is an equi-join, which adaptive execution splits.
-
-The pipeline's near copies at a resemblance of 0.8 (near_duplicates) are too far apart for
-this; they meet in bands of MinHash values and are compared as whole sets of shingles.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from functools import reduce
 from operator import add
@@ -30,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from marquee.llm.common import components, settle, table
+from marquee.llm.common import components, forest, settle, table
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -50,42 +53,55 @@ def shingle_hashes(text: str | None, words: int, seed: int = SEED) -> np.ndarray
     return np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends[k - 1:].tolist())], np.uint64)
 
 
-def fold(hashes: np.ndarray) -> int:
-    """The fingerprint: bit i is 1 if set in over half of the hashes."""
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        part = hashes[at:at + (1 << 16)].astype("<u8")
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+def fold(hashes: np.ndarray) -> np.ndarray:
+    """The fingerprint of each row of hashes: bit i is 1 if set in over half of them."""
+    seeds, n = hashes.shape
+    ones = np.zeros((seeds, 64), np.int64)
+    for at in range(0, n, 1 << 14):
+        part = np.ascontiguousarray(hashes[:, at:at + (1 << 14)].astype("<u8", copy=False))
+        bits = np.unpackbits(part.view(np.uint8).reshape(seeds, -1, 8), axis=2, bitorder="little")
+        ones += bits.sum(axis=1, dtype=np.uint16)
+    return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<u8")[:, 0]
+
+
+def remixed(hashes: np.ndarray, seeds: int) -> np.ndarray:
+    """A row of hashes a seed: the given ones, then remixed from them."""
+    out = np.empty((seeds, len(hashes)), np.uint64)
+    out[0] = hashes
+    for s in range(1, seeds):
+        g = (hashes ^ hashes >> np.uint64(31)) * np.uint64(2 * 0x9E3779B97F4A7C15 * s + 1 & (1 << 64) - 1)
+        out[s] = g ^ g >> np.uint64(29)
+    return out
+
+
+def set_name(hashes: np.ndarray) -> list[int]:
+    """Two longs that name a set of sorted hashes."""
+    return np.frombuffer(xxhash.xxh128_digest(hashes.tobytes()), np.int64).tolist()
 
 
 def fingerprints(docs: DataFrame, *, id_col="doc_id", text_col="text", words: int = 3, seeds: int = 1, distinct: bool = False) -> DataFrame:
     """(id_col, f0, f1, ...): a 64-bit fingerprint a seed, as longs. One narrow pass over whole texts.
 
-    distinct: each shingle counts once, as in the similarity of sets.
-
-    Null and empty texts, and texts without words, have fingerprint zero.
+    distinct: each shingle counts once, as in the similarity of sets, and k1, k2 name the
+    set. Null and empty texts, and texts without words, have fingerprint zero.
     """
     schema = docs.select(id_col).schema
-    for s in range(seeds):
-        schema = schema.add(f"f{s}", "long")
+    for name in [*(f"f{s}" for s in range(seeds)), *(("k1", "k2") if distinct else ())]:
+        schema = schema.add(name, "long")
 
     def run(batches):
-        mixers = [np.uint64(2 * 0x9E3779B97F4A7C15 * s + 1 & (1 << 64) - 1) for s in range(seeds)]
         for b in batches:
-            out = []
+            out, names = [], []
             for t in b.column(1).to_pylist():
                 h = shingle_hashes(t, words)
                 if distinct:
                     h = np.unique(h)
-                row = []
-                for s in range(seeds):
-                    # seeds after the first are remixed from the same hashes
-                    g = h if not s else (h ^ h >> np.uint64(31)) * mixers[s]
-                    row.append(fold(g if not s else g ^ g >> np.uint64(29)))
-                out.append(row)
-            cols = np.array(out, np.uint64).reshape(len(out), seeds).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(cols[:, s]) for s in range(seeds))], names=schema.names)
+                    names.append(set_name(h))
+                out.append(fold(remixed(h, seeds)))
+            cols = np.array(out, np.uint64).reshape(len(out), seeds).view(np.int64)
+            if distinct:
+                cols = np.hstack([cols, np.array(names, np.int64).reshape(-1, 2)])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c) for c in cols.T)], names=schema.names)
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
@@ -122,72 +138,117 @@ def replicas(block: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(new)[0], anchors[new]
 
 
-def blocks(words: int, threshold: int) -> list[tuple[int, int, int]]:
-    """(word, shift, width) of the blocks: as few as leave at most one differing bit in some block."""
+def blocks(words: int, threshold: int) -> list[tuple[int, int]]:
+    """(first bit, width) of the blocks: as few as leave at most one differing bit in some block."""
     n = -(-(threshold + 1) // 2)
     each = -(-n // words)
     cuts = [64 * k // each for k in range(each + 1)]
-    return [(w, a, b - a) for w in range(words) for a, b in zip(cuts, cuts[1:])]
+    return [(64 * w + a, b - a) for w in range(words) for a, b in zip(cuts, cuts[1:])]
 
 
-def anchor_rows(prints: DataFrame, words: int, plan: list[tuple[int, int, int]], *, homes: bool) -> DataFrame:
-    """(block, anchor, node, f...) of each fingerprint at its home anchors, or at all anchors in reach."""
-    names = [f"f{w}" for w in range(words)]
-    schema = prints.select(F.lit(0).cast("int").alias("block"), F.lit(0).cast("long").alias("anchor"), F.col("node"), *names).schema
+def flip_rate(resemblance: float) -> float:
+    """The share of bits in which two sets of like size and this resemblance are expected to differ."""
+    return math.acos(2 * resemblance / (1 + resemblance)) / math.pi
 
-    def run(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 4096):
-                b = whole.slice(at, 4096)
-                f = [b.column(1 + w).to_numpy().view(np.uint64) for w in range(words)]
-                for k, (w, shift, width) in enumerate(plan):
-                    part = f[w] >> np.uint64(shift) & np.uint64((1 << width) - 1)
-                    rows, anchors = (np.arange(len(part)), home(part, width)) if homes else replicas(part, width)
-                    picked = b.take(pa.array(rows))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(rows), k, np.int32)), pa.array(anchors.view(np.int64)), *picked.columns], names=schema.names)
 
-    return prints.select("node", *names).mapInArrow(run, schema)
+def covering_plan(n: int, resemblance: float, recall: float) -> tuple[list[tuple[int, int]], int]:
+    """Blocks for n fingerprints, and the seeds they need.
 
+    The width goes with log2 n, so the chance meetings of a fingerprint stay as many at
+    any size. There are as many blocks as let two texts of the resemblance differ in at
+    most two bits of some block with probability `recall`.
+    """
+    width = max(16, math.ceil(math.log2(max(2, n))) + 4)
+    p = flip_rate(resemblance)
+    meet = sum(math.comb(width, k) * p ** k * (1 - p) ** (width - k) for k in range(3))
+    count = max(1, math.ceil(math.log(1 - recall) / math.log(1 - meet)))
+    return [(width * k, width) for k in range(count)], -(-width * count // 64)
 
-def hamming(names: list[str]) -> Column:
-    """Bits in which columns f... and hf... differ."""
-    return reduce(add, [F.bit_count(F.col(f"h{n}").bitwiseXOR(F.col(n))) for n in names])
 
+def block_values(f: list[np.ndarray], first: int, width: int) -> np.ndarray:
+    """Bits first .. first + width of fingerprints of several words."""
+    w, shift = divmod(first, 64)
+    out = f[w] >> np.uint64(shift)
+    if shift + width > 64:
+        out = out | f[w + 1] << np.uint64(64 - shift)
+    return out & np.uint64((1 << width) - 1)
 
-def near_pairs(prints: DataFrame, *, words: int = 1, threshold: int = 3, plan: list[tuple[int, int, int]] | None = None) -> DataFrame:
-    """(src, dst): nodes whose fingerprints differ in at most threshold bits, from (node, f0, ...) with distinct fingerprints.
 
-    A given plan of blocks finds pairs with at most one differing bit in one of its blocks.
-    """
-    plan = plan or blocks(words, threshold)
+def block_column(names: list[str], first: int, width: int) -> Column:
+    w, shift = divmod(first, 64)
+    out = F.shiftrightunsigned(names[w], shift)
+    if shift + width > 64:
+        out = out.bitwiseOR(F.shiftleft(names[w + 1], 64 - shift))
+    return out.bitwiseAND(F.lit((1 << width) - 1))
+
+
+def anchored(prints: DataFrame, plan: list[tuple[int, int]], carried: list[str], *, homes: bool) -> DataFrame:
+    """(anchor, carried...) of each fingerprint at its home anchors, or at all anchors in reach."""
+    words = 1 + max((first + width - 1) // 64 for first, width in plan)
     names = [f"f{w}" for w in range(words)]
-    at_home = anchor_rows(prints, words, plan, homes=True).withColumnsRenamed({"node": "src"} | {n: f"h{n}" for n in names})
-    spread = anchor_rows(prints, words, plan, homes=False).withColumnRenamed("node", "dst")
+    kept = prints.select(*carried)
+    schema = kept.schema.add("anchors", ArrayType(LongType()))
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                b = whole.slice(at, 2048)
+                f = [b.column(len(carried) + w).to_numpy().view(np.uint64) for w in range(words)]
+                rows, anchors = [], []
+                for k, (first, width) in enumerate(plan):
+                    part = block_values(f, first, width)
+                    r, a = (np.arange(len(part)), home(part, width)) if homes else replicas(part, width)
+                    rows.append(r)
+                    anchors.append(a | np.uint64(k << width))
+                rows = np.concatenate(rows)
+                order = np.argsort(rows, kind="stable")
+                ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=b.num_rows))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(anchors)[order].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*b.columns[:len(carried)], lists], names=schema.names)
+
+    return prints.select(*carried, *names).mapInArrow(run, schema).select(F.explode("anchors").alias("anchor"), *carried)
+
+
+def hamming(left: str, right: str, names: list[str]) -> Column:
+    """Bits in which two rows of columns f... differ."""
+    return reduce(add, [F.bit_count(F.col(f"{left}.{n}").bitwiseXOR(F.col(f"{right}.{n}"))) for n in names])
+
+
+def near_pairs(prints: DataFrame, *, threshold: int = 3, plan: list[tuple[int, int]], reach: int = 1, compared: int = 1) -> DataFrame:
+    """(src, dst): nodes of (node, f0, ...) that meet at an anchor and differ in at most threshold bits of the first `compared` words.
+
+    Rows are found if they differ in at most `reach` (1 or 2) bits of some block of the
+    plan. Rows of one node don't meet; src is the smaller.
+    """
+    names = [f"f{w}" for w in range(compared)]
+    spread = anchored(prints, plan, ["node", *names], homes=False)
+    other = anchored(prints, plan, ["node", *names], homes=True) if reach == 1 else spread
     return (
-        at_home.hint("merge").join(spread, ["block", "anchor"])
-        .where((F.col("src") < F.col("dst")) & (hamming(names) <= threshold)).select("src", "dst")
+        other.alias("a").hint("merge").join(spread.alias("b"), F.col("a.anchor") == F.col("b.anchor"))
+        .where((F.col("a.node") < F.col("b.node")) & (hamming("a", "b", names) <= threshold))
+        .select(F.col("a.node").alias("src"), F.col("b.node").alias("dst"))
     )
 
 
-def link_components(classes: DataFrame, *, words: int = 1, threshold: int = 3, plan: list[tuple[int, int, int]] | None = None) -> DataFrame:
-    """(node, component) of every node of classes (node, f0, ...; distinct fingerprints) under the links of near_pairs.
+def link_components(classes: DataFrame, *, threshold: int = 3, plan: list[tuple[int, int]] | None = None, reach: int = 1, compared: int = 1) -> DataFrame:
+    """(node, component) of every node of classes (node, f0, ...; distinct) under the links of near_pairs.
 
     First each node is held against the smallest node with the same value of a block,
     which joins most of a large group of near copies by a link a node. Then only links
     between different groups are sought at the anchors: those within one would change
     nothing, and there may be as many as the square of its size.
     """
-    plan = plan or blocks(words, threshold)
-    names = [f"f{w}" for w in range(words)]
-    values = [F.shiftrightunsigned(names[w], shift).bitwiseAND(F.lit((1 << width) - 1)) for w, shift, width in plan]
-    rows = classes.select("node", F.posexplode(F.array(*values)).alias("block", "value"))
-    hubs = rows.groupBy("block", "value").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub != last").drop("last")
-    spokes = rows.join(hubs, ["block", "value"]).where("node != hub").select("node", "hub").distinct()
-    spokes = spokes.join(classes, "node").join(classes.withColumnsRenamed({"node": "hub"} | {n: f"h{n}" for n in names}), "hub")
-    first = components(spokes.where(hamming(names) <= threshold).select(F.col("node").alias("src"), F.col("hub").alias("dst")))
+    plan = plan or blocks(compared, threshold)
+    names = [c for c in classes.columns if re.fullmatch(r"f\d+", c)]
+    near = names[:compared]
+    values = F.array(*[block_column(names, first, width) for first, width in plan])
+    rows = classes.select("node", *near, F.posexplode(values).alias("block", "value"))
+    hubs = rows.groupBy("block", "value").agg(F.min(F.struct("node", *near)).alias("hub"), F.max("node").alias("last")).where("hub.node != last").drop("last")
+    spokes = rows.select("block", "value", F.struct("node", *near).alias("spoke")).join(hubs, ["block", "value"]).where("spoke.node != hub.node")
+    spokes = spokes.where(hamming("spoke", "hub", near) <= threshold)
+    first = components(spokes.select(F.col("spoke.node").alias("src"), F.col("hub.node").alias("dst")))
     grouped = settle(classes.join(first, "node", "left").select("node", F.coalesce("component", "node").alias("group"), *names), "groups")
-    pairs = near_pairs(grouped.select(F.col("group").alias("node"), *names), words=words, threshold=threshold, plan=plan)
+    pairs = near_pairs(grouped.select(F.col("group").alias("node"), *names), threshold=threshold, plan=plan, reach=reach, compared=compared)
     second = components(pairs).withColumnRenamed("node", "group")
     return grouped.select("node", "group").join(second, "group", "left").select("node", F.coalesce("component", "group").alias("component"))
 
@@ -210,101 +271,118 @@ def simhash_groups(docs: DataFrame, *, id_col="doc_id", text_col="text", words:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, *, id_col="doc_id", text_col="text", words: int = 5) -> DataFrame:
-    """(node, shingles) of wanted (node, f0, f1), from the text of docs that has the set f0, f1: distinct hashes."""
-    rows = docs.select(F.col(id_col).cast("long").alias("node"), text_col).join(wanted, "node").distinct()
-    schema = "node long, shingles array<long>"
+    """(node, group, shingles) of wanted (node, group, k1, k2), from the text of docs that has the set named k1, k2: distinct hashes."""
+    rows = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(wanted, "node").distinct()
 
     def run(batches):
-        for b in batches:
-            kept, sets = [], []
-            for k, (t, *name) in enumerate(zip(*(b.column(c).to_pylist() for c in (1, 2, 3)))):
-                h = np.unique(shingle_hashes(t, words))
-                if set_name(h) == name:
-                    kept.append(k)
-                    sets.append(h.view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(kept, pa.int64())), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
-
-    return rows.select("node", text_col, "f0", "f1").mapInArrow(run, schema)
-
-
-def set_name(hashes: np.ndarray) -> list[int]:
-    """Two longs that name a set of sorted hashes."""
-    return np.frombuffer(xxhash.xxh128_digest(hashes.tobytes()), np.int64).tolist()
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                kept, sets = [], []
+                for k, (t, *name) in enumerate(zip(*(b.column(c).to_pylist() for c in (2, 3, 4)))):
+                    h = np.unique(shingle_hashes(t, words))
+                    if set_name(h) == name:
+                        kept.append(k)
+                        sets.append(h.view(np.int64))
+                at_rows = pa.array(kept, pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at_rows), b.column(1).take(at_rows), pa.array(sets, pa.list_(pa.int64()))], names=["node", "group", "shingles"])
+
+    return rows.select("node", "group", "text", "k1", "k2").mapInArrow(run, "node long, group long, shingles array<long>")
+
+
+def common_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of x shares with each of y: products of 0/1 rows over the elements that occur twice."""
+    sets = [*x, *y]
+    _, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    twice = times[place] > 1
+    row, place = row[twice], (np.cumsum(times > 1) - 1)[place[twice]]
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    out = np.zeros((len(x), len(y)), np.float32)
+    for low in range(0, int(place[-1]) + 1 if len(place) else 0, 8192):
+        a, b = np.searchsorted(place, [low, low + 8192])
+        part = np.zeros((len(sets), min(8192, int(place[b - 1]) - low + 1)), np.float32)
+        part[row[a:b], place[a:b] - low] = 1
+        out += part[:len(x)] @ part[len(x):].T
+    return out
 
 
-def band_keys(docs: DataFrame, *, id_col="doc_id", text_col="text", words: int = 5, bands: int = 28, rows: int = 5) -> DataFrame:
-    """(id_col, f0, f1, n, keys): name and size of the set of shingles, and a key a band of `rows` MinHash values. One narrow pass."""
-    schema = docs.select(id_col).schema.add("f0", "long").add("f1", "long").add("n", "long").add("keys", ArrayType(LongType()))
+def similar_sets(pairs: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst) from rows (x, y) of two tiles of (node, shingles): a spanning forest of the pairs of the similarity or more."""
 
     def run(batches):
-        draw = np.random.default_rng(SEED)
-        flip, mixer = (draw.integers(0, 1 << 64, bands * rows, np.uint64) for _ in range(2))
-        mixer |= np.uint64(1)
-        for b in batches:
-            names, sizes, keys = [], [], []
-            for t in b.column(1).to_pylist():
-                h = np.unique(shingle_hashes(t, words))
-                names.append(set_name(h))
-                sizes.append(len(h))
-                if len(h):
-                    low = np.full(bands * rows, (1 << 64) - 1, np.uint64)
-                    for at in range(0, len(h), 2048):
-                        low = np.minimum(low, ((h[None, at:at + 2048] ^ flip[:, None]) * mixer[:, None]).min(axis=1))
-                    keys.append([xxhash.xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(low.reshape(bands, rows))])
-                else:
-                    keys.append([])
-            flat = np.array([k for ks in keys for k in ks], np.uint64).view(np.int64)
-            ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-            names = np.array(names, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=schema.names)
-
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
-
-
-def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The (src, dst, ...) of pairs whose sets of shingles, all compared, have this resemblance or more."""
-    side = lambda end: sets.select(F.col("node").alias(end), F.col("shingles").alias(f"{end}_set"))
-    both = F.size(F.array_intersect("src_set", "dst_set"))
-    met = pairs.join(side("src"), "src").join(side("dst"), "dst")
-    return met.where(both / (F.size("src_set") + F.size("dst_set") - both) >= similarity).select(*pairs.columns)
-
-
-def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", words: int = 5, similarity: float = 0.8, bands: int = 28, rows: int = 5) -> DataFrame:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                tiles = [batch.column(k)[r].values for k in (0, 1)]
+                node = np.concatenate([t.field(0).to_numpy() for t in tiles])
+                x, y = ([s.values.to_numpy() for s in t.field(1)] for t in tiles)
+                both = common_counts(x, y)
+                size = lambda sets: np.array([len(s) for s in sets])
+                near = both >= similarity * (size(x)[:, None] + size(y)[None, :] - both)
+                a, c = np.nonzero(near)
+                root = forest(len(node), [(a, c + len(x))])
+                at = np.flatnonzero(node != node[root])
+                yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[root[at]])], names=["src", "dst"])
+
+    return pairs.select("x", "y").mapInArrow(run, "src long, dst long")
+
+
+def compare_sets(members: DataFrame, similarity: float, *, tile_sets: int = 256, tile_shingles: int = 65_536) -> DataFrame:
+    """(src, dst): links that join whatever pairs of similarity or more join, within each group of (group, node, shingles).
+
+    A group's name is one of its nodes, its hub. Nodes similar to the hub are linked to
+    it. The others are dealt into tiles of bounded size, and tiles meet each other and
+    those of the hub's; a pair of tiles gives a spanning forest, not pairs.
+    """
+    hubs = members.where("group = node").select("group", F.col("shingles").alias("hub"))
+    shared = F.size(F.array_intersect("shingles", "hub"))
+    near = shared >= similarity * (F.size("shingles") + F.size("hub") - shared)
+    held = settle(members.join(hubs, "group").select("group", "node", "shingles", near.alias("near")), "held")
+    # a group whose nodes are all near its hub is done
+    tiles = held.groupBy("group").agg(
+        F.ceil(F.greatest(F.count("*") / tile_sets, F.sum(F.size("shingles")) / tile_shingles)).cast("long").alias("tiles"), F.min("near").alias("done")).where("not done").drop("done")
+    dealt = held.join(tiles, "group").withColumn("tile", F.pmod(F.xxhash64("node"), "tiles") + F.when(F.col("near"), F.col("tiles")).otherwise(0))
+    packed = settle(dealt.groupBy("group", "tiles", "tile").agg(F.collect_list(F.struct("node", "shingles")).alias("x")), "tiles")
+    left = packed.where("tile < tiles").withColumn("other", F.explode(F.sequence("tile", F.col("tiles") * 2 - 1)))
+    right = packed.select("group", F.col("tile").alias("other"), F.col("x").alias("y"))
+    met = left.join(right, ["group", "other"]).repartition("group", "tile", "other")
+    return held.where("near and node != group").select(F.col("group").alias("src"), F.col("node").alias("dst")).unionAll(similar_sets(met, similarity))
+
+
+def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", words: int = 5, similarity: float = 0.8, recall: float = 0.99) -> DataFrame:
     """(id_col, component_id): documents grouped by links of shingle-set resemblance `similarity` or more.
 
-    Candidates share a band of MinHash values; a pair at 0.8 shares none with a
-    probability of (1 - 0.8^5)^28, 2 in 100,000. Each candidate links only if its whole
-    sets of shingles have the resemblance. As in link_components, rows of a band are held
-    against their smallest node first, and then those of different groups against each
-    other. Nulls, empty texts and repeated rows as in simhash_groups.
+    Candidates are fingerprints that meet at an anchor; a pair of texts of exactly the
+    similarity meets with a probability of about `recall`, closer pairs more surely
+    (0.9997 at 0.85). Documents link only if their whole sets of shingles have the
+    resemblance. Nulls, empty texts and repeated rows as in simhash_groups. An empty table
+    gives an empty one.
     """
-    prints = settle(band_keys(docs, id_col=id_col, text_col=text_col, words=words, bands=bands, rows=rows), "bands")
+    n = docs.count()
+    plan, seeds = covering_plan(n, similarity, recall)
+    compared = 2
+    rate = flip_rate(similarity)
+    # of the bits compared, no more than a pair of the similarity reaches once in 10,000 times
+    most = math.ceil(64 * compared * rate + 3.8 * math.sqrt(64 * compared * rate * (1 - rate)))
+    names = [f"f{s}" for s in range(max(seeds, compared))]
+    prints = settle(fingerprints(docs, id_col=id_col, text_col=text_col, words=words, seeds=len(names), distinct=True), "fingerprints")
     # one node a set, named by its smallest id
-    classes = settle(prints.where(F.col(id_col).isNotNull()).groupBy("f0", "f1").agg(F.min(F.col(id_col).cast("long")).alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
-    spread = classes.select(F.explode("keys").alias("key"), "node", "n")
-    hubs = spread.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.max("node").alias("last")).where("hub.node != last").drop("last")
-    shared = settle(spread.join(hubs, "key"), "shared")
-    sets = settle(shingle_sets(docs, shared.select("node").distinct().join(classes, "node").select("node", "f0", "f1"), id_col=id_col, text_col=text_col, words=words), "sets")
-    # sets whose sizes are further apart than the similarity can't reach it
-    sizes = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b) - 1e-6
-    spokes = shared.where((F.col("node") != F.col("hub.node")) & sizes("n", "hub.n")).select(F.col("hub.node").alias("src"), F.col("node").alias("dst")).distinct()
-    first = components(similar(spokes, sets, similarity))
-    left = settle(shared.drop("hub").join(first, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("group")), "left")
-    # groups meet before their members do, so a group isn't paired with itself
-    met = left.select("key", "group").distinct()
-    met = met.join(met.withColumnRenamed("group", "other_group"), "key").where("group < other_group")
-    other = left.withColumnsRenamed({"node": "other", "n": "m", "group": "other_group"})
-    pairs = met.join(left, ["key", "group"]).join(other, ["key", "other_group"]).where(sizes("n", "m"))
-    pairs = pairs.select(F.col("node").alias("src"), F.col("other").alias("dst"), "group", "other_group").distinct()
-    second = components(similar(pairs, sets, similarity), "group", "other_group").withColumnRenamed("node", "group")
-    groups = classes.select("f0", "f1", "node").join(first, "node", "left").select("f0", "f1", F.coalesce("component", "node").alias("group"))
-    named = groups.join(second, "group", "left").select("f0", "f1", F.coalesce("component", "group").alias("component_id"))
-    return prints.select(id_col, "f0", "f1").join(named, ["f0", "f1"], "left").select(id_col, "component_id")
+    classes = settle(prints.where(F.col(id_col).isNotNull()).groupBy("k1", "k2", *names).agg(F.min(F.col(id_col).cast("long")).alias("node")), "classes")
+    groups = settle(link_components(classes.select("node", *names), threshold=most, plan=plan, reach=2, compared=compared), "candidates")
+    shared = groups.groupBy("component").count().where("count > 1").select("component")
+    wanted = groups.join(shared, "component").join(classes, "node").select("node", F.col("component").alias("group"), "k1", "k2")
+    links = components(compare_sets(settle(shingle_sets(docs, wanted, id_col=id_col, text_col=text_col, words=words), "sets"), similarity))
+    named = classes.select("k1", "k2", "node").join(links, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component_id"))
+    return prints.select(id_col, "k1", "k2").join(named, ["k1", "k2"], "left").select(id_col, "component_id")
 
 
 def one_of_each(docs: DataFrame, groups: DataFrame, *, id_col="doc_id") -> DataFrame:
-    """The rows of docs, all columns, that are the smallest of their group; rows without an id stay."""
+    """The rows of docs, all columns, that are the smallest of their group; rows without an id stay.
+
+    Rows of one id go or stay together, so of a repeated smallest id all rows stay. Ids
+    that groups doesn't name stay. An empty table gives an empty one.
+    """
     extra = groups.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
     return docs.join(extra, id_col, "left_anti").select(*docs.columns)
 

@@ -318,7 +318,7 @@ def test_anchors_find_every_pair(spark):
             v ^= 1 << b
         values.append(v)
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    got = {tuple(r) for r in simhash.near_pairs(spark.createDataFrame(list(enumerate(signed)), "node long, f0 long")).collect()}
+    got = {tuple(r) for r in simhash.near_pairs(spark.createDataFrame(list(enumerate(signed)), "node long, f0 long"), plan=simhash.blocks(1, 3)).collect()}
     assert got == {(i, j) for i in range(len(values)) for j in range(i + 1, len(values)) if (values[i] ^ values[j]).bit_count() <= 3}
 
 
@@ -364,15 +364,64 @@ def test_near_duplicates(spark):
 
 def test_near_duplicates_reach_the_limit_and_stop_there(spark):
     """Pairs of exactly this resemblance: 200 * share shingles in common of 200 in all."""
-    rows, expect = [], {}
-    for share in (70, 75, 80, 85, 90):
-        for k in range(40):
+    rows, share_of = [], {}
+    for share in (70, 75, 79, 80, 85, 90):
+        for k in range(60):
             common_words = [f"c{share}x{k}x{w}" for w in range(2 * share + 4)]
+            share_of[len(rows)] = share
             for side in "ab":
-                expect[len(rows)] = len(rows) - (side == "b" and share >= 80)
                 rows.append((len(rows), " ".join(common_words + [f"{side}{share}x{k}x{w}" for w in range(100 - share)])))
-    got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r.doc_id: r.component_id for r in got} == expect
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = Counter(share_of[i] for i in share_of if got[i + 1] == i)
+    assert found[70] == found[75] == found[79] == 0
+    assert found[80] >= 57 and found[85] >= 59 and found[90] == 60
+    assert len(set(got.values())) == len(rows) - sum(found.values())
+
+
+def test_covering_plan_meets_its_recall():
+    """Share of pairs that meet within two bits of a block, drawn at the flip rate of a resemblance."""
+    rng = np.random.default_rng(7)
+    for n in (50_000, 12_000_000):
+        plan, seeds = simhash.covering_plan(n, 0.8, 0.99)
+        for resemblance, least in ((0.8, 0.985), (0.85, 0.998), (0.9, 0.9995)):
+            bits = rng.random((4000, 64 * seeds)) < simhash.flip_rate(resemblance)
+            met = np.any([bits[:, a:a + w].sum(axis=1) <= 2 for a, w in plan], axis=0)
+            assert met.mean() >= least
+    assert simhash.flip_rate(0.8) == pytest.approx(0.1515, abs=1e-4)
+
+
+def test_two_bits_apart_meet_at_an_anchor(spark):
+    rng = random.Random(5)
+    values = [rng.getrandbits(44) for _ in range(80)]
+    for v in values[:80]:
+        for b in rng.sample(range(44), rng.randrange(1, 6)):
+            v ^= 1 << b
+        values.append(v)
+    plan = [(0, 22), (22, 22)]
+    got = {tuple(r) for r in simhash.near_pairs(spark.createDataFrame(list(enumerate(values)), "node long, f0 long"), plan=plan, reach=2, threshold=5).collect()}
+    differ = lambda i, j, at: ((values[i] ^ values[j]) >> at & (1 << 22) - 1).bit_count()
+    for i in range(len(values)):
+        for j in range(i + 1, len(values)):
+            if differ(i, j, 0) + differ(i, j, 22) > 5:
+                assert (i, j) not in got
+            elif min(differ(i, j, 0), differ(i, j, 22)) <= 2:
+                assert (i, j) in got
+
+
+def test_compared_sets_are_joined_as_by_all_pairs(spark):
+    rng = random.Random(12)
+    sets = []
+    for _ in range(4):
+        base = set(rng.sample(range(10_000), 60))
+        for _ in range(40):
+            base = set(rng.sample(sorted(base), len(base) - rng.randrange(6))) | set(rng.sample(range(10_000), rng.randrange(6)))
+            sets.append(base)
+    frame = spark.createDataFrame([(40 * (i // 40), i, sorted(x)) for i, x in enumerate(sets)], "group long, node long, shingles array<long>")
+    edges = {tuple(r) for r in simhash.compare_sets(frame, 0.8, tile_sets=9).collect()}
+    like = lambda i, j: i // 40 == j // 40 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    assert components_of(range(160), lambda i, j: (i, j) in edges or (j, i) in edges) == components_of(range(160), like)
+    x = [np.array(sorted(s)) for s in sets]
+    assert (simhash.common_counts(x[:50], x[50:]) == [[len(a & b) for b in sets[50:]] for a in sets[:50]]).all()
 
 
 def test_near_duplicates_as_all_pairs(docs, odd, empty):
