@@ -17,10 +17,14 @@ are aligned, a suffix is only compared with those of its own column, so the roun
 transform, order and prefixes are all that need be held: they are streamed from round to
 round instead of kept in files. Where neighbours have SPAN common bytes, both repeat.
 
-Skew. Equal texts are one text: with a copy, all of a text of SPAN bytes or more goes.
-A task takes all regions of an anchor, up to HOT of them. Of anchors with more (a line in a
-third of a large corpus) equal regions become one first, and the windows of the rest are
-counted by a 128-bit hash in a grouped sum, which is combined before it is shuffled.
+Skew. Equal texts are one text, named by 128 bits of its SHA-256: with a copy, all of a
+text of SPAN bytes or more goes. A collection takes all regions of its anchors. Where that
+would be more than LARGEST different ones (a line in a third of a large corpus), the
+anchor is halved, again and again: the windows that start in either half of the range of
+distances to the anchor become a part of their own, named by the bytes that all of them
+share, and equal parts become one. So windows inside a common passage collapse, and those
+that reach out of it part by what is around; a range of one distance is a single window,
+of which only one is left. No window is lost: equal windows have equal distances.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
@@ -37,7 +41,7 @@ from marquee.llm.common import settle, table
 
 SPAN = 200
 GRAM = 64
-HOT = 16_384  # regions of one anchor that one task takes: some 10 MB
+LARGEST = 2048  # different regions of one anchor in a suffix order; with more, it is halved
 COLLECTION = 16_384  # regions of one suffix order
 REGIONS_A_PARTITION = 60_000
 
@@ -154,9 +158,14 @@ def runs(hits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, first, past - 1
 
 
+def text_name(text: str) -> Column:
+    """What names a text in Spark: 128 bits of its SHA-256; null is empty text."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(F.col(text), F.lit("")), 256), 1, 32))
+
+
 def read_texts(docs: DataFrame, id_col: str, text_col: str, span: int, gram: int) -> DataFrame:
-    """(id_col, k1, k2, n_bytes, sha256, hashes, positions): a 128-bit name of each text, and its anchors."""
-    schema = docs.select(id_col).schema.add("k1", "long").add("k2", "long").add("n_bytes", "long").add("sha256", "string")
+    """(id_col, name, n_bytes, sha256, hashes, positions): each text's name, and its anchors."""
+    schema = docs.select(id_col).schema.add("name", "binary").add("n_bytes", "long").add("sha256", "string")
     schema = schema.add("hashes", ArrayType(LongType())).add("positions", ArrayType(LongType()))
 
     def run(batches):
@@ -165,10 +174,9 @@ def read_texts(docs: DataFrame, id_col: str, text_col: str, span: int, gram: int
                 b = whole.slice(at, 1000)
                 raw = [(t or "").encode() for t in b.column(1).to_pylist()]
                 digests = [hashlib.sha256(x) for x in raw]
-                names = np.frombuffer(b"".join(d.digest()[:16] for d in digests), np.int64).reshape(-1, 2)
                 found = [anchors(x, span, gram)[:2] for x in raw]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array(map(len, raw), pa.int64()),
+                    [b.column(0), pa.array([d.digest()[:16] for d in digests], pa.binary()), pa.array(map(len, raw), pa.int64()),
                      pa.array([d.hexdigest() for d in digests], pa.string()),
                      pa.array([h.view(np.int64) for _, h in found], pa.list_(pa.int64())), pa.array([p for p, _ in found], pa.list_(pa.int64()))],
                     names=schema.names)
@@ -176,47 +184,46 @@ def read_texts(docs: DataFrame, id_col: str, text_col: str, span: int, gram: int
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def cut_regions(candidates: DataFrame, id_col: str, span: int, gram: int) -> DataFrame:
-    """(hash, hot, id_col, start, lead, region) of the repeated anchors that candidates list in `places`."""
-    schema = candidates.select(F.lit(0).cast("long").alias("hash"), F.lit(True).alias("hot"), id_col, F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("lead"), F.lit(b"").alias("region")).schema
+def cut_regions(candidates: DataFrame, span: int, gram: int) -> DataFrame:
+    """(key, large, name, start, lead, region) of the repeated anchors that candidates (name, text, places) list."""
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
                 out = []
-                for doc, text, places in zip(*(b.column(k).to_pylist() for k in range(3))):
+                for name, text, places in zip(*(b.column(k).to_pylist() for k in range(3))):
                     data = text.encode()
-                    hot = {x["pos"]: x["hot"] for x in places}
+                    large = {x["pos"]: x["large"] for x in places}
                     for p, h, first, last in zip(*(x.tolist() for x in anchors(data, span, gram))):
-                        if p in hot:
-                            out.append((np.uint64(h).astype(np.int64), hot[p], doc, first, p - first, data[first:last + span]))
+                        if p in large:
+                            out.append((np.uint64(h).astype(np.int64), large[p], name, first, p - first, data[first:last + span]))
                 if out:
                     cols = list(zip(*out))
+                    kinds = [pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.array(cols[0], np.int64)), pa.array(cols[1], pa.bool_()), pa.array(cols[2], b.schema.field(0).type),
-                         pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.binary())], names=schema.names)
+                        [pa.array(np.array(cols[0], np.int64)), *(pa.array(c, k) for c, k in zip(cols[1:], kinds))],
+                        names=["key", "large", "name", "start", "lead", "region"])
 
-    return candidates.select(id_col, "text", "places").mapInArrow(run, schema)
+    return candidates.select("name", "text", "places").mapInArrow(run, "key long, large boolean, name binary, start long, lead long, region binary")
 
 
-def column_wise(regions: DataFrame, id_col: str, span: int, gram: int) -> DataFrame:
-    """(id_col, first, last) of repeated window starts, from (hash, id, start, lead, region) sorted by hash in partitions."""
-    schema = regions.select(id_col, F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("last")).schema
+def column_wise(regions: DataFrame, span: int, gram: int) -> DataFrame:
+    """(name, first, last) of repeated window starts of regions (key, name, start, lead, region); only those of one key are compared."""
+    parts = max(int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-regions.count() // REGIONS_A_PARTITION))
 
     def run(batches):
-        held, kind = [], None
+        held = []
 
         def found(rows):
-            hashes, docs, starts, leads, texts = zip(*rows)
+            _, docs, starts, leads, texts = zip(*rows)
             starts, leads = np.array(starts), np.array(leads)
             row, first, last = runs(repeated_starts(columns_of(texts, leads, span, gram), span, gram))
             shift = starts[row] - (span - gram - leads[row])
             return pa.RecordBatch.from_arrays(
-                [pa.array([docs[k] for k in row.tolist()], kind), pa.array(first + shift, pa.int64()), pa.array(last + shift, pa.int64())], names=schema.names)
+                [pa.array([docs[k] for k in row.tolist()], pa.binary()), pa.array(first + shift, pa.int64()), pa.array(last + shift, pa.int64())], names=["name", "first", "last"])
 
         for whole in batches:
-            kind = whole.schema.field(1).type
             for at in range(0, whole.num_rows, 4096):
                 held += zip(*(c.to_pylist() for c in whole.slice(at, 4096).columns))
                 if len(held) > COLLECTION:
@@ -229,45 +236,66 @@ def column_wise(regions: DataFrame, id_col: str, span: int, gram: int) -> DataFr
         if held:
             yield found(held)
 
-    return regions.select("hash", id_col, "start", "lead", "region").mapInArrow(run, schema)
-
-
-def window_names(texts: DataFrame, span: int) -> DataFrame:
-    """(r1, r2, w1, w2, col, n): a 128-bit name of every window of each region, from (r1, r2, n, region)."""
-
-    def run(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
-                out = []
-                for r1, r2, n, region in zip(*(c.to_pylist() for c in b.columns)):
-                    names = [hashlib.blake2b(region[k:k + span], digest_size=16).digest() for k in range(len(region) - span + 1)]
-                    w = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
-                    out.append((np.full(len(w), r1), np.full(len(w), r2), w[:, 0], w[:, 1], np.arange(len(w)), np.full(len(w), n)))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out)], names=["r1", "r2", "w1", "w2", "col", "n"])
+    dealt = regions.select("key", "name", "start", "lead", "region").repartition(parts, "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(run, "name binary, first long, last long")
 
-    return texts.select("r1", "r2", "n", "region").mapInArrow(run, "r1 long, r2 long, w1 long, w2 long, col long, n long")
 
+def halves(parts: DataFrame, span: int) -> DataFrame:
+    """Each part as the parts of its windows at the lower and the upper distances to the anchor, those without windows left out."""
+    middle = F.floor((F.col("low") + F.col("high")) / 2)
+    split = parts.withColumn("half", F.explode(F.array(
+        F.struct(F.col("low").alias("low"), middle.alias("high")), F.struct((middle + 1).alias("low"), F.col("high").alias("high")))))
+    # starts in the region of the half's windows: their distance to the anchor, at lead, is in the half's range
+    split = split.withColumn("first", F.greatest(F.lit(0), F.col("lead") - F.col("half.high"))).withColumn(
+        "last", F.least(F.length("region") - span, F.col("lead") - F.col("half.low"))).where("first <= last")
+    cut = lambda c, at, n: F.substring(c, (at + 1).cast("int"), n.cast("int"))
+    split = split.select(
+        "parent", (F.col("shift") + F.col("first")).alias("shift"), "key", F.col("half.low").alias("low"), F.col("half.high").alias("high"), "n",
+        (F.col("lead") - F.col("first")).alias("lead"), cut("region", F.col("first"), F.col("last") - F.col("first") + span).alias("region"))
+    core = cut("region", F.col("lead") - F.col("low"), F.lit(span) - (F.col("high") - F.col("low")))
+    return split.withColumn("key", F.xxhash64("key", "low", core)).withColumn("part", F.unhex(F.md5("region")))
 
-def hot_starts(regions: DataFrame, id_col: str, span: int) -> DataFrame:
-    """(id_col, first, last) for regions of anchors that are too many for a task: equal regions once, then equal windows."""
-    named = regions.withColumn("r1", F.xxhash64("region")).withColumn("r2", F.xxhash64(F.md5("region")))
-    once = settle(named.groupBy("r1", "r2").agg(F.count("*").alias("n"), F.first("region").alias("region")), "hot")
-    windows = settle(window_names(once.where("n = 1"), span), "windows")
-    # a region that occurs twice is repeated as a whole, and speaks for its windows
-    spoken = window_names(once.where("n > 1"), span).select("w1", "w2", "n")
-    again = windows.select("w1", "w2", "n").unionAll(spoken).groupBy("w1", "w2").agg(F.sum("n").alias("n")).where("n > 1").select("w1", "w2")
-    singles = windows.join(again, ["w1", "w2"]).select("r1", "r2", "col").distinct()
-    wholes = once.where("n > 1").select("r1", "r2", F.lit(0).cast("long").alias("first"), (F.length("region") - span).cast("long").alias("last"))
-    found = singles.select("r1", "r2", F.col("col").alias("first"), F.col("col").alias("last")).unionAll(wholes)
-    return named.select(id_col, "start", "r1", "r2").join(found, ["r1", "r2"]).select(
-        id_col, (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last"))
 
+def halved(regions: DataFrame, span: int, gram: int) -> DataFrame:
+    """(name, first, last) like column_wise's, of anchors whose regions are too many for a collection.
 
-def trim(candidates: DataFrame, id_col: str, span: int) -> DataFrame:
-    """(id_col, kept, n_removed, spans) from (id_col, text, found): the text without its covered bytes."""
-    schema = candidates.select(id_col, F.lit(b"").alias("kept"), F.lit(0).cast("long").alias("n_removed"), F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("stop"))).alias("spans")).schema
+    Each round takes the collections that have become small enough and halves the rest;
+    there are at most as many rounds as halvings of the windows an anchor can have.
+    """
+    named = regions.withColumn("part", F.unhex(F.md5("region")))
+    live = named.groupBy("key", "part").agg(F.count("*").alias("n"), F.first("lead").alias("lead"), F.first("region").alias("region")).select(
+        F.col("part").alias("parent"), F.lit(0).cast("long").alias("shift"), "key", F.lit(0).cast("long").alias("low"), F.lit(span - gram).cast("long").alias("high"),
+        "n", "lead", "region", "part")
+    found = None
+    while True:
+        live = settle(live, "live")
+        parts = live.groupBy("key", "part").agg(
+            F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("low", "high", "lead", "region")])
+        sizes = parts.groupBy("key").agg((F.count("*") > LARGEST).alias("large"))
+        parts = settle(parts.join(sizes, "key"), "parts")
+        small = column_wise(parts.where("not large").select("key", F.col("part").alias("name"), F.lit(0).cast("long").alias("start"), "lead", "region"), span, gram)
+        # a part that occurs twice is repeated as a whole; it stays, once, as evidence against others
+        whole = parts.where("n > 1").select(F.col("part").alias("name"), F.lit(0).cast("long").alias("first"), (F.length("region") - span).cast("long").alias("last"))
+        now = live.where("parent is not null").join(small.unionAll(whole), F.col("part") == F.col("name")).select(
+            "parent", (F.col("shift") + F.col("first")).alias("first"), (F.col("shift") + F.col("last")).alias("last"))
+        now = settle(now, "found")
+        found = now if found is None else found.unionAll(now)
+        rest = parts.where("large")
+        if rest.isEmpty():
+            break
+        alone = live.join(rest.where("n = 1").select("key", "part"), ["key", "part"], "left_semi")
+        evidence = rest.where("n > 1").select(*[F.lit(None).cast("binary").alias(c) if c == "parent" else F.lit(0).cast("long").alias(c) if c == "shift" else F.col(c) for c in live.columns])
+        live = halves(alone.unionByName(evidence), span)
+    return named.select("name", "start", F.col("part").alias("parent")).join(found, "parent").select(
+        "name", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last"))
+
+
+def trim(candidates: DataFrame, span: int, as_text: bool) -> DataFrame:
+    """(name, kept, n_removed, spans) from (name, text, found): the text without its covered bytes.
+
+    kept holds bytes, or, as text, the characters that are left whole at the cuts.
+    """
+    kind = "string" if as_text else "binary"
     pair = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def run(batches):
@@ -286,12 +314,41 @@ def trim(candidates: DataFrame, id_col: str, span: int) -> DataFrame:
                         parts.append(data[done:m["start"]])
                         done = m["stop"]
                     parts.append(data[done:])
-                    kept.append(b"".join(parts))
-                    removed.append(len(data) - len(kept[-1]))
+                    # a part is valid but for characters that the cuts have broken, at its ends
+                    kept.append("".join(x.decode(errors="ignore") for x in parts) if as_text else b"".join(parts))
+                    removed.append(len(data) - sum(map(len, parts)))
                     spans.append(mine)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(spans, pair)], names=schema.names)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(removed, pa.int64()), pa.array(spans, pair)], names=["name", "kept", "n_removed", "spans"])
 
-    return candidates.select(id_col, "text", "found").mapInArrow(run, schema)
+    return candidates.select("name", "text", "found").mapInArrow(run, f"name binary, kept {kind}, n_removed long, spans array<struct<start long, stop long>>")
+
+
+def find_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", span: int = SPAN, gram: int = GRAM, as_text: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(texts, cuts): a row (id_col, name, n_bytes, sha256) for each row of docs, and for each text that loses bytes (name, copied, kept, n_removed, spans).
+
+    All but copied is null where the text has a copy: then all of it goes.
+    """
+    texts = settle(read_texts(docs, id_col, text_col, span, gram), "texts")
+    classes = settle(texts.where(F.col("n_bytes") >= span).groupBy("name").agg(
+        F.min(id_col).alias("rep"), (F.count("*") > 1).alias("copied"), F.first("hashes").alias("hashes"), F.first("positions").alias("positions")), "classes")
+    each = classes.select("name", "rep", F.explode(F.arrays_zip("hashes", "positions")).alias("a")).select(
+        "name", "rep", F.col("a.hashes").alias("hash"), F.col("a.positions").alias("pos"))
+    repeated = settle(each.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash", (F.col("n") > LARGEST).alias("large")), "anchors")
+    places = each.join(repeated, "hash").groupBy("name", "rep").agg(F.collect_list(F.struct("pos", "large")).alias("places"))
+    # one row of each text that has places: the rows of its name and smallest id, of which there is more than one only in repeated rows
+    rows = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"), text_name(text_col).alias("name"))
+    met = rows.alias("r").join(places.alias("p"), (F.col("r.name") == F.col("p.name")) & F.col("r.rep").eqNullSafe(F.col("p.rep")))
+    candidates = settle(met.select("p.name", "r.text", "p.places").dropDuplicates(["name"]), "candidates")
+    regions = settle(cut_regions(candidates, span, gram), "regions")
+    found = column_wise(regions.where("not large"), span, gram)
+    if not repeated.where("large").isEmpty():
+        found = found.unionAll(halved(regions.where("large"), span, gram))
+    found = found.groupBy("name").agg(F.collect_list(F.struct("first", "last")).alias("found"))
+    trimmed = trim(candidates.join(found, "name"), span, as_text)
+    cuts = classes.select("name", "copied").join(trimmed, "name", "left").where("copied or n_removed > 0").select(
+        "name", "copied", *[F.when(~F.col("copied"), F.col(c)).alias(c) for c in ("kept", "n_removed", "spans")])
+    return texts.select(id_col, "name", "n_bytes", "sha256"), cuts
 
 
 def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", span: int = SPAN, gram: int = GRAM) -> DataFrame:
@@ -300,50 +357,35 @@ def remove_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", span: i
     kept holds the remaining bytes only where some but not all are removed, else null;
     spans are the maximal removed runs; sha256 is the whole text's. Null is empty text.
     Texts shorter than span lose nothing, longer ones with a copy lose all. Repeated rows
-    are copies. A row without an id loses bytes only as a copy and isn't evidence against
-    others. Rows of one id with different texts aren't supported: ids name texts.
+    are copies. Texts are what is compared: null or repeated ids are rows like others.
     Other columns are left out. An empty table gives an empty one.
     """
-    base = settle(read_texts(docs, id_col, text_col, span, gram), "texts")
-    classes = base.where(F.col("n_bytes") >= span).groupBy("k1", "k2").agg(F.min(id_col).alias("rep"), F.count("*").alias("copies"))
-    classes = settle(classes, "classes")
-    each = base.select(id_col, "k1", F.explode(F.arrays_zip("hashes", "positions")).alias("a")).select(
-        id_col, F.col("a.hashes").alias("hash"), F.col("a.positions").alias("pos"), F.xxhash64("k1", "a.positions").alias("place"))
-    repeated = settle(
-        each.groupBy("hash").agg(F.min("place").alias("low"), F.max("place").alias("high"), F.count("*").alias("n"))
-        .where("low != high").select("hash", (F.col("n") > HOT).alias("hot")), "anchors")
-    reps = classes.select(F.col("rep").alias(id_col))
-    places = (
-        each.select(id_col, "hash", "pos").join(repeated, "hash").join(reps, id_col, "left_semi")
-        .groupBy(id_col).agg(F.collect_list(F.struct("pos", "hot")).alias("places")))
-    candidates = settle(docs.select(id_col, F.col(text_col).alias("text")).join(places, id_col).dropDuplicates([id_col]), "candidates")
-    regions = settle(cut_regions(candidates, id_col, span, gram), "regions")
-    cold = regions.where(~F.col("hot"))
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-cold.count() // REGIONS_A_PARTITION))
-    found = column_wise(cold.repartition(parts, "hash").sortWithinPartitions("hash"), id_col, span, gram).unionAll(
-        hot_starts(regions.where("hot"), id_col, span))
-    found = found.groupBy(id_col).agg(F.collect_list(F.struct("first", "last")).alias("found"))
-    trimmed = trim(candidates.select(id_col, "text").join(found, id_col), id_col, span)
-    out = base.select(id_col, "k1", "k2", "n_bytes", "sha256").join(classes.where("copies > 1").select("k1", "k2", F.lit(True).alias("copied")), ["k1", "k2"], "left")
-    out = out.join(trimmed, id_col, "left")
+    texts, cuts = find_repeats(docs, id_col=id_col, text_col=text_col, span=span, gram=gram)
+    out = texts.join(cuts, "name", "left")
+    copied = F.coalesce("copied", F.lit(False))
     all_of = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("stop")))
     none = F.array().cast("array<struct<start:bigint,stop:bigint>>")
     return out.select(
-        id_col, "n_bytes", "sha256", F.when(F.col("copied"), F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(F.col("copied"), all_of).otherwise(F.coalesce("spans", none)).alias("spans"), F.when(F.col("copied"), F.lit(b"")).otherwise(F.col("kept")).alias("kept"))
+        id_col, "n_bytes", "sha256", F.when(copied, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
+        F.when(copied, all_of).otherwise(F.coalesce("spans", none)).alias("spans"), F.when(copied, F.lit(b"")).otherwise(F.col("kept")).alias("kept"))
 
 
 def without_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", length_col: str | None = "n_chars") -> DataFrame:
-    """docs, all columns, with the remaining text; broken characters at the cuts go, and length_col, if there, is the new length.
+    """docs, all columns, with the remaining text; length_col, if there, is its new length.
 
-    A text of which all is repeated is empty, and its row stays.
+    Characters that a cut breaks go; no others. A text of which all is repeated is empty,
+    and its row stays, as do null and repeated ids and repeated rows. Null texts stay
+    null. No column name clashes. An empty table gives an empty one.
     """
-    cut = remove_repeats(docs, id_col=id_col, text_col=text_col).where("n_removed > 0").select(F.col(id_col).alias("_id"), "kept").dropDuplicates(["_id"])
-    text = F.when(F.col("kept").isNull(), F.col(text_col)).otherwise(F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit("")))
-    out = docs.join(cut, F.col(id_col) == F.col("_id"), "left").withColumn(text_col, text)
-    if length_col in docs.columns:
-        out = out.withColumn(length_col, F.when(F.col("kept").isNull(), F.col(length_col)).otherwise(F.char_length(text_col).cast(docs.schema[length_col].dataType)))
-    return out.select(*docs.columns)
+    _, cuts = find_repeats(docs, id_col=id_col, text_col=text_col, as_text=True)
+    packed = docs.select(F.struct(*docs.columns).alias("row"), text_name(text_col).alias("name"))
+    out = packed.join(cuts.select("name", F.coalesce("kept", F.lit("")).alias("kept"), F.lit(True).alias("cut")), "name", "left")
+    columns = []
+    for c in docs.columns:
+        old = F.col("row")[c]
+        new = {text_col: F.col("kept"), length_col: F.char_length("kept").cast(docs.schema[c].dataType) if c == length_col else None}.get(c)
+        columns.append((old if new is None else F.when(F.col("cut"), new).otherwise(old)).alias(c))
+    return out.select(*columns)
 
 
 def op9_repeats(spark, sf_dir):

@@ -477,9 +477,12 @@ def brute_repeats(texts, span=200):
     return out
 
 
+def row(r):
+    return r.n_bytes, r.n_removed, len(r.spans), r.sha256 if r.kept is None else hashlib.sha256(bytes(r.kept)).hexdigest()
+
+
 def digest(frame):
-    out = repeats.remove_repeats(frame).collect()
-    return {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), r.sha256 if r.kept is None else hashlib.sha256(bytes(r.kept)).hexdigest()) for r in out}
+    return {r.doc_id: row(r) for r in repeats.remove_repeats(frame).collect()}
 
 
 @pytest.fixture(scope="module")
@@ -492,9 +495,10 @@ def repeated(spark):
     return spark.createDataFrame(rows, "doc_id long, text string").withColumn("hash", F.lit("clash"))
 
 
-@pytest.mark.parametrize("hot", [1, 16_384])
-def test_repeats(repeated, hot, monkeypatch):
-    monkeypatch.setattr(repeats, "HOT", hot)
+@pytest.mark.parametrize("largest", [1, 6, 2048])
+def test_repeats(repeated, largest, monkeypatch):
+    """Collections of any size, halved down to single windows or not at all."""
+    monkeypatch.setattr(repeats, "LARGEST", largest)
     assert digest(repeated) == brute_repeats({r.doc_id: (r.text or "").encode() for r in repeated.collect()})
 
 
@@ -503,10 +507,31 @@ def test_repeats_in_small_collections(repeated, monkeypatch):
     assert digest(repeated) == brute_repeats({r.doc_id: (r.text or "").encode() for r in repeated.collect()})
 
 
+def test_repeats_without_and_with_repeated_ids(spark):
+    """Texts are compared whatever their ids: null, or one id for several texts."""
+    rng = random.Random(21)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    one, two = text(260), text(300)
+    rows = [(None, "a" + one), (1, one + "b"), (7, text(80) + two), (7, text(400)), (8, two + text(50)), (None, text(300)), (9, text(10)), (9, "q" + two[:210]), (None, None)]
+    rows += [(5, text(250))] * 2 + [(None, "w" * 30 + text(200))] * 2
+    brute = brute_repeats({k: (t or "").encode() for k, (_, t) in enumerate(rows)})
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter((r.doc_id, *row(r)) for r in repeats.remove_repeats(frame).collect()) == Counter((i, *brute[k]) for k, (i, _) in enumerate(rows))
+    cut = Counter((r.doc_id, r.text, r.kept) for r in repeats.without_repeats(frame.withColumn("kept", F.lit("clash")).withColumn("row", F.lit(1))).collect())
+    assert sum(cut.values()) == len(rows) and {k for _, _, k in cut} == {"clash"}
+    assert cut[(None, None, "clash")] == 1 and cut[(5, "", "clash")] == 2 and cut[(None, "a", "clash")] == 1 and cut[(1, "b", "clash")] == 1
+
+
+def test_only_broken_characters_go_with_a_cut(spark):
+    line = "".join(chr(0x4E00 + k * 37 % 5000) for k in range(80))
+    rows = [(1, "A\ufffdB" + line + "é"), (2, "x" + line), (3, "tail\ufffd")]
+    got = {r.doc_id: r.text for r in repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "A\ufffdBé", 2: "x", 3: "tail\ufffd"}
+
+
 def test_repeats_odd(odd, empty):
-    assert digest(odd) == brute_repeats({i: (t or "").encode() for i, t in enumerate(ODD) if i != 6}) | {6: digest(odd)[6]}
-    assert digest(odd)[6][1] == 200_000
-    assert repeats.remove_repeats(empty).count() == 0
+    assert digest(odd) == brute_repeats({i: (t or "").encode() for i, t in enumerate(ODD)})
+    assert repeats.remove_repeats(empty).count() == 0 and repeats.without_repeats(empty).count() == 0
     cut = repeats.without_repeats(odd)
     assert cut.columns == odd.columns and cut.count() == len(ODD)
 
