@@ -239,6 +239,33 @@ def test_embeddings(spark):
     assert embedding_dups.near_vectors(frame.limit(0)).count() == 0
 
 
+def brute_links(vectors, threshold=0.95):
+    unit = {i: np.array(v) / np.abs(v).max() for i, v in vectors.items()}
+    unit = {i: v / np.linalg.norm(v) for i, v in unit.items()}
+    linked = lambda a, b: unit[a] @ unit[b] >= threshold
+    comp = components_of(sorted(vectors), linked)
+    return {i: (sum(linked(i, j) for j in vectors if j != i), comp[i], comp[i] == i) for i in vectors}
+
+
+def test_embeddings_of_many_dimensions_and_any_size(spark):
+    """Codes of 1,536 dimensions; components whose squares overflow or vanish; cosines about the threshold."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(12, 1536))
+    side = rng.normal(size=(12, 1536))
+    side -= (side * base).sum(axis=1, keepdims=True) / (base * base).sum(axis=1, keepdims=True) * base
+    side *= np.linalg.norm(base, axis=1, keepdims=True) / np.linalg.norm(side, axis=1, keepdims=True)
+    near = [c * base + np.sqrt(1 - c * c) * side for c in (0.9501, 0.9499, 0.99)]
+    flat = np.sign(base[:4])  # every code is the largest there is
+    rows = np.vstack([base, *near, flat, -flat, base[:3] * 1e200, near[2][:3] * 1e-200, near[0][:2] * 1e-300])
+    vectors = {i: v.tolist() for i, v in enumerate(rows)}
+    frame = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    for tile in (16, embedding_dups.TILE):
+        got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dups.near_vectors(frame, tile=tile).collect()}
+        assert got == brute_links(vectors)
+    q = np.full((2, 1536), 127, np.int8)
+    assert (embedding_dups.products(q, q) == 1536 * 127 * 127).all()
+
+
 def test_rows_without_ids(spark):
     """No operator fails on them; each row comes out once."""
     vectors = spark.createDataFrame([(None, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (None, None)], "vec_id long, embedding array<float>")
