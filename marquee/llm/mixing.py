@@ -26,6 +26,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SCHEDULES = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))
 BUCKET_HEX = 2  # hex digits of a bucket: 256 buckets a source, 16 times as many for each digit more
 DOCS_A_BUCKET = 20_000
+ADDED = ("source_size", "target", "taken", "passes", "position")
 
 
 def ordinals(sources: DataFrame, name: str) -> DataFrame:
@@ -38,14 +39,13 @@ def ordinals(sources: DataFrame, name: str) -> DataFrame:
     ranged = settle(
         sources.withColumn("_null", F.col(name).isNull()).repartitionByRange(parts, "_null", name)
         .withColumn("_part", F.spark_partition_id()), "sources")
-    sizes = {r[0]: r[1] for r in ranged.groupBy("_part").count().collect()}
     before, offsets = 0, []
-    for part in sorted(sizes):
+    for part, n in sorted(ranged.groupBy("_part").count().collect()):
         offsets.append((part, before))
-        before += sizes[part]
-    shift = F.coalesce(*[F.when(F.col("_part") == p, F.lit(n)) for p, n in offsets], F.lit(0)) if offsets else F.lit(0)
+        before += n
+    shift = sources.sparkSession.createDataFrame(offsets, "_part int, _shift long")
     rank = F.row_number().over(Window.partitionBy("_part").orderBy("_null", name)) - 1
-    return ranged.withColumn("ordinal", (shift + rank).cast("long")).drop("_part", "_null")
+    return ranged.withColumn("_rank", rank).join(shift, "_part").withColumn("ordinal", F.col("_shift") + F.col("_rank")).drop("_part", "_null", "_rank", "_shift")
 
 
 def fill_targets(sources: DataFrame, *, size: str, weight: str, share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -81,15 +81,21 @@ def mix_sources(docs: DataFrame, *, id_col="doc_id", source_col="source", size_c
     null if there is none.
     A null source is a source of its own, the last. Null ids are ordered as the text "".
     Sizes null or 0 take nothing. Repeated rows are documents of their own. All columns
-    of docs are kept; it must not have the added names, nor ones starting with "_mix".
-    An empty table gives an empty one. The order within a source is that of the ids'
-    MD5, then the id, then the size, so reruns agree.
+    of docs are kept, whatever their names, but for those named as an added one, which
+    takes their place. An empty table gives an empty one. The order within a source is
+    that of an MD5 of the id, the size and the other columns, so reruns agree; rows equal
+    in all of them, and only those, always stand together.
     """
     if most != 2.0:
         raise ValueError("documents go through at most two passes")
-    sized = docs.withColumn("_mix_size", F.coalesce(F.col(size_col).cast("long"), F.lit(0)))
-    hashed = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    sums = sized.groupBy(F.col(source_col).alias("_mix_source")).agg(F.sum("_mix_size").alias("source_size"), F.count("*").alias("_mix_docs"))
+    others = [c for c in docs.columns if c not in (id_col, source_col, size_col)]
+    content = [F.xxhash64(*others).cast("string")] if others else []
+    # rows travel as one column, so that their names can't clash with those used here
+    sized = docs.select(
+        F.struct(*docs.columns).alias("_mix_row"), F.col(source_col).alias("_mix_source"), F.col(id_col).alias("_mix_id"),
+        F.coalesce(F.col(size_col).cast("long"), F.lit(0)).alias("_mix_size"),
+        F.md5(F.concat_ws("/", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(F.col(size_col).cast("long"), F.lit(0)).cast("string"), *content)).alias("_mix_hash"))
+    sums = sized.groupBy("_mix_source").agg(F.sum("_mix_size").alias("source_size"), F.count("*").alias("_mix_docs"))
     sources = ordinals(sums, "_mix_source")
     k = F.col("ordinal") % len(weights)
     pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (k + 1).cast("int"))
@@ -102,14 +108,13 @@ def mix_sources(docs: DataFrame, *, id_col="doc_id", source_col="source", size_c
     digits = BUCKET_HEX
     while 16 ** digits * DOCS_A_BUCKET < largest:
         digits += 1
-    keyed = sized.withColumn("_mix_hash", hashed).withColumn("_mix_bucket", F.substring("_mix_hash", 1, digits))
-    keyed = keyed.withColumn("_mix_source", F.col(source_col))
+    keyed = sized.withColumn("_mix_bucket", F.substring("_mix_hash", 1, digits))
     buckets = keyed.groupBy("_mix_source", "_mix_bucket").agg(F.sum("_mix_size").alias("_mix_sum"))
     over = Window.partitionBy("_mix_source").orderBy("_mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.withColumn("_mix_before", F.coalesce(F.sum("_mix_sum").over(over), F.lit(0)))
     starts = buckets.alias("b").join(sources.alias("s"), F.col("b._mix_source").eqNullSafe(F.col("s._mix_source"))).select(
         "b._mix_source", "b._mix_bucket", "_mix_before", "source_size", "target", "_mix_start", "_mix_end")
-    within = Window.partitionBy("_mix_source", "_mix_bucket").orderBy("_mix_hash", id_col, "_mix_size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("_mix_source", "_mix_bucket").orderBy("_mix_hash", "_mix_id", "_mix_size").rowsBetween(Window.unboundedPreceding, -1)
     out = keyed.withColumn("_mix_within", F.coalesce(F.sum("_mix_size").over(within), F.lit(0))).alias("d").join(
         starts.alias("b"), F.col("d._mix_source").eqNullSafe(F.col("b._mix_source")) & (F.col("d._mix_bucket") == F.col("b._mix_bucket"))
     ).select("d.*", "_mix_before", "source_size", "target", "_mix_start", "_mix_end")
@@ -125,32 +130,40 @@ def mix_sources(docs: DataFrame, *, id_col="doc_id", source_col="source", size_c
     passes = F.array(*[
         F.when(overlap(at) > 0, F.struct(when(at).alias("position"), overlap(at).cast("long").alias("words")))
         for at in (first, first + F.col("source_size"))])
-    return (
+    out = (
         out.withColumn("taken", (overlap(first) + overlap(first + F.col("source_size"))).cast("long"))
         .withColumn("passes", F.filter(passes, lambda x: x.isNotNull()))
         .withColumn("position", F.get("passes", F.lit(0))["position"])
-        .drop(*[c for c in out.columns if c.startswith("_mix")])
     )
+    return out.select(*[F.col("_mix_row")[c].alias(c) for c in docs.columns if c not in ADDED], *ADDED)
 
 
 def training_order(mixed: DataFrame, *, id_col="doc_id") -> DataFrame:
-    """One row a pass, range-sorted by training position, with `pass` (0, 1), its `position` and its `words`."""
-    columns = [c for c in mixed.columns if c not in ("passes", "position")]
-    rows = mixed.select(*columns, F.posexplode("passes").alias("pass", "_at"))
-    return rows.select(*columns, "pass", "_at.position", "_at.words").orderBy("position", id_col, "pass")
+    """One row a pass, range-sorted by training position, with `pass` (0, 1), its `position` and its `words`.
+
+    mixed is a result of mix_sources. Columns of these names are replaced; rows without
+    passes are left out; ties are broken by the id, then the pass. No rows give none.
+    """
+    columns = [c for c in mixed.columns if c not in ("passes", "position", "pass", "words")]
+    rows = mixed.select(*columns, F.posexplode("passes").alias("pass", "_mix_at"))
+    return rows.select(*columns, "pass", F.col("_mix_at.position").alias("position"), F.col("_mix_at.words").alias("words")).orderBy("position", id_col, "pass")
 
 
 def mixed_documents(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source") -> DataFrame:
     """The mix as documents in training order: a row a pass, the columns of docs.
 
     A pass that takes a part of a document keeps its first words, joined by single spaces.
-    Documents of which the mix takes no word are left out. docs must not have the names
-    that mix_sources adds, nor _words.
+    Documents of which the mix takes no word, so null and empty texts, are left out. Null
+    ids and sources, repeated rows and ties as in mix_sources and training_order; no
+    column name clashes. An empty table gives an empty one.
     """
     size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
-    order = training_order(mix_sources(docs.withColumn("_words", size), id_col=id_col, source_col=source_col, size_col="_words"), id_col=id_col)
-    part = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("words").cast("int")), " ")
-    return order.withColumn(text_col, F.when(F.col("words") < F.col("_words"), part).otherwise(F.col(text_col))).select(*docs.columns)
+    packed = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"), F.struct(*docs.columns).alias("row"))
+    order = training_order(mix_sources(packed, id_col="id", size_col="size"), id_col="id")
+    text = F.col("row")[text_col]
+    part = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("words").cast("int")), " ")
+    kept = F.when(F.col("words") < F.col("size"), part).otherwise(text)
+    return order.select(*[(kept if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op3_mixing(spark, sf_dir):
@@ -181,7 +194,7 @@ WITH d AS (
   FROM r, l
 ), c AS (
   SELECT d.doc_id, d.size, t.source_size, t.target, a, b, floor(t.target) AS wanted,
-         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(d.doc_id::VARCHAR), d.doc_id, d.size
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(d.doc_id::VARCHAR, '') || '/' || d.size::VARCHAR), d.doc_id, d.size
                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 ), p AS (

@@ -189,6 +189,23 @@ def test_mixing_odd(odd, empty):
     assert mixing.mixed_documents(empty).count() == 0
 
 
+def test_mixing_whatever_the_columns_are_called(odd):
+    """Columns named as added or inner ones, null and repeated ids, repeated rows."""
+    clash = odd.withColumn("doc_id", F.when(F.col("doc_id") > 5, None).otherwise(F.col("doc_id") % 2))
+    for name in ("target", "source_size", "taken", "passes", "position", "words", "pass", "row", "id", "size", "_mix_row"):
+        clash = clash.withColumn(name, F.lit(f"own {name}"))
+    got = mixing.mixed_documents(clash)
+    assert got.columns == clash.columns
+    rows = got.collect()
+    assert rows and all(r[name] == f"own {name}" for r in rows for name in ("target", "source_size", "taken", "passes", "position", "words", "pass", "row", "id", "size", "_mix_row"))
+    words = lambda t: len((t or "").split())
+    sizes = sum(words(r.text) for r in clash.collect())
+    assert abs(sum(words(r.text) for r in rows) - 1.5 * sizes) <= 12
+    assert Counter(mixing.mixed_documents(clash).collect()) == Counter(rows)
+    mixed = mixing.mix_sources(clash.withColumn("size", F.lit(3)))
+    assert mixed.count() == len(ODD) and mixed.schema["target"].dataType.simpleString() == "double" and {"words", "row", "_mix_row"} <= set(mixed.columns)
+
+
 # -- audio
 
 def test_audio_round_trip(odd, empty):
