@@ -32,11 +32,11 @@ CACHE_ENTRIES = 500_000
 
 
 def features(chunk: str) -> set[int]:
-    """Hashed features of a chunk between white space: words, their beginnings, and what isn't a letter."""
+    """Hashed features of a chunk between white space: whole words, their first 4 and 5 letters besides (as stems), and all that isn't a letter, joined."""
     found = RUN.findall(chunk.lower())
     names = [*found, *(f"{w[:k]}~" for w in found for k in (4, 5) if len(w) > k)]
     if rest := RUN.sub("", chunk):
-        names.append(f" {rest[:8]}")
+        names.append(f" {rest}")
     return {zlib.crc32(n.encode("utf-8", "surrogatepass")) % SPACE for n in names}
 
 
@@ -84,7 +84,7 @@ def fit_linear(rows, cols, extra, y, width: int, *, ridge: float = 0.02, steps:
 
 
 def probabilities(rows, cols, extra, n: int, model) -> np.ndarray:
-    w, v, bias = model
+    w, v, bias = model  # of features, of earlier categories, of neither
     z = sparse_dot(rows, cols, w, n) + extra @ v + bias
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -194,7 +194,12 @@ def score_chain(docs: DataFrame, chain: Chain, *, id_col="doc_id", text_col="tex
 
 
 def keep_clean(docs: DataFrame, chain: Chain, category: str, *, text_col="text", most: float = 0.5) -> DataFrame:
-    """The rows of docs, all columns, whose probability of the category is below most. One narrow pass."""
+    """The rows of docs, all columns, whose probability of the category is below most. One narrow pass.
+
+    Each row is judged by its own text: null and empty texts by each model's bias alone;
+    repeated rows, null ids and columns of any name come through as they are. An empty
+    table gives an empty one.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(chain)
     at, k = docs.columns.index(text_col), chain.categories.index(category)
 
@@ -211,7 +216,11 @@ def keep_clean(docs: DataFrame, chain: Chain, category: str, *, text_col="text",
 
 
 def production_chain(spark, sf_dir: str) -> Chain:
-    """Junk before toxic, fitted on the labelled documents."""
+    """Junk before toxic, fitted on the labelled documents of the tables in sf_dir.
+
+    Labels with a null, and of no document, are left out; with none left, nothing is
+    junk or toxic.
+    """
     labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("junk"), "toxic")
     return fit_chain(table(spark, sf_dir, "documents"), labels, ["junk", "toxic"])
 

@@ -506,6 +506,60 @@ def test_chain_feeds_earlier_probabilities():
     assert w[0] > 2
 
 
+def test_chain_as_by_hand(spark):
+    """Choice of features, folds, out-of-fold probabilities and scores against plain loops over all documents."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(30)]
+    texts, junk, toxic = [], [], []
+    for k in range(160):
+        bad, worse = rng.random() < 0.4, rng.random() < 0.4
+        texts.append(" ".join([*rng.sample(words, 6), *(["spammy!"] if bad and rng.random() < 0.8 else []), *(["vile77"] if worse and (bad or rng.random() < 0.6) else []), f"n{k}"]))
+        junk.append(int(bad))
+        toxic.append(int(worse))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame(list(zip(range(160), junk, toxic)), "doc_id long, junk int, toxic int")
+    chain = toxicity.fit_chain(frame, labels, ["junk", "toxic"])
+    names = [set().union(*map(toxicity.features, t.split())) for t in texts]
+    chosen = set()
+    for y in (junk, toxic):
+        p = sum(y) / len(y)
+        for f in set().union(*names):
+            n = sum(f in x for x in names)
+            z = (sum(y[k] for k in range(160) if f in names[k]) - n * p) / (n * p * (1 - p)) ** 0.5
+            if n >= 3 and z >= toxicity.EVIDENCE:
+                chosen.add(f)
+    assert chosen and chain.chosen.tolist() == sorted(chosen)
+    place = {f: k for k, f in enumerate(sorted(chosen))}
+    fold = [zlib.crc32(t.encode()) % toxicity.FOLDS for t in texts]
+
+    def fitted(inside, earlier, y):
+        rows = [(r, place[f]) for r, k in enumerate(inside) for f in sorted(names[k]) if f in place]
+        at = np.array(rows, np.int64).reshape(-1, 2)
+        extra = np.array([[4 * e[k] - 2 for e in earlier] for k in inside]).reshape(len(inside), len(earlier))
+        return toxicity.fit_linear(at[:, 0], at[:, 1], extra, np.array([y[k] for k in inside], float), len(place))
+
+    def probability(k, earlier, model):
+        z = model[2] + sum(model[0][place[f]] for f in names[k] if f in place) + sum(v * (4 * e - 2) for v, e in zip(model[1], earlier))
+        return 1 / (1 + np.exp(-z))
+
+    earlier, models = [], []
+    for y in (junk, toxic):
+        models.append(fitted(range(160), earlier, y))
+        mine = [0.0] * 160
+        for out in range(toxicity.FOLDS):
+            m = fitted([k for k in range(160) if fold[k] != out], earlier, y)
+            for k in range(160):
+                if fold[k] == out:
+                    mine[k] = probability(k, [e[k] for e in earlier], m)
+        earlier.append(mine)
+    assert abs(models[1][1][0]) > 0.05
+    for r in toxicity.score_chain(frame, chain).collect():
+        first = probability(r.doc_id, [], models[0])
+        assert r.p_junk == pytest.approx(first, abs=1e-6) and r.p_toxic == pytest.approx(probability(r.doc_id, [first], models[1]), abs=1e-6)
+    kept = {r.doc_id for r in toxicity.keep_clean(frame, chain, "toxic").collect()}
+    assert kept == {r.doc_id for r in toxicity.score_chain(frame, chain).where("p_toxic < 0.5").collect()}
+
+
 # -- repeats
 
 def brute_repeats(texts, span=200):
