@@ -8,33 +8,34 @@ round is a Spark job over distinct (language, word, count) rows that sums expect
 counts from forward and backward passes. Characters outside the vocabulary are spelled
 in the vocabulary's byte pieces, so every string has a probability.
 
-A word is a run of letters of the lower-cased text with the vocabulary's word-start mark
-before it; runs over SPAN characters are cut there.
+A word is a run of letters (Unicode L) of the lower-cased text, of any length, with the
+vocabulary's word-start mark before it. Sums of products of words up to PLAIN characters
+are taken as they are; longer ones, and those that come near to vanishing, in logarithms.
 """
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.llm.common import settle, table
 
 START = "▁"
-SPAN = 32
-LONGEST = 16  # pieces of more characters aren't used
+PLAIN = 48  # characters of a word whose sums are plain products
+TINY = 1e-200  # plain sums below this are taken anew in logarithms
 #: Documents a language for fitting, in expectation: a hash of the id picks them. The only bound.
 TRAIN_DOCS = 1000
 ROUNDS = 2
 SMOOTH = 0.05
 CACHE_ENTRIES = 400_000
 BATCH_BYTES = 6_000_000  # of text that is split at once
-RUN = re.compile(r"[^\W\d_]+")
+RUN = regex.compile(r"\p{L}+")
 
 
 class Pieces:
@@ -49,21 +50,22 @@ class Pieces:
         for i in range(sp.get_piece_size()):
             if sp.is_byte(i):
                 self.byte[int(sp.id_to_piece(i)[3:-1], 16)] = i
-            elif not (sp.is_control(i) or sp.is_unknown(i)) and len(sp.id_to_piece(i)) <= LONGEST:
+            elif not (sp.is_control(i) or sp.is_unknown(i)):
                 self.number[sp.id_to_piece(i)] = i
         self.size = sp.get_piece_size()
-        self.spans = lru_cache(None)(self._spans)
+        self.longest = max(map(len, self.number), default=1)
+        self.spans = lru_cache(PLAIN + 1)(self._spans)
 
     def _spans(self, n: int) -> tuple[list[tuple[int, int]], list[list[tuple[int, int]]]]:
         """All (start, end) of pieces in n characters, and for each end its (start, column)."""
-        pairs = [(i, j) for j in range(1, n + 1) for i in range(max(0, j - LONGEST), j)]
+        pairs = [(i, j) for j in range(1, n + 1) for i in range(max(0, j - self.longest), j)]
         ends: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
         for c, (i, j) in enumerate(pairs):
             ends[j].append((i, c))
         return pairs, ends
 
     def words(self, text: str) -> list[str]:
-        return [START + run[i:i + SPAN] for run in RUN.findall(text) for i in range(0, len(run), SPAN)]
+        return [START + run for run in RUN.findall(text)]
 
     def columns(self, words: list[str], n: int, extra: dict[str, int]) -> np.ndarray:
         """Piece numbers of all spans of words of n characters; size: none; above: a spelled character."""
@@ -92,55 +94,112 @@ class Pieces:
         return a
 
 
+    def log_pieces(self, word: str, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each end in a word and each length back from it: the piece (size: none; above: a spelled character), its log probabilities, from those known of pieces."""
+        n, back = len(word), min(self.longest, len(word))
+        number = np.full((n + 1, back), self.size, np.int64)
+        logs = np.full((n + 1, back, known.shape[1]), -np.inf)
+        get = self.number.get
+        for j in range(1, n + 1):
+            for k in range(min(back, j)):
+                if (found := get(word[j - 1 - k:j])) is not None:
+                    number[j, k], logs[j, k] = found, known[found]
+            if number[j, 0] == self.size:
+                number[j, 0] = self.size + 1
+                logs[j, 0] = known[[self.byte[x] for x in word[j - 1].encode("utf-8", "surrogatepass")]].sum(axis=0)
+        return number, logs
+
+
+def log_forward(logs: np.ndarray) -> np.ndarray:
+    """Log forward sums (n + 1, languages) from log_pieces' logs; a window of the longest piece is all that a step needs."""
+    n, back, languages = len(logs) - 1, logs.shape[1], logs.shape[2]
+    a = np.full((n + 1, languages), -np.inf)
+    a[0] = 0
+    for j in range(1, n + 1):
+        k = min(back, j)
+        a[j] = np.logaddexp.reduce(a[j - k:j][::-1] + logs[j, :k], axis=0)
+    return a
+
+
+def log_backward(logs: np.ndarray) -> np.ndarray:
+    """Log backward sums, likewise."""
+    n, back, languages = len(logs) - 1, logs.shape[1], logs.shape[2]
+    b = np.full((n + 1, languages), -np.inf)
+    b[n] = 0
+    for i in range(n - 1, -1, -1):
+        ends = np.arange(i + 1, min(i + back, n) + 1)
+        b[i] = np.logaddexp.reduce(b[ends] + logs[ends, ends - i - 1], axis=0)
+    return b
+
+
 @lru_cache(1)
 def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def log_words(p: Pieces, words: list[str], probs: np.ndarray) -> np.ndarray:
-    """Log probability of each word in each language."""
-    out = np.zeros((len(words), probs.shape[1]))
+def by_length(words: list[str], most: int) -> tuple[list[tuple[int, list[int]]], list[int]]:
+    """Places of words of the same length, at most `most` at once, and those of words too long for plain sums."""
     by: dict[int, list[int]] = {}
     for k, w in enumerate(words):
         by.setdefault(len(w), []).append(k)
-    for n, ks in by.items():
-        for at in range(0, len(ks), 4096):
-            some = ks[at:at + 4096]
-            extra: dict[str, int] = {}
-            columns = p.columns([words[k] for k in some], n, extra)
-            out[some] = np.log(np.maximum(p.forward(columns, p.table(probs, extra), n)[n], 1e-300))
+    return [(n, ks[at:at + most]) for n, ks in by.items() if n <= PLAIN for at in range(0, len(ks), most)], [k for n, ks in by.items() if n > PLAIN for k in ks]
+
+
+def log_words(p: Pieces, words: list[str], probs: np.ndarray) -> np.ndarray:
+    """Log probability of each word in each language."""
+    out = np.zeros((len(words), probs.shape[1]))
+    groups, left = by_length(words, 4096)
+    for n, some in groups:
+        extra: dict[str, int] = {}
+        columns = p.columns([words[k] for k in some], n, extra)
+        got = p.forward(columns, p.table(probs, extra), n)[n]
+        small = (got < TINY).any(axis=1)
+        left += [k for k, x in zip(some, small.tolist()) if x]
+        out[some] = np.log(np.maximum(got, TINY))
+    known = np.log(probs) if left else None
+    for k in left:
+        out[k] = log_forward(p.log_pieces(words[k], known)[1])[-1]
     return out
 
 
 def expected(p: Pieces, words: list[str], counts: np.ndarray, probs: np.ndarray) -> np.ndarray:
     """Expected uses of each piece in counted words, under one language's probabilities."""
     total = np.zeros(p.size)
-    by: dict[int, list[int]] = {}
-    for k, w in enumerate(words):
-        by.setdefault(len(w), []).append(k)
-    for n, ks in by.items():
+    groups, left = by_length(words, 2048)
+    for n, some in groups:
         pairs, ends = p.spans(n)
-        for at in range(0, len(ks), 2048):
-            some = ks[at:at + 2048]
-            extra: dict[str, int] = {}
-            columns = p.columns([words[k] for k in some], n, extra)
-            full = p.table(probs[:, None], extra)
-            a = p.forward(columns, full, n)[:, :, 0]
-            b = np.zeros_like(a)
-            b[n] = 1
-            use = full[columns, 0]
-            for j in range(n, 0, -1):
-                for i, c in ends[j]:
-                    b[i] += use[:, c] * b[j]
-            weight = counts[some] / np.maximum(a[n], 1e-300)
-            for c, (i, j) in enumerate(pairs):
-                got = a[i] * use[:, c] * b[j] * weight
-                one = columns[:, c]
-                known = one < p.size
-                total += np.bincount(one[known], got[known], p.size)
-                for k in np.flatnonzero(one > p.size):
-                    for x in words[some[k]][i].encode("utf-8", "surrogatepass"):
-                        total[p.byte[x]] += got[k]
+        extra: dict[str, int] = {}
+        columns = p.columns([words[k] for k in some], n, extra)
+        full = p.table(probs[:, None], extra)
+        a = p.forward(columns, full, n)[:, :, 0]
+        b = np.zeros_like(a)
+        b[n] = 1
+        use = full[columns, 0]
+        for j in range(n, 0, -1):
+            for i, c in ends[j]:
+                b[i] += use[:, c] * b[j]
+        small = a[n] < TINY
+        left += [k for k, x in zip(some, small.tolist()) if x]
+        weight = np.where(small, 0, counts[some] / np.maximum(a[n], TINY))
+        for c, (i, j) in enumerate(pairs):
+            got = a[i] * use[:, c] * b[j] * weight
+            one = columns[:, c]
+            known = one < p.size
+            total += np.bincount(one[known], got[known], p.size)
+            for k in np.flatnonzero(one > p.size):
+                for x in words[some[k]][i].encode("utf-8", "surrogatepass"):
+                    total[p.byte[x]] += got[k]
+    known = np.log(probs[:, None]) if left else None
+    for k in left:
+        number, logs = p.log_pieces(words[k], known)
+        a, b = log_forward(logs)[:, 0], log_backward(logs)[:, 0]
+        for j, back in zip(*np.nonzero(number != p.size)):
+            got = counts[k] * np.exp(a[j - 1 - back] + logs[j, back, 0] + b[j] - a[-1])
+            if number[j, back] < p.size:
+                total[number[j, back]] += got
+            else:
+                for x in words[k][j - 1].encode("utf-8", "surrogatepass"):
+                    total[p.byte[x]] += got
     return total
 
 
@@ -154,6 +213,9 @@ class Model:
 def fit(docs: DataFrame, vocabulary: str, *, id_col="doc_id", text_col="text", lang_col="lang", train_docs: int = TRAIN_DOCS, rounds: int = ROUNDS) -> Model:
     """Fit on a bounded sample of the labelled rows of docs, about train_docs a language.
 
+    Rows without an id, a text or a language are left out; repeated rows count as often
+    as they are. An empty table gives a model that knows no language.
+
     The model is at most languages x vocabulary numbers, whatever the size of docs.
     """
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
