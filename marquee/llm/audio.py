@@ -6,10 +6,12 @@ zero, so no main data is used and the rest of the frame is ancillary data, which
 decoder skips: there the payload lies. The frame size is chosen per frame (full frames
 at 320 kbit/s, the last one as small as fits), so the stream has a variable bitrate.
 
-Reading. Tags are skipped and parsed, frame headers are resynchronised (a header counts
+Reading is for any MPEG-1, 2 or 2.5 stream of Layer I, II or III with stated bitrates
+(free format isn't read). Tags are skipped and parsed, frame headers are resynchronised (a header counts
 if its checksum holds, or if the next header or the end of the data is at the distance it
-states), checksums are verified, the variable-bitrate table is parsed, and the exact
-duration and the byte offset of every frame are stored.
+states), checksums are verified (of Layer III; Layers I and II guard a part whose length
+depends on their bit allocation, which isn't read), the variable-bitrate table (Xing, Info
+or VBRI) is parsed, and the exact duration and the byte offset of every frame are stored.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,11 +28,19 @@ from pyspark.sql.types import ArrayType, LongType
 
 from marquee.llm.common import table
 
-# Fixed values of the format: kbit/s by index (MPEG-1 Layer III), Hz by index, samples a frame.
+# Fixed values of the format: kbit/s by index for (MPEG-1?, layer), and Hz by index of MPEG-1; MPEG-2 has half, 2.5 a quarter of it.
 KBITS = (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320)
+LOW_KBITS = (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160)
+RATES = {
+    (True, 1): (0, 32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448),
+    (True, 2): (0, 32, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384),
+    (True, 3): KBITS,
+    (False, 1): (0, 32, 48, 56, 64, 80, 96, 112, 128, 144, 160, 176, 192, 224, 256),
+    (False, 2): LOW_KBITS,
+    (False, 3): LOW_KBITS,
+}
 HERTZ = (44100, 48000, 32000)
-SAMPLES = 1152
-SIDE = 17  # bytes of side information of a mono frame
+SIDE = 17  # bytes of side information of a mono frame of MPEG-1
 BLOCK = 64
 TABLE = 100  # entries of the seek table
 
@@ -54,14 +65,56 @@ def header(kbits: int) -> bytes:
     return bytes([0xFF, 0xFA, KBITS.index(kbits) << 4 | 1 << 2, 0xC0])
 
 
-def frame_bytes(head: bytes) -> int:
-    """Length that a header states; 0 if it isn't one of MPEG-1 Layer III."""
-    if len(head) < 4 or head[0] != 0xFF or head[1] & 0xFE != 0xFA:
-        return 0
-    rate, hz = head[2] >> 4, head[2] >> 2 & 3
-    if not 0 < rate < 15 or hz == 3:
-        return 0
-    return 144_000 * KBITS[rate] // HERTZ[hz] + (head[2] >> 1 & 1)
+class Frame(NamedTuple):
+    """What a header states: the frame's bytes, samples, Hz, kbit/s, layer, and bytes of side information (Layer III)."""
+
+    bytes: int
+    samples: int
+    hertz: int
+    kbits: int
+    layer: int
+    side: int
+
+
+@lru_cache(4096)
+def frame_of(head: bytes) -> Frame | None:
+    """The frame that four bytes are the header of, if they are one."""
+    if len(head) < 4 or head[0] != 0xFF or head[1] & 0xE0 != 0xE0:
+        return None
+    version, layer = head[1] >> 3 & 3, 4 - (head[1] >> 1 & 3)
+    rate, at = head[2] >> 4, head[2] >> 2 & 3
+    if version == 1 or layer == 4 or not 0 < rate < 15 or at == 3:
+        return None
+    first = version == 3
+    kbits, hertz, padded = RATES[first, layer][rate], HERTZ[at] >> {3: 0, 2: 1, 0: 2}[version], head[2] >> 1 & 1
+    samples = 384 if layer == 1 else 1152 if layer == 2 or first else 576
+    size = (12_000 * kbits // hertz + padded) * 4 if layer == 1 else samples * 125 * kbits // hertz + padded
+    mono = head[3] >> 6 == 3
+    side = 0 if layer < 3 else (17 if mono else 32) if first else (9 if mono else 17)
+    return Frame(size, samples, hertz, kbits, layer, side)
+
+
+def seek_table(media: bytes, at: int, frame: Frame, start: int) -> dict | None:
+    """The variable-bitrate table of an information frame, if the frame at `at` is one: frames, bytes, seek."""
+    end = at + frame.bytes
+    data = media[start + frame.side:end]
+    if data[:4] in (b"Xing", b"Info"):
+        found, flags, p = {}, int.from_bytes(data[4:8], "big"), 8
+        for bit, name in ((1, "frames"), (2, "bytes")):
+            if flags & bit:
+                found[name], p = int.from_bytes(data[p:p + 4], "big"), p + 4
+        if flags & 4:
+            found["seek"] = list(data[p:p + TABLE])
+        return found
+    data = media[at + 36:end]
+    if data[:4] != b"VBRI" or len(data) < 26:
+        return None
+    number = lambda p, n: int.from_bytes(data[p:p + n], "big")
+    entries, scale, width = number(18, 2), number(20, 2), number(22, 2)
+    seek = [0]
+    for k in range(entries):
+        seek.append(seek[-1] + scale * number(26 + k * width, width))
+    return {"bytes": number(10, 4), "frames": number(14, 4), "seek": seek[:-1]}
 
 
 FRAME = {k: 144_000 * k // 48_000 for k in KBITS[1:]}
@@ -128,47 +181,41 @@ def parse(media: bytes | None) -> dict:
     """
     media = media or b""
     tags, at = read_tags(media)
-    offsets, kbits, bad, skipped, body, xing, samples_at = [], [], 0, 0, [], None, {}
+    offsets, kbits, bad, skipped, body, table, samples_at = [], [], 0, 0, [], None, {}
     first = True
     end = len(media)
     while at + 4 <= end:
-        n = frame_bytes(media[at:at + 4])
-        good = guarded = False
-        if n and at + n <= end:
+        frame = frame_of(media[at:at + 4])
+        fits = frame is not None and at + frame.bytes <= end
+        good = checked = False
+        if fits:
             guarded = not media[at + 1] & 1
-            side = SIDE if media[at + 3] >> 6 == 3 else 32
             start = at + 4 + 2 * guarded
-            good = guarded and _crc(media[at + 2:at + 4] + media[start:start + side]) == media[at + 4:at + 6]
+            checked = guarded and frame.layer == 3
+            good = checked and _crc(media[at + 2:at + 4] + media[start:start + frame.side]) == media[at + 4:at + 6]
         # a header counts if its checksum holds, or if the next frame or the end is where it says
-        if not n or at + n > end or not good and at + n + 4 <= end and not frame_bytes(media[at + n:at + n + 4]):
-            after = media.find(b"\xff", at + 1)
-            skipped += (after if after >= 0 else end) - at
-            at = after if after >= 0 else end
+        after = at + frame.bytes if fits else 0
+        if not fits or not good and after + 4 <= end and not frame_of(media[after:after + 4]):
+            found = media.find(b"\xff", at + 1)
+            skipped += (found if found >= 0 else end) - at
+            at = found if found >= 0 else end
             continue
-        bad += guarded and not good
-        data = media[start + side:at + n]
-        if first and data[:4] in (b"Xing", b"Info"):
-            flags, p, xing = int.from_bytes(data[4:8], "big"), 8, {}
-            for bit, name in ((1, "frames"), (2, "bytes")):
-                if flags & bit:
-                    xing[name], p = int.from_bytes(data[p:p + 4], "big"), p + 4
-            if flags & 4:
-                xing["seek"] = data[p:p + TABLE]
-        else:
+        bad += checked and not good
+        table = seek_table(media, at, frame, start) if first else table
+        if not first or table is None:
             offsets.append(at)
-            kbits.append(KBITS[media[at + 2] >> 4])
-            hz = HERTZ[media[at + 2] >> 2 & 3]
-            samples_at[hz] = samples_at.get(hz, 0) + SAMPLES
-            body.append(data)
+            kbits.append(frame.kbits)
+            samples_at[frame.hertz] = samples_at.get(frame.hertz, 0) + frame.samples
+            body.append(media[start + frame.side:after])
         first = False
-        at += n
+        at = after
     skipped += end - at
     payload = b"".join(body)
     size = tags.get("payload", "")
     return {
         "payload": payload[:int(size)] if size.isdigit() else payload, "offsets": offsets, "bad": bad, "skipped": skipped,
         "micros": sum(n * 1_000_000 // hz for hz, n in samples_at.items()), "samples": sum(samples_at.values()), "kbits": kbits,
-        "frames": len(offsets), "table": xing, "table_ok": bool(xing) and xing.get("frames") == len(offsets),
+        "frames": len(offsets), "table": table or {}, "table_ok": bool(table) and table.get("frames") == len(offsets),
     }
 
 
@@ -192,11 +239,14 @@ def store_audio(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 def index_audio(df: DataFrame, *, media_col: str = "media") -> DataFrame:
     """df without its media, with what parse() finds: the exact duration, seek offsets and digests.
 
-    Works for any MPEG-1 Layer III stream. Columns: payload_bytes, payload_sha256,
-    tail_crc32, media_bytes, media_sha256, n_frames, duration_us, n_bad_crc, n_skipped,
-    table_ok, seek_offsets (one byte offset a frame), feature. df must not have these names.
+    Works for the streams that parse() reads; null and foreign bytes give 0 frames, and
+    repeated rows come out once each. Columns: payload_bytes, payload_sha256, tail_crc32,
+    media_bytes, media_sha256, n_frames, duration_us, n_bad_crc, n_skipped, table_ok,
+    seek_offsets (one byte offset a frame), feature. Columns of df with these names are
+    replaced. An empty table gives an empty one.
     """
-    keep = [c for c in df.columns if c != media_col]
+    added = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "n_frames", "duration_us", "n_bad_crc", "n_skipped", "table_ok", "seek_offsets", "feature")
+    keep = [c for c in df.columns if c != media_col and c not in added]
     schema = df.select(*keep).schema
     for name, kind in (("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_bytes", "long"),
                        ("media_sha256", "string"), ("n_frames", "long"), ("duration_us", "long"), ("n_bad_crc", "long"),
@@ -224,4 +274,4 @@ def index_audio(df: DataFrame, *, media_col: str = "media") -> DataFrame:
 def op4_media_columns(spark, sf_dir):
     return index_audio(store_audio(table(spark, sf_dir, "documents"))).select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature",
-        "n_frames", "duration_us", "n_bad_crc", "table_ok")
+        "n_frames", "duration_us", "n_bad_crc", "table_ok", "seek_offsets")

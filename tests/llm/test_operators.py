@@ -1,9 +1,11 @@
 """Each corpus operator against brute force, and on nulls, empty and very long texts, ties, repeats, empty tables and clashing columns."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -86,6 +88,55 @@ def test_langid_forward_sums_all_segmentations():
     assert np.allclose(langid.log_words(p, words, probs), np.log([total(w) for w in words]))
 
 
+def log_segmentations(p, word, probs):
+    """Log of the sum over all segmentations, in exact fractions; characters without a piece are spelled in bytes."""
+    at = [Fraction(1)]
+    for j in range(1, len(word) + 1):
+        total = sum((at[i] * Fraction(probs[p.number[word[i:j]]]) for i in range(j) if word[i:j] in p.number), Fraction(0))
+        if word[j - 1] not in p.number:
+            spelled = Fraction(1)
+            for x in word[j - 1].encode():
+                spelled *= Fraction(probs[p.byte[x]])
+            total += at[j - 1] * spelled
+        at.append(total)
+    return math.log(at[-1].numerator) - math.log(at[-1].denominator)
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-12])
+def test_langid_words_of_any_length_and_smallness(scale):
+    """Long runs, spelled characters and probabilities whose products vanish, against exact fractions."""
+    p = langid.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    probs = np.random.default_rng(3).random((p.size, 2)) / p.size * scale
+    words = [langid.START + w for w in ("the", "x" * 200, "therapeutic" * 9, "\U00010330\U00010331" * 16, "ab\u1234cd" * 3, "q" * 47, "q" * 48)]
+    got = langid.log_words(p, words, probs)
+    for w, x in zip(words, got):
+        assert x == pytest.approx([log_segmentations(p, w, probs[:, k]) for k in (0, 1)], rel=1e-9)
+
+
+def test_langid_expected_counts_by_perturbation(monkeypatch):
+    """A piece's expected uses are the derivative of the log probability by its log probability; plain and logarithmic sums agree."""
+    p = langid.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    probs = np.random.default_rng(4).random(p.size) / p.size
+    words, counts = [langid.START + w for w in ("there", "theatre", "\u1234ab", "anthem" * 3)], np.array([1.0, 2.0, 3.0, 0.5])
+    got = langid.expected(p, words, counts, probs)
+    for piece in ("the", langid.START + "the", "e", "re", "an"):
+        moved = np.repeat(probs[:, None], 2, axis=1)
+        moved[p.number[piece]] *= [1 + 1e-6, 1 - 1e-6]
+        logs = langid.log_words(p, words, moved)
+        assert got[p.number[piece]] == pytest.approx(float(counts @ (logs[:, 0] - logs[:, 1])) / 2e-6, rel=1e-4, abs=1e-6)
+    assert got[p.byte["\u1234".encode()[0]]] >= 3.0
+    monkeypatch.setattr(langid, "PLAIN", 0)
+    assert np.allclose(langid.expected(p, words, counts, probs), got)
+
+
+def test_langid_letters(spark, docs):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = langid.fit(docs, path, train_docs=50, rounds=1)
+    texts = ["\u00bd \u00b2 \u2460", "\u2163 12 _ !", "\u00aa", "x", "語" * 300, "1a"]
+    got = {r.doc_id: r for r in langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, path).collect()}
+    assert [got[k].lang_pred == "und" for k in range(6)] == [True, True, False, False, False, False] and got[0].score == got[1].score == 0
+
+
 def test_langid_odd(odd, empty, docs):
     path = public_tokenizers.path("piece_bpe_32k.model")
     model = langid.fit(docs, path, train_docs=50, rounds=1)
@@ -234,6 +285,37 @@ def test_audio_damage():
     assert audio.parse(None)["frames"] == 0 and audio.parse(b"not audio")["frames"] == 0
 
 
+@pytest.mark.parametrize("head, kbits, hertz, samples, size", [
+    ("fffb9064", 128, 44100, 1152, 417), ("fffb9264", 128, 44100, 1152, 418), ("fff3a0c4", 96, 22050, 576, 313), ("ffe398c4", 80, 8000, 576, 720),
+    ("fffdc000", 256, 44100, 1152, 835), ("fff58000", 64, 22050, 1152, 417), ("ffff4400", 128, 48000, 384, 128), ("fff77600", 112, 24000, 384, 228)])
+def test_audio_headers(head, kbits, hertz, samples, size):
+    """Headers of each version and layer, with the values that their standards give."""
+    found = audio.frame_of(bytes.fromhex(head))
+    assert (found.kbits, found.hertz, found.samples, found.bytes) == (kbits, hertz, samples, size)
+    stream = b"".join(bytes.fromhex(head) + bytes(size - 4) for _ in range(5))
+    got = audio.parse(b"junk" + stream)
+    assert got["offsets"] == [4 + size * k for k in range(5)] and got["skipped"] == 4 and got["micros"] == 5 * samples * 1_000_000 // hertz
+
+
+@pytest.mark.parametrize("head", ["fffb00c4", "fffbf0c4", "fffb9cc4", "ffeb90c4", "fff990c4", "fefb90c4", "ff"])
+def test_what_is_no_audio_header(head):
+    assert audio.frame_of(bytes.fromhex(head)) is None
+
+
+def test_audio_vbri_table():
+    head = bytes.fromhex("fffb9064")
+    table = b"VBRI" + bytes.fromhex("0001 0000 0064") + (417 * 4).to_bytes(4, "big") + (3).to_bytes(4, "big") + bytes.fromhex("0003 0001 0002 0001") + b"".join((417).to_bytes(2, "big") for _ in range(3))
+    stream = head + bytes(32) + table + bytes(417 - 36 - len(table)) + (head + bytes(413)) * 3
+    got = audio.parse(stream)
+    assert got["table"] == {"bytes": 1668, "frames": 3, "seek": [0, 417, 834]} and got["table_ok"] and got["offsets"] == [417, 834, 1251]
+
+
+def test_audio_index_with_clashing_names(spark):
+    frame = spark.createDataFrame([(1, None, "own"), (1, bytearray(b"no audio"), "own"), (None, bytearray(audio.encode(audio.pad(b"hi"))), "own")], "doc_id long, media binary, feature string")
+    got = audio.index_audio(frame).collect()
+    assert sorted(r.n_frames for r in got) == [0, 0, 1] and all(r.feature != "own" for r in got) and len(got[2].seek_offsets) == got[2].n_frames
+
+
 # -- embeddings
 
 def test_embeddings(spark):
