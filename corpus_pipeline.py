@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.llm import mixing, packing, repeats, simhash, toxicity
-from marquee.llm.common import settle, table
+from marquee.llm.common import settle, settle_alone, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: five-word shingles, similarity 0.8 or more."""
-    return simhash.one_of_each(docs, settle(simhash.near_duplicates(docs), "groups"))
+    return simhash.one_of_each(docs, settle_alone(spark, "groups", lambda: simhash.near_duplicates(docs)))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

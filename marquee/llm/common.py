@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -29,8 +31,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Where settled tables go at present, if not in the shared folder itself.
+_inner: ContextVar[str | None] = ContextVar("inner", default=None)
+
+
 def _settled(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_inner.get() or shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
@@ -50,6 +56,20 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def settle_alone(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What make returns, settled; all that it settled on the way is deleted then."""
+    folder = f"{_inner.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    outer = _inner.set(folder)
+    try:
+        made = make()
+    finally:
+        _inner.reset(outer)
+    try:
+        return settle(made, name)
+    finally:
+        _delete(spark, folder)
+
+
 def forest(n: int, pairs) -> np.ndarray:
     """For each of n nodes a smaller or equal one of its component, by union of (rows, columns) batches."""
     root = np.arange(n)

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from marquee.llm.common import settle, table
+from marquee.llm.common import settle, settle_alone, table
 
 SPAN = 200
 GRAM = 64
@@ -184,33 +184,34 @@ def read_texts(docs: DataFrame, id_col: str, text_col: str, span: int, gram: int
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def cut_regions(candidates: DataFrame, span: int, gram: int) -> DataFrame:
-    """(key, large, name, start, lead, region) of the repeated anchors that candidates (name, text, places) list."""
+def cut_regions(candidates: DataFrame, span: int, gram: int, large: bool) -> DataFrame:
+    """(key, name, start, lead, region) of the repeated anchors, large or not, that candidates (name, text, places) list."""
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
                 out = []
-                for name, text, places in zip(*(b.column(k).to_pylist() for k in range(3))):
-                    data = text.encode()
-                    large = {x["pos"]: x["large"] for x in places}
+                for name, text, positions in zip(*(b.column(k).to_pylist() for k in range(3))):
+                    data, wanted = text.encode(), set(positions)
                     for p, h, first, last in zip(*(x.tolist() for x in anchors(data, span, gram))):
-                        if p in large:
-                            out.append((np.uint64(h).astype(np.int64), large[p], name, first, p - first, data[first:last + span]))
+                        if p in wanted:
+                            out.append((np.uint64(h).astype(np.int64), name, first, p - first, data[first:last + span]))
                 if out:
                     cols = list(zip(*out))
-                    kinds = [pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
+                    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.binary()]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.array(cols[0], np.int64)), *(pa.array(c, k) for c, k in zip(cols[1:], kinds))],
-                        names=["key", "large", "name", "start", "lead", "region"])
+                        names=["key", "name", "start", "lead", "region"])
 
-    return candidates.select("name", "text", "places").mapInArrow(run, "key long, large boolean, name binary, start long, lead long, region binary")
+    positions = F.transform(F.filter("places", lambda x: x["large"] == large), lambda x: x["pos"])
+    wanted = candidates.select("name", "text", positions.alias("positions")).where(F.size("positions") > 0)
+    return wanted.mapInArrow(run, "key long, name binary, start long, lead long, region binary")
 
 
-def column_wise(regions: DataFrame, span: int, gram: int) -> DataFrame:
-    """(name, first, last) of repeated window starts of regions (key, name, start, lead, region); only those of one key are compared."""
-    parts = max(int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-regions.count() // REGIONS_A_PARTITION))
+def column_wise(regions: DataFrame, n: int, span: int, gram: int) -> DataFrame:
+    """(name, first, last) of repeated window starts of n regions (key, name, start, lead, region); only those of one key are compared."""
+    parts = max(int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // REGIONS_A_PARTITION))
 
     def run(batches):
         held = []
@@ -273,7 +274,8 @@ def halved(regions: DataFrame, span: int, gram: int) -> DataFrame:
             F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("low", "high", "lead", "region")])
         sizes = parts.groupBy("key").agg((F.count("*") > LARGEST).alias("large"))
         parts = settle(parts.join(sizes, "key"), "parts")
-        small = column_wise(parts.where("not large").select("key", F.col("part").alias("name"), F.lit(0).cast("long").alias("start"), "lead", "region"), span, gram)
+        fit = parts.where("not large").select("key", F.col("part").alias("name"), F.lit(0).cast("long").alias("start"), "lead", "region")
+        small = column_wise(fit, fit.count(), span, gram)
         # a part that occurs twice is repeated as a whole; it stays, once, as evidence against others
         whole = parts.where("n > 1").select(F.col("part").alias("name"), F.lit(0).cast("long").alias("first"), (F.length("region") - span).cast("long").alias("last"))
         now = live.where("parent is not null").join(small.unionAll(whole), F.col("part") == F.col("name")).select(
@@ -334,16 +336,16 @@ def find_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", span: int
         F.min(id_col).alias("rep"), (F.count("*") > 1).alias("copied"), F.first("hashes").alias("hashes"), F.first("positions").alias("positions")), "classes")
     each = classes.select("name", "rep", F.explode(F.arrays_zip("hashes", "positions")).alias("a")).select(
         "name", "rep", F.col("a.hashes").alias("hash"), F.col("a.positions").alias("pos"))
-    repeated = settle(each.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash", (F.col("n") > LARGEST).alias("large")), "anchors")
-    places = each.join(repeated, "hash").groupBy("name", "rep").agg(F.collect_list(F.struct("pos", "large")).alias("places"))
+    repeated = settle(each.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash", "n", (F.col("n") > LARGEST).alias("large")), "anchors")
+    places = each.join(repeated.drop("n"), "hash").groupBy("name", "rep").agg(F.collect_list(F.struct("pos", "large")).alias("places"))
     # one row of each text that has places: the rows of its name and smallest id, of which there is more than one only in repeated rows
     rows = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"), text_name(text_col).alias("name"))
     met = rows.alias("r").join(places.alias("p"), (F.col("r.name") == F.col("p.name")) & F.col("r.rep").eqNullSafe(F.col("p.rep")))
     candidates = settle(met.select("p.name", "r.text", "p.places").dropDuplicates(["name"]), "candidates")
-    regions = settle(cut_regions(candidates, span, gram), "regions")
-    found = column_wise(regions.where("not large"), span, gram)
-    if not repeated.where("large").isEmpty():
-        found = found.unionAll(halved(regions.where("large"), span, gram))
+    few, many = repeated.agg(F.sum(F.when(~F.col("large"), F.col("n"))), F.count(F.when(F.col("large"), 1))).first()
+    found = column_wise(cut_regions(candidates, span, gram, False), few or 0, span, gram)
+    if many:
+        found = found.unionAll(halved(settle(cut_regions(candidates, span, gram, True), "regions"), span, gram))
     found = found.groupBy("name").agg(F.collect_list(F.struct("first", "last")).alias("found"))
     trimmed = trim(candidates.join(found, "name"), span, as_text)
     cuts = classes.select("name", "copied").join(trimmed, "name", "left").where("copied or n_removed > 0").select(
@@ -377,7 +379,7 @@ def without_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", length
     and its row stays, as do null and repeated ids and repeated rows. Null texts stay
     null. No column name clashes. An empty table gives an empty one.
     """
-    _, cuts = find_repeats(docs, id_col=id_col, text_col=text_col, as_text=True)
+    cuts = settle_alone(docs.sparkSession, "cuts", lambda: find_repeats(docs, id_col=id_col, text_col=text_col, as_text=True)[1])
     packed = docs.select(F.struct(*docs.columns).alias("row"), text_name(text_col).alias("name"))
     out = packed.join(cuts.select("name", F.coalesce("kept", F.lit("")).alias("kept"), F.lit(True).alias("cut")), "name", "left")
     columns = []

@@ -272,7 +272,7 @@ def simhash_groups(docs: DataFrame, *, id_col="doc_id", text_col="text", words:
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, *, id_col="doc_id", text_col="text", words: int = 5) -> DataFrame:
     """(node, group, shingles) of wanted (node, group, k1, k2), from the text of docs that has the set named k1, k2: distinct hashes."""
-    rows = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(wanted, "node").distinct()
+    rows = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(wanted, "node")
 
     def run(batches):
         for whole in batches:
@@ -287,7 +287,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, *, id_col="doc_id", text_co
                 at_rows = pa.array(kept, pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column(0).take(at_rows), b.column(1).take(at_rows), pa.array(sets, pa.list_(pa.int64()))], names=["node", "group", "shingles"])
 
-    return rows.select("node", "group", "text", "k1", "k2").mapInArrow(run, "node long, group long, shingles array<long>")
+    return rows.select("node", "group", "text", "k1", "k2").mapInArrow(run, "node long, group long, shingles array<long>").dropDuplicates(["node"])
 
 
 def common_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -338,11 +338,11 @@ def compare_sets(members: DataFrame, similarity: float, *, tile_sets: int = 256,
     hubs = members.where("group = node").select("group", F.col("shingles").alias("hub"))
     shared = F.size(F.array_intersect("shingles", "hub"))
     near = shared >= similarity * (F.size("shingles") + F.size("hub") - shared)
-    held = settle(members.join(hubs, "group").select("group", "node", "shingles", near.alias("near")), "held")
+    held = settle(members.join(hubs, "group").select("group", "node", F.size("shingles").alias("n"), near.alias("near")), "held")
     # a group whose nodes are all near its hub is done
     tiles = held.groupBy("group").agg(
-        F.ceil(F.greatest(F.count("*") / tile_sets, F.sum(F.size("shingles")) / tile_shingles)).cast("long").alias("tiles"), F.min("near").alias("done")).where("not done").drop("done")
-    dealt = held.join(tiles, "group").withColumn("tile", F.pmod(F.xxhash64("node"), "tiles") + F.when(F.col("near"), F.col("tiles")).otherwise(0))
+        F.ceil(F.greatest(F.count("*") / tile_sets, F.sum("n") / tile_shingles)).cast("long").alias("tiles"), F.min("near").alias("done")).where("not done").drop("done")
+    dealt = members.join(held.join(tiles, "group"), ["group", "node"]).withColumn("tile", F.pmod(F.xxhash64("node"), "tiles") + F.when(F.col("near"), F.col("tiles")).otherwise(0))
     packed = settle(dealt.groupBy("group", "tiles", "tile").agg(F.collect_list(F.struct("node", "shingles")).alias("x")), "tiles")
     left = packed.where("tile < tiles").withColumn("other", F.explode(F.sequence("tile", F.col("tiles") * 2 - 1)))
     right = packed.select("group", F.col("tile").alias("other"), F.col("x").alias("y"))
@@ -371,7 +371,7 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", words:
     classes = settle(prints.where(F.col(id_col).isNotNull()).groupBy("k1", "k2", *names).agg(F.min(F.col(id_col).cast("long")).alias("node")), "classes")
     groups = settle(link_components(classes.select("node", *names), threshold=most, plan=plan, reach=2, compared=compared), "candidates")
     shared = groups.groupBy("component").count().where("count > 1").select("component")
-    wanted = groups.join(shared, "component").join(classes, "node").select("node", F.col("component").alias("group"), "k1", "k2")
+    wanted = settle(groups.join(shared, "component").join(classes, "node").select("node", F.col("component").alias("group"), "k1", "k2"), "wanted")
     links = components(compare_sets(settle(shingle_sets(docs, wanted, id_col=id_col, text_col=text_col, words=words), "sets"), similarity))
     named = classes.select("k1", "k2", "node").join(links, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component_id"))
     return prints.select(id_col, "k1", "k2").join(named, ["k1", "k2"], "left").select(id_col, "component_id")

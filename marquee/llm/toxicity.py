@@ -28,7 +28,7 @@ FEATURES = 20_000  # chosen features of a category
 EVIDENCE = 4.0  # least z-score of a chosen feature
 FOLDS = 3
 RUN = re.compile(r"[^\W\d_]+")
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 200_000
 
 
 def features(chunk: str) -> set[int]:
