@@ -258,7 +258,7 @@ def halves(parts: DataFrame, span: int) -> DataFrame:
 
 
 def halved(regions: DataFrame, span: int, gram: int) -> DataFrame:
-    """(name, first, last) like column_wise's, of anchors whose regions are too many for a collection.
+    """(name, found): column_wise's runs, as an array for each region, of anchors whose regions are too many for a collection.
 
     Each round takes the collections that have become small enough and halves the rest;
     there are at most as many rounds as halvings of the windows an anchor can have.
@@ -288,8 +288,9 @@ def halved(regions: DataFrame, span: int, gram: int) -> DataFrame:
         alone = live.join(rest.where("n = 1").select("key", "part"), ["key", "part"], "left_semi")
         evidence = rest.where("n > 1").select(*[F.lit(None).cast("binary").alias(c) if c == "parent" else F.lit(0).cast("long").alias(c) if c == "shift" else F.col(c) for c in live.columns])
         live = halves(alone.unionByName(evidence), span)
-    return named.select("name", "start", F.col("part").alias("parent")).join(found, "parent").select(
-        "name", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last"))
+    found = found.groupBy("parent").agg(F.collect_list(F.struct("first", "last")).alias("found"))
+    moved = F.transform("found", lambda x: F.struct((F.col("start") + x["first"]).alias("first"), (F.col("start") + x["last"]).alias("last")))
+    return named.select("name", "start", F.col("part").alias("parent")).join(found, "parent").select("name", moved.alias("found"))
 
 
 def trim(candidates: DataFrame, span: int, as_text: bool) -> DataFrame:
@@ -338,15 +339,15 @@ def find_repeats(docs: DataFrame, *, id_col="doc_id", text_col="text", span: int
         "name", "rep", F.col("a.hashes").alias("hash"), F.col("a.positions").alias("pos"))
     repeated = settle(each.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash", "n", (F.col("n") > LARGEST).alias("large")), "anchors")
     places = each.join(repeated.drop("n"), "hash").groupBy("name", "rep").agg(F.collect_list(F.struct("pos", "large")).alias("places"))
-    # one row of each text that has places: the rows of its name and smallest id, of which there is more than one only in repeated rows
-    rows = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"), text_name(text_col).alias("name"))
-    met = rows.alias("r").join(places.alias("p"), (F.col("r.name") == F.col("p.name")) & F.col("r.rep").eqNullSafe(F.col("p.rep")))
-    candidates = settle(met.select("p.name", "r.text", "p.places").dropDuplicates(["name"]), "candidates")
+    # one row of each text that has places: that of its name and smallest id, of which there is more than one only in repeated rows
+    key = lambda name, rep: F.concat(F.hex(name), F.lit("/"), F.coalesce(F.col(rep).cast("string"), F.lit("")))
+    rows = docs.select(key(text_name(text_col), id_col).alias("key"), F.col(text_col).alias("text"))
+    candidates = settle(rows.join(places.select(key("name", "rep").alias("key"), "name", "places"), "key").dropDuplicates(["key"]).drop("key"), "candidates")
     few, many = repeated.agg(F.sum(F.when(~F.col("large"), F.col("n"))), F.count(F.when(F.col("large"), 1))).first()
-    found = column_wise(cut_regions(candidates, span, gram, False), few or 0, span, gram)
+    found = column_wise(cut_regions(candidates, span, gram, False), few or 0, span, gram).select("name", F.array(F.struct("first", "last")).alias("found"))
     if many:
         found = found.unionAll(halved(settle(cut_regions(candidates, span, gram, True), "regions"), span, gram))
-    found = found.groupBy("name").agg(F.collect_list(F.struct("first", "last")).alias("found"))
+    found = found.groupBy("name").agg(F.flatten(F.collect_list("found")).alias("found"))
     trimmed = trim(candidates.join(found, "name"), span, as_text)
     cuts = classes.select("name", "copied").join(trimmed, "name", "left").where("copied or n_removed > 0").select(
         "name", "copied", *[F.when(~F.col("copied"), F.col(c)).alias(c) for c in ("kept", "n_removed", "spans")])

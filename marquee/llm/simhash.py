@@ -82,11 +82,11 @@ def set_name(hashes: np.ndarray) -> list[int]:
 def fingerprints(docs: DataFrame, *, id_col="doc_id", text_col="text", words: int = 3, seeds: int = 1, distinct: bool = False) -> DataFrame:
     """(id_col, f0, f1, ...): a 64-bit fingerprint a seed, as longs. One narrow pass over whole texts.
 
-    distinct: each shingle counts once, as in the similarity of sets, and k1, k2 name the
-    set. Null and empty texts, and texts without words, have fingerprint zero.
+    distinct: each shingle counts once, as in the similarity of sets; k1, k2 name the set,
+    n is its size. Null and empty texts, and texts without words, have fingerprint zero.
     """
     schema = docs.select(id_col).schema
-    for name in [*(f"f{s}" for s in range(seeds)), *(("k1", "k2") if distinct else ())]:
+    for name in [*(f"f{s}" for s in range(seeds)), *(("k1", "k2", "n") if distinct else ())]:
         schema = schema.add(name, "long")
 
     def run(batches):
@@ -96,11 +96,11 @@ def fingerprints(docs: DataFrame, *, id_col="doc_id", text_col="text", words: in
                 h = shingle_hashes(t, words)
                 if distinct:
                     h = np.unique(h)
-                    names.append(set_name(h))
+                    names.append([*set_name(h), len(h)])
                 out.append(fold(remixed(h, seeds)))
             cols = np.array(out, np.uint64).reshape(len(out), seeds).view(np.int64)
             if distinct:
-                cols = np.hstack([cols, np.array(names, np.int64).reshape(-1, 2)])
+                cols = np.hstack([cols, np.array(names, np.int64).reshape(-1, 3)])
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c) for c in cols.T)], names=schema.names)
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
@@ -174,14 +174,6 @@ def block_values(f: list[np.ndarray], first: int, width: int) -> np.ndarray:
     return out & np.uint64((1 << width) - 1)
 
 
-def block_column(names: list[str], first: int, width: int) -> Column:
-    w, shift = divmod(first, 64)
-    out = F.shiftrightunsigned(names[w], shift)
-    if shift + width > 64:
-        out = out.bitwiseOR(F.shiftleft(names[w + 1], 64 - shift))
-    return out.bitwiseAND(F.lit((1 << width) - 1))
-
-
 def anchored(prints: DataFrame, plan: list[tuple[int, int]], carried: list[str], *, homes: bool) -> DataFrame:
     """(anchor, carried...) of each fingerprint at its home anchors, or at all anchors in reach."""
     words = 1 + max((first + width - 1) // 64 for first, width in plan)
@@ -233,19 +225,17 @@ def near_pairs(prints: DataFrame, *, threshold: int = 3, plan: list[tuple[int, i
 def link_components(classes: DataFrame, *, threshold: int = 3, plan: list[tuple[int, int]] | None = None, reach: int = 1, compared: int = 1) -> DataFrame:
     """(node, component) of every node of classes (node, f0, ...; distinct) under the links of near_pairs.
 
-    First each node is held against the smallest node with the same value of a block,
-    which joins most of a large group of near copies by a link a node. Then only links
-    between different groups are sought at the anchors: those within one would change
-    nothing, and there may be as many as the square of its size.
+    First each node is held against the smallest node of its home anchors, which joins
+    most of a large group of near copies by a link a node and block. Then only links
+    between different groups are sought at all anchors in reach: those within one would
+    change nothing, and there may be as many as the square of its size.
     """
     plan = plan or blocks(compared, threshold)
     names = [c for c in classes.columns if re.fullmatch(r"f\d+", c)]
     near = names[:compared]
-    values = F.array(*[block_column(names, first, width) for first, width in plan])
-    rows = classes.select("node", *near, F.posexplode(values).alias("block", "value"))
-    hubs = rows.groupBy("block", "value").agg(F.min(F.struct("node", *near)).alias("hub"), F.max("node").alias("last")).where("hub.node != last").drop("last")
-    spokes = rows.select("block", "value", F.struct("node", *near).alias("spoke")).join(hubs, ["block", "value"]).where("spoke.node != hub.node")
-    spokes = spokes.where(hamming("spoke", "hub", near) <= threshold)
+    rows = anchored(classes, plan, ["node", *near], homes=True).select("anchor", F.struct("node", *near).alias("spoke"))
+    hubs = rows.groupBy("anchor").agg(F.min("spoke").alias("hub"), F.max("spoke.node").alias("last")).where("hub.node != last").drop("last")
+    spokes = rows.join(hubs, "anchor").where((F.col("spoke.node") != F.col("hub.node")) & (hamming("spoke", "hub", near) <= threshold))
     first = components(spokes.select(F.col("spoke.node").alias("src"), F.col("hub.node").alias("dst")))
     grouped = settle(classes.join(first, "node", "left").select("node", F.coalesce("component", "node").alias("group"), *names), "groups")
     pairs = near_pairs(grouped.select(F.col("group").alias("node"), *names), threshold=threshold, plan=plan, reach=reach, compared=compared)
@@ -271,23 +261,28 @@ def simhash_groups(docs: DataFrame, *, id_col="doc_id", text_col="text", words:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, *, id_col="doc_id", text_col="text", words: int = 5) -> DataFrame:
-    """(node, group, shingles) of wanted (node, group, k1, k2), from the text of docs that has the set named k1, k2: distinct hashes."""
+    """(group, tiles, tile, x) of wanted (node, group, tiles, tile, k1, k2): x is the tile's nodes with their sets of distinct hashes.
+
+    A node's set is of the text of docs that has the set named k1, k2; repeated rows give it once.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(wanted, "node")
+    kept = ["node", "group", "tiles", "tile"]
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
-                kept, sets = [], []
-                for k, (t, *name) in enumerate(zip(*(b.column(c).to_pylist() for c in (2, 3, 4)))):
+                found, sets = [], []
+                for k, (t, *name) in enumerate(zip(*(b.column(c).to_pylist() for c in (4, 5, 6)))):
                     h = np.unique(shingle_hashes(t, words))
                     if set_name(h) == name:
-                        kept.append(k)
+                        found.append(k)
                         sets.append(h.view(np.int64))
-                at_rows = pa.array(kept, pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0).take(at_rows), b.column(1).take(at_rows), pa.array(sets, pa.list_(pa.int64()))], names=["node", "group", "shingles"])
+                picked = pa.array(found, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(b.column(k).take(picked) for k in range(4)), pa.array(sets, pa.list_(pa.int64()))], names=[*kept, "shingles"])
 
-    return rows.select("node", "group", "text", "k1", "k2").mapInArrow(run, "node long, group long, shingles array<long>").dropDuplicates(["node"])
+    sets = rows.select(*kept, "text", "k1", "k2").mapInArrow(run, "node long, group long, tiles long, tile long, shingles array<long>")
+    return sets.groupBy("group", "tiles", "tile").agg(F.collect_set(F.struct("node", "shingles")).alias("x"))
 
 
 def common_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -328,29 +323,29 @@ def similar_sets(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.select("x", "y").mapInArrow(run, "src long, dst long")
 
 
-def compare_sets(members: DataFrame, similarity: float, *, tile_sets: int = 256, tile_shingles: int = 65_536) -> DataFrame:
-    """(src, dst): links that join whatever pairs of similarity or more join, within each group of (group, node, shingles).
+def compare_sets(tiles: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst): links that join whatever pairs of similarity or more join, within each group of (group, tiles, tile, x).
 
-    A group's name is one of its nodes, its hub. Nodes similar to the hub are linked to
-    it. The others are dealt into tiles of bounded size, and tiles meet each other and
-    those of the hub's; a pair of tiles gives a spanning forest, not pairs.
+    A pair of tiles gives a spanning forest, not pairs. A group of one tile meets itself.
+    In a larger one nodes are held against the group's hub, the node it is named by, first:
+    those similar to it are linked to it and don't meet each other.
     """
-    hubs = members.where("group = node").select("group", F.col("shingles").alias("hub"))
-    shared = F.size(F.array_intersect("shingles", "hub"))
-    near = shared >= similarity * (F.size("shingles") + F.size("hub") - shared)
-    held = settle(members.join(hubs, "group").select("group", "node", F.size("shingles").alias("n"), near.alias("near")), "held")
-    # a group whose nodes are all near its hub is done
-    tiles = held.groupBy("group").agg(
-        F.ceil(F.greatest(F.count("*") / tile_sets, F.sum("n") / tile_shingles)).cast("long").alias("tiles"), F.min("near").alias("done")).where("not done").drop("done")
-    dealt = members.join(held.join(tiles, "group"), ["group", "node"]).withColumn("tile", F.pmod(F.xxhash64("node"), "tiles") + F.when(F.col("near"), F.col("tiles")).otherwise(0))
-    packed = settle(dealt.groupBy("group", "tiles", "tile").agg(F.collect_list(F.struct("node", "shingles")).alias("x")), "tiles")
-    left = packed.where("tile < tiles").withColumn("other", F.explode(F.sequence("tile", F.col("tiles") * 2 - 1)))
-    right = packed.select("group", F.col("tile").alias("other"), F.col("x").alias("y"))
+    alone = tiles.where("tiles = 1").select("x", F.col("x").alias("y"))
+    members = tiles.where("tiles > 1").select("group", "tiles", "tile", F.explode("x").alias("m"))
+    hubs = members.where("m.node = group").select("group", F.col("m.shingles").alias("hub"))
+    shared = F.size(F.array_intersect("m.shingles", "hub"))
+    near = shared >= similarity * (F.size("m.shingles") + F.size("hub") - shared)
+    held = members.join(hubs, "group").withColumn("near", near)
+    dealt = settle(held.groupBy("group", "tiles", (F.col("tile") + F.when(F.col("near"), F.col("tiles")).otherwise(0)).alias("tile")).agg(F.collect_list("m").alias("x")), "tiles")
+    left = dealt.where("tile < tiles").withColumn("other", F.explode(F.sequence("tile", F.col("tiles") * 2 - 1)))
+    right = dealt.select("group", F.col("tile").alias("other"), F.col("x").alias("y"))
     met = left.join(right, ["group", "other"]).repartition("group", "tile", "other")
-    return held.where("near and node != group").select(F.col("group").alias("src"), F.col("node").alias("dst")).unionAll(similar_sets(met, similarity))
+    stars = dealt.where("tile >= tiles").select(F.col("group").alias("src"), F.explode("x.node").alias("dst"))
+    return similar_sets(alone, similarity).unionAll(similar_sets(met, similarity)).unionAll(stars)
 
 
-def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", words: int = 5, similarity: float = 0.8, recall: float = 0.99) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", words: int = 5, similarity: float = 0.8, recall: float = 0.99,
+                    tile_sets: int = 256, tile_shingles: int = 65_536) -> DataFrame:
     """(id_col, component_id): documents grouped by links of shingle-set resemblance `similarity` or more.
 
     Candidates are fingerprints that meet at an anchor; a pair of texts of exactly the
@@ -368,11 +363,15 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", words:
     names = [f"f{s}" for s in range(max(seeds, compared))]
     prints = settle(fingerprints(docs, id_col=id_col, text_col=text_col, words=words, seeds=len(names), distinct=True), "fingerprints")
     # one node a set, named by its smallest id
-    classes = settle(prints.where(F.col(id_col).isNotNull()).groupBy("k1", "k2", *names).agg(F.min(F.col(id_col).cast("long")).alias("node")), "classes")
+    classes = settle(prints.where(F.col(id_col).isNotNull()).groupBy("k1", "k2", "n", *names).agg(F.min(F.col(id_col).cast("long")).alias("node")), "classes")
     groups = settle(link_components(classes.select("node", *names), threshold=most, plan=plan, reach=2, compared=compared), "candidates")
-    shared = groups.groupBy("component").count().where("count > 1").select("component")
-    wanted = settle(groups.join(shared, "component").join(classes, "node").select("node", F.col("component").alias("group"), "k1", "k2"), "wanted")
-    links = components(compare_sets(settle(shingle_sets(docs, wanted, id_col=id_col, text_col=text_col, words=words), "sets"), similarity))
+    # tiles of bounded numbers of sets and of shingles
+    sizes = groups.join(classes.select("node", "n"), "node").groupBy("component").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles")).where("sets > 1")
+    sizes = sizes.select("component", F.ceil(F.greatest(F.col("sets") / tile_sets, F.col("shingles") / tile_shingles, F.lit(1.0))).cast("long").alias("tiles"))
+    wanted = groups.join(sizes, "component").join(classes, "node").select(
+        "node", F.col("component").alias("group"), "tiles", F.pmod(F.xxhash64("node"), F.col("tiles")).alias("tile"), "k1", "k2")
+    tiles = settle(shingle_sets(docs, settle(wanted, "wanted"), id_col=id_col, text_col=text_col, words=words), "sets")
+    links = components(compare_sets(tiles, similarity))
     named = classes.select("k1", "k2", "node").join(links, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component_id"))
     return prints.select(id_col, "k1", "k2").join(named, ["k1", "k2"], "left").select(id_col, "component_id")
 
@@ -383,7 +382,7 @@ def one_of_each(docs: DataFrame, groups: DataFrame, *, id_col="doc_id") -> DataF
     Rows of one id go or stay together, so of a repeated smallest id all rows stay. Ids
     that groups doesn't name stay. An empty table gives an empty one.
     """
-    extra = groups.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
+    extra = groups.where(F.col(id_col) != F.col("component_id")).select(id_col)
     return docs.join(extra, id_col, "left_anti").select(*docs.columns)
 
 

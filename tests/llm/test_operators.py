@@ -542,8 +542,10 @@ def test_compared_sets_are_joined_as_by_all_pairs(spark):
         for _ in range(40):
             base = set(rng.sample(sorted(base), len(base) - rng.randrange(6))) | set(rng.sample(range(10_000), rng.randrange(6)))
             sets.append(base)
-    frame = spark.createDataFrame([(40 * (i // 40), i, sorted(x)) for i, x in enumerate(sets)], "group long, node long, shingles array<long>")
-    edges = {tuple(r) for r in simhash.compare_sets(frame, 0.8, tile_sets=9).collect()}
+    rows = [(40 * (i // 40), tiles, i % tiles, i, sorted(x)) for i, x in enumerate(sets) for tiles in [1 if i < 40 else 5]]
+    frame = spark.createDataFrame(rows, "group long, tiles long, tile long, node long, shingles array<long>")
+    frame = frame.groupBy("group", "tiles", "tile").agg(F.collect_list(F.struct("node", "shingles")).alias("x"))
+    edges = {tuple(r) for r in simhash.compare_sets(frame, 0.8).collect()}
     like = lambda i, j: i // 40 == j // 40 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
     assert components_of(range(160), lambda i, j: (i, j) in edges or (j, i) in edges) == components_of(range(160), like)
     x = [np.array(sorted(s)) for s in sets]
