@@ -11,8 +11,10 @@ from marquee.functions.text import any_of, quoted_pattern
 FEATURING = r"(?i)\bfeat\.?\b|\bft\.?\b|\bwith\b"
 JUNK_TITLE = r"(?i)^https?://?\s*$|^(open|my)?test$"
 TYPE_WORDS = (
-    ("音樂祭", "音樂祭"), ("音樂節", "音樂祭"), ("Music Festival", "音樂祭"), ("漫才", "喜劇"), ("脫口秀", "喜劇"), ("相聲", "喜劇"),
-    ("單口喜劇", "喜劇"), ("stand-up", "喜劇"), ("comedy", "喜劇"), ("音樂劇", "音樂劇"), ("拼盤", "拼盤"), ("電音派對", "拼盤"),
+    ("音樂祭", "音樂祭"), ("音樂節", "音樂祭"), ("Music Festival", "音樂祭"), ("爛泥發芽", "音樂祭"), ("RUSH BALL", "音樂祭"), ("FNC BAND KINGDOM", "音樂祭"),
+    ("ASIA METAL FESTIVAL", "音樂祭"), ("火球祭", "音樂祭"), ("秋夜爵醒祭", "音樂祭"), ("FRIENDS MEETING", "音樂祭"), ("漫才", "喜劇"), ("脫口秀", "喜劇"),
+    ("相聲", "喜劇"), ("單口喜劇", "喜劇"), ("stand-up", "喜劇"), ("comedy", "喜劇"), ("des bishop", "喜劇"), ("音樂劇", "音樂劇"), ("拼盤", "拼盤"),
+    ("電音派對", "拼盤"), ("重型宇宙派對", "拼盤"), ("Punk Strike", "拼盤"), ("PHANTASMAGORIA", "拼盤"), ("西部地區懸賞公告", "拼盤"), ("河馬玖狂", "拼盤"), ("交個朋友吧", "拼盤"),
 )
 LOTTERY_TITLE = "登記抽選|抽選登記"
 GENERAL_SALE = "一般(?:票券)?(?:開售|發售|開賣|販售|售票)"
@@ -31,8 +33,11 @@ def type_tag(title: Column, headliners: Column, words=TYPE_WORDS) -> Column:
     return F.coalesce(first_word(title, words), F.when(shared, "拼盤").otherwise("專場"))
 
 
-def exclusion_reason(title: Column, url: Column, account: Column, venue: Column, *, noise=(), classical=(), greet=(), demo=(), accounts=(), urls=(), outside: str | None = None, escape: str | None = None) -> Column:
-    """The first reason, in fixed order, to leave a listing out; null to keep it."""
+def exclusion_reason(title: Column, url: Column, account: Column, venue: Column, *, noise=(), classical=(), greet=(), demo: str | None = None, accounts=(), urls=(), outside: str | None = None, escape: str | None = None) -> Column:
+    """The first reason, in fixed order, to leave a listing out; null to keep it.
+
+    Words are literal; demo (a platform's own pages) is a pattern of URLs, outside one of venues.
+    """
     title = F.coalesce(title, F.lit(""))
     plain = any_of(title, classical) & (~title.contains(escape) if escape else F.lit(True))
     checks = (
@@ -40,7 +45,7 @@ def exclusion_reason(title: Column, url: Column, account: Column, venue: Column,
         ("non_music_noise", F.lower(title).rlike(quoted_pattern([w.lower() for w in noise])) if noise else F.lit(False)),
         ("classical", plain),
         ("meet_and_greet", any_of(F.lower(title), [w.lower() for w in greet])),
-        ("platform_demo_content", any_of(title, demo)),
+        ("platform_demo_content", F.coalesce(url.rlike(demo), F.lit(False)) if demo else F.lit(False)),
         ("excluded_account", account.isin(*accounts) if accounts else F.lit(False)),
         ("manual_exclude", url.isin(*urls) if urls else F.lit(False)),
         ("outside_taiwan", F.coalesce(venue.rlike(outside), F.lit(False)) if outside else F.lit(False)),
@@ -71,8 +76,9 @@ def is_lottery(title: Column, text: Column, hedge: str, window: int = 150, lookb
     it; a hedge within `window` characters behind the general sale undoes it.
     """
     text = F.coalesce(text, F.lit(""))
-    places = F.filter(F.sequence(F.lit(1), F.greatest(F.char_length(text), F.lit(1))), lambda i: F.substring(text, i, F.lit(4)).rlike("^(?:" + LOTTERY_TITLE + ")"))
-    real = F.exists(places, lambda i: ~F.substring(text, F.greatest(i - lookback, F.lit(1)), F.least(i - 1, F.lit(lookback))).rlike(beside))
+    # what stands before each lottery word, from a text with room before its start
+    before = F.regexp_extract_all(F.concat(F.lit(" " * lookback), text), F.lit(f"(?s)(?=(.{{{lookback}}})(?:{LOTTERY_TITLE}))"), F.lit(1))
+    real = F.exists(before, lambda x: ~x.rlike(beside))
     sale = F.regexp_instr(text, F.lit(GENERAL_SALE))
     hedged = (sale > 0) & F.substring(text, sale, F.lit(window)).rlike(hedge)
     return F.coalesce(title, F.lit("")).rlike(LOTTERY_TITLE) | (real & (sale > 0) & ~hedged)

@@ -116,8 +116,8 @@ def group_label(date: Column, today: Column) -> Column:
 
 
 def append_time(text: Column, other: Column) -> Column:
-    """text as it is if it has a time; else with the time found in other (24 hours, or am/pm) behind it."""
-    half = r"(?i)(\d{1,2}):(\d{2})\s*(am|pm)"
+    """text as it is if it has a time; else with the time found in other (24 hours, or am/pm with or without minutes) behind it."""
+    half = r"(?i)(\d{1,2})(?::(\d{2}))?\s*(am|pm)"
     hour = F.nullif(F.regexp_extract(other, half, 1), F.lit("")).cast("int") % 12 + F.when(F.lower(F.regexp_extract(other, half, 3)) == "pm", 12).otherwise(0)
-    found = F.when(other.rlike(half), F.concat_ws(":", F.lpad(hour.cast("string"), 2, "0"), F.regexp_extract(other, half, 2))).otherwise(F.nullif(_time(other), F.lit("")))
+    found = F.when(other.rlike(half), F.concat_ws(":", F.lpad(hour.cast("string"), 2, "0"), F.coalesce(F.nullif(F.regexp_extract(other, half, 2), F.lit("")), F.lit("00")))).otherwise(F.nullif(_time(other), F.lit("")))
     return F.when(text.rlike(r"\d{1,2}[:：]\d{2}") | found.isNull(), text).otherwise(F.concat_ws(" ", text, found))

@@ -107,19 +107,24 @@ def on_sale_at(c: Column) -> Column:
 
 def _first_sale(plain: Column) -> Column:
     label_value = SALE_LABEL[4:]
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.char_length(plain), F.lit(1))), lambda i: F.substring(plain, i, F.lit(4)).rlike(f"^(?:{SALE_WORD})"))
+    # every place where a label word starts, with the two characters before it and what follows
+    starts = F.regexp_extract_all(F.concat(F.lit("  "), plain), F.lit(f"(?s)(?=(..(?:{SALE_WORD}).{{0,158}}))"), F.lit(1))
 
-    def read(i):
-        return let(F.substring(plain, i, F.lit(160)), lambda here: let(F.regexp_extract(here, "(?U)^" + label_value, 1), lambda value: dated(i, here, value)))
+    def read(x):
+        return let(F.substring(x, 3, 160), lambda here: let(F.regexp_extract(here, "(?U)^" + label_value, 1), lambda value: dated(x, here, value)))
 
-    def dated(i, here, value):
-        before = F.when(i > 2, F.substring(plain, i - 2, F.lit(2))).otherwise(F.substring(plain, F.lit(1), i - 1))
-        label = F.concat(before, F.regexp_extract(here, "(?U)^(" + label_value.replace("([^\\n]{1,60})", ")(?=[^\\n])"), 1))
+    def dated(x, here, value):
+        label = F.concat(F.substring(x, 1, 2), F.regexp_extract(here, "(?U)^(" + label_value.replace("([^\\n]{1,60})", ")(?=[^\\n])"), 1))
         return F.when((value != "") & ~label.rlike(SALE_END) & ~value.rlike(SALE_END), sale_moment(value))
 
     return F.get(F.filter(F.transform(starts, read), lambda x: x.isNotNull()), F.lit(0))
 
 
+def source_names(sources: Column) -> Column:
+    """The distinct names of an event's sources, in order."""
+    return F.array_join(F.array_distinct(F.transform(sources, lambda s: s["name"])), " · ")
+
+
 def price_label(low: Column, high: Column) -> Column:
     """NT$ a–b, NT$ a, free, or empty."""
     money = lambda x: F.format_number(x, 0)

@@ -45,11 +45,11 @@ def status_from_tiers(tiers: Column, signal: Column, date: Column, today: Column
         .otherwise(_state(closed_status(date, today))))
 
 
-def text_status(text: Column, sale: Column, date: Column, today: Column, now: Column) -> Column:
-    """Struct (status, on_sale_at) of a source without tiers and signals: terminal words, else the stated sale start."""
+def text_status(text: Column, sale: Column, date: Column, today: Column) -> Column:
+    """Struct (status, on_sale_at) of a source without tiers and signals: terminal words, else the stated sale start if it is on a later day."""
     return (
         F.when(F.coalesce(text, F.lit("")).rlike(TERMINAL), _state(closed_status(date, today)))
-        .when(sale > now, _state("announced", sale)).otherwise(_state("on_sale")))
+        .when(F.substring(sale.cast("string"), 1, 10) > today.cast("string"), _state("announced", sale)).otherwise(_state("on_sale")))
 
 
 def offers_signal(offers: Column, now: Column) -> Column:
@@ -77,6 +77,13 @@ def needs_check(status: Column, on_sale_at: Column, today: Column) -> Column:
     return F.coalesce(~over & ~later, F.lit(True))
 
 
+def needs_reading(known: Column, status: Column, signal: Column) -> Column:
+    """Whether a known row has changed enough to be read again: its sale has ended, or it has opened since it was announced."""
+    ended = signal.isin("SOLD_OUT", "REGISTRATION_CLOSED")
+    opened = (signal == "IN_STOCK") & (status == "announced")
+    return ~F.coalesce(known, F.lit(False)) | F.coalesce(ended, F.lit(False)) | F.coalesce(opened, F.lit(False))
+
+
 def refreshed(status: Column, on_sale_at: Column, date: Column, signal: Column, signal_at: Column, now: Column, today: Column) -> Column:
     """Struct (status, on_sale_at) after a fresh signal; null if nothing changes."""
     new = (

@@ -98,14 +98,29 @@ def venue_key(c: Column, aliases: dict[str, str] | None = None) -> Column:
     return key
 
 
-def venue_names(c: Column) -> Column:
-    """The distinct venues that a field lists, split at list marks and ampersands."""
-    parts = F.split(c, r"、|＆| & ")
-    return F.array_distinct(F.filter(F.transform(parts, utrim), lambda x: x != ""))
+def _venue_parts(c: Column) -> Column:
+    """What a field that lists venues holds, split at list marks and ampersands."""
+    return F.filter(F.transform(F.split(c, r"(?U)\s*[、＆]\s*|\s+&\s+"), utrim), lambda x: x != "")
+
+
+def venue_names(c: Column, aliases: dict[str, str] | None = None) -> Column:
+    """The venues that a field lists, as written, one for each key; a field of one venue as it is."""
+    parts = _venue_parts(c)
+    keyed = F.transform(parts, lambda x: F.struct(_listed_key(x, aliases).alias("key"), x.alias("name")))
+    # where two spellings share a key, the last one's name stands at the first one's place
+    last = F.transform(F.array_distinct(keyed["key"]), lambda k: F.element_at(F.filter(keyed, lambda y: y["key"] == k), -1)["name"])
+    return F.when(F.size(parts) < 2, F.array(c)).otherwise(last)
+
+
+def _listed_key(c: Column, aliases: dict[str, str] | None) -> Column:
+    """The key of one of several venues: of the name in brackets if there is one, which is the one that other spellings use."""
+    return venue_key(F.coalesce(F.nullif(F.regexp_extract(c, r"\[([^\]]+)\]", 1), F.lit("")), c), aliases)
 
 
 def venue_keys(c: Column, aliases: dict[str, str] | None = None) -> Column:
-    return F.array_distinct(F.transform(venue_names(c), lambda x: venue_key(x, aliases)))
+    """The distinct keys of the venues that a field lists, in order."""
+    parts = _venue_parts(c)
+    return F.when(F.size(parts) < 2, F.array(venue_key(c, aliases))).otherwise(F.array_distinct(F.transform(parts, lambda x: _listed_key(x, aliases))))
 
 
 def any_of(c: Column, words) -> Column:

@@ -9,7 +9,7 @@ from marquee.functions.classify import exclusion_reason, type_tag
 from marquee.functions.dates import parse_date
 from marquee.functions.price import on_sale_at, price_from_text, price_from_tiers
 from marquee.functions.status import closed_status, status_from_tiers, text_status
-from marquee.functions.text import squash
+from marquee.functions.text import host_label, squash
 from marquee.operators.match import headliners, match_dictionary, resolve_city
 
 MAP_LINK = r"(?i)📍|https?://\S*map\S*"
@@ -22,12 +22,13 @@ def clean_venue(venue: Column, address_venue: Column, title: Column) -> Column:
     return F.when(promo & address_venue.isNotNull(), address_venue).otherwise(plain)
 
 
-def listing_outcomes(listings: DataFrame, names: DataFrame, venue_rules: DataFrame, *, grammars: dict[str, str], today: Column, now: Column, rules: dict | None = None) -> DataFrame:
+def listing_outcomes(listings: DataFrame, names: DataFrame, venue_rules: DataFrame, *, grammars: dict[str, str], today: Column, rules: dict | None = None, account_suffix: str | None = None) -> DataFrame:
     """One row a listing with `outcome` (event, needs_review, excluded), `reason`, and the fields of the event.
 
     listings: id (source and raw_id, unique), source, title, venue, address, date_text,
     price_text, status_text, url, signal, tiers. Text that can't be read gives nulls, and
-    a listing without a date goes to review: no row can stop the job. The dictionary and
+    a listing without a date goes to review: no row can stop the job. account_suffix: the
+    host behind which a label names the account of a listing's URL. The dictionary and
     the city rules meet rows by equi-joins on id; everything else is one projection.
     """
     grammar = F.create_map(*[F.lit(x) for kv in grammars.items() for x in kv])[F.col("source")]
@@ -35,18 +36,20 @@ def listing_outcomes(listings: DataFrame, names: DataFrame, venue_rules: DataFra
     rows = resolve_city(listings.join(heads, "id", "left"), venue_rules)
     rows = rows.withColumns({
         "headliners": F.coalesce("headliners", F.array().cast("array<string>")), "_d": parse_date(F.col("date_text"), grammar),
-        "reason": exclusion_reason(F.col("title"), F.col("url"), F.lit(None).cast("string"), F.col("venue"), **(rules or {})),
+        "reason": exclusion_reason(F.col("title"), F.col("url"), host_label(F.col("url"), account_suffix) if account_suffix else F.lit(None).cast("string"), F.col("venue"), **(rules or {})),
         "_text_price": price_from_text(F.col("price_text")), "_tier_price": price_from_tiers(F.col("tiers")), "_sale": on_sale_at(F.col("price_text"))})
     rows = rows.withColumns({"date": F.col("_d.date"), "time": F.col("_d.time")})
-    tierless = (F.coalesce(F.size("tiers"), F.lit(0)) <= 0) & F.col("signal").isNull()
-    state = F.when(tierless, text_status(F.col("status_text"), F.col("_sale"), F.col("date"), today, now)).otherwise(
+    untiered = F.coalesce(F.size("tiers"), F.lit(0)) <= 0
+    tierless = untiered & F.col("signal").isNull()
+    price = lambda end: F.when(untiered, F.col(f"_text_price.{end}")).otherwise(F.col(f"_tier_price.{end}")).alias(f"price_{end}")
+    state = F.when(tierless, text_status(F.col("status_text"), F.col("_sale"), F.col("date"), today)).otherwise(
         status_from_tiers(F.col("tiers"), F.col("signal"), F.col("date"), today, F.col("_sale")))
     rows = rows.withColumn("_state", state)
     review = F.when(F.col("date").isNull(), "date_unparseable")
     outcome = F.when(F.col("reason").isNotNull(), "excluded").when(review.isNotNull(), "needs_review").otherwise("event")
     return rows.select(
         "id", "source", outcome.alias("outcome"), F.coalesce("reason", review).alias("reason"), "title", "venue", "city", "date", "time",
-        F.coalesce("_tier_price.min", "_text_price.min").alias("price_min"), F.coalesce("_tier_price.max", "_text_price.max").alias("price_max"),
+        price("min"), price("max"),
         F.when(F.col("date") < today, closed_status(F.col("date"), today)).otherwise(F.col("_state.status")).alias("status"), F.col("_state.on_sale_at").alias("on_sale_at"),
         "headliners", type_tag(F.col("title"), F.col("headliners")).alias("type"), "url")
 

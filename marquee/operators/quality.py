@@ -41,6 +41,26 @@ def coverage(wanted: DataFrame, captured: DataFrame, key: str) -> DataFrame:
     return wanted.join(hit, key, "left").agg(F.count("*").alias("n"), F.count("_hit").alias("found"), F.round(F.count("_hit") / F.count("*"), 4).alias("share"))
 
 
+def passages_found(passages: DataFrame, texts: DataFrame, *, id_col="item_id", text_col="text", words: int = 8) -> DataFrame:
+    """(id_col, found): whether a passage stands, as it is, anywhere in a text.
+
+    Passages and texts meet by the hashes of their runs of words (a passage's first, a
+    text's all), each text's counted once; whole passages are then looked for in those
+    texts. Passages of fewer words are met by shorter runs. Blank ones aren't found.
+    """
+    split = lambda c: F.regexp_extract_all(c, F.lit(r"(\S+)"), F.lit(1))
+    p = passages.select(id_col, F.col(text_col).alias("_p")).withColumn("_w", split(F.col("_p"))).where(F.size("_w") > 0)
+    # the first word may be the end of a longer one in the text, and the last the beginning: inner words, where there are three
+    inner = F.when(F.size("_w") > 2, F.slice("_w", F.lit(2), F.least(F.size("_w") - 2, F.lit(words)))).otherwise(F.slice("_w", 1, 0))
+    p = p.select(id_col, "_p", F.size(inner).alias("_n"), F.xxhash64(inner).alias("_h")).where("_n > 0")
+    t = texts.select(F.col(text_col).alias("_t"), F.explode(F.array(*map(F.lit, range(1, words + 1)))).alias("_n")).join(p.select("_n").distinct(), "_n", "left_semi")
+    t = t.withColumn("_w", split(F.col("_t"))).where(F.size("_w") >= F.col("_n"))
+    runs = F.transform(F.sequence(F.lit(1), F.size("_w") - F.col("_n") + 1), lambda i: F.xxhash64(F.slice("_w", i, F.col("_n"))))
+    hashed = t.select("_t", F.explode(F.array_distinct(runs)).alias("_h"))
+    hit = hashed.join(p, "_h").where(F.col("_t").contains(F.col("_p"))).select(id_col).distinct().withColumn("_hit", F.lit(True))
+    return passages.select(id_col).join(hit, id_col, "left").select(id_col, F.coalesce("_hit", F.lit(False)).alias("found"))
+
+
 def run_stats(df: DataFrame) -> DataFrame:
     """(source, stats): a map of outcome to count."""
     each = df.groupBy("source", "outcome").agg(F.count("*").alias("n"))

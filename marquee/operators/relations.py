@@ -56,14 +56,18 @@ def with_images(events: DataFrame, images: DataFrame) -> DataFrame:
 
 
 def backfill(events: DataFrame, images: DataFrame, found: DataFrame) -> DataFrame:
-    """(id, image): known images of events that exist, and for the rest the first found by source order; null is tried again."""
+    """(id, image): known images of events that exist, and for the rest the first found by source order; null is tried again.
+
+    found: name, raw_id, image, of the source references that were looked up.
+    """
     have = images.where("image is not null").join(events.select("id"), "id", "left_semi")
-    todo = events.join(have.select("id"), "id", "left_anti").select("id", F.posexplode("sources").alias("pos", "s")).select("id", "pos", F.col("s.raw_id").alias("raw_id"))
-    new = todo.join(found, "raw_id", "left").groupBy("id").agg(F.min_by("image", F.when(F.col("image").isNotNull(), F.col("pos"))).alias("image"))
+    todo = events.join(have.select("id"), "id", "left_anti").select("id", F.posexplode("sources").alias("pos", "s")).select("id", "pos", "s.name", "s.raw_id")
+    new = todo.join(found, ["name", "raw_id"], "left").groupBy("id").agg(F.min_by("image", F.when(F.col("image").isNotNull(), F.col("pos"))).alias("image"))
     return have.select("id", "image").unionByName(new)
 
 
-def overridden(rows: DataFrame, overrides: DataFrame, field: str, key: str) -> DataFrame:
-    """rows with the field's value from an override table (field, key, value), where there is one."""
+def overridden(rows: DataFrame, overrides: DataFrame, field: str, key: str, drops: tuple[str, ...] = ()) -> DataFrame:
+    """rows with the field's value from an override table (field, key, value), where there is one; the columns in drops are null there."""
     one = overrides.where(F.col("field") == field).select(F.col("key").alias(key), F.col("value").alias("_v"))
-    return rows.join(one, key, "left").withColumn(field, F.coalesce(F.col("_v").cast(rows.schema[field].dataType), F.col(field))).drop("_v")
+    return rows.join(one, key, "left").withColumn(field, F.coalesce(F.col("_v").cast(rows.schema[field].dataType), F.col(field))).withColumns(
+        {c: F.when(F.col("_v").isNull(), F.col(c)) for c in drops}).drop("_v")

@@ -29,11 +29,18 @@ def changed_fields(a: str, b: str, fields) -> Column:
     return F.filter(F.array(*[F.when(~F.col(f"{a}.{f}").eqNullSafe(F.col(f"{b}.{f}")), F.lit(f)) for f in fields]), lambda x: x.isNotNull())
 
 
-def snapshot_diff(old: DataFrame, new: DataFrame, *, fields=WATCHED, key="id", now: Column | None = None, include_removed=False) -> DataFrame:
-    """(key, change, fields[, first_seen_at, updated_at]): added, updated with the watched fields that differ, unchanged."""
+def snapshot_diff(old: DataFrame, new: DataFrame, *, fields=WATCHED, run_col: str | None = None, run_fields=RUN_WATCHED, key="id", now: Column | None = None, include_removed=False) -> DataFrame:
+    """(key, change, fields[, first_seen_at, updated_at]): added, updated with the watched fields that differ, unchanged.
+
+    New rows with a value in run_col (such as `sessions`) are runs: of those run_fields are
+    watched, as a run's next date moves on by itself.
+    """
     kind = "full" if include_removed else "right"
     both = old.alias("o").join(new.alias("n"), F.col(f"o.{key}") == F.col(f"n.{key}"), kind)
-    fs = F.when(F.col(f"o.{key}").isNotNull() & F.col(f"n.{key}").isNotNull(), changed_fields("o", "n", fields))
+    watched = changed_fields("o", "n", fields)
+    if run_col:
+        watched = F.when(F.col(f"n.{run_col}").isNotNull(), changed_fields("o", "n", run_fields)).otherwise(watched)
+    fs = F.when(F.col(f"o.{key}").isNotNull() & F.col(f"n.{key}").isNotNull(), watched)
     change = (F.when(F.col(f"o.{key}").isNull(), "added").when(F.col(f"n.{key}").isNull(), "removed").when(F.size(fs) > 0, "updated").otherwise("unchanged"))
     cols = [F.coalesce(f"n.{key}", f"o.{key}").alias(key), change.alias("change"), fs.alias("fields")]
     if now is not None:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.operators import browse, match, normalize, prefs, relations, snapshot
-from marquee.plans.registry import LISTING_SQL, SESSION_SQL, listings, query, sessions, table
+from marquee.plans.registry import LISTING_SQL, SESSION_SQL, SOURCES, listings, query, sessions, table
 from marquee.sources.tables import union_sources
 from marquee.streaming import streams
 
@@ -21,11 +21,11 @@ def _raw(spark, sf_dir):
     return v.select(
         F.concat_ws("~", "raw_id", F.col("price").cast("string")).alias("id"), "source", F.concat(F.lit("live "), "name", F.lit(" "), "title").alias("title"), F.col("title").alias("venue"), F.lit(None).cast("string").alias("address"),
         F.concat_ws(" ", text, "time").alias("date_text"), F.concat(F.lit("票價：NT$"), (F.col("l_partkey") % 900 + 100).cast("string")).alias("price_text"), F.when(F.col("l_orderkey") % 4 == 0, "已售完").otherwise("").alias("status_text"),
-        F.lit("http://a.test").alias("url"), F.lit(None).cast("string").alias("signal"), F.lit(None).cast("array<struct<price:double,closed:boolean,waiting:boolean,on_sale_at:string>>").alias("tiers"))
+        F.when(F.col("l_partkey") % 17 == 0, "http://demo.test/x").when(F.col("l_partkey") % 19 == 0, "http://OUT.test").otherwise("http://a.test").alias("url"), F.lit(None).cast("string").alias("signal"), F.lit(None).cast("array<struct<price:double,closed:boolean,waiting:boolean,on_sale_at:string>>").alias("tiers"))
 
 
-@query(f"""WITH {LISTING_SQL} SELECT raw_id || '~' || CAST(price AS VARCHAR) AS id, CASE WHEN contains(lower(title), 'ring') THEN 'excluded' WHEN l_partkey % 11 = 0 THEN 'needs_review' ELSE 'event' END AS outcome,
-  CASE WHEN contains(lower(title), 'ring') THEN 'non_music_noise' WHEN l_partkey % 11 = 0 THEN 'date_unparseable' END AS reason, CASE WHEN contains(title, 'red') THEN '台中' ELSE '未知' END AS city,
+@query(f"""WITH {LISTING_SQL} SELECT raw_id || '~' || CAST(price AS VARCHAR) AS id, CASE WHEN contains(lower(title), 'ring') OR l_partkey % 17 = 0 OR l_partkey % 19 = 0 THEN 'excluded' WHEN l_partkey % 11 = 0 THEN 'needs_review' ELSE 'event' END AS outcome,
+  CASE WHEN contains(lower(title), 'ring') THEN 'non_music_noise' WHEN l_partkey % 17 = 0 THEN 'platform_demo_content' WHEN l_partkey % 19 = 0 THEN 'excluded_account' WHEN l_partkey % 11 = 0 THEN 'date_unparseable' END AS reason, CASE WHEN contains(title, 'red') THEN '台中' ELSE '未知' END AS city,
   CASE WHEN l_partkey % 11 <> 0 THEN CAST(date AS VARCHAR) END AS date, CASE WHEN l_partkey % 11 <> 0 THEN time END AS time, CAST(l_partkey % 900 + 100 AS DOUBLE) AS price_min,
   CASE WHEN l_partkey % 11 <> 0 AND date < DATE '1998-01-01' THEN 'ended' WHEN l_orderkey % 4 = 0 THEN CASE WHEN l_partkey % 11 = 0 THEN 'ended' ELSE 'sold_out' END ELSE 'on_sale' END AS status,
   name AS headliner, '專場' AS type FROM listing""", dates=("date",))
@@ -33,7 +33,7 @@ def normalize_outcomes(spark, sf_dir):
     names = table(spark, sf_dir, "part").select(F.col("p_brand").alias("canonical"), F.col("p_brand").alias("name")).distinct().withColumn("entry_ord", F.lit(0))
     rules = spark.createDataFrame([("red", "台中", 1)], "match string, city string, rule_ord int")
     grammars = {s: "slash" if s in ("AF", "AO") else "dash" for s in ("AF", "AO", "NF", "NO", "RF", "RO")}
-    out = normalize.listing_outcomes(_raw(spark, sf_dir), names, rules, grammars=grammars, today=F.to_date(F.lit("1998-01-01")), now=F.lit("1998-01-01"), rules={"noise": ("Ring",)})
+    out = normalize.listing_outcomes(_raw(spark, sf_dir), names, rules, grammars=grammars, today=F.to_date(F.lit("1998-01-01")), account_suffix=".test", rules={"noise": ("Ring",), "demo": "^http://demo[.]", "accounts": ("out",)})
     longest = F.element_at(F.array_sort(F.col("headliners")), -1)
     return out.select("id", "outcome", "reason", "city", "date", "time", "price_min", "status", longest.alias("headliner"), "type")
 
@@ -87,20 +87,22 @@ def dictionary_patch(spark, sf_dir):
     return match.patch_dictionary(n, patch)
 
 
-@query(f"WITH {LISTING_SQL} SELECT source, count(*) AS n, count(price) FILTER (source = 'AF') AS priced FROM listing WHERE source IN ('AF', 'NO', 'RF') GROUP BY source")
+@query(f"WITH {LISTING_SQL} SELECT source, count(*) AS n, count(price) FILTER (source = 'AF') AS priced FROM listing GROUP BY source")
 def source_union(spark, sf_dir):
     v = listings(spark, sf_dir)
-    parts = [v.where(F.col("source") == s).select(*(["source", "raw_id", "price"] if s == "AF" else ["raw_id", "source"])) for s in ("AF", "NO", "RF")]
+    parts = [v.where(F.col("source") == s).select(*(["source", "raw_id", "price"] if s == "AF" else ["raw_id", "source"])) for s in SOURCES]
     return union_sources(parts).groupBy("source").agg(F.count("*").alias("n"), F.count("price").alias("priced"))
 
 
-@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'old' || o_orderkey ELSE CASE WHEN o_custkey % 2 = 0 THEN 'img' || o_custkey END END AS image FROM orders""")
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'old' || o_orderkey ELSE CASE WHEN o_custkey % 2 = 0 THEN 'img' || o_custkey WHEN o_custkey % 3 = 0 THEN 'other' || o_custkey END END AS image FROM orders""")
 def backfill(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    ref = lambda c: F.struct(F.lit("s").alias("name"), c.cast("string").alias("raw_id"))
-    events = o.select(F.col("o_orderkey").alias("id"), F.array(ref(-F.col("o_custkey") - 1), ref(F.col("o_custkey"))).alias("sources"))
+    ref = lambda name, c: F.struct(F.lit(name).alias("name"), c.cast("string").alias("raw_id"))
+    events = o.select(F.col("o_orderkey").alias("id"), F.array(ref("s", -F.col("o_custkey") - 1), ref("s", F.col("o_custkey")), ref("t", F.col("o_custkey"))).alias("sources"))
     images = o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("old"), F.col("o_orderkey").cast("string"))).alias("image")).unionAll(spark.range(1).select(F.lit(-5).cast("long"), F.lit("gone")))
-    found = o.where("o_custkey % 2 = 0").select(F.col("o_custkey").cast("string").alias("raw_id"), F.concat(F.lit("img"), F.col("o_custkey").cast("string")).alias("image")).distinct()
+    # two sources know listings by the same ids
+    has = lambda name, each, word: o.where(f"o_custkey % {each} = 0").select(F.lit(name).alias("name"), F.col("o_custkey").cast("string").alias("raw_id"), F.concat(F.lit(word), F.col("o_custkey").cast("string")).alias("image")).distinct()
+    found = has("s", 2, "img").unionAll(has("t", 3, "other"))
     return relations.backfill(events, images, found)
 
 
@@ -124,9 +126,13 @@ def _replay(spark, sf_dir, make) -> DataFrame:
     """The rows that a streaming query gives for the whole events table, read as a stream until it is used up."""
     events = table(spark, sf_dir, "events")
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return _drained(spark, make(stream.withColumn("ts", F.col("ts").cast("timestamp"))))
+
+
+def _drained(spark, out: DataFrame) -> DataFrame:
+    """A stream's output, written as files in the shared folder until the input is used up, and read back."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-replay-")
     path = f"{folder.rstrip('/')}/replay-{uuid.uuid4().hex}"
-    out = make(stream.withColumn("ts", F.col("ts").cast("timestamp")))
     q = (out.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint")
          .outputMode("append").trigger(availableNow=True).start())
     try:
@@ -157,10 +163,13 @@ def stream_exclusion_ttl(spark, sf_dir):
 
 
 @query("""WITH c AS (SELECT event_type AS source, CAST(ts AS DATE) AS day, count(*) FILTER (NOT (event_type = 'click' AND day(ts) BETWEEN 10 AND 12)) AS n FROM events GROUP BY ALL),
-m AS (SELECT max(day) AS last FROM c)
-SELECT source, CAST(day AS VARCHAR) AS day, n FROM c, m WHERE day < last - 1""")
+m AS (SELECT max(day) AS last FROM c), h AS (SELECT source, day, n, coalesce(last_value(nullif(n, 0) IGNORE NULLS) OVER (PARTITION BY source ORDER BY day), 0) AS last_count FROM c)
+SELECT source, CAST(day AS VARCHAR) AS day, n, CASE WHEN n = 0 AND last_count > 0 THEN 'anomaly' ELSE 'ok' END AS status, last_count FROM h, m WHERE day < last - 1""")
 def stream_source_health(spark, sf_dir):
     rows = lambda s: s.select(F.col("event_type").alias("source"), "ts", (~((F.col("event_type") == "click") & F.day("ts").between(10, 12))).alias("present"))
-    out = _replay(spark, sf_dir, lambda s: streams.daily_counts(rows(s), late="1 hour"))
+    # the daily counts are a stream of their own, which the state machine follows
+    counts = _replay(spark, sf_dir, lambda s: streams.daily_counts(rows(s), late="1 hour"))
+    stream = spark.readStream.schema(counts.schema).parquet(counts.inputFiles()[0].rsplit("/", 1)[0])
+    out = _drained(spark, streams.source_health(stream)).withColumn("day", F.to_date("day"))
     day = table(spark, sf_dir, "events").agg(F.to_date(F.max("ts")).alias("last"))
-    return out.withColumn("day", F.to_date("day")).join(F.broadcast(day), F.col("day") < F.date_sub("last", 1)).select("source", F.col("day").cast("string").alias("day"), "n")
+    return out.join(F.broadcast(day), F.col("day") < F.date_sub("last", 1)).select("source", F.col("day").cast("string").alias("day"), "n", "status", "last_count")

@@ -68,12 +68,12 @@ def slash_times(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.date_format(dates.slash_timestamp(F.concat(F.date_format("o_orderdate", "yyyy/MM/dd"), F.lit(" 9:00(+0800)"))), "yyyy-MM-dd HH:mm").alias("utc"))
 
 
-@query("""SELECT o_orderkey, CASE o_custkey % 3 WHEN 0 THEN '1998/01/02 19:00' WHEN 1 THEN '1998/01/02 ' || lpad(CAST(o_custkey % 12 + 12 AS VARCHAR), 2, '0') || ':30' ELSE '1998/01/02' END AS text FROM orders""")
+@query("""SELECT o_orderkey, CASE o_custkey % 3 WHEN 0 THEN '1998/01/02 19:00' WHEN 1 THEN '1998/01/02 ' || lpad(CAST(o_custkey % 12 + 12 AS VARCHAR), 2, '0') || ':30' ELSE CASE WHEN o_orderkey % 2 = 0 THEN '1998/01/02 ' || lpad(CAST(o_custkey % 12 + 12 AS VARCHAR), 2, '0') || ':00' ELSE '1998/01/02' END END AS text FROM orders""")
 def append_time(spark, sf_dir):
     k = F.col("o_custkey") % 3
     base = F.when(k == 0, "1998/01/02 19:00").otherwise("1998/01/02")
     hour = F.col("o_custkey") % 12
-    other = F.when(k < 2, F.concat(F.lit("open "), F.when(hour == 0, 12).otherwise(hour).cast("string"), F.lit(":30 PM"))).otherwise("soon")
+    other = F.when(k < 2, F.concat(F.lit("open "), F.when(hour == 0, 12).otherwise(hour).cast("string"), F.lit(":30 PM"))).when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("演出開始："), F.when(hour == 0, 12).otherwise(hour).cast("string"), F.lit("pm"))).otherwise("soon")
     return table(spark, sf_dir, "orders").select("o_orderkey", dates.append_time(base, other).alias("text"))
 
 
@@ -121,10 +121,12 @@ def sale_dates(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", price.on_sale_at(raw).alias("on_sale_at"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_totalprice < 1000 THEN 'NT$' || CAST(round(o_totalprice) AS INT) ELSE 'NT$' || printf('%,d', CAST(floor(o_totalprice / 1000) AS INT)) || '–' || printf('%,d', CAST(floor(o_totalprice / 500) AS INT)) END AS label FROM orders WHERE o_totalprice >= 1000""")
+@query("""SELECT o_orderkey, CASE WHEN o_totalprice < 500 THEN '免費' ELSE 'NT$' || printf('%,d', CAST(floor(o_totalprice / 1000) AS INT)) || '–' || printf('%,d', CAST(floor(o_totalprice / 500) AS INT)) END AS label, CASE WHEN o_custkey % 3 = 0 THEN 'b · a' ELSE 'b' END AS sources FROM orders""")
 def price_labels(spark, sf_dir):
     p = F.col("o_totalprice")
-    return table(spark, sf_dir, "orders").where("o_totalprice >= 1000").select("o_orderkey", price.price_label(F.floor(p / 1000), F.floor(p / 500)).alias("label"))
+    source = lambda name: F.struct(F.lit(name).alias("name"), F.col("o_orderkey").alias("raw_id"))
+    sources = F.array(source("b"), F.when(F.col("o_custkey") % 3 == 0, source("a")).otherwise(source("b")), source("b"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", price.price_label(F.floor(p / 1000), F.floor(p / 500)).alias("label"), price.source_names(sources).alias("sources"))
 
 
 @query(f"""WITH {LISTING_SQL}, t AS (SELECT l_orderkey, min(date) AS d, count(*) AS n, bool_or(l_linestatus = 'O' AND l_returnflag <> 'R') AS open, min(CASE WHEN l_returnflag = 'R' THEN CAST(date AS VARCHAR) END) AS start, max(l_orderkey % 6) AS s FROM listing GROUP BY l_orderkey)
@@ -139,11 +141,11 @@ def status_rules(spark, sf_dir):
     return t.select("l_orderkey", status.status_from_tiers(F.col("tiers"), signal, F.col("d"), F.to_date(F.lit("1998-01-01")), F.lit("x")).alias("s")).select("l_orderkey", "s.status", "s.on_sale_at")
 
 
-@query(f"""WITH {SESSION_SQL} SELECT event_id, CASE WHEN event_id % 3 = 0 THEN CASE WHEN date >= DATE '{TODAY}' THEN 'sold_out' ELSE 'ended' END WHEN on_sale_at > '{TODAY}' THEN 'announced' ELSE 'on_sale' END AS status FROM session""")
+@query(f"""WITH {SESSION_SQL} SELECT event_id, CASE WHEN event_id % 3 = 0 THEN CASE WHEN date >= DATE '{TODAY}' THEN 'sold_out' ELSE 'ended' END WHEN CAST(CAST(on_sale_at AS TIMESTAMP) AS DATE) > DATE '{TODAY}' THEN 'announced' ELSE 'on_sale' END AS status FROM session""")
 def status_text(spark, sf_dir):
     s = sessions(spark, sf_dir)
     words = F.when(F.col("event_id") % 6 == 0, "票券已售完").when(F.col("event_id") % 3 == 0, "銷售截止").otherwise("熱賣中")
-    return s.select("event_id", status.text_status(words, F.col("on_sale_at"), F.col("date"), F.to_date(F.lit(TODAY)), F.lit(TODAY))["status"].alias("status"))
+    return s.select("event_id", status.text_status(words, F.col("on_sale_at"), F.col("date"), F.to_date(F.lit(TODAY)))["status"].alias("status"))
 
 
 @query("""WITH o AS (SELECT l_orderkey, l_returnflag = 'N' AS stock, CAST(l_shipdate AS DATE) AS d, l_linestatus FROM lineitem), s AS (SELECT l_orderkey, count(*) FILTER (stock) AS n, count(*) FILTER (stock AND NOT (l_linestatus = 'F' AND d < DATE '1998-01-01')) AS still,
@@ -157,18 +159,20 @@ def offer_signals(spark, sf_dir):
 
 
 @query("""SELECT doc_id, CASE WHEN regexp_matches(trim(t), '(?i)^(open|my)?test$') THEN 'junk_title' WHEN contains(lower(t), 'thing') THEN 'non_music_noise' WHEN contains(t, 'the') AND NOT contains(t, 'and') THEN 'classical' WHEN contains(lower(t), 'here') THEN 'meet_and_greet'
-  WHEN source IN ('src1', 'src2') THEN 'excluded_account' WHEN regexp_matches(t, 'que|des') THEN 'outside_taiwan' END AS reason FROM (SELECT *, substr(text, 1, 60) AS t FROM documents)""")
+  WHEN source = 'src3' AND doc_id % 2 = 0 THEN 'platform_demo_content' WHEN source IN ('src1', 'src2') THEN 'excluded_account' WHEN regexp_matches(t, 'que|des') THEN 'outside_taiwan' END AS reason FROM (SELECT *, text AS t FROM documents)""")
 def exclusion(spark, sf_dir):
-    t = F.substring("text", 1, 60)
-    return table(spark, sf_dir, "documents").select("doc_id", classify.exclusion_reason(t, F.lit(""), F.col("source"), t, noise=("Thing",), classical=("the",), greet=("HERE",), accounts=("src1", "src2"), outside="que|des", escape="and").alias("reason"))
+    t = F.col("text")
+    url = F.when((F.col("source") == "src3") & (F.col("doc_id") % 2 == 0), "https://demo.demo.test/e/1").otherwise("https://x.test/?https://demo.demo.test/")
+    return table(spark, sf_dir, "documents").select("doc_id", classify.exclusion_reason(t, url, F.col("source"), t, demo=r"(?i)^https?://demo\.demo\.test/", noise=("Thing",), classical=("the",), greet=("HERE",), accounts=("src1", "src2"), outside="que|des", escape="and").alias("reason"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN '喜劇' WHEN p_size % 7 = 1 THEN '音樂祭' WHEN p_size % 2 = 0 AND p_size % 7 <> 2 THEN '拼盤' ELSE '專場' END AS type FROM part""")
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 28 < 10 THEN '音樂祭' WHEN p_partkey % 28 < 17 THEN '喜劇' WHEN p_partkey % 28 < 18 THEN '音樂劇' WHEN p_partkey % 28 < 26 THEN '拼盤'
+  WHEN p_size % 2 = 0 AND p_partkey % 28 = 26 THEN '拼盤' ELSE '專場' END AS type FROM part""")
 def type_tag(spark, sf_dir):
-    k = F.col("p_size") % 7
-    title = F.concat("p_name", F.when(k == 0, " Stand-Up night").when(k == 1, "音樂節 comedy").when(k == 2, " feat. x").otherwise(""))
+    # each part's title holds one of the words, in another case if it is Latin, a guest's mark, or nothing
+    marks = F.array(*[F.lit(w.upper()) for w, _ in classify.TYPE_WORDS], F.lit(""), F.lit(" feat. x"))
+    title = F.concat("p_name", F.element_at(marks, (F.col("p_partkey") % 28 + 1).cast("int")), F.lit(" live"))
     heads = F.when(F.col("p_size") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a")))
-    title = F.when(k == 1, F.concat("p_name", F.lit("音樂節"))).otherwise(title)
     return table(spark, sf_dir, "part").select("p_partkey", classify.type_tag(title, heads).alias("type"))
 
 
@@ -191,9 +195,9 @@ def lottery(spark, sf_dir):
 
 # -- pages
 
-@query("""SELECT page_id, len(regexp_extract_all(html, '(?i)<li\\b')) AS n_items, replace(replace(replace(replace(replace(substr(html, 1, 300), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS head FROM pages""")
+@query("""SELECT page_id, len(regexp_extract_all(html, '(?i)<li\\b')) AS n_items, md5(replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&')) AS decoded FROM pages""")
 def entities(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_count("html", F.lit(r"(?i)<li\b")).cast("long").alias("n_items"), extract.decode_entities(F.substring("html", 1, 300)).alias("head"))
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_count("html", F.lit(r"(?i)<li\b")).cast("long").alias("n_items"), F.md5(extract.decode_entities(F.col("html"))).alias("decoded"))
 
 
 @query(r"""SELECT page_id, array_to_string(list_filter(list_transform(string_split(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<(?:br|p|div|li)\b[^>]*>', chr(10), 'gi'), '</(?:p|div|li)>', chr(10), 'gi'), '<[^>]+>', '', 'g'), '&nbsp;', ' ', 'gi'), '&nbsp;', ' '), '&amp;', '&'), chr(10)), lambda x: trim(x)), lambda x: x <> ''), '|') AS lines FROM pages""")

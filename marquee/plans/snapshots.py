@@ -20,12 +20,14 @@ def _old_new(spark, sf_dir):
 
 
 @query(f"""WITH {OLD_SQL}, {NEW_SQL}
-SELECT coalesce(n.id, o.id) AS id, CASE WHEN o.id IS NULL THEN 'added' WHEN n.id IS NULL THEN 'removed' WHEN o.status IS DISTINCT FROM n.status OR o.price_min IS DISTINCT FROM n.price_min THEN 'updated' ELSE 'unchanged' END AS change,
-  CASE WHEN o.id IS NOT NULL AND n.id IS NOT NULL THEN concat_ws(',', CASE WHEN o.status IS DISTINCT FROM n.status THEN 'status' END, CASE WHEN o.price_min IS DISTINCT FROM n.price_min THEN 'price_min' END) END AS fields
+SELECT coalesce(n.id, o.id) AS id, CASE WHEN o.id IS NULL THEN 'added' WHEN n.id IS NULL THEN 'removed' WHEN (n.id % 4 <> 0 AND o.status IS DISTINCT FROM n.status) OR o.price_min IS DISTINCT FROM n.price_min THEN 'updated' ELSE 'unchanged' END AS change,
+  CASE WHEN o.id IS NOT NULL AND n.id IS NOT NULL THEN concat_ws(',', CASE WHEN n.id % 4 <> 0 AND o.status IS DISTINCT FROM n.status THEN 'status' END, CASE WHEN o.price_min IS DISTINCT FROM n.price_min THEN 'price_min' END) END AS fields
 FROM old o FULL JOIN new n ON o.id = n.id""")
 def snapshot_diff(spark, sf_dir):
     old, new = _old_new(spark, sf_dir)
-    return snapshot.snapshot_diff(old, new, fields=("status", "price_min"), include_removed=True).withColumn("fields", F.array_join("fields", ","))
+    # of every fourth row, a run, the status isn't watched
+    runs = new.withColumn("sessions", F.when(F.col("id") % 4 == 0, F.array("date")))
+    return snapshot.snapshot_diff(old, runs, fields=("status", "price_min"), run_col="sessions", run_fields=("price_min",), include_removed=True).withColumn("fields", F.array_join("fields", ","))
 
 
 @query(f"""WITH {OLD_SQL}, {NEW_SQL}
@@ -37,14 +39,14 @@ def first_seen_carry(spark, sf_dir):
     return snapshot.snapshot_diff(old, new, fields=("status", "price_min"), now=F.lit("2024-01-01")).select("id", "first_seen_at", "updated_at")
 
 
-@query("""WITH n AS (SELECT 'n' || o_orderkey AS id, o_custkey % 50 AS a, o_orderkey % 40 AS b FROM orders WHERE o_orderkey % 10 = 0), o AS (SELECT 'o' || o_orderkey AS id, o_custkey % 50 AS a FROM orders WHERE o_orderkey % 97 = 1),
-k AS (SELECT a, max(id) AS old_id FROM o GROUP BY a)
-SELECT coalesce(x.old_id, y.old_id, n.id) AS id, coalesce(x.old_id, y.old_id) AS old_id, n.id AS own_id FROM n LEFT JOIN k x ON x.a = n.a LEFT JOIN k y ON y.a = n.b""")
+@query("""SELECT CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 10 <> 1 THEN 'o' || o_orderkey WHEN o_orderkey % 3 = 0 THEN 'n' || o_orderkey ELSE 'o' || o_orderkey END AS id,
+  CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 10 <> 1 THEN 'o' || o_orderkey END AS old_id, CASE WHEN o_orderkey % 3 = 0 THEN 'n' ELSE 'o' END || o_orderkey AS own_id FROM orders""")
 def id_lineage(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     ref = lambda c: F.struct(F.lit("s").alias("name"), c.cast("string").alias("raw_id"))
-    new = o.where("o_orderkey % 10 = 0").select(F.concat(F.lit("n"), F.col("o_orderkey").cast("string")).alias("id"), F.array(ref(F.col("o_custkey") % 50), ref(F.col("o_orderkey") % 40)).alias("sources"))
-    old = o.where("o_orderkey % 97 = 1").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"), F.array(ref(F.col("o_custkey") % 50)).alias("sources"))
+    named = lambda c: F.concat(c, F.col("o_orderkey").cast("string")).alias("id")
+    new = o.select(named(F.when(F.col("o_orderkey") % 3 == 0, "n").otherwise("o")), F.array(ref(-F.col("o_orderkey")), ref(F.col("o_orderkey"))).alias("sources"))
+    old = o.where("o_orderkey % 10 != 1").select(named(F.lit("o")), F.array(ref(F.col("o_orderkey"))).alias("sources"))
     return snapshot.id_lineage(new.withColumn("own_id", F.col("id")), old).select("id", "old_id", "own_id")
 
 
@@ -180,7 +182,8 @@ def rule_lookup(spark, sf_dir):
 
 
 @query("""WITH r AS (SELECT p_partkey AS id, CASE WHEN p_size % 4 = 0 THEN '116臺北市某路' WHEN p_size % 4 = 1 THEN '台灣高雄市' END AS address, CASE WHEN p_size % 5 = 0 THEN '' ELSE p_name END AS venue, CASE WHEN p_size % 2 = 0 THEN '台南 ' ELSE '' END || p_name AS title FROM part)
-SELECT id, CASE WHEN address LIKE '%臺北%' THEN '台北' WHEN address LIKE '%高雄%' THEN '高雄' WHEN contains(venue, 'ring') THEN '台北' WHEN contains(venue, 'red') THEN '台中' WHEN venue = '' AND title LIKE '台南%' THEN '台南' ELSE '未知' END AS city FROM r""")
+SELECT id, CASE WHEN address LIKE '%臺北%' THEN '台北' WHEN address LIKE '%高雄%' THEN '高雄' WHEN venue = '' AND title LIKE '台南%' THEN '台南'
+  WHEN contains(CASE WHEN venue = '' THEN title ELSE venue END, 'ring') THEN '台北' WHEN contains(CASE WHEN venue = '' THEN title ELSE venue END, 'red') THEN '台中' ELSE '未知' END AS city FROM r""")
 def city_resolve(spark, sf_dir):
     size = F.col("p_size")
     rows = table(spark, sf_dir, "part").select(
@@ -230,10 +233,11 @@ def images_join(spark, sf_dir):
     return relations.with_images(o.select("id"), o.where(F.col("image").rlike("[02468]$")))
 
 
-@query("""WITH v AS (SELECT * FROM (VALUES ('Brand#1', 'A'), ('Brand#2', 'B')) t(k, v)) SELECT p_partkey, p_brand, coalesce(v, p_type) AS p_type FROM part LEFT JOIN v ON k = p_brand""")
+@query("""WITH v AS (SELECT * FROM (VALUES ('Brand#1', 'A'), ('Brand#2', 'B')) t(k, v)) SELECT p_partkey, p_brand, coalesce(v, p_type) AS p_type, CASE WHEN v IS NULL THEN p_name END AS run_key FROM part LEFT JOIN v ON k = p_brand""")
 def overrides(spark, sf_dir):
     o = spark.createDataFrame([("p_type", "Brand#1", "A"), ("p_type", "Brand#2", "B"), ("p_name", "Brand#3", "no")], "field string, key string, value string")
-    return relations.overridden(table(spark, sf_dir, "part"), o, "p_type", "p_brand").select("p_partkey", "p_brand", "p_type")
+    parts = table(spark, sf_dir, "part").withColumn("run_key", F.col("p_name"))
+    return relations.overridden(parts, o, "p_type", "p_brand", drops=("run_key",)).select("p_partkey", "p_brand", "p_type", "run_key")
 
 
 # -- preferences and browsing
@@ -266,15 +270,15 @@ def user_visibility(spark, sf_dir):
 
 @query(f"WITH {HITS_SQL} SELECT user_id, count(*) FILTER (kind <> 'favourite') AS hidden, count(*) FILTER (kind = 'favourite') AS favourites, (SELECT count(*) FROM part) - count(*) FILTER (kind <> 'favourite') AS shown FROM hits GROUP BY user_id")
 def user_counts(spark, sf_dir):
-    parts = _parts(spark, sf_dir)
-    return prefs.user_counts(prefs.rule_hits(parts, _rules(spark, sf_dir)), parts.count())
+    return prefs.user_counts(_parts(spark, sf_dir), _rules(spark, sf_dir))
 
 
-@query(f"""WITH {RULE_SQL}, keys AS (SELECT p_partkey AS id, unnest([{{'kind': 'event', 'value': CAST(p_partkey AS VARCHAR)}}, {{'kind': 'artist', 'value': p_brand}}, {{'kind': 'type', 'value': p_type}}]) AS k FROM part)
-SELECT r.user_id, r.kind, r.value, count(*) AS n FROM keys JOIN rules r ON r.kind = k.kind AND r.value = k.value
-WHERE NOT EXISTS (SELECT 1 FROM rules f WHERE f.user_id = r.user_id AND f.kind = 'favourite' AND f.value = CAST(id AS VARCHAR)) GROUP BY ALL""")
+@query(f"""WITH {RULE_SQL}, keys AS (SELECT p_partkey AS id, unnest([{{'kind': 'event', 'value': CAST(p_partkey AS VARCHAR)}}, {{'kind': 'artist', 'value': p_brand}}, {{'kind': 'type', 'value': p_type}}]) AS k FROM part WHERE p_size >= 10)
+SELECT r.user_id, r.kind, r.value, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY r.user_id) AS BIGINT) AS total FROM keys JOIN rules r ON r.kind = k.kind AND r.value = k.value
+WHERE NOT EXISTS (SELECT 1 FROM rules f WHERE f.user_id = r.user_id AND f.kind = 'favourite' AND f.value = CAST(id AS VARCHAR)) GROUP BY r.user_id, r.kind, r.value""")
 def hidden_counts(spark, sf_dir):
-    return prefs.hidden_rule_counts(_parts(spark, sf_dir), _rules(spark, sf_dir))
+    days = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.date_add(F.lit("2024-01-01"), F.col("p_size").cast("int")).alias("date"))
+    return prefs.hidden_rule_counts(_parts(spark, sf_dir).join(days, "id"), _rules(spark, sf_dir), today=F.to_date(F.lit("2024-01-11")))
 
 
 @query("""WITH l AS (SELECT user_id, 'artist' AS kind, json_extract_string(props, '$.k') AS value, CASE event_type WHEN 'click' THEN 'add' WHEN 'error' THEN 'remove' ELSE 'toggle' END AS action, event_id AS seq FROM events),
@@ -402,10 +406,11 @@ def dup_candidates(spark, sf_dir):
     return quality.dup_candidates(_events(spark, sf_dir)).withColumn("ids", F.array_join("ids", ","))
 
 
-@query("SELECT count(*) AS n, count(f) AS found, round(count(f) / count(*), 4) AS share FROM (SELECT substr(text, 1, 12) AS k FROM benchmark) LEFT JOIN (SELECT DISTINCT substr(text, 1, 12) AS f FROM documents) ON k = f")
+@query("SELECT count(*) AS n, count(*) FILTER (f) AS found, round(count(*) FILTER (f) / count(*), 4) AS share FROM (SELECT EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, b.text)) AS f FROM benchmark b)")
 def coverage(spark, sf_dir):
-    cut = lambda n: table(spark, sf_dir, n).select(F.substring("text", 1, 12).alias("k"))
-    return quality.coverage(cut("benchmark"), cut("documents"), "k")
+    items = table(spark, sf_dir, "benchmark")
+    found = quality.passages_found(items, table(spark, sf_dir, "documents"))
+    return quality.coverage(items, found.where("found"), "item_id")
 
 
 @query(f"WITH {LISTING_SQL}, c AS (SELECT source, name, count(*) AS n FROM listing GROUP BY ALL) SELECT source, string_agg(name || '=' || n, ',' ORDER BY name) AS stats FROM c GROUP BY source")
