@@ -289,8 +289,10 @@ def halved(regions: DataFrame, span: int, gram: int) -> DataFrame:
         evidence = rest.where("n > 1").select(*[F.lit(None).cast("binary").alias(c) if c == "parent" else F.lit(0).cast("long").alias(c) if c == "shift" else F.col(c) for c in live.columns])
         live = halves(alone.unionByName(evidence), span)
     found = found.groupBy("parent").agg(F.collect_list(F.struct("first", "last")).alias("found"))
-    moved = F.transform("found", lambda x: F.struct((F.col("start") + x["first"]).alias("first"), (F.col("start") + x["last"]).alias("last")))
-    return named.select("name", "start", F.col("part").alias("parent")).join(found, "parent").select("name", moved.alias("found"))
+    # a content may stand in a text many times, and in many texts: one row a text and content
+    members = named.groupBy("name", F.col("part").alias("parent")).agg(F.collect_list("start").alias("starts"))
+    moved = F.flatten(F.transform("starts", lambda at: F.transform("found", lambda x: F.struct((at + x["first"]).alias("first"), (at + x["last"]).alias("last")))))
+    return members.join(found, "parent").select("name", moved.alias("found"))
 
 
 def trim(candidates: DataFrame, span: int, as_text: bool) -> DataFrame:
