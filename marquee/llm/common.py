@@ -8,7 +8,7 @@ from collections.abc import Callable
 from contextvars import ContextVar
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -70,6 +70,24 @@ def settle_alone(spark: SparkSession, name: str, make: Callable[[], DataFrame])
         _delete(spark, folder)
 
 
+def marked(rows: DataFrame, key: Column, ids: DataFrame, bits: int = 24) -> DataFrame:
+    """(row, maybe) of every row: row is a struct of its columns; maybe is true if key is among ids, and for few others.
+
+    ids has one column; both sides are taken as longs. A bitmap of the ids' hashes goes to
+    all executors. It has 2**(bits - 6) longs at most (4 MB by default) whatever ids holds;
+    when many more ids fill it up, it marks ever more rows, up to all, so whoever asks must
+    look up the marked rows exactly. A null key is marked or not, by chance.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(1 << bits))
+    word = lambda c: F.shiftright(place(c), 6)
+    at = lambda c: place(c).bitwiseAND(F.lit(63)).cast("int")
+    one = F.col(ids.columns[0])
+    words = ids.groupBy(word(one).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), at(one))).alias("set"))
+    placed = rows.select(F.struct("*").alias("row"), word(key).alias("at_word"), at(key).alias("at"))
+    found = placed.join(F.broadcast(words), F.col("at_word") == F.col("word"), "left")
+    return found.select("row", F.coalesce(F.call_function("getbit", "set", "at") == 1, F.lit(False)).alias("maybe"))
+
+
 def forest(n: int, pairs) -> np.ndarray:
     """For each of n nodes a smaller or equal one of its component, by union of (rows, columns) batches."""
     root = np.arange(n)

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from marquee.llm.common import components, forest, settle, table
+from marquee.llm.common import components, forest, marked, settle, table
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -264,8 +264,10 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, *, id_col="doc_id", text_co
     """(group, tiles, tile, x) of wanted (node, group, tiles, tile, k1, k2): x is the tile's nodes with their sets of distinct hashes.
 
     A node's set is of the text of docs that has the set named k1, k2; repeated rows give it once.
+    Texts that a bitmap of the wanted ids rules out aren't shuffled.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(wanted, "node")
+    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
+    rows = marked(texts, F.col("node"), wanted.select("node")).where("maybe").select("row.*").join(wanted, "node")
     kept = ["node", "group", "tiles", "tile"]
 
     def run(batches):
@@ -381,9 +383,12 @@ def one_of_each(docs: DataFrame, groups: DataFrame, *, id_col="doc_id") -> DataF
 
     Rows of one id go or stay together, so of a repeated smallest id all rows stay. Ids
     that groups doesn't name stay. An empty table gives an empty one.
+    Only rows that a bitmap of the others' ids leaves open are shuffled to look them up.
     """
-    extra = groups.where(F.col(id_col) != F.col("component_id")).select(id_col)
-    return docs.join(extra, id_col, "left_anti").select(*docs.columns)
+    extra = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).cast("long").alias("extra"))
+    rows = marked(docs, F.col(id_col), extra)
+    open_rows = rows.where("maybe").join(extra, F.col("row")[id_col].cast("long") == F.col("extra"), "left_anti")
+    return rows.where("not maybe").select("row.*").unionAll(open_rows.select("row.*"))
 
 
 def op7_simhash(spark, sf_dir):

@@ -488,6 +488,30 @@ def test_near_duplicates(spark):
     assert 500 in kept and 501 not in kept
 
 
+@pytest.mark.parametrize("bits", [6, 10, 24])
+def test_marked_rows_hold_all_that_are_sought(spark, bits):
+    rows = spark.createDataFrame([(None if i % 50 == 0 else i, "x", i, i) for i in range(-500, 500)], "doc_id int, at string, word long, maybe long")
+    ids = spark.createDataFrame([(i,) for i in range(-500, 500, 7)] + [(None,)], "extra long")
+    out = common.marked(rows, F.col("doc_id"), ids, bits).select("row.doc_id", F.col("row.word").alias("w"), "maybe").collect()
+    assert sorted(r.w for r in out) == list(range(-500, 500))
+    sought = {r.extra for r in ids.collect()} - {None}
+    assert all(r.maybe for r in out if r.doc_id in sought)
+    others = [r.maybe for r in out if r.doc_id is not None and r.doc_id not in sought]
+    assert sum(others) > 0.7 * len(others) if bits == 6 else sum(others) < 0.2 * len(others)
+    assert common.marked(rows.limit(0), F.col("doc_id"), ids, bits).count() == 0
+    assert not any(r.maybe for r in common.marked(rows, F.col("doc_id"), ids.limit(0), bits).collect())
+
+
+def test_one_of_each_keeps_rows_and_columns(spark):
+    docs = spark.createDataFrame([(1, "a", 1), (2, "a", 2), (2, "a", 2), (3, "b", 3), (3, "b", 4), (None, "a", 5), (9, None, 6)], "doc_id int, row string, maybe long")
+    groups = spark.createDataFrame([(1, 1), (2, 1), (2, 1), (3, 3), (None, 1), (7, 3)], "doc_id int, component_id long")
+    kept = simhash.one_of_each(docs, groups)
+    assert kept.columns == docs.columns and kept.dtypes == docs.dtypes
+    assert sorted(r.maybe for r in kept.collect()) == [1, 3, 4, 5, 6]
+    assert simhash.one_of_each(docs.limit(0), groups).count() == 0
+    assert simhash.one_of_each(docs, groups.limit(0)).count() == 7
+
+
 def test_near_duplicates_reach_the_limit_and_stop_there(spark):
     """Pairs of exactly this resemblance: 200 * share shingles in common of 200 in all."""
     rows, share_of = [], {}
