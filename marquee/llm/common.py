@@ -35,10 +35,20 @@ def shared_dir(spark: SparkSession) -> str:
 _inner: ContextVar[str | None] = ContextVar("inner", default=None)
 
 
+#: While it is set, Spark deletes the shuffle files of a write once it has ended.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def _settled(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    path = f"{_inner.get() or shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    spark = df.sparkSession
+    path = f"{_inner.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
@@ -46,6 +56,7 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 
     Cuts the lineage at files that outlive any executor, so that what follows neither
     recomputes the Python work above it nor depends on shuffle files of lost executors.
+    The write's own shuffle files are of no more use then and are deleted.
     """
     return _settled(df, name)[0]
 
