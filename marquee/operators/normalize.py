@@ -9,36 +9,57 @@ from marquee.functions.classify import exclusion_reason, type_tag
 from marquee.functions.dates import parse_date
 from marquee.functions.price import on_sale_at, price_from_text, price_from_tiers
 from marquee.functions.status import closed_status, status_from_tiers, text_status
-from marquee.functions.text import host_label, squash
+from marquee.functions.text import host_label, let, squash, utrim
 from marquee.operators.match import headliners, match_dictionary, resolve_city
+from marquee.operators.relations import overridden
 
-MAP_LINK = r"(?i)📍|https?://\S*map\S*"
+LINKS = r"(?U)\s*📍?\s*https?://\S+"
 
 
-def clean_venue(venue: Column, address_venue: Column, title: Column) -> Column:
-    """A venue without map links; a venue field that only repeats the title gives way to the venue known for its address."""
-    plain = F.trim(F.regexp_replace(F.coalesce(venue, F.lit("")), MAP_LINK, ""))
-    promo = (squash(plain) != "") & squash(title).contains(squash(plain))
-    return F.when(promo & address_venue.isNotNull(), address_venue).otherwise(plain)
+def clean_venue(venue: Column, title: Column, addresses: tuple[tuple[str, str], ...] = ()) -> Column:
+    """A venue field "name / address" without links and pins.
+
+    A name that only repeats the title gives way to the venue known for its address, by the
+    first of the addresses (pattern, venue) found in it, else to the address alone.
+    """
+    bare = utrim(F.regexp_replace(F.regexp_replace(F.coalesce(venue, F.lit("")), LINKS, ""), r"(?U)\s*📍\s*$", ""))
+
+    def read(plain):
+        parts = F.transform(F.split(plain, "/"), utrim)
+        address = F.array_join(F.slice(parts, F.lit(2), F.size(parts)), " / ")
+        known = F.coalesce(*[F.when(address.rlike(p), F.lit(v)) for p, v in addresses], F.lit(None).cast("string"))
+        promo = (parts[0] != "") & (squash(parts[0]) == squash(F.coalesce(title, F.lit(""))))
+        return F.when(promo & known.isNotNull(), F.concat(known, F.lit(" / "), address)).when(promo & (address != ""), address).otherwise(plain)
+
+    return let(bare, read)
 
 
-def listing_outcomes(listings: DataFrame, names: DataFrame, venue_rules: DataFrame, *, grammars: dict[str, str], today: Column, rules: dict | None = None, account_suffix: str | None = None) -> DataFrame:
+def listing_outcomes(listings: DataFrame, names: DataFrame, venue_rules: DataFrame, *, grammars: dict[str, str], today: Column, rules: dict | None = None, account_suffix: str | None = None,
+                     addresses: tuple[tuple[str, str], ...] = (), overrides: DataFrame | None = None) -> DataFrame:
     """One row a listing with `outcome` (event, needs_review, excluded), `reason`, and the fields of the event.
 
     listings: id (source and raw_id, unique), source, title, venue, address, date_text,
     price_text, status_text, url, signal, tiers. Text that can't be read gives nulls, and
     a listing without a date goes to review: no row can stop the job. account_suffix: the
-    host behind which a label names the account of a listing's URL. The dictionary and
+    host behind which a label names the account of a listing's URL. Venues are cleaned
+    (clean_venue with addresses) but for exclusion, which judges them as given. overrides
+    (field, key, value): a venue or date that replaces what listing `key` (an id) has; an
+    overriding date has no time. The dictionary and
     the city rules meet rows by equi-joins on id; everything else is one projection.
     """
     grammar = F.create_map(*[F.lit(x) for kv in grammars.items() for x in kv])[F.col("source")]
     heads = headliners(match_dictionary(listings.select("id", "title"), names))
-    rows = resolve_city(listings.join(heads, "id", "left"), venue_rules)
+    rows = listings.withColumns({"_given": F.col("venue"), "venue": clean_venue(F.col("venue"), F.col("title"), addresses)})
+    if overrides is not None:
+        rows = overridden(rows, overrides, "venue", "id")
+    rows = resolve_city(rows.join(heads, "id", "left"), venue_rules)
     rows = rows.withColumns({
         "headliners": F.coalesce("headliners", F.array().cast("array<string>")), "_d": parse_date(F.col("date_text"), grammar),
-        "reason": exclusion_reason(F.col("title"), F.col("url"), host_label(F.col("url"), account_suffix) if account_suffix else F.lit(None).cast("string"), F.col("venue"), **(rules or {})),
+        "reason": exclusion_reason(F.col("title"), F.col("url"), host_label(F.col("url"), account_suffix) if account_suffix else F.lit(None).cast("string"), F.col("_given"), **(rules or {})),
         "_text_price": price_from_text(F.col("price_text")), "_tier_price": price_from_tiers(F.col("tiers")), "_sale": on_sale_at(F.col("price_text"))})
     rows = rows.withColumns({"date": F.col("_d.date"), "time": F.col("_d.time")})
+    if overrides is not None:
+        rows = overridden(rows, overrides, "date", "id", drops=("time",))
     untiered = F.coalesce(F.size("tiers"), F.lit(0)) <= 0
     tierless = untiered & F.col("signal").isNull()
     price = lambda end: F.when(untiered, F.col(f"_text_price.{end}")).otherwise(F.col(f"_tier_price.{end}")).alias(f"price_{end}")

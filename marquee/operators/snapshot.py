@@ -126,6 +126,19 @@ def renormalize(events: DataFrame, reason: Column, headliners: Column, city: Col
     return kept.withColumn("city", F.when(F.col("city") == unknown, F.coalesce(city, F.col("city"))).otherwise(F.col("city"))), excluded
 
 
+def after_renormalize(cache: DataFrame, review: DataFrame, excluded: DataFrame, resolved: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(cache, review) after renormalize: every source listing of excluded events is cached and leaves the review queue.
+
+    excluded: sources (name, raw_id), reason; resolved: sources of events that got names,
+    whose listings leave the queue if they wait there as artist_unrecognized.
+    """
+    listings = lambda df, *more: df.select(F.explode("sources").alias("s"), *more).select(F.col("s.name").alias("source"), "s.raw_id", *more)
+    out = listings(excluded, "reason")
+    left = review.join(out.select("source", "raw_id"), ["source", "raw_id"], "left_anti")
+    done = listings(resolved).withColumn("reason", F.lit("artist_unrecognized"))
+    return exclusion_cache(cache, out, now), left.join(done, ["source", "raw_id", "reason"], "left_anti")
+
+
 def rejected_recovery(accepted: DataFrame, rejected: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     """accepted, and the rejected rows that another strategy lists."""
     return accepted.unionByName(rejected.join(other.select(*keys).distinct(), keys, "left_semi"))

@@ -24,18 +24,24 @@ def _raw(spark, sf_dir):
         F.when(F.col("l_partkey") % 17 == 0, "http://demo.test/x").when(F.col("l_partkey") % 19 == 0, "http://OUT.test").otherwise("http://a.test").alias("url"), F.lit(None).cast("string").alias("signal"), F.lit(None).cast("array<struct<price:double,closed:boolean,waiting:boolean,on_sale_at:string>>").alias("tiers"))
 
 
-@query(f"""WITH {LISTING_SQL} SELECT raw_id || '~' || CAST(price AS VARCHAR) AS id, CASE WHEN contains(lower(title), 'ring') OR l_partkey % 17 = 0 OR l_partkey % 19 = 0 THEN 'excluded' WHEN l_partkey % 11 = 0 THEN 'needs_review' ELSE 'event' END AS outcome,
-  CASE WHEN contains(lower(title), 'ring') THEN 'non_music_noise' WHEN l_partkey % 17 = 0 THEN 'platform_demo_content' WHEN l_partkey % 19 = 0 THEN 'excluded_account' WHEN l_partkey % 11 = 0 THEN 'date_unparseable' END AS reason, CASE WHEN contains(title, 'red') THEN '台中' ELSE '未知' END AS city,
-  CASE WHEN l_partkey % 11 <> 0 THEN CAST(date AS VARCHAR) END AS date, CASE WHEN l_partkey % 11 <> 0 THEN time END AS time, CAST(l_partkey % 900 + 100 AS DOUBLE) AS price_min,
-  CASE WHEN l_partkey % 11 <> 0 AND date < DATE '1998-01-01' THEN 'ended' WHEN l_orderkey % 4 = 0 THEN CASE WHEN l_partkey % 11 = 0 THEN 'ended' ELSE 'sold_out' END ELSE 'on_sale' END AS status,
-  name AS headliner, '專場' AS type FROM listing""", dates=("date",))
+def _overrides(spark, sf_dir):
+    v = listings(spark, sf_dir).select("l_partkey", F.concat_ws("~", "raw_id", F.col("price").cast("string")).alias("key"))
+    of = lambda field, each, value: v.where(f"l_partkey % {each} = 0").select(F.lit(field).alias("field"), "key", F.lit(value).alias("value")).distinct()
+    return of("venue", 23, "moved hall").unionAll(of("date", 29, "1999-01-01"))
+
+
+@query(f"""WITH {LISTING_SQL}, l AS (SELECT *, CASE WHEN l_partkey % 29 = 0 THEN DATE '1999-01-01' WHEN l_partkey % 11 <> 0 THEN date END AS d FROM listing) SELECT raw_id || '~' || CAST(price AS VARCHAR) AS id, CASE WHEN contains(lower(title), 'ring') OR l_partkey % 17 = 0 OR l_partkey % 19 = 0 THEN 'excluded' WHEN d IS NULL THEN 'needs_review' ELSE 'event' END AS outcome,
+  CASE WHEN contains(lower(title), 'ring') THEN 'non_music_noise' WHEN l_partkey % 17 = 0 THEN 'platform_demo_content' WHEN l_partkey % 19 = 0 THEN 'excluded_account' WHEN d IS NULL THEN 'date_unparseable' END AS reason, CASE WHEN l_partkey % 23 = 0 THEN 'moved hall' ELSE title END AS venue, CASE WHEN contains(title, 'red') AND l_partkey % 23 <> 0 THEN '台中' ELSE '未知' END AS city,
+  CAST(d AS VARCHAR) AS date, CASE WHEN l_partkey % 11 <> 0 AND l_partkey % 29 <> 0 THEN time END AS time, CAST(l_partkey % 900 + 100 AS DOUBLE) AS price_min,
+  CASE WHEN d < DATE '1998-01-01' THEN 'ended' WHEN l_orderkey % 4 = 0 THEN CASE WHEN d IS NULL THEN 'ended' ELSE 'sold_out' END ELSE 'on_sale' END AS status,
+  name AS headliner, '專場' AS type FROM l""", dates=("date",))
 def normalize_outcomes(spark, sf_dir):
     names = table(spark, sf_dir, "part").select(F.col("p_brand").alias("canonical"), F.col("p_brand").alias("name")).distinct().withColumn("entry_ord", F.lit(0))
     rules = spark.createDataFrame([("red", "台中", 1)], "match string, city string, rule_ord int")
     grammars = {s: "slash" if s in ("AF", "AO") else "dash" for s in ("AF", "AO", "NF", "NO", "RF", "RO")}
-    out = normalize.listing_outcomes(_raw(spark, sf_dir), names, rules, grammars=grammars, today=F.to_date(F.lit("1998-01-01")), account_suffix=".test", rules={"noise": ("Ring",), "demo": "^http://demo[.]", "accounts": ("out",)})
+    out = normalize.listing_outcomes(_raw(spark, sf_dir), names, rules, grammars=grammars, today=F.to_date(F.lit("1998-01-01")), account_suffix=".test", rules={"noise": ("Ring",), "demo": "^http://demo[.]", "accounts": ("out",)}, overrides=_overrides(spark, sf_dir))
     longest = F.element_at(F.array_sort(F.col("headliners")), -1)
-    return out.select("id", "outcome", "reason", "city", "date", "time", "price_min", "status", longest.alias("headliner"), "type")
+    return out.select("id", "outcome", "reason", "venue", "city", "date", "time", "price_min", "status", longest.alias("headliner"), "type")
 
 
 @query(f"WITH {LISTING_SQL} SELECT source, count(*) FILTER (date >= DATE '1998-01-01') AS upcoming, count(*) FILTER (date < DATE '1998-01-01') AS past FROM listing GROUP BY source")
@@ -73,6 +79,24 @@ def renormalize(spark, sf_dir):
     return kept.select("id", F.col("headliners")[0].alias("head"), "city")
 
 
+@query("""WITH gone AS (SELECT DISTINCT l_suppkey AS k, CASE WHEN l_returnflag = 'R' THEN 's' ELSE 't' END AS source FROM lineitem JOIN part ON l_partkey = p_partkey WHERE contains(p_name, 'ring') AND l_quantity >= 49)
+SELECT 'cache' AS kind, source, CAST(k AS VARCHAR) AS raw_id, 'non_music_noise' AS reason FROM gone
+UNION ALL SELECT 'review', 's', CAST(s_suppkey AS VARCHAR), CASE WHEN s_suppkey % 2 = 0 THEN 'artist_unrecognized' ELSE 'date_unparseable' END FROM supplier
+WHERE NOT EXISTS (SELECT 1 FROM gone WHERE k = s_suppkey AND source = 's') AND NOT (s_suppkey % 2 = 0 AND s_nationkey % 3 = 0)""")
+def renormalized_queues(spark, sf_dir):
+    ref = lambda name, c: F.struct(name.alias("name"), c.cast("string").alias("raw_id"))
+    noisy = table(spark, sf_dir, "part").where(F.col("p_name").contains("ring")).select(F.col("p_partkey").alias("l_partkey"))
+    out = table(spark, sf_dir, "lineitem").where("l_quantity >= 49").join(noisy, "l_partkey").select(
+        F.array(ref(F.when(F.col("l_returnflag") == "R", "s").otherwise("t"), F.col("l_suppkey"))).alias("sources"), F.lit("non_music_noise").alias("reason"))
+    suppliers = table(spark, sf_dir, "supplier")
+    review = suppliers.select(F.lit("s").alias("source"), F.col("s_suppkey").cast("string").alias("raw_id"), F.when(F.col("s_suppkey") % 2 == 0, "artist_unrecognized").otherwise("date_unparseable").alias("reason"))
+    resolved = suppliers.where("s_nationkey % 3 = 0").select(F.array(ref(F.lit("s"), F.col("s_suppkey"))).alias("sources"))
+    now = F.to_timestamp(F.lit("1998-01-01"))
+    empty = review.limit(0).withColumn("checked_at", now)
+    cache, left = snapshot.after_renormalize(empty, review, out, resolved, now)
+    return cache.select(F.lit("cache").alias("kind"), "source", "raw_id", "reason").unionAll(left.select(F.lit("review"), "source", "raw_id", "reason"))
+
+
 @query("SELECT o_orderkey FROM orders WHERE o_custkey % 2 = 0 OR (o_custkey % 2 = 1 AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY'))")
 def rejected_recovery(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
@@ -107,9 +131,13 @@ def backfill(spark, sf_dir):
 
 
 @query(f"""WITH {SESSION_SQL}, k AS (SELECT substr(sha1(lower(title) || '|' || date || '|' || lower(regexp_replace(venue, '\\s', '', 'g'))), 1, 16) AS id, * FROM session)
-SELECT id, arg_max(time, ord) AS time, max(ord) AS ord FROM k GROUP BY id""")
+SELECT id, arg_max(time, ord) AS time, max(ord) AS ord, '未知' AS city, 'manual ' || id AS source FROM k GROUP BY id HAVING NOT bool_or(ends_with(venue, '3')) OR max(ord) > min(ord)""")
 def manual_build(spark, sf_dir):
-    return prefs.manual_events(sessions(spark, sf_dir).select("title", "date", "venue", "time", "ord")).select("id", "time", "ord")
+    rows = sessions(spark, sf_dir).select("title", "date", "venue", "time", "ord")
+    # events at some venues are removed right after they were first given
+    removed = prefs.manual_events(rows.withColumn("ord", -F.col("ord"))).where(F.col("venue").endswith("3")).select("id", (-F.col("ord")).alias("ord"))
+    made = prefs.manual_events(rows, removed)
+    return made.select("id", "time", "ord", "city", F.concat_ws(" ", F.col("sources")[0]["name"], F.col("sources")[0]["raw_id"]).alias("source"))
 
 
 @query("SELECT l_orderkey, bool_and(l_returnflag = 'R') AS terminal FROM lineitem GROUP BY l_orderkey")

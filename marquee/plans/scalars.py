@@ -234,7 +234,7 @@ def labeled_fields(spark, sf_dir):
     return o.select("o_orderkey", extract.labeled_field(html, "地點|場地").alias("venue"), extract.labeled_field(html, "時間").alias("times"), F.concat(F.lit("low="), shown).alias("prices"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN 'old ' ELSE 'new ' END || o_orderkey AS routed, CASE o_custkey % 3 WHEN 0 THEN 'x' ELSE 'template' END AS preferred, 'front=' || o_custkey AS tiers, strftime(o_orderdate, '%Y-%m-%d') AS cell, 'hall' || o_custkey || '|1 A st' AS venue, 'NT$' || o_custkey AS paragraph, 'Show' AS title, 1 AS n_blocks FROM orders""")
+@query("""SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN 'old ' ELSE 'new ' END || o_orderkey AS routed, CASE o_custkey % 3 WHEN 0 THEN 'x' ELSE 'template' END AS preferred, 'front=' || o_custkey AS tiers, strftime(o_orderdate, '%Y-%m-%d') AS cell, 'hall' || o_custkey || '|1 A st' AS venue, 'NT$' || o_custkey AS paragraph, 'Show ' || o_orderkey || 'th (0102)' AS title, strftime(o_orderdate, '%Y/%m/%d') || '|hall' || o_custkey || '|' || o_orderkey || ' Road;2024-01-02' AS blocks, o_custkey || '|' || (1000 + o_custkey % 1000) || '|-' AS cells FROM orders""")
 def page_templates(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     c, k = F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string")
@@ -242,12 +242,16 @@ def page_templates(spark, sf_dir):
     route = extract.routed(html, [("class=old", F.concat(F.lit("old "), F.regexp_extract(html, "<b>(.*?)</b>", 1))), ("class=new", F.concat(F.lit("new "), F.regexp_extract(html, "<i>(.*?)</i>", 1)))])
     tiers = extract.tiers_from_map(F.create_map(F.lit("front"), F.col("o_custkey").cast("double"), F.lit("Pair seat"), F.lit(9.0)))
     venue = extract.cell_venue(F.concat(F.lit('<a href="https://maps.test/?q=1%20A%20st&z=1">hall'), c, F.lit("</a> 2F")))
-    blocks = extract.session_blocks(F.concat(F.lit("<div>2024/01/02 <b>x</b></div><div>soon <b>y</b></div>")), "<div>(.*?)</div>", r"^(\S+)", "<b>(.*?)</b>")
+    day = F.date_format("o_orderdate", "yyyy/MM/dd")
+    blocks = extract.session_blocks(F.concat(F.lit("<div>"), day, F.lit(" <b>hall"), c, F.lit("</b><i>"), k, F.lit(" Road</i></div><div>soon <b>y</b></div><div>2024-01-02</div>")), "<div>(.*?)</div>", r"^(\S+)", "<b>(.*?)</b>", "<i>(.*?)</i>")
+    said = F.array_join(F.transform(blocks, lambda b: F.concat_ws("|", b["moment"], b["venue"], b["address"])), ";")
+    rows = extract.typed_rows(F.concat(F.lit("<tr><td>"), c, F.lit(" seats</td><td>NT$ 1,"), F.lpad(F.pmod(F.col("o_custkey"), F.lit(1000)).cast("string"), 3, "0"), F.lit("</td></tr><tr></tr>")), {"seats": (0, "int"), "price": (1, "double"), "left": (2, "int")})
     return o.select(
         "o_orderkey", route.alias("routed"), extract.preferred(F.when(F.col("o_custkey") % 3 == 0, "x").otherwise(""), F.lit("template")).alias("preferred"),
         F.array_join(F.transform(tiers, lambda t: F.concat(t["name"], F.lit("="), t["price"].cast("int").cast("string"))), ",").alias("tiers"),
         extract.cell_date(F.concat(F.lit('<time datetime="'), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit('">d</time>'))).alias("cell"), F.concat_ws("|", venue["venue"], venue["address"]).alias("venue"),
-        extract.price_paragraph(F.concat(F.lit("<p>hello</p><p>NT$"), c, F.lit("（含飲料券100元）</p>"))).alias("paragraph"), extract.title_clean(F.lit("Show 0102 ")).alias("title"), F.size(blocks).alias("n_blocks"))
+        extract.price_paragraph(F.concat(F.lit("<p>hello</p><p>NT$"), c, F.lit("（含飲料券100元）</p>"))).alias("paragraph"), 
+        extract.title_clean(F.concat(F.lit("Ｓhow "), k, F.lit("th (0102) ｜"))).alias("title"), said.alias("blocks"), F.array_join(F.transform(rows, lambda r: F.concat_ws("|", r["seats"], r["price"].cast("int"), F.coalesce(r["left"].cast("string"), F.lit("-")))), ";").alias("cells"))
 
 
 @query("SELECT o_orderkey, '{\"id\": ' || o_orderkey || ', \"t\": \"a}b\"}' AS found FROM orders")
@@ -297,14 +301,22 @@ def source_signals(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", status.vocabulary_signal(F.col("o_orderpriority"), F.col("o_orderstatus"), words).alias("signal"))
 
 
-@query("SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN p_name WHEN 1 THEN 'known hall' ELSE p_name || ' hall' END AS venue FROM part")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'known' WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 3 = 0 THEN 'offers' WHEN o_orderkey % 2 = 0 THEN 'children' WHEN o_orderstatus = 'F' THEN 'table' END AS signal FROM orders""")
+def detail_signals(spark, sf_dir):
+    k = F.col("o_orderkey")
+    signal = extract.detail_signal(F.when(k % 5 == 0, "known"), k % 7 == 0, F.when(k % 3 == 0, "offers"), F.when(k % 2 == 0, "children"), F.when(F.col("o_orderstatus") == "F", "table"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", signal.alias("signal"))
+
+
+@query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN p_name WHEN 1 THEN 'known hall / ' || p_size || ' First Road' WHEN 2 THEN p_size || ' Other Road / 2F' ELSE p_name || ' hall / 1 First Road' END AS venue FROM part")
 def clean_venues(spark, sf_dir):
     from marquee.operators.normalize import clean_venue
 
-    k = F.col("p_size") % 3
-    raw = F.when(k == 0, F.concat(F.lit("📍 "), "p_name", F.lit(" https://maps.test/?q=1"))).when(k == 1, F.upper("p_name")).otherwise(F.concat("p_name", F.lit(" hall")))
-    title = F.when(k == 1, F.concat(F.lit("Live! "), "p_name")).otherwise("a show")
-    return table(spark, sf_dir, "part").select("p_partkey", clean_venue(raw, F.lit("known hall"), title).alias("venue"))
+    k = F.col("p_size") % 4
+    size = F.col("p_size").cast("string")
+    raw = (F.when(k == 0, F.concat("p_name", F.lit(" 📍 https://maps.test/?q=1"))).when(k == 1, F.concat(F.upper("p_name"), F.lit("! / "), size, F.lit(" First Road 📍")))
+           .when(k == 2, F.concat("p_name", F.lit("/"), size, F.lit(" Other Road / 2F"))).otherwise(F.concat("p_name", F.lit(" hall / 1 First Road"))))
+    return table(spark, sf_dir, "part").select("p_partkey", clean_venue(raw, F.col("p_name"), (("First Road", "known hall"),)).alias("venue"))
 
 
 @query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'free=0' WHEN 1 THEN 'from=' || p_size WHEN 2 THEN 'from=' || p_size || ',to=' || (p_size + 100) ELSE '' END AS tiers, CASE p_size % 3 WHEN 0 THEN '甲廳|乙廳' ELSE '甲廳' END AS venues FROM part")

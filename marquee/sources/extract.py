@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from marquee.functions.price import html_to_lines
-from marquee.functions.text import let, utrim
+from marquee.functions.text import let, nfkc, utrim
 
 EVENT_SCHEMA = "struct<`@type`:string,name:string,startDate:string,location:struct<name:string>,offers:array<struct<availability:string,validFrom:string,validThrough:string,price:string>>>"
 
@@ -84,6 +85,23 @@ def table_rows(html: Column) -> Column:
     return F.filter(F.transform(rows, cell), lambda r: F.size(r) > 0)
 
 
+def typed_rows(html: Column, columns: dict[str, tuple[int, str]]) -> Column:
+    """Table rows as structs of named columns (cell number from 0, type).
+
+    Numbers may have thousands separators and a currency before them. A cell that is
+    missing or isn't of its type is null; rows without any readable cell go.
+    """
+
+    def field(row, name, at, kind):
+        text = F.get(row, F.lit(at))
+        if kind in ("int", "long", "double"):
+            text = F.replace(F.regexp_extract(text, r"(-?\d[\d,]*(?:\.\d+)?)", 1), F.lit(","), F.lit(""))
+        return F.nullif(text, F.lit("")).try_cast(kind).alias(name)
+
+    rows = F.transform(table_rows(html), lambda r: F.struct(*[field(r, name, at, kind) for name, (at, kind) in columns.items()]))
+    return F.filter(rows, lambda r: reduce(lambda x, y: x | y, [r[name].isNotNull() for name in columns]))
+
+
 def struck_prices(html: Column) -> Column:
     """Tiers (price, closed) of a price list; a price that is struck out is a closed tier."""
     marked = F.regexp_replace(html, r"(?is)<(s|del)\b[^>]*>(.*?)</\1>", "~$2~")
@@ -130,8 +148,8 @@ def price_paragraph(html: Column) -> Column:
 
 
 def title_clean(c: Column) -> Column:
-    """A title without a trailing date code and a dangling bar. Apply nfkc before."""
-    return utrim(F.regexp_replace(F.regexp_replace(utrim(c), r"\s*[(（]?\d{4}[)）]?$", ""), r"\s*[|｜/]\s*$", ""))
+    """A title in its compatibility form (NFKC), without a trailing date code and a dangling bar."""
+    return utrim(F.regexp_replace(F.regexp_replace(utrim(nfkc(c)), r"\s*[(（]?\d{4}[)）]?$", ""), r"\s*[|｜/]\s*$", ""))
 
 
 def cell_date(cell: Column) -> Column:
@@ -148,10 +166,11 @@ def cell_venue(cell: Column) -> Column:
     return F.struct(F.coalesce(name, rest).alias("venue"), F.try_url_decode(query).alias("address"), F.when(name.isNotNull(), rest).alias("note"))
 
 
-def session_blocks(html: Column, block: str, moment: str, venue: str) -> Column:
-    """Sessions (moment, venue) of repeated blocks; blocks without a well-formed moment go."""
+def session_blocks(html: Column, block: str, moment: str, venue: str, address: str) -> Column:
+    """Sessions (moment, venue, address) of repeated blocks; what a block lacks is null, blocks without a well-formed moment go."""
     blocks = F.regexp_extract_all(html, F.lit(block), F.lit(1))
-    rows = F.transform(blocks, lambda b: F.struct(F.regexp_extract(b, moment, 1).alias("moment"), utrim(F.regexp_extract(b, venue, 1)).alias("venue")))
+    part = lambda b, pattern: F.nullif(utrim(F.regexp_extract(b, pattern, 1)), F.lit(""))
+    rows = F.transform(blocks, lambda b: F.struct(part(b, moment).alias("moment"), part(b, venue).alias("venue"), part(b, address).alias("address")))
     return F.filter(rows, lambda r: r["moment"].rlike(r"^\d{4}[-/]\d{2}[-/]\d{2}"))
 
 
@@ -160,9 +179,19 @@ def preferred(structured: Column, template: Column) -> Column:
     return F.coalesce(F.nullif(structured, F.lit("")), F.nullif(template, F.lit("")))
 
 
-def shape_listing(df: DataFrame, source: str, fields: dict[str, Column]) -> DataFrame:
-    """A source's extracted fields as listings: raw_id, url, title, venue joined with its address, and what else is given."""
+def detail_signal(known: Column, excluded: Column, offers: Column, children: Column, table: Column) -> Column:
+    """The sale signal of a detail page: the known one; none for pages that rules leave out; then of offers, child pages, the price table."""
+    return F.when(known.isNotNull(), known).when(~F.coalesce(excluded, F.lit(False)), F.coalesce(offers, children, table))
+
+
+def shape_listing(df: DataFrame, source: str, fields: dict[str, Column | list[Column]]) -> DataFrame:
+    """A source's extracted fields as listings: raw_id, url, title, venue joined with its address, and what else is given.
+
+    A raw_id of several parts, as for a page with many sessions, is joined by dashes without the parts that are null.
+    """
     cols = {"source": F.lit(source)} | fields
+    if isinstance(cols.get("raw_id"), list):
+        cols["raw_id"] = F.concat_ws("-", *[c.cast("string") for c in cols["raw_id"]])
     if "venue" in cols and "address" in cols:
         cols["venue"] = F.concat_ws(" / ", F.nullif(cols["venue"], F.lit("")), F.nullif(cols.pop("address"), F.lit("")))
     return df.select(*[c.alias(k) for k, c in cols.items()])

@@ -61,6 +61,15 @@ def write_snapshot(df: DataFrame, path: str, run_date: str) -> None:
     (df.withColumn("run_date", F.lit(run_date)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_date").parquet(path))
 
 
+def write_outputs(outputs: dict[str, DataFrame], path: str, run_date: str) -> None:
+    """One run's outputs (events, digest, review, sources, ...), each a snapshot table of its own below path.
+
+    events is written last: readers that look for a run there find its other outputs complete.
+    """
+    for name in sorted(outputs, key=lambda n: n == "events"):
+        write_snapshot(outputs[name], f"{path}/{name}", run_date)
+
+
 def latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
     """The newest run; the filter prunes the other partitions."""
     df = spark.read.parquet(path)

@@ -258,6 +258,19 @@ def test_extraction(spark):
     assert s(lambda c: extract.labeled_field(c, "地點"), "<p>地點：</p><p>甲</p><p>乙</p><p>時間：x</p>") == "甲 / 乙"
     assert s(extract.decode_entities, "&amp;lt;&lt;") == "&lt;<" and s(extract.title_clean, "Show (0102) ") == "Show"
     assert s(extract.table_rows, "<table><tr><td>a</td><td> <b>b</b></td></tr></table>") == [["a", "b"]]
+    kinds = {"day": (0, "date"), "price": (1, "int")}
+    assert [tuple(r) for r in s(lambda c: extract.typed_rows(c, kinds), "<tr><th>day</th></tr><tr><td>2026-05-01</td><td>NT$ 1,200</td></tr><tr><td>x</td><td>free</td></tr><tr><td>x</td><td>7</td></tr>")] == [(dt.date(2026, 5, 1), 1200), (None, 7)]
+    assert s(lambda c: extract.typed_rows(c, kinds), None) is None and s(lambda c: extract.typed_rows(c, kinds), "") == []
+    blocks = s(lambda c: extract.session_blocks(c, "<div>(.*?)</div>", r"^(\S+)", "<b>(.*?)</b>", "<i>(.*?)</i>"), "<div>2026-05-01 <i>Road</i></div><div>soon <b>v</b></div>")
+    assert [tuple(b) for b in blocks] == [("2026-05-01", None, "Road")]
+    assert s(extract.title_clean, "Ｓｈｏｗ ｜") == "Show" and s(extract.title_clean, None) is None
+
+
+def test_venues(spark):
+    v = lambda venue, title: one(spark, normalize.clean_venue(F.col("v"), F.col("t"), (("South Rd", "known hall"),)), v=("string", venue), t=("string", title))
+    assert v("Club X 📍 https://maps.test/?q=1", "a") == "Club X" and v("Club X 📍", None) == "Club X" and v(None, None) == ""
+    assert v("My Show! / 1 South Rd", "my show") == "known hall / 1 South Rd" and v("My Show / 2 North Rd / 2F", "my show") == "2 North Rd / 2F"
+    assert v("My Show", "my show") == "My Show" and v("Show", "my show") == "Show"
 
 
 def test_tables(spark, tmp_path):
@@ -274,6 +287,10 @@ def test_tables(spark, tmp_path):
     for day, n in (("2026-05-01", 3), ("2026-05-02", 2), ("2026-05-02", 1)):
         tables.write_snapshot(spark.range(n).withColumn("v", F.lit("x")), out, day)
     assert tables.latest_snapshot(spark, out).count() == 1 and spark.read.parquet(out).count() == 4
+    tables.write_outputs({"events": spark.range(2), "review": spark.range(1), "digest": spark.range(0)}, str(tmp_path / "run"), "2026-05-03")
+    assert [tables.latest_snapshot(spark, str(tmp_path / "run" / n)).count() for n in ("events", "review")] == [2, 1]
+    parts = extract.shape_listing(spark.createDataFrame([("u", 1), ("u", None)], "url string, n int"), "good", {"raw_id": [F.col("url"), F.col("n")]})
+    assert sorted(r.raw_id for r in parts.collect()) == ["u", "u-1"]
     tables.EXTRACTORS.clear()
     tables.register_extractor("good", 1, lambda df: extract.shape_listing(df, "good", {"raw_id": F.col("url"), "venue": F.lit("v"), "address": F.lit("a")}))
     tables.register_extractor("bad", 2, lambda df: df.select("missing"))
