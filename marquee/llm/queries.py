@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and the SQL of those that SQL can express."""
 
-from marquee.llm import audio, embedding_dups, langid, mixing, packing, repeats, simhash, token_counts, toxicity, warc_fixity
+from marquee.llm import audio, conversations, embedding_dups, importance, langid, mixing, packing, repeats, simhash, token_counts, token_files, toxicity, warc_fixity
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -13,9 +13,13 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_repeats": repeats.op9_repeats,
     "op10_packing": packing.op10_packing,
+    "op11_importance_resampling": importance.op11_importance_resampling,
+    "op12_token_files": token_files.op12_token_files,
+    "op13_conversation_repair": conversations.op13_conversation_repair,
 }
 
 SQL = {
     "op3_mixing": mixing.OP3_SQL,
     "op6_warc_fixity": warc_fixity.OP6_SQL,
+    "op11_importance_resampling": importance.OP11_SQL,
 }
