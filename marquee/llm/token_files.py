@@ -14,63 +14,101 @@ settled table, so files of failed or doubled attempts are never listed.
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from marquee.llm.common import settle, shared_dir, table
+from marquee.llm.token_counts import PATTERN
 
 BATCH = 256  # sequences of a record batch
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 500_000
+MARKS = frozenset(",.;:!?")
 CACHE_CHARS = 64
 MANIFEST = "part int, path string, n_documents long, n_tokens long"
 
 
 class LibraryEncoder:
-    """Ids as the tokenizers library gives them; chunks between spaces are asked for once.
+    """Ids as the tokenizers library gives them; each pre-token is asked for once.
 
-    A chunk with the space before it is split and merged alike wherever it stands, but
-    where spaces meet, end a text, or a special string is near: such texts go whole.
+    A chunk between spaces, with the space before it, is split and merged alike wherever
+    it stands, and so are its pre-tokens. Texts in which spaces meet, that end in one or
+    hold a special string go to the library whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.library = Tokenizer.from_file(path)
+        self.library, self.of_pieces = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        if not isinstance(self.library.pre_tokenizer, pre_tokenizers.ByteLevel):
+            raise ValueError(f"{path} is no byte-level vocabulary")
+        self.of_pieces.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)  # they are split already
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def asked(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        self.pattern = regex.compile(PATTERN)
+        self.chunks: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def asked(self, texts: list[str], library=None) -> list[bytes]:
+        code = "H" if self.kind.itemsize == 2 else "I"
+        return [array(code, e.ids).tobytes() for e in (library or self.library).encode_batch_fast(texts, add_special_tokens=False)]
+
+    def split(self, chunk: str) -> list[str]:
+        """Pre-tokens of a chunk, with the space before it."""
+        if chunk.isalpha():
+            return [" " + chunk]
+        if chunk[-1:] in MARKS and chunk[:-1].isalpha():
+            return [" " + chunk[:-1], chunk[-1]]
+        return self.pattern.findall(" " + chunk)
+
+    def learn(self, chunks: set[str]) -> list[str]:
+        """Have the ids of all these chunks at hand; those among them that are too long to keep."""
+        new = [c for c in chunks if c not in self.chunks]
+        if len(self.chunks) + len(new) > CACHE_ENTRIES:
+            self.chunks.clear()
+            new = [*chunks]
+        parts = [self.split(c) for c in new]
+        needed = {p for ps in parts for p in ps}
+        missing = [p for p in needed if p not in self.pieces]
+        if len(self.pieces) + len(missing) > CACHE_ENTRIES:
+            self.pieces.clear()
+            missing = [*needed]
+        self.pieces.update(zip(missing, self.asked(missing, self.of_pieces)))
+        piece = self.pieces.__getitem__
+        self.chunks.update((c, b"".join(map(piece, ps))) for c, ps in zip(new, parts))
+        for p in missing:
+            if len(p) > CACHE_CHARS:
+                del self.pieces[p]
+        return [c for c in new if len(c) > CACHE_CHARS]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         whole = [t for t in texts if "  " in t or t[-1:] == " " or any(s in t for s in self.special)]
         by_text = dict(zip(whole, self.asked(whole))) if whole else {}
-        parts = [None if t in by_text else [*t.split(" ")] for t in texts]
-        first = {p[0] for p in parts if p and p[0]}
-        heads = dict(zip(first, self.asked([*first])))
+        parts = [None if t in by_text else t.split(" ") for t in texts]
+        first = [*{p[0] for p in parts if p and p[0]}]
+        heads = dict(zip(first, self.asked(first)))
         heads[""] = b""
-        seen = {c for p in parts if p for c in p[1:]}
-        new = [c for c in seen if c not in self.known]
-        if len(self.known) + len(new) > CACHE_ENTRIES:
-            self.known.clear()
-            new = [*seen]
-        self.known.update(zip(new, self.asked([" " + c for c in new])))
-        found = [by_text[t] if p is None else heads[p[0]] + b"".join(map(self.known.__getitem__, p[1:])) for t, p in zip(texts, parts)]
-        for c in new:
-            if len(c) > CACHE_CHARS:
-                del self.known[c]
+        gc.disable()  # the lists of pieces are many and hold no cycles
+        try:
+            long = self.learn({c for p in parts if p for c in p[1:]})
+        finally:
+            gc.enable()
+        found = [by_text[t] if p is None else heads[p[0]] + b"".join(map(self.chunks.__getitem__, p[1:])) for t, p in zip(texts, parts)]
+        for c in long:
+            del self.chunks[c]
         return found
 
 
