@@ -34,12 +34,35 @@ from marquee.llm.common import settle, shared_dir, table
 from marquee.llm.token_counts import PATTERN
 
 BATCH = 256  # sequences of a record batch
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 300_000  # of a generation
 MARKS = frozenset(",.;:!?")
-CACHE_CHARS = 64
+CACHE_CHARS = 8_000_000  # that came into a generation
 MANIFEST = "part int, path string, n_documents long, n_tokens long"
 
 
+class Recent:
+    """What was met lately, in two generations: the elder goes once the younger is full."""
+
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.chars = 0
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """Those of keys that aren't held; the others are young from now on."""
+        if len(self.young) > CACHE_ENTRIES or self.chars > CACHE_CHARS:
+            self.young, self.old, self.chars = {}, self.young, 0
+        young, old, out = self.young, self.old, []
+        for k in keys:
+            if k not in young:
+                if k in old:
+                    young[k] = old[k]
+                else:
+                    out.append(k)
+                    self.chars += len(k)
+        return out
+
+
 class LibraryEncoder:
     """Ids as the tokenizers library gives them; each pre-token is asked for once.
 
@@ -59,8 +82,7 @@ class LibraryEncoder:
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.pattern = regex.compile(PATTERN)
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.chunks, self.pieces = Recent(), Recent()
 
     def asked(self, texts: list[str], library=None) -> list[bytes]:
         code = "H" if self.kind.itemsize == 2 else "I"
@@ -74,25 +96,15 @@ class LibraryEncoder:
             return [" " + chunk[:-1], chunk[-1]]
         return self.pattern.findall(" " + chunk)
 
-    def learn(self, chunks: set[str]) -> list[str]:
-        """Have the ids of all these chunks at hand; those among them that are too long to keep."""
-        new = [c for c in chunks if c not in self.chunks]
-        if len(self.chunks) + len(new) > CACHE_ENTRIES:
-            self.chunks.clear()
-            new = [*chunks]
+    def learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """The ids of all these chunks, and of others that were met lately."""
+        new = self.chunks.missing(chunks)
         parts = [self.split(c) for c in new]
-        needed = {p for ps in parts for p in ps}
-        missing = [p for p in needed if p not in self.pieces]
-        if len(self.pieces) + len(missing) > CACHE_ENTRIES:
-            self.pieces.clear()
-            missing = [*needed]
-        self.pieces.update(zip(missing, self.asked(missing, self.of_pieces)))
-        piece = self.pieces.__getitem__
-        self.chunks.update((c, b"".join(map(piece, ps))) for c, ps in zip(new, parts))
-        for p in missing:
-            if len(p) > CACHE_CHARS:
-                del self.pieces[p]
-        return [c for c in new if len(c) > CACHE_CHARS]
+        missing = self.pieces.missing({p for ps in parts for p in ps})
+        self.pieces.young.update(zip(missing, self.asked(missing, self.of_pieces)))
+        piece = self.pieces.young.__getitem__
+        self.chunks.young.update((c, piece(ps[0]) if len(ps) == 1 else b"".join(map(piece, ps))) for c, ps in zip(new, parts))
+        return self.chunks.young
 
     def encode(self, texts: list[str]) -> list[bytes]:
         whole = [t for t in texts if "  " in t or t[-1:] == " " or any(s in t for s in self.special)]
@@ -103,13 +115,10 @@ class LibraryEncoder:
         heads[""] = b""
         gc.disable()  # the lists of pieces are many and hold no cycles
         try:
-            long = self.learn({c for p in parts if p for c in p[1:]})
+            ids = self.learn({c for p in parts if p for c in p[1:]}).__getitem__
         finally:
             gc.enable()
-        found = [by_text[t] if p is None else heads[p[0]] + b"".join(map(self.chunks.__getitem__, p[1:])) for t, p in zip(texts, parts)]
-        for c in long:
-            del self.chunks[c]
-        return found
+        return [by_text[t] if p is None else heads[p[0]] + b"".join(map(ids, p[1:])) for t, p in zip(texts, parts)]
 
 
 @lru_cache(1)
