@@ -178,6 +178,7 @@ def test_token_files_of_nothing_and_of_texts_as_ids(spark, odd, tmp_path):
 
 def test_encoder_forgets_but_is_right(monkeypatch):
     monkeypatch.setattr(token_files, "CACHE_ENTRIES", 3)
+    monkeypatch.setattr(token_files, "CACHE_CHARS", 100)
     encoder = token_files.LibraryEncoder(BPE)
     texts = ["a b c", "d e f g", " a", "a ", "", "x  y", f"b {'long' * 40} c", "q <|endoftext|> r", "line\nbreak \n z"]
     for _ in range(2):
