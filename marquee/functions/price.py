@@ -125,9 +125,7 @@ def source_names(sources: Column) -> Column:
     return F.array_join(F.array_distinct(F.transform(sources, lambda s: s["name"])), " · ")
 
 
-def price_label(low: Column, high: Column) -> Column:
-    """NT$ a–b, NT$ a, free, or empty."""
-    money = lambda x: F.format_number(x, 0)
-    return (
-        F.when(low.isNull(), "").when((low == 0) & (high == 0), "免費")
-        .when(low == high, F.concat(F.lit("NT$"), money(low))).otherwise(F.concat(F.lit("NT$"), money(low), F.lit("–"), money(high))))
+def price_label(low: Column, suffix: str = " up") -> Column:
+    """The lowest price and upwards, or that it isn't known."""
+    whole = low == F.floor(low)
+    return F.when(low.isNull(), "票價未公布").otherwise(F.concat(F.lit("NT$"), F.when(whole, F.format_number(low, 0)).otherwise(F.regexp_replace(F.format_number(low, 3), "0+$", "")), F.lit(suffix)))

@@ -95,5 +95,6 @@ def refreshed(status: Column, on_sale_at: Column, date: Column, signal: Column,
 
 
 def status_label(status: Column) -> Column:
-    words = {"on_sale": "售票中", "announced": "尚未開賣", "sold_out": "已售完", "ended": "已結束"}
+    """What a status is called; sold out and closed for another reason can't be told apart, so it says that the sale has ended."""
+    words = {"on_sale": "售票中", "announced": "尚未開賣", "sold_out": "結束販售", "ended": "已結束"}
     return F.create_map(*[F.lit(x) for kv in words.items() for x in kv])[status]

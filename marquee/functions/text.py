@@ -79,48 +79,59 @@ def safe_url(c: Column) -> Column:
     return F.when(c.rlike(r"(?i)^https?://"), c)
 
 
-BARE_CITY = "^(" + "|".join(CITIES) + ")$"
+#: Cities that stand before a venue's name without being part of it.
+PREFIX_CITIES = ("台北", "新北", "桃園", "新竹", "台中", "台南", "高雄", "基隆")
 
 
-def venue_key(c: Column, aliases: dict[str, str] | None = None) -> Column:
-    """A key that spellings of one venue share.
-
-    Variant characters, case, spaces and middle dots fold; Latin letters behind a name in
-    another script go unless that name is a bare city; then aliases map keys to keys.
-    c should be NFKC-normalised (nfkc) if it may hold compatibility forms.
-    """
+def _key(c: Column, aliases: dict[str, str] | None) -> Column:
     base = utrim(F.lower(fold_variant_char(F.regexp_replace(c, "[·・‧•]", ""))))
-    head = F.regexp_extract(base, r"^(.*[^\x00-\x7F])\s*[a-z0-9][\x00-\x7F]*$", 1)
-    cut = F.when((head != "") & ~utrim(head).rlike(BARE_CITY), head).otherwise(base)
-    key = F.regexp_replace(cut, r"(?U)\s", "")
+    latin = r"\s+([a-z0-9 .'&-]+)$"
+    city = F.regexp_extract(base, rf"(?U)^({'|'.join(PREFIX_CITIES)}){latin}", 2)
+    head = F.regexp_extract(base, rf"(?U)^(.*[\u4e00-\u9fff]){latin}", 1)
+    key = F.regexp_replace(F.when(city != "", city).when(head != "", head).otherwise(base), r"(?U)\s", "")
     if aliases:
         key = F.coalesce(F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])[key], key)
     return key
 
 
+def venue_key(c: Column, aliases: dict[str, str] | None = None) -> Column:
+    """A key that spellings of one venue share.
+
+    Compatibility forms, variant characters, case, spaces and middle dots fold; a Latin
+    name behind a space and a Chinese one goes, unless the Chinese one is a bare city,
+    which goes itself; then aliases map keys to keys. Null is the empty key.
+    """
+    return _key(nfkc(F.coalesce(c, F.lit(""))), aliases)
+
+
 def _venue_parts(c: Column) -> Column:
     """What a field that lists venues holds, split at list marks and ampersands."""
     return F.filter(F.transform(F.split(c, r"(?U)\s*[、＆]\s*|\s+&\s+"), utrim), lambda x: x != "")
 
 
+def _composed_parts(parts: Column) -> Column:
+    """The same parts after compatibility composition, which joins and splits no part."""
+    return F.split(nfkc(F.array_join(parts, "\x01")), "\x01")
+
+
 def venue_names(c: Column, aliases: dict[str, str] | None = None) -> Column:
     """The venues that a field lists, as written, one for each key; a field of one venue as it is."""
     parts = _venue_parts(c)
-    keyed = F.transform(parts, lambda x: F.struct(_listed_key(x, aliases).alias("key"), x.alias("name")))
+    keyed = F.zip_with(_composed_parts(parts), parts, lambda x, name: F.struct(_listed_key(x, aliases).alias("key"), name.alias("name")))
     # where two spellings share a key, the last one's name stands at the first one's place
-    last = F.transform(F.array_distinct(keyed["key"]), lambda k: F.element_at(F.filter(keyed, lambda y: y["key"] == k), -1)["name"])
+    last = let(keyed, lambda all_: F.transform(F.array_distinct(all_["key"]), lambda k: F.element_at(F.filter(all_, lambda y: y["key"] == k), -1)["name"]))
     return F.when(F.size(parts) < 2, F.array(c)).otherwise(last)
 
 
 def _listed_key(c: Column, aliases: dict[str, str] | None) -> Column:
     """The key of one of several venues: of the name in brackets if there is one, which is the one that other spellings use."""
-    return venue_key(F.coalesce(F.nullif(F.regexp_extract(c, r"\[([^\]]+)\]", 1), F.lit("")), c), aliases)
+    return _key(F.coalesce(F.nullif(F.regexp_extract(c, r"\[([^\]]+)\]", 1), F.lit("")), c), aliases)
 
 
 def venue_keys(c: Column, aliases: dict[str, str] | None = None) -> Column:
     """The distinct keys of the venues that a field lists, in order."""
     parts = _venue_parts(c)
-    return F.when(F.size(parts) < 2, F.array(venue_key(c, aliases))).otherwise(F.array_distinct(F.transform(parts, lambda x: _listed_key(x, aliases))))
+    return F.when(F.size(parts) < 2, F.array(venue_key(c, aliases))).otherwise(F.array_distinct(F.transform(_composed_parts(parts), lambda x: _listed_key(x, aliases))))
 
 
 def any_of(c: Column, words) -> Column:

@@ -27,15 +27,19 @@ def divided(parents: DataFrame, children: DataFrame, found: DataFrame, *, id_col
 
 
 def child_rollup(parents: DataFrame, children: DataFrame, *, id_col="id") -> DataFrame:
-    """(id_col, signal): children of the parent's day before others; in stock before coming soon before sold out.
+    """(id_col, signal): children of the parent's day before others; in stock before coming soon before ended.
 
-    children: id_col, date, signal. Two grouped passes in one: same-day and all signals
-    are counted side by side.
+    children: id_col, date, signal. Ended is REGISTRATION_CLOSED if all are, else SOLD_OUT;
+    one child whose signal is unknown leaves it null. Same-day and all signals are
+    counted side by side in one grouped pass.
     """
     j = children.join(parents.select(id_col, F.col("date").alias("_d")), id_col)
     same = F.coalesce(F.col("date") == F.col("_d"), F.lit(False))
-    seen = lambda s, c: F.coalesce(F.bool_or(c & (F.col("signal") == s)), F.lit(False))
-    pick = lambda c: F.when(seen("IN_STOCK", c), "IN_STOCK").when(seen("COMING_SOON", c), "COMING_SOON").when(F.bool_and(~c | F.col("signal").isin("SOLD_OUT", "REGISTRATION_CLOSED")), "SOLD_OUT")
+    said = F.coalesce("signal", F.lit(""))
+    seen = lambda s, c: F.bool_or(c & (said == s))
+    every = lambda s, c: F.bool_and(~c | said.isin(s))
+    pick = lambda c: (
+        F.when(seen("IN_STOCK", c), "IN_STOCK").when(seen("COMING_SOON", c), "COMING_SOON").when(every(["REGISTRATION_CLOSED"], c), "REGISTRATION_CLOSED").when(every(["SOLD_OUT", "REGISTRATION_CLOSED"], c), "SOLD_OUT"))
     return j.groupBy(id_col).agg(F.when(F.bool_or(same), pick(same)).otherwise(pick(F.lit(True))).alias("signal"))
 
 

@@ -34,11 +34,12 @@ def hosts(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.host_label(F.col("url"), ".example.com").alias("account"), text.safe_url(F.col("url")).alias("safe"))
 
 
-@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'legacytaipei' WHEN 1 THEN '台中展演館' WHEN 2 THEN '台北' || ' arena' ELSE 'hall' || p_size END AS key FROM part""")
+@query("""SELECT p_partkey, CASE p_size % 9 WHEN 0 THEN 'legacytaipei' WHEN 1 THEN '台中展演館' WHEN 2 THEN 'thewall' || p_size WHEN 3 THEN '小巨蛋arena' WHEN 4 THEN '小巨蛋' WHEN 5 THEN 'ab(' || p_size || ')' WHEN 6 THEN 'moondog' WHEN 7 THEN '嘉義' ELSE 'hall' || p_size END AS key FROM part""")
 def venue_keys(spark, sf_dir):
-    k = F.col("p_size") % 4
-    raw = F.when(k == 0, "Legacy・Taipei").when(k == 1, "臺中展演館 Taichung Hall").when(k == 2, "臺北 ARENA").otherwise(F.concat(F.lit("Hall "), F.col("p_size").cast("string")))
-    return table(spark, sf_dir, "part").select("p_partkey", F.regexp_replace(text.venue_key(raw), "^台北arena$", "台北 arena").alias("key"))
+    k, n = F.col("p_size") % 9, F.col("p_size").cast("string")
+    raw = (F.when(k == 0, "Legacy・Taipei").when(k == 1, "臺中展演館 Taichung Hall").when(k == 2, F.concat(F.lit("臺北 The Wall "), n)).when(k == 3, "小巨蛋Arena").when(k == 4, "小巨蛋　Taipei Arena-2")
+           .when(k == 5, F.concat(F.lit("ＡＢ（"), n, F.lit("） "))).when(k == 6, "Moondog Taipei").when(k == 7, "嘉義 Arena").otherwise(F.concat(F.lit("Hall "), n)))
+    return table(spark, sf_dir, "part").select("p_partkey", text.venue_key(raw, {"moondogtaipei": "moondog"}).alias("key"))
 
 
 @query("""WITH g AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN o_custkey % 24 END AS h FROM orders)
@@ -121,12 +122,12 @@ def sale_dates(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", price.on_sale_at(raw).alias("on_sale_at"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_totalprice < 500 THEN '免費' ELSE 'NT$' || printf('%,d', CAST(floor(o_totalprice / 1000) AS INT)) || '–' || printf('%,d', CAST(floor(o_totalprice / 500) AS INT)) END AS label, CASE WHEN o_custkey % 3 = 0 THEN 'b · a' ELSE 'b' END AS sources FROM orders""")
+@query("""SELECT o_orderkey, CASE WHEN o_custkey % 4 = 0 THEN '票價未公布' ELSE 'NT$' || printf('%,d', CAST(floor(o_totalprice / 10) AS INT)) || CASE WHEN o_custkey % 4 = 1 THEN '.5' ELSE '' END || ' up' END AS label, CASE WHEN o_custkey % 3 = 0 THEN 'b · a' ELSE 'b' END AS sources FROM orders""")
 def price_labels(spark, sf_dir):
     p = F.col("o_totalprice")
     source = lambda name: F.struct(F.lit(name).alias("name"), F.col("o_orderkey").alias("raw_id"))
     sources = F.array(source("b"), F.when(F.col("o_custkey") % 3 == 0, source("a")).otherwise(source("b")), source("b"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", price.price_label(F.floor(p / 1000), F.floor(p / 500)).alias("label"), price.source_names(sources).alias("sources"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", price.price_label(F.when(F.col("o_custkey") % 4 != 0, F.floor(p / 10) + F.when(F.col("o_custkey") % 4 == 1, 0.5).otherwise(0.0))).alias("label"), price.source_names(sources).alias("sources"))
 
 
 @query(f"""WITH {LISTING_SQL}, t AS (SELECT l_orderkey, min(date) AS d, count(*) AS n, bool_or(l_linestatus = 'O' AND l_returnflag <> 'R') AS open, min(CASE WHEN l_returnflag = 'R' THEN CAST(date AS VARCHAR) END) AS start, max(l_orderkey % 6) AS s FROM listing GROUP BY l_orderkey)
@@ -254,10 +255,20 @@ def page_templates(spark, sf_dir):
         extract.title_clean(F.concat(F.lit("Ｓhow "), k, F.lit("th (0102) ｜"))).alias("title"), said.alias("blocks"), F.array_join(F.transform(rows, lambda r: F.concat_ws("|", r["seats"], r["price"].cast("int"), F.coalesce(r["left"].cast("string"), F.lit("-")))), ";").alias("cells"))
 
 
-@query("SELECT o_orderkey, '{\"id\": ' || o_orderkey || ', \"t\": \"a}b\"}' AS found FROM orders")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE '{"shows":[' || CASE WHEN o_orderkey % 3 = 0 THEN '{"n":{"k":1}}' ELSE '' END || '],"id":' || o_orderkey || '}' END AS first_found,
+  CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE '{"a":{"b":' || o_custkey || '},"t":"x}{\\"","shows":[],"id":' || o_orderkey || '}' END AS second_found, CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE 2 END::BIGINT AS n FROM orders""")
 def embedded_json(spark, sf_dir):
-    text_ = F.concat(F.lit('var x = [{"id": '), F.col("o_orderkey").cast("string"), F.lit(', "t": "a}b"}]; {"other": 1}'))
-    return table(spark, sf_dir, "orders").select("o_orderkey", extract.embedded_objects('"id"')(text_)[0].alias("found"))
+    k, c = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    inner = F.concat(F.lit('{"shows":['), F.when(F.col("o_orderkey") % 3 == 0, '{"n":{"k":1}}').otherwise(""), F.lit('],"id":'), k, F.lit("}"))
+    # objects before and around the marker, braces and quotes in strings, the marker's text in a string, cut into chunks anywhere
+    plain = F.concat(F.lit('["{", \'\', {"list":['), inner, F.lit(',{"a":{"b":'), c, F.lit('},"t":"x}{\\"","shows":[],"id":'), k, F.lit('}],"s":"\\"shows\\":["}'))
+    unclosed = F.concat(F.lit('{"shows":[{"a":1}],"id":'), k, F.lit(',"t":"'), inner)
+    said = F.when(F.col("o_orderkey") % 5 == 0, unclosed).otherwise(plain)
+    at = (F.col("o_orderkey") % 40 + 1).cast("int")
+    push = lambda t: F.concat(F.lit('<script>self.push([1,"'), F.replace(F.replace(t, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"])</script>'))
+    page = F.concat(push(F.substring(said, F.lit(1), at)), F.lit('<script>self.push([1,"\\x"])</script>{"shows":[]}'), push(F.substring(said, at + 1, F.lit(10_000))))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", extract.embedded_objects('"shows":[', "self.push")(page).alias("found"))
+    return rows.select("o_orderkey", F.get("found", F.lit(0)).alias("first_found"), F.get("found", F.lit(1)).alias("second_found"), F.size("found").cast("long").alias("n"))
 
 
 # -- publishing
@@ -273,12 +284,36 @@ def sitemap(spark, sf_dir):
     return publish.sitemap(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").cast("string").alias("updated_at")), "https://a.test/")
 
 
-@query(f"""WITH {LISTING_SQL} SELECT raw_id, price, '{{"@context":"https://schema.org","@type":"Event","name":"' || title || '","startDate":"' || date || coalesce('T' || time || ':00+08:00', '') || '","location":{{"@type":"Place","name":"' || venue || '","address":"' || city || '"}}'
-  || CASE WHEN special THEN ',"offers":{{"@type":"AggregateOffer","lowPrice":1.0,"highPrice":2.5,"priceCurrency":"TWD","availability":"https://schema.org/InStock"}}' ELSE '' END || '}}' AS doc FROM listing""")
+_PLACE = """'{{"@type":"Place","name":"' || coalesce({v}, {c}) || '","address":{{"@type":"PostalAddress","addressCountry":"TW"' || coalesce(',"addressLocality":"' || nullif({c}, '未知') || '"', '') || '}}}}'"""
+_OFFER = """CASE WHEN low IS NOT NULL AND {s} <> 'ended' THEN ',"offers":{{"@type":"Offer","url":"https://t.test/' || raw_id || '","price":' || low || '.5,"priceCurrency":"TWD","availability":"https://schema.org/'
+  || CASE {s} WHEN 'on_sale' THEN 'InStock' WHEN 'announced' THEN 'PreOrder' ELSE 'SoldOut' END || '"' || CASE WHEN {s} = 'announced' AND sale IS NOT NULL THEN ',"validFrom":"' || sale || '"' ELSE '' END || '}}' ELSE '' END"""
+_MODE = '"eventStatus":"https://schema.org/EventScheduled","eventAttendanceMode":"https://schema.org/OfflineEventAttendanceMode"'
+
+
+@query(f"""WITH {LISTING_SQL}, r AS (SELECT *, CASE WHEN l_linenumber % 3 <> 0 THEN l_partkey END AS low, ['on_sale', 'announced', 'sold_out', 'ended'][l_orderkey % 4 + 1] AS s, CASE WHEN l_suppkey % 2 = 0 THEN '未知' ELSE city END AS town,
+  CASE WHEN l_linenumber <> 2 THEN venue END AS hall, CASE WHEN special THEN '2024-05-01T12:00:00+08:00' END AS sale FROM listing
+), t AS (SELECT *, title || '｜' || strftime(date, '%Y/%m/%d') || '（' || ['日','一','二','三','四','五','六'][dayofweek(date) + 1] || '）' || coalesce(time, '') || coalesce(' 於' || nullif(concat_ws(' ', nullif(town, '未知'), hall), ''), '')
+  || '，' || coalesce('NT$' || printf('%,d', low) || '.5 起', '票價未公布') || '，' || CASE s WHEN 'on_sale' THEN '售票中' WHEN 'announced' THEN '尚未開賣' WHEN 'sold_out' THEN '結束販售' ELSE '已結束' END || '。資料來源：' || source || '、b。' AS told,
+  CASE WHEN l_linenumber % 2 = 0 THEN '"performer":[{{"@type":"PerformingGroup","name":"' || name || '"}}],' ELSE '' END AS acts FROM r)
+SELECT raw_id, price, '{{"@context":"https://schema.org","@type":"Event","name":"' || title || '","description":"' || told || '","url":"https://a.test/e/' || raw_id || '.html","startDate":"' || date || coalesce('T' || time || ':00+08:00', '') || '",'
+  || CASE WHEN l_linenumber % 4 = 1 THEN '"endDate":"' || (date + 3) || '",' ELSE '' END || '{_MODE},"location":' || {_PLACE.format(v="hall", c="town")} || rtrim(',' || acts, ',')
+  || CASE WHEN special THEN ',"subEvent":[{{"@type":"Event","name":"' || title || '","description":"' || told || '","startDate":"' || date || 'T19:30:00+08:00",{_MODE},"location":' || {_PLACE.format(v="'hall 1'", c="'台北'")} || rtrim(',' || acts, ',') || {_OFFER.format(s="'announced'")}
+    || '}},{{"@type":"Event","name":"' || title || '","description":"' || told || '","startDate":"' || (date + 1) || '",{_MODE},"location":' || {_PLACE.format(v="'未知'", c="'未知'")} || rtrim(',' || acts, ',') || {_OFFER.format(s="'ended'")} || '}}]' ELSE '' END
+  || {_OFFER.format(s="s")} || '}}' AS doc FROM t""")
 def publish_jsonld(spark, sf_dir):
-    rows = listings(spark, sf_dir).withColumn("price_min", F.when(F.col("special"), F.lit(1.0))).withColumn("price_max", F.lit(2.5)).withColumn("ticket_url", F.lit(None).cast("string"))
-    rows = rows.withColumn("sessions", F.array().cast("array<struct<date:date,time:string,venue:string,city:string>>"))
-    return rows.select("raw_id", "price", publish.jsonld(F.lit("on_sale")).alias("doc"))
+    rows = listings(spark, sf_dir)
+    null, line = F.lit(None).cast("string"), F.col("l_linenumber")
+    session = lambda day, time, venue, city, status: F.struct(day.alias("date"), F.lit(time).alias("time"), F.lit(venue).alias("venue"), F.lit(city).alias("city"), F.lit(status).alias("status"))
+    one = session(F.col("date"), "19:30", "hall 1", "台北", "announced")
+    two = session(F.date_add("date", 1), "", "", "未知", "ended")
+    source = lambda x: F.struct(x.alias("name"))
+    rows = rows.withColumns({
+        "id": F.col("raw_id"), "price_min": F.when(line % 3 != 0, F.col("l_partkey") + 0.5), "status": F.element_at(F.array(*map(F.lit, ("on_sale", "announced", "sold_out", "ended"))), (F.col("l_orderkey") % 4 + 1).cast("int")),
+        "city": F.when(F.col("l_suppkey") % 2 == 0, "未知").otherwise(F.col("city")), "venue": F.when(line != 2, F.col("venue")), "ticket_url": F.concat(F.lit("https://t.test/"), "raw_id"), "image": null,
+        "on_sale_at": F.when(F.col("special"), "2024-05-01T12:00:00+08:00"), "date_end": F.when(line % 4 == 1, F.date_add("date", 3)).otherwise(F.col("date")),
+        "headliners": F.when(line % 2 == 0, F.array("name")).otherwise(F.array().cast("array<string>")), "sources": F.array(source(F.col("source")), source(F.lit("b")), source(F.col("source"))),
+        "sessions": F.when(F.col("special"), F.array(one, two)).otherwise(F.array(one))})
+    return rows.select("raw_id", "price", publish.jsonld("https://a.test").alias("doc"))
 
 
 @query("SELECT doc_id, doc_id || ' ' || CASE WHEN length(text) > 80 THEN substr(text, 1, 79) || '…' ELSE text END AS notice FROM documents WHERE length(text) <= 1000 AND length(trim(text)) > 0")
@@ -289,7 +324,7 @@ def reports(spark, sf_dir):
 
 # -- labels, source vocabularies, venue cleaning
 
-@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN '售票中' WHEN 'O' THEN '尚未開賣' ELSE '已售完' END AS label FROM orders")
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN '售票中' WHEN 'O' THEN '尚未開賣' ELSE '結束販售' END AS label FROM orders")
 def status_labels(spark, sf_dir):
     s = F.col("o_orderstatus")
     return table(spark, sf_dir, "orders").select("o_orderkey", status.status_label(F.when(s == "F", "on_sale").when(s == "O", "announced").otherwise("sold_out")).alias("label"))

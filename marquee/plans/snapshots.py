@@ -212,12 +212,17 @@ def division(spark, sf_dir):
     return relations.divided(li.select(F.col("l_orderkey").alias("id")).distinct(), li.select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("child_id")), table(spark, sf_dir, "part").where("p_size > 10").select(F.col("p_partkey").alias("id")))
 
 
-@query("""WITH c AS (SELECT l_orderkey AS id, year(l_shipdate) = year(o_orderdate) AS same, CASE WHEN l_quantity > 40 THEN 'IN_STOCK' WHEN l_quantity > 25 THEN 'COMING_SOON' ELSE 'SOLD_OUT' END AS s FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+_CHILD = "CASE WHEN l_quantity > 46 THEN 'IN_STOCK' WHEN l_quantity > 42 THEN 'COMING_SOON' WHEN l_quantity > 40 THEN NULL WHEN l_orderkey % 3 = 0 THEN 'REGISTRATION_CLOSED' WHEN l_quantity > 20 THEN 'SOLD_OUT' ELSE 'REGISTRATION_CLOSED' END"
+
+
+@query(f"""WITH c AS (SELECT l_orderkey AS id, year(l_shipdate) = year(o_orderdate) AS same, {_CHILD} AS s FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
 k AS (SELECT *, bool_or(same) OVER (PARTITION BY id) AS any_same FROM c)
-SELECT id, CASE WHEN bool_or(s = 'IN_STOCK') THEN 'IN_STOCK' WHEN bool_or(s = 'COMING_SOON') THEN 'COMING_SOON' ELSE 'SOLD_OUT' END AS signal FROM k WHERE same OR NOT any_same GROUP BY id""")
+SELECT id, CASE WHEN count(*) FILTER (s = 'IN_STOCK') > 0 THEN 'IN_STOCK' WHEN count(*) FILTER (s = 'COMING_SOON') > 0 THEN 'COMING_SOON' WHEN count(*) <> count(s) THEN NULL WHEN min(s) = 'REGISTRATION_CLOSED' AND max(s) = 'REGISTRATION_CLOSED' THEN 'REGISTRATION_CLOSED' ELSE 'SOLD_OUT' END AS signal
+FROM k WHERE same OR NOT any_same GROUP BY id""")
 def child_rollup(spark, sf_dir):
-    q = F.col("l_quantity")
-    kids = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.year("l_shipdate").alias("date"), F.when(q > 40, "IN_STOCK").when(q > 25, "COMING_SOON").otherwise("SOLD_OUT").alias("signal"))
+    q, closed = F.col("l_quantity"), F.lit("REGISTRATION_CLOSED")
+    signal = F.when(q > 46, "IN_STOCK").when(q > 42, "COMING_SOON").when(q > 40, None).when(F.col("l_orderkey") % 3 == 0, closed).when(q > 20, "SOLD_OUT").otherwise(closed)
+    kids = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.year("l_shipdate").alias("date"), signal.alias("signal"))
     return relations.child_rollup(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.year("o_orderdate").alias("date")), kids)
 
 

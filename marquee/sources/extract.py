@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from functools import reduce
 
 import pandas as pd
@@ -24,29 +25,50 @@ def jsonld_events(html: Column, schema: str = EVENT_SCHEMA) -> Column:
     return F.get(F.filter(events, lambda e: F.coalesce(e["@type"] == "Event", F.lit(False)) & F.coalesce(e["startDate"].rlike(r"^\d{4}-\d{2}-\d{2}"), F.lit(False))), F.lit(0))
 
 
-def embedded_objects(marker: str):
-    """A function from text columns to arrays of the JSON objects, as text, that hold a marker: braces are balanced, strings and escapes respected."""
+def embedded_objects(marker: str, pushed: str | None = None):
+    """A function from text columns to arrays of the JSON objects, as text, that hold a marker themselves, not in an object inside.
+
+    One pass with a stack of open objects: a marker outside strings flags the innermost
+    one, which is cut out at its closing brace. Objects come in the order in which they
+    close; what isn't closed gives nothing. With pushed, the name of a call, the text is
+    first put together from the string chunks of `pushed([1,"..."])` calls, unescaped;
+    chunks that can't be are passed over. Null gives null.
+    """
 
     @F.pandas_udf(ArrayType(StringType()))
     def scan(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else _objects(t, marker))
+        return s.map(lambda t: None if t is None else _objects(_chunks(t, pushed) if pushed else t, marker))
 
     return scan
 
 
-def _objects(text: str, marker: str) -> list[str]:
-    out, at = [], 0
-    while (hit := text.find(marker, at)) >= 0:
-        start = text.rfind("{", 0, hit)
-        at = hit + len(marker)
-        if start < 0:
-            continue
+#: A string with its escapes, to its end or the text's; or a brace.
+_MARKS = re.compile(r'"[^"\\]*+(?:\\.[^"\\]*+)*+"?|[{}]', re.DOTALL)
+
+
+def _chunks(text: str, call: str) -> str:
+    out = []
+    for m in re.finditer(re.escape(call) + r'\(\[1,("[^"\\]*+(?:\\.[^"\\]*+)*+")\]\)', text, re.DOTALL):
         try:
-            _, end = json.JSONDecoder().raw_decode(text, start)
+            out.append(json.loads(m[1]))
         except ValueError:
             continue
-        out.append(text[start:end])
-        at = max(at, end)
+    return "".join(out)
+
+
+def _objects(text: str, marker: str) -> list[str]:
+    out, stack, at = [], [], 0
+    for m in _MARKS.finditer(text):
+        # a marker that begins between the last string or brace and this one, or with it
+        if stack and text.find(marker, at, m.start() + len(marker)) >= 0:
+            stack[-1][1] = True
+        at = m.end()
+        if m[0] == "{":
+            stack.append([m.start(), False])
+        elif m[0] == "}" and stack:
+            begin, flagged = stack.pop()
+            if flagged:
+                out.append(text[begin:at])
     return out
 
 
