@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marquee.operators.order import positions
+
 PRESETS = (500, 1000, 2000, 3000)
 
 
@@ -108,15 +110,14 @@ def due_reminders(df: DataFrame, *, before=(15, 0)) -> DataFrame:
 
 
 def group_by_date(df: DataFrame) -> DataFrame:
-    """(date, ids): each day's events, by time with unknown times last, then id."""
-    row = F.struct(F.coalesce("time", F.lit("99:99")).alias("t"), "id")
-    return df.groupBy("date").agg(F.transform(F.sort_array(F.collect_list(row)), lambda r: r["id"]).alias("ids"))
+    """df with each event's `position` on its day: by time with unknown times last, then id."""
+    return positions(df, ["date"], [F.coalesce("time", F.lit("99:99")), "id"])
 
 
 def collect_calendar(df: DataFrame, favourites: DataFrame) -> DataFrame:
-    """(date, ids) of favourited events, each on all its `dates`."""
-    rows = df.join(favourites.select("id"), "id", "left_semi").select("id", F.explode("dates").alias("date"))
-    return rows.groupBy("date").agg(F.sort_array(F.collect_set("id")).alias("ids"))
+    """(date, position, id) of favourited events, each once on each of its `dates`, by id."""
+    rows = df.join(favourites.select("id"), "id", "left_semi").select("id", F.explode("dates").alias("date")).distinct()
+    return positions(rows, ["date"], ["id"]).select("date", "position", "id")
 
 
 def new_arrivals(df: DataFrame, now: Column, *, days: int = 7) -> DataFrame:

@@ -22,33 +22,43 @@ def listing_rank(priority: Column, special: Column) -> Column:
     return priority.cast("double") + F.when(special, 0.5).otherwise(0.0)
 
 
+def island_cells(keyed: DataFrame, gap: int = GAP_MINUTES) -> DataFrame:
+    """(base_id, minute, label, first, bucket, island, leads) of each minute of the day at which a group has listings.
+
+    keyed has base_id, minute, time and ord; rows without a minute are left out. A minute's
+    rows are summed up map-side, so the windows see as many rows of a group as there are
+    minutes, however large it is. first is the least ord; the cell with the least of its
+    group leads.
+    """
+    order = [f"ord.{f}" for f in keyed.schema["ord"].dataType.names] if hasattr(keyed.schema["ord"].dataType, "names") else ["ord"]
+    cells = keyed.where("minute is not null").groupBy("base_id", "minute").agg(F.min("time").alias("label"), F.min(F.struct(*order)).alias("first"))
+    own, group = time_bucket(F.concat_ws(":", F.floor(F.col("minute") / 60).cast("string"), F.lpad((F.col("minute") % 60).cast("string"), 2, "0"))), Window.partitionBy("base_id")
+    cells = cells.withColumn("_own", own).withColumn("bucket", F.when(F.min("_own").over(group) != F.max("_own").over(group), F.col("_own")))
+    inner = Window.partitionBy("base_id", "bucket")
+    timed = inner.orderBy("minute")
+    cells = cells.withColumn("_new", (F.coalesce(F.col("minute") - F.lag("minute").over(timed), F.lit(0)) > gap).cast("int")).withColumn("_island", F.sum("_new").over(timed))
+    label = F.min("label").over(Window.partitionBy("base_id", "bucket", "_island"))
+    cells = cells.withColumn("island", F.when(F.max("_island").over(inner) > 0, label))
+    leads = F.struct("first", "minute") == F.min(F.struct("first", "minute")).over(group)
+    return cells.withColumn("leads", leads).drop("_own", "_new", "_island")
+
+
 def resolve_ids(listings: DataFrame, *, gap: int = GAP_MINUTES) -> DataFrame:
     """listings (name, date, venue, time, ord) with `base_id`, `bucket`, `island` and `id`.
 
-    One exchange: rows are dealt by base_id once, and all windows run inside it. Rows
-    without a time go where the first timed row in `ord` order went; a bucket or island
-    is part of the id only if its group has more than one.
+    Rows without a time go where the first timed row in `ord` order went; a bucket or
+    island is part of the id only if its group has more than one. Groups are judged by
+    their minutes (island_cells), and what differs from the plain id is joined back by
+    group and minute, so a group of any size spreads over tasks. Ties in `ord` go to the
+    earlier time. Columns of these names are replaced.
     """
-    df = listings.withColumn("base_id", content_id(F.col("name"), F.col("date"), F.col("venue"))).withColumn("_own", time_bucket(F.col("time")))
-    group = Window.partitionBy("base_id")
-    ahead = group.orderBy(*_order(listings)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    df = df.withColumn("_first", F.first("_own", ignorenulls=True).over(ahead)).withColumn(
-        "_split", F.min("_own").over(group) != F.max("_own").over(group))
-    df = df.withColumn("bucket", F.when(F.col("_split"), F.coalesce("_own", "_first")))
-    inner = Window.partitionBy("base_id", "bucket")
-    timed = inner.orderBy(F.col("_m").asc_nulls_last())
-    df = df.withColumn("_m", minutes_of(F.col("time")))
-    df = df.withColumn("_new", (F.coalesce(F.col("_m") - F.lag("_m").over(timed), F.lit(0)) > gap).cast("int"))
-    df = df.withColumn("_island", F.when(F.col("_m").isNotNull(), F.sum("_new").over(timed.rangeBetween(Window.unboundedPreceding, 0))))
-    in_order = inner.orderBy(*_order(listings)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    df = df.withColumn("_many", F.max("_island").over(inner) > 0).withColumn("_mine", F.coalesce("_island", F.first("_island", ignorenulls=True).over(in_order)))
-    label = F.min("time").over(Window.partitionBy("base_id", "bucket", "_mine"))
-    df = df.withColumn("island", F.when(F.col("_many"), label))
-    return df.withColumn("id", F.concat_ws("-", "base_id", "bucket", "island")).drop("_own", "_first", "_split", "_m", "_new", "_island", "_many", "_mine")
-
-
-def _order(listings: DataFrame) -> list[str]:
-    return [f"ord.{f}" for f in listings.schema["ord"].dataType.names] if hasattr(listings.schema["ord"].dataType, "names") else ["ord"]
+    minute = F.coalesce(minutes_of(F.col("time")), F.lit(-1))
+    keyed = listings.withColumn("base_id", content_id(F.col("name"), F.col("date"), F.col("venue"))).drop("bucket", "island", "id")
+    cells = island_cells(keyed.select("base_id", minutes_of(F.col("time")).alias("minute"), "time", "ord"), gap).where("bucket is not null or island is not null")
+    at = F.explode(F.when(F.col("leads"), F.array(F.col("minute"), F.lit(-1))).otherwise(F.array("minute")))
+    told = cells.select(F.col("base_id").alias("_base"), at.alias("_minute"), "bucket", "island")
+    out = keyed.join(told, (F.col("base_id") == F.col("_base")) & (minute == F.col("_minute")), "left").drop("_base", "_minute")
+    return out.withColumn("id", F.concat_ws("-", "base_id", "bucket", "island"))
 
 
 def merge_groups(resolved: DataFrame, *, keep=("title", "venue", "city", "date", "time"), union=("lineup", "types", "origins")) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marquee.operators import browse, match, normalize, prefs, relations, snapshot
 from marquee.plans.registry import LISTING_SQL, SESSION_SQL, SOURCES, listings, query, sessions, table
+from marquee.shared import shared_dir
 from marquee.sources.tables import union_sources
 from marquee.streaming import streams
 
@@ -159,8 +159,7 @@ def _replay(spark, sf_dir, make) -> DataFrame:
 
 def _drained(spark, out: DataFrame) -> DataFrame:
     """A stream's output, written as files in the shared folder until the input is used up, and read back."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-replay-")
-    path = f"{folder.rstrip('/')}/replay-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/replay-{uuid.uuid4().hex}"
     q = (out.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint")
          .outputMode("append").trigger(availableNow=True).start())
     try:

@@ -273,10 +273,10 @@ def embedded_json(spark, sf_dir):
 
 # -- publishing
 
-@query("SELECT strftime(o_orderdate, '%Y-%m') AS month, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY CAST(o_orderdate AS DATE), o_orderkey) AS ids FROM orders GROUP BY 1")
+@query("SELECT strftime(o_orderdate, '%Y-%m') AS month, row_number() OVER (PARTITION BY strftime(o_orderdate, '%Y-%m') ORDER BY CAST(o_orderdate AS DATE), o_orderkey) AS position, o_orderkey AS id FROM orders")
 def schedule(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("date"))
-    return publish.schedule(o).select("month", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+    return publish.schedule(o).select("month", "position", "id")
 
 
 @query("SELECT 'https://a.test/e/' || o_orderkey || '.html' AS loc, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS lastmod FROM orders UNION ALL SELECT 'https://a.test/', CAST(CAST(max(o_orderdate) AS DATE) AS VARCHAR) FROM orders")

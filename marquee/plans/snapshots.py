@@ -361,16 +361,16 @@ def search(spark, sf_dir):
     return browse.search(d, "That").select("id", "lang")
 
 
-@query(f"WITH {SESSION_SQL} SELECT date, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY CASE WHEN event_id % 9 = 0 THEN '99:99' ELSE time END, event_id) AS ids FROM session GROUP BY date", dates=("date",))
+@query(f"WITH {SESSION_SQL} SELECT date, row_number() OVER (PARTITION BY date ORDER BY CASE WHEN event_id % 9 = 0 THEN '99:99' ELSE time END, event_id) AS position, event_id AS id FROM session", dates=("date",))
 def timeline(spark, sf_dir):
     s = sessions(spark, sf_dir).withColumn("time", F.when(F.col("event_id") % 9 != 0, F.col("time"))).withColumn("id", F.col("event_id"))
-    return browse.group_by_date(s).select("date", F.array_join("ids", ",").alias("ids"))
+    return browse.group_by_date(s.select("date", "time", "id")).select("date", "position", "id")
 
 
-@query(f"WITH {SESSION_SQL} SELECT date, string_agg(DISTINCT run_key, ',' ORDER BY run_key) AS ids FROM session WHERE user_id % 4 = 0 GROUP BY date", dates=("date",))
+@query(f"WITH {SESSION_SQL} SELECT date, row_number() OVER (PARTITION BY date ORDER BY run_key) AS position, run_key AS id FROM (SELECT DISTINCT date, run_key FROM session WHERE user_id % 4 = 0)", dates=("date",))
 def calendar(spark, sf_dir):
     runs = sessions(spark, sf_dir).groupBy(F.col("run_key").alias("id"), "user_id").agg(F.collect_set("date").alias("dates"))
-    return browse.collect_calendar(runs, runs.where("user_id % 4 = 0")).select("date", F.array_join("ids", ",").alias("ids"))
+    return browse.collect_calendar(runs, runs.where("user_id % 4 = 0"))
 
 
 @query("SELECT CASE WHEN age < 1 THEN 'today' ELSE 'week' END AS \"group\", count(*) AS n FROM (SELECT floor(epoch(TIMESTAMP '2024-01-15 12:00:00' - ts) / 86400) AS age FROM events) WHERE age BETWEEN 0 AND 7 GROUP BY 1")

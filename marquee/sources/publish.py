@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marquee.functions.dates import date_label
 from marquee.functions.price import price_label
 from marquee.functions.status import status_label
+from marquee.operators.order import positions
 
 #: The sale states that make an offer; an ended event has none.
 AVAILABILITY = {"on_sale": "InStock", "announced": "PreOrder", "sold_out": "SoldOut"}
@@ -58,8 +59,8 @@ def jsonld(site: str) -> Column:
 
 
 def schedule(df: DataFrame) -> DataFrame:
-    """(month, ids): each month's events by date, then id."""
-    return df.groupBy(F.date_format("date", "yyyy-MM").alias("month")).agg(F.transform(F.sort_array(F.collect_list(F.struct("date", "id"))), lambda r: r["id"]).alias("ids"))
+    """df with its `month` and each event's `position` in it: by date, then id."""
+    return positions(df.withColumn("month", F.date_format("date", "yyyy-MM")), ["month"], ["date", "id"])
 
 
 def sitemap(df: DataFrame, base: str) -> DataFrame:

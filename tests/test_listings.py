@@ -1,13 +1,14 @@
 """Behaviours with names of their own, on tiny inputs."""
 
 import datetime as dt
+import random
 import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
 from marquee.functions import classify, dates, price, status, text
-from marquee.operators import browse, dedupe, match, normalize, prefs, quality, relations, runs, snapshot
+from marquee.operators import browse, dedupe, match, normalize, order, prefs, quality, relations, runs, snapshot
 from marquee.sources import extract, publish, tables
 from marquee.streaming import streams
 
@@ -64,12 +65,50 @@ def test_timeless_rows_follow_the_first_timed_row(spark):
     assert {s.raw_id for s in next(r for r in rows if r.id.endswith("evening")).sources} == {"x", "none"}
 
 
-def test_dedupe_is_blind_to_partitioning_and_shuffles_once_for_ids(spark):
+def test_dedupe_is_blind_to_partitioning(spark):
     frame = spark.createDataFrame([tuple((listing(name=f"n{k % 9}", time=f"{10 + k % 12}:00") | {"ord": k})[c] for c in listing()) for k in range(200)], SCHEMA)
     a, b = (sorted(dedupe.dedupe_events(f).collect()) for f in (frame.coalesce(1), frame.repartition(7)))
     assert a == b
-    plan = dedupe.resolve_ids(frame)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_a_group_of_any_size_is_judged_by_its_minutes(spark):
+    rng = random.Random(8)
+    rows = [listing(raw_id=str(k), name="Act" if k % 3 else f"n{k % 40}", time=rng.choice([None, "x", *(f"{rng.randrange(9, 23)}:{rng.randrange(0, 60, 20):02d}" for _ in range(3))])) | {"ord": rng.randrange(10**6)} for k in range(6000)]
+    frame = spark.createDataFrame([tuple(r[c] for c in listing()) for r in rows], SCHEMA)
+    keyed = dedupe.resolve_ids(frame).withColumn("minute", dedupe.minutes_of(F.col("time")))
+    assert dedupe.island_cells(keyed).groupBy("base_id").count().agg(F.max("count")).first()[0] <= 14 * 3
+    got = {r.raw_id: (r.bucket, r.island) for r in keyed.collect()}
+    groups = {}
+    for r in rows:
+        groups.setdefault(r["name"], []).append(r)
+    minute = lambda r: int(r["time"].split(":")[0]) * 60 + int(r["time"][-2:]) if r["time"] and ":" in r["time"] else None
+    for own in groups.values():
+        own.sort(key=lambda r: (r["ord"], minute(r) or 0))
+        first = next((r for r in own if minute(r) is not None), None)
+        half = lambda r: None if minute(r) is None else "day" if minute(r) < 17 * 60 else "evening"
+        split = len({half(r) for r in own} - {None}) > 1
+        for bucket in {half(r) for r in own} - {None}:
+            times = sorted({minute(r) for r in own if minute(r) is not None and (not split or half(r) == bucket)})
+            starts = [t for t, before in zip(times, [-999, *times]) if t - before > dedupe.GAP_MINUTES]
+            label = lambda r: max(t for t in starts if t <= minute(r))
+            shown = lambda t: min((r["time"] for r in own if minute(r) is not None and (not split or half(r) == bucket) and label(r) == t))
+            names = {t: shown(t) for t in starts}
+            for r in own:
+                at = first if minute(r) is None else r
+                if not split or half(at) == bucket:
+                    assert got[r["raw_id"]] == (bucket if split else None, names[label(at)] if len(starts) > 1 else None)
+
+
+def test_positions_in_groups_of_any_size(spark):
+    rng = random.Random(1)
+    rows = [(rng.choice(["a", "a", "a", None, "b"]), rng.randrange(50), k, -1) for k in range(3000)]
+    frame = spark.createDataFrame(rows, "g string, o int, id int, position int").repartition(5)
+    got = order.positions(frame, ["g"], [F.desc("o"), "id"])
+    want = {}
+    for g, o, k, _ in sorted(rows, key=lambda r: (-r[1], r[2])):
+        want.setdefault(g, []).append(k)
+    assert {(r.g, r.position): r.id for r in got.collect()} == {(g, n): k for g, ids in want.items() for n, k in enumerate(ids, 1)}
+    assert order.positions(frame.limit(0), ["g"], ["id"]).collect() == []
 
 
 def test_runs(spark):
