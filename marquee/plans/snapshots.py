@@ -273,6 +273,14 @@ def user_visibility(spark, sf_dir):
     return prefs.rule_hits(_parts(spark, sf_dir), _rules(spark, sf_dir))
 
 
+@query(f"""WITH {HITS_SQL}, e AS (SELECT p_partkey AS id, DATE '2024-01-01' + CAST(p_size AS INT) AS date FROM part WHERE p_size >= 10 AND p_size % 5 <> 0), u AS (SELECT DISTINCT user_id FROM rules),
+r AS (SELECT u.user_id, e.id, coalesce(h.kind, 'show') AS decision, row_number() OVER (PARTITION BY u.user_id ORDER BY date, e.id) AS position FROM u CROSS JOIN e LEFT JOIN hits h ON h.user_id = u.user_id AND h.id = e.id WHERE coalesce(h.kind, 'favourite') = 'favourite')
+SELECT user_id, position, id, decision FROM r WHERE position <= 10""")
+def visible_pages(spark, sf_dir):
+    days = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.date_add(F.lit("2024-01-01"), F.col("p_size").cast("int")).alias("date"), F.lit(None).cast("string").alias("time"), (F.col("p_size") % 5 != 0).alias("passes"))
+    return prefs.visible_pages(_parts(spark, sf_dir).join(days, "id"), _rules(spark, sf_dir), today=F.to_date(F.lit("2024-01-11")), passes=F.col("passes"), size=10)
+
+
 @query(f"WITH {HITS_SQL} SELECT user_id, count(*) FILTER (kind <> 'favourite') AS hidden, count(*) FILTER (kind = 'favourite') AS favourites, (SELECT count(*) FROM part) - count(*) FILTER (kind <> 'favourite') AS shown FROM hits GROUP BY user_id")
 def user_counts(spark, sf_dir):
     return prefs.user_counts(_parts(spark, sf_dir), _rules(spark, sf_dir))

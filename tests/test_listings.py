@@ -424,3 +424,37 @@ def test_passages_in_whole_texts(spark):
     items = spark.createDataFrame([(1, "b c d e"), (2, "one two three four five six seven eight nine ten eleven"), (3, "x y z not there"), (4, None), (5, "")], "item_id int, text string")
     texts = spark.createDataFrame([("far ahead, a" + "b c d e" + "f behind",), ("zone two three",), ("long before one two three four five six seven eight nine ten elevens",), (None,)], "text string")
     assert {r.item_id: r.found for r in quality.passages_found(items, texts).collect()} == {1: True, 2: True, 3: False, 4: False, 5: False}
+
+
+@pytest.mark.parametrize("acts", [1, 3, 6])
+def test_counts_and_pages_as_by_pairs(spark, acts, monkeypatch):
+    monkeypatch.setattr(prefs, "CHUNK", 7)
+    rng = random.Random(acts)
+    events = [(k, dt.date(2026, 5, 1 + k % 20), None if k % 4 == 0 else f"{10 + k % 9}:00", rng.sample([f"a{n}" for n in range(12)], rng.randrange(acts + 1)), rng.sample(["x", "y", "z"], rng.randrange(3)), k % 7 != 0) for k in range(120)]
+    rules = [(u, kind, rng.choice({"artist": [f"a{n}" for n in range(12)], "type": ["x", "y", "z"]}.get(kind, [str(n) for n in range(130)]))) for u in range(9) for kind in ("artist", "artist", "type", "event", "event", "favourite") if rng.random() < 0.8]
+    rules += [(50, "type", t) for t in "xyz"] + [(50, "artist", f"a{n}") for n in range(11)] + [(60, "event", "none such")]
+    e = spark.createDataFrame(events, "id int, date date, time string, headliners array<string>, types array<string>, good boolean")
+    r = spark.createDataFrame(rules + rules[:3], "user_id int, kind string, value string")
+    decide = lambda own, ev: "favourite" if ("favourite", str(ev[0])) in own else "hidden" if ("event", str(ev[0])) in own or any(("artist", a) in own for a in ev[3]) or any(("type", t) in own for t in ev[4]) else "show"
+    want_counts, want_pages = set(), set()
+    for u in {u for u, _, _ in rules}:
+        own = {(k, v) for x, k, v in rules if x == u}
+        told = [(ev, decide(own, ev)) for ev in events]
+        hidden, liked = (sum(d == what for _, d in told) for what in ("hidden", "favourite"))
+        if hidden or liked:
+            want_counts.add((u, hidden, liked, len(events) - hidden))
+        page = sorted(((ev[1], ev[2] or "99:99", ev[0], d) for ev, d in told if d != "hidden" and ev[5] and ev[1] >= dt.date(2026, 5, 3)))[:6]
+        want_pages |= {(u, n, i, d) for n, (_, _, i, d) in enumerate(page, 1)}
+    assert {tuple(x) for x in prefs.user_counts(e, r).collect()} == want_counts
+    got = prefs.visible_pages(e, r, today=F.to_date(F.lit("2026-05-03")), passes=F.col("good"), size=6).collect()
+    assert {tuple(x) for x in got} == want_pages and len(got) == len(want_pages)
+
+
+def test_counts_of_events_with_acts_of_their_own(spark):
+    """What users meet grows with their rules, not with the events."""
+    events = spark.range(4000).select("id", F.array(F.concat(F.lit("act"), "id")).alias("headliners"), F.array(F.concat(F.lit("t"), (F.col("id") % 5).cast("string"))).alias("types"))
+    keyed = events.select(F.col("id").cast("string").alias("id"), F.array_sort(prefs._keys(prefs.SHARED)).alias("keys"))
+    subsets = prefs._subset_counts(keyed)
+    assert subsets.where("anchor.kind = 'type'").count() == 5
+    rules = spark.range(300).select(F.col("id").alias("user_id"), F.lit("type").alias("kind"), F.lit("t1").alias("value"))
+    assert {tuple(r)[1:] for r in prefs.user_counts(events, rules).collect()} == {(800, 0, 3200)}
