@@ -424,6 +424,19 @@ def test_passages_in_whole_texts(spark):
     items = spark.createDataFrame([(1, "b c d e"), (2, "one two three four five six seven eight nine ten eleven"), (3, "x y z not there"), (4, None), (5, "")], "item_id int, text string")
     texts = spark.createDataFrame([("far ahead, a" + "b c d e" + "f behind",), ("zone two three",), ("long before one two three four five six seven eight nine ten elevens",), (None,)], "text string")
     assert {r.item_id: r.found for r in quality.passages_found(items, texts).collect()} == {1: True, 2: True, 3: False, 4: False, 5: False}
+    assert [r.found for r in quality.passages_found(items.limit(0), texts).collect()] == [] and {r.found for r in quality.passages_found(items, texts.limit(0)).collect()} == {False}
+
+
+def test_passages_as_all_pairs(spark):
+    rng = random.Random(7)
+    words = lambda n: " ".join("".join(rng.choice("abé") for _ in range(rng.randrange(1, 5))) + rng.choice(["", "", "", " ", "\n"]) for _ in range(n))
+    texts = [words(rng.randrange(60)) for _ in range(40)] + ["say a hello", None, ""]
+    passages = [words(n) for n in (1, 2, 3, 4, 6, 12) for _ in range(12)]
+    passages += [t[at:at + n] for t in texts[:40] for n in (1, 3, 9, 40) if (at := rng.randrange(max(1, len(t)))) < len(t)] + ["hello", "ell", "a h", " ", None, "hello"]
+    items = spark.createDataFrame([(k % 90, p, "clash") for k, p in enumerate(passages)], "item_id int, text string, _d string")
+    got = quality.passages_found(items, spark.createDataFrame([(t,) for t in texts], "text string"), words=3).collect()
+    want = [(k % 90, bool(p and p.strip()) and any(p in t for t in texts if t)) for k, p in enumerate(passages)]
+    assert sorted(map(tuple, got)) == sorted(want) and sum(f for _, f in want) > 50
 
 
 @pytest.mark.parametrize("acts", [1, 3, 6])
