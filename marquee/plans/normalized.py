@@ -183,10 +183,15 @@ def stream_status_machine(spark, sf_dir):
     return _replay(spark, sf_dir, lambda s: streams.status_changes(rows(s))).groupBy("raw_id", "status").agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_id FROM events WHERE NOT (user_id % 5 = 0 AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-12')")
+@query("""WITH x AS (SELECT user_id, ts AS checked_at FROM events WHERE event_type = 'error'), m AS (SELECT date_trunc('day', max(ts)) - INTERVAL 1 DAY AS until FROM events)
+SELECT event_id FROM events e, m WHERE event_type <> 'error' AND ts < until AND NOT EXISTS (SELECT 1 FROM x WHERE x.user_id = e.user_id AND e.ts >= checked_at AND e.ts < checked_at + INTERVAL 2 DAY)""")
 def stream_exclusion_ttl(spark, sf_dir):
-    cache = table(spark, sf_dir, "events").where("user_id % 5 = 0").select(F.col("event_type").alias("source"), F.col("user_id").alias("raw_id")).distinct().withColumn("checked_at", F.to_timestamp(F.lit("2024-01-05")))
-    return _replay(spark, sf_dir, lambda s: streams.not_excluded(s.select(F.col("event_type").alias("source"), F.col("user_id").alias("raw_id"), "event_id", "ts"), cache)).select("event_id")
+    # users are excluded again and again, at the events of one type, each time for two days
+    keyed = lambda s: s.select(F.lit("e").alias("source"), F.col("user_id").alias("raw_id"), "event_id", "event_type", "ts")
+    made = lambda s: streams.not_excluded(keyed(s).where("event_type != 'error'"), keyed(s).where("event_type = 'error'").select("source", "raw_id", F.col("ts").alias("checked_at")), ttl_days=2)
+    # the watermark holds the last rows back
+    until = table(spark, sf_dir, "events").agg(F.date_trunc("day", F.max("ts")) - F.expr("interval 1 day"))
+    return _replay(spark, sf_dir, made).where(F.col("ts") < until.scalar()).select("event_id")
 
 
 @query("""WITH c AS (SELECT event_type AS source, CAST(ts AS DATE) AS day, count(*) FILTER (NOT (event_type = 'click' AND day(ts) BETWEEN 10 AND 12)) AS n FROM events GROUP BY ALL),

@@ -74,15 +74,25 @@ def status_changes(stream: DataFrame, *, late: str = "1 hour", idle_ms: int = 90
         step, STATUS_SCHEMA, "status string, on_sale_at timestamp", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def not_excluded(stream: DataFrame, excluded: DataFrame, *, ttl_days: int = 7) -> DataFrame:
-    """Listings without those that were excluded in the ttl_days before: a stream-static anti join, by time of the row.
-
-    excluded: source, raw_id, checked_at. The static side is read anew each micro-batch.
+def not_excluded(stream: DataFrame, excluded: DataFrame, *, ttl_days: float = 7, late: str = "1 hour") -> DataFrame:
+    """Listings but for those that were excluded in the ttl_days before their ts; each comes once, however often it was.
+
+    excluded: source, raw_id, checked_at. As a stream, it is joined by key and time: an
+    exclusion counts from its checked_at on, whenever it comes, within the watermark, and
+    its state goes when the watermark has passed its end; listings come once the watermark
+    has passed them. As a table, it is read as it stands when the stream starts: one row
+    a key with its times, and listings come at once.
     """
-    cache = excluded.select("source", "raw_id", "checked_at").withColumn("_x", F.lit(True))
-    hit = stream.join(cache, ["source", "raw_id"], "left")
-    young = F.col("_x") & (F.col("ts") < F.col("checked_at") + F.make_interval(days=F.lit(ttl_days))) & (F.col("ts") >= F.col("checked_at"))
-    return hit.where(~F.coalesce(young, F.lit(False))).drop("_x", "checked_at")
+    ttl = F.make_dt_interval(secs=F.lit(ttl_days * 86_400))
+    if not excluded.isStreaming:
+        cache = excluded.groupBy("source", "raw_id").agg(F.collect_set("checked_at").alias("_checked"))
+        young = F.exists("_checked", lambda at: (F.col("ts") >= at) & (F.col("ts") < at + ttl))
+        return stream.join(cache, ["source", "raw_id"], "left").where(~F.coalesce(young, F.lit(False))).drop("_checked")
+    cache = excluded.select(F.col("source").alias("_source"), F.col("raw_id").alias("_raw_id"), "checked_at").withWatermark("checked_at", late)
+    same = (F.col("source") == F.col("_source")) & (F.col("raw_id") == F.col("_raw_id"))
+    young = (F.col("ts") >= F.col("checked_at")) & (F.col("ts") < F.col("checked_at") + F.expr(f"interval {int(ttl_days * 86_400)} seconds"))
+    hit = stream.withWatermark("ts", late).join(cache, same & young, "left")
+    return hit.where("checked_at is null").drop("_source", "_raw_id", "checked_at")
 
 
 HEALTH_SCHEMA = "source string, day timestamp, n long, status string, last_count long"

@@ -471,3 +471,24 @@ def test_counts_of_events_with_acts_of_their_own(spark):
     assert subsets.where("anchor.kind = 'type'").count() == 5
     rules = spark.range(300).select(F.col("id").alias("user_id"), F.lit("type").alias("kind"), F.lit("t1").alias("value"))
     assert {tuple(r)[1:] for r in prefs.user_counts(events, rules).collect()} == {(800, 0, 3200)}
+
+
+def test_exclusions_that_repeat_come_later_and_end(spark, tmp_path):
+    day = lambda n, hour=0: dt.datetime(2026, 5, n, hour)
+    rows = [(k, "s", "r", day(k)) for k in range(1, 29)] + [(100, "s", "other", day(3)), (101, None, "r", day(3))]
+    checks = [("s", "r", day(2)), ("s", "r", day(4)), ("s", "r", day(4)), ("s", "r", day(20)), ("s", "late", day(27))]
+    want = {k for k, s, r, ts in rows if not any((s, r) == (x, y) and at <= ts < at + dt.timedelta(days=7) for x, y, at in checks)}
+    assert {2, 10, 20, 26} & want == set() and {1, 11, 19, 27, 100, 101} <= want
+    listings = spark.createDataFrame(rows, "id int, source string, raw_id string, ts timestamp")
+    excluded = spark.createDataFrame(checks, "source string, raw_id string, checked_at timestamp")
+    assert {r.id for r in streams.not_excluded(listings, excluded).collect()} == want
+    for k, part in enumerate((("1", "10"), ("10", "19"), ("19", "32"))):
+        for frame, at in ((listings, "ts"), (excluded, "checked_at")):
+            frame.where(F.dayofmonth(at).between(int(part[0]), int(part[1]) - 1)).coalesce(1).write.parquet(f"{tmp_path}/{at}/{k}")
+    read = lambda frame, at: spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/{at}")
+    out = streams.not_excluded(read(listings, "ts"), read(excluded, "checked_at"))
+    q = out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert len(q.recentProgress) >= 3
+    got = [r.id for r in spark.read.schema(out.schema).parquet(f"{tmp_path}/out").collect()]
+    assert sorted(got) == sorted(k for k in want if k < 27 or k > 99)  # the watermark holds the last rows back
