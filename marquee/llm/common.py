@@ -155,3 +155,15 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+
+
+def named_by_id(classes: DataFrame, groups: DataFrame) -> DataFrame:
+    """classes (node, id, ...) with component_id: the smallest id of a class in the same component.
+
+    groups: (node, component), of some nodes or all; the others are components of their
+    own. Nodes name values, not ids, so that an id that stands for several values neither
+    joins them nor multiplies rows.
+    """
+    found = classes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = found.groupBy("component").agg(F.min("id").alias("component_id"))
+    return found.join(least, "component").drop("component")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import components, forest, settle, table
+from marquee.llm.common import components, forest, named_by_id, settle, table
 
 TILE = 16_384  # vectors of a tile at most, in expectation half of it
 TILE_NUMBERS = 1 << 23  # numbers of a tile at most
@@ -186,7 +186,7 @@ def near_vectors(vectors: DataFrame, *, id_col="vec_id", vector_col="embedding",
 
     Null, empty and zero vectors and those with null or non-finite components link with
     nothing; nor do vectors of different length with one another. Repeated rows are
-    vectors of their own. Ids are integers; a vector without one links with nothing, has no
+    vectors of their own, and so are different vectors of one id, linked by value alone. Ids are integers; a vector without one links with nothing, has no
     component and is kept. Other columns are left out. An empty table gives an empty one.
     """
     v = F.col(vector_col)
@@ -197,7 +197,7 @@ def near_vectors(vectors: DataFrame, *, id_col="vec_id", vector_col="embedding",
     k1, k2 = F.xxhash64("v"), F.xxhash64(F.reverse("v"), F.size("v"))
     classes = settle(
         rows.where("fine").groupBy(k1.alias("k1"), k2.alias("k2")).agg(
-            F.min(F.col(id_col).cast("long")).alias("node"), F.count("*").alias("weight"), F.first("v").alias("v")), "vectors")
+            F.min(F.col(id_col).cast("long")).alias("id"), F.count("*").alias("weight"), F.first("v").alias("v")).withColumn("node", F.monotonically_increasing_id()), "vectors")
     # classes are dealt into tiles of the vectors of a length, as many as keep a tile bounded
     sizes = classes.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"))
     most = F.least(F.lit(tile), F.floor(F.lit(TILE_NUMBERS) / F.col("dim")))
@@ -216,8 +216,8 @@ def near_vectors(vectors: DataFrame, *, id_col="vec_id", vector_col="embedding",
     links = found.where("tile is null").select("node", "other", "links").unionAll(exact)
     groups = components(links.select(F.col("node").alias("src"), F.col("other").alias("dst")))
     counts = links.groupBy("node").agg(F.sum("links").alias("links"))
-    named = classes.select("k1", "k2", "node", "weight").join(counts, "node", "left").join(groups, "node", "left").select(
-        "k1", "k2", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    named = named_by_id(classes.select("k1", "k2", "node", "id", "weight").join(counts, "node", "left"), groups).select(
+        "k1", "k2", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
     mine = rows.select(id_col, F.when(F.col("fine"), k1).alias("k1"), F.when(F.col("fine"), k2).alias("k2"))
     out = mine.join(named, ["k1", "k2"], "left").select(
         id_col, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from marquee.llm.common import components, forest, marked, settle, table
+from marquee.llm.common import components, forest, marked, named_by_id, settle, table
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -83,11 +83,13 @@ def fingerprints(docs: DataFrame, *, id_col="doc_id", text_col="text", words: in
     """(id_col, f0, f1, ...): a 64-bit fingerprint a seed, as longs. One narrow pass over whole texts.
 
     distinct: each shingle counts once, as in the similarity of sets; k1, k2 name the set,
-    n is its size. Null and empty texts, and texts without words, have fingerprint zero.
+    n is its size, text a hash of the text. Null and empty texts, and texts without words, have fingerprint zero.
     """
     schema = docs.select(id_col).schema
     for name in [*(f"f{s}" for s in range(seeds)), *(("k1", "k2", "n") if distinct else ())]:
         schema = schema.add(name, "long")
+    if distinct:
+        schema = schema.add("text", "long")
 
     def run(batches):
         for b in batches:
@@ -101,9 +103,9 @@ def fingerprints(docs: DataFrame, *, id_col="doc_id", text_col="text", words: in
             cols = np.array(out, np.uint64).reshape(len(out), seeds).view(np.int64)
             if distinct:
                 cols = np.hstack([cols, np.array(names, np.int64).reshape(-1, 3)])
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c) for c in cols.T)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c) for c in cols.T), *b.columns[2:]], names=schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col), *([F.xxhash64(text_col)] if distinct else [])).mapInArrow(run, schema)
 
 
 def code_bits(width: int) -> int:
@@ -249,25 +251,27 @@ def simhash_groups(docs: DataFrame, *, id_col="doc_id", text_col="text", words:
     Rows link if their fingerprints differ in at most threshold bits; component_id is the
     smallest id reachable by links. Null and empty texts have fingerprint zero and link
     like any other. Ids are integers; rows with a null id form no links through it and get
-    the component of their fingerprint. Repeated rows come out once each. Other columns
-    are left out. An empty table gives an empty one.
+    the component of their fingerprint. Repeated rows come out once each, and rows of one
+    id with different texts are rows of their own, linked by their texts alone. Other
+    columns are left out. An empty table gives an empty one.
     """
     prints = settle(fingerprints(docs, id_col=id_col, text_col=text_col, words=words), "fingerprints")
-    # one node a fingerprint, named by its smallest id
-    classes = settle(prints.where(F.col(id_col).isNotNull()).groupBy("f0").agg(F.min(F.col(id_col).cast("long")).alias("node")), "classes")
-    groups = link_components(classes, threshold=threshold)
-    named = classes.join(groups, "node", "left").select("f0", F.coalesce("component", "node").alias("component_id"))
+    # one node a fingerprint
+    classes = prints.where(F.col(id_col).isNotNull()).groupBy("f0").agg(F.min(F.col(id_col).cast("long")).alias("id"))
+    classes = settle(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    groups = link_components(classes.select("node", "f0"), threshold=threshold)
+    named = named_by_id(classes, groups).select("f0", "component_id")
     return prints.join(named, "f0", "left").select(id_col, F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, *, id_col="doc_id", text_col="text", words: int = 5) -> DataFrame:
-    """(group, tiles, tile, x) of wanted (node, group, tiles, tile, k1, k2): x is the tile's nodes with their sets of distinct hashes.
+    """(group, tiles, tile, x) of wanted (node, group, tiles, tile, k1, k2, id, hash): x is the tile's nodes with their sets of distinct hashes.
 
-    A node's set is of the text of docs that has the set named k1, k2; repeated rows give it once.
+    A node's set is of the text of docs with this id and hash that has the set named k1, k2; repeated rows give it once.
     Texts that a bitmap of the wanted ids rules out aren't shuffled.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    rows = marked(texts, F.col("node"), wanted.select("node")).where("maybe").select("row.*").join(wanted, "node")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
+    rows = marked(texts, F.col("id"), wanted.select("id")).where("maybe").select("row.*").join(wanted, ["id", "hash"])
     kept = ["node", "group", "tiles", "tile"]
 
     def run(batches):
@@ -348,13 +352,13 @@ def compare_sets(tiles: DataFrame, similarity: float) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", words: int = 5, similarity: float = 0.8, recall: float = 0.99,
                     tile_sets: int = 256, tile_shingles: int = 65_536) -> DataFrame:
-    """(id_col, component_id): documents grouped by links of shingle-set resemblance `similarity` or more.
+    """(id_col, component_id, text_hash): documents grouped by links of shingle-set resemblance `similarity` or more.
 
     Candidates are fingerprints that meet at an anchor; a pair of texts of exactly the
     similarity meets with a probability of about `recall`, closer pairs more surely
     (0.9997 at 0.85). Documents link only if their whole sets of shingles have the
-    resemblance. Nulls, empty texts and repeated rows as in simhash_groups. An empty table
-    gives an empty one.
+    resemblance. Nulls, empty texts, repeated rows and ids as in simhash_groups. text_hash
+    tells the rows of an id apart. An empty table gives an empty one.
     """
     n = docs.count()
     plan, seeds = covering_plan(n, similarity, recall)
@@ -364,30 +368,34 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", words:
     most = math.ceil(64 * compared * rate + 3.8 * math.sqrt(64 * compared * rate * (1 - rate)))
     names = [f"f{s}" for s in range(max(seeds, compared))]
     prints = settle(fingerprints(docs, id_col=id_col, text_col=text_col, words=words, seeds=len(names), distinct=True), "fingerprints")
-    # one node a set, named by its smallest id
-    classes = settle(prints.where(F.col(id_col).isNotNull()).groupBy("k1", "k2", "n", *names).agg(F.min(F.col(id_col).cast("long")).alias("node")), "classes")
+    # one node a set; its text is looked up by the smallest id
+    first = F.min(F.struct(F.col(id_col).cast("long").alias("id"), "text")).alias("first")
+    classes = prints.where(F.col(id_col).isNotNull()).groupBy("k1", "k2", "n", *names).agg(first).select("k1", "k2", "n", *names, "first.*")
+    classes = settle(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     groups = settle(link_components(classes.select("node", *names), threshold=most, plan=plan, reach=2, compared=compared), "candidates")
     # tiles of bounded numbers of sets and of shingles
     sizes = groups.join(classes.select("node", "n"), "node").groupBy("component").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles")).where("sets > 1")
     sizes = sizes.select("component", F.ceil(F.greatest(F.col("sets") / tile_sets, F.col("shingles") / tile_shingles, F.lit(1.0))).cast("long").alias("tiles"))
     wanted = groups.join(sizes, "component").join(classes, "node").select(
-        "node", F.col("component").alias("group"), "tiles", F.pmod(F.xxhash64("node"), F.col("tiles")).alias("tile"), "k1", "k2")
+        "node", F.col("component").alias("group"), "tiles", F.pmod(F.xxhash64("node"), F.col("tiles")).alias("tile"), "k1", "k2", "id", F.col("text").alias("hash"))
     tiles = settle(shingle_sets(docs, settle(wanted, "wanted"), id_col=id_col, text_col=text_col, words=words), "sets")
     links = components(compare_sets(tiles, similarity))
-    named = classes.select("k1", "k2", "node").join(links, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component_id"))
-    return prints.select(id_col, "k1", "k2").join(named, ["k1", "k2"], "left").select(id_col, "component_id")
+    named = named_by_id(classes.select("k1", "k2", "node", "id"), links).select("k1", "k2", "component_id")
+    return prints.select(id_col, "k1", "k2", "text").join(named, ["k1", "k2"], "left").select(id_col, "component_id", F.col("text").alias("text_hash"))
 
 
-def one_of_each(docs: DataFrame, groups: DataFrame, *, id_col="doc_id") -> DataFrame:
+def one_of_each(docs: DataFrame, groups: DataFrame, *, id_col="doc_id", text_col="text") -> DataFrame:
     """The rows of docs, all columns, that are the smallest of their group; rows without an id stay.
 
-    Rows of one id go or stay together, so of a repeated smallest id all rows stay. Ids
-    that groups doesn't name stay. An empty table gives an empty one.
+    groups is near_duplicates of docs. Rows are told by id and text, so of an id with
+    several texts each goes or stays for itself; of a smallest id and text that repeat all
+    rows stay. Rows that groups doesn't name stay. An empty table gives an empty one.
     Only rows that a bitmap of the others' ids leaves open are shuffled to look them up.
     """
-    extra = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).cast("long").alias("extra"))
-    rows = marked(docs, F.col(id_col), extra)
-    open_rows = rows.where("maybe").join(extra, F.col("row")[id_col].cast("long") == F.col("extra"), "left_anti")
+    extra = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).cast("long").alias("extra"), "text_hash").distinct()
+    rows = marked(docs, F.col(id_col), extra.select("extra"))
+    same = (F.col("row")[id_col].cast("long") == F.col("extra")) & F.xxhash64(F.col("row")[text_col]).eqNullSafe(F.col("text_hash"))
+    open_rows = rows.where("maybe").join(extra, same, "left_anti")
     return rows.where("not maybe").select("row.*").unionAll(open_rows.select("row.*"))
 
 

@@ -504,12 +504,56 @@ def test_marked_rows_hold_all_that_are_sought(spark, bits):
 
 def test_one_of_each_keeps_rows_and_columns(spark):
     docs = spark.createDataFrame([(1, "a", 1), (2, "a", 2), (2, "a", 2), (3, "b", 3), (3, "b", 4), (None, "a", 5), (9, None, 6)], "doc_id int, row string, maybe long")
-    groups = spark.createDataFrame([(1, 1), (2, 1), (2, 1), (3, 3), (None, 1), (7, 3)], "doc_id int, component_id long")
-    kept = simhash.one_of_each(docs, groups)
+    groups = spark.createDataFrame([(1, 1, "a"), (2, 1, "a"), (2, 1, "a"), (3, 3, "b"), (None, 1, "a"), (7, 3, "b"), (9, 3, "other text")], "doc_id int, component_id long, row string")
+    groups = groups.select("doc_id", "component_id", F.xxhash64("row").alias("text_hash"))
+    kept = simhash.one_of_each(docs, groups, text_col="row")
     assert kept.columns == docs.columns and kept.dtypes == docs.dtypes
     assert sorted(r.maybe for r in kept.collect()) == [1, 3, 4, 5, 6]
-    assert simhash.one_of_each(docs.limit(0), groups).count() == 0
-    assert simhash.one_of_each(docs, groups.limit(0)).count() == 7
+    assert simhash.one_of_each(docs.limit(0), groups, text_col="row").count() == 0
+    assert simhash.one_of_each(docs, groups.limit(0), text_col="row").count() == 7
+
+
+def by_row(rows, linked):
+    """(id, number of linked rows, smallest id of its component) of each row, in order."""
+    comp = components_of(range(len(rows)), lambda a, b: linked(rows[a][1], rows[b][1]))
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[comp[k]] = min(i, least.get(comp[k], i))
+    return [(i, sum(linked(v, w) for n, (_, w) in enumerate(rows) if n != k), least[comp[k]]) for k, (i, v) in enumerate(rows)]
+
+
+def test_texts_that_share_an_id(spark):
+    rng = random.Random(12)
+    words = lambda: [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    rows = []
+    for k in range(30):
+        text = words()
+        rows += [(k % 6, " ".join(text)), (100 + k, " ".join([*text[:-1], "other"])), (k % 6, " ".join(text))]
+    rows += [(3, None), (4, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = {t: brute_fingerprint(t) for _, t in rows}
+    want = by_row(rows, lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 3)
+    got = simhash.simhash_groups(frame).collect()
+    assert sorted((r.doc_id, r.fingerprint, r.component_id) for r in got) == sorted((i, f"{prints[t]:016x}", c) for (i, t), (_, _, c) in zip(rows, want))
+    sets = {t: set(simhash.shingle_hashes(t, 5).tolist()) for _, t in rows}
+    want = by_row(rows, lambda a, b: sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    groups = simhash.near_duplicates(frame)
+    assert sorted((r.doc_id, r.component_id) for r in groups.collect()) == sorted((i, c) for i, _, c in want)
+    kept = Counter((r.doc_id, r.text) for r in simhash.one_of_each(frame, groups).collect())
+    assert kept == Counter(row for row, (i, _, c) in zip(rows, want) if i == c)
+
+
+def test_vectors_that_share_an_id(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for k in range(24):
+        v = rng.normal(size=12)
+        rows += [(k % 5, v.tolist()), (100 + k, (v + 0.01 * rng.normal(size=12)).tolist()), (k % 5, v.tolist())]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    cosine = lambda a, b: np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b) >= 0.95
+    got = embedding_dups.near_vectors(frame, tile=16).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == sorted(by_row(rows, cosine))
+    assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
 def test_near_duplicates_reach_the_limit_and_stop_there(spark):
