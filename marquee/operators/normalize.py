@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquee.functions.classify import exclusion_reason, type_tag
+from marquee.functions.classify import exclusion_reason, is_lottery, type_tag
 from marquee.functions.dates import parse_date
 from marquee.functions.price import on_sale_at, price_from_text, price_from_tiers
-from marquee.functions.status import closed_status, status_from_tiers, text_status
+from marquee.functions.status import status_from_tiers, text_status
 from marquee.functions.text import host_label, let, squash, utrim
-from marquee.operators.match import headliners, match_dictionary, resolve_city
+from marquee.operators.match import match_dictionary, resolve_city
 from marquee.operators.relations import overridden
 
 LINKS = r"(?U)\s*📍?\s*https?://\S+"
@@ -34,51 +34,93 @@ def clean_venue(venue: Column, title: Column, addresses: tuple[tuple[str, str],
     return let(bare, read)
 
 
+#: Fixed value: the word of a title that makes a festival.
+FESTIVAL = "音樂祭"
+
+
+def _acts(listings: DataFrame, names: DataFrame) -> DataFrame:
+    """(id, headliners, origins): the acts in each title by position, and the distinct origins that the dictionary gives them."""
+    found = match_dictionary(listings.select("id", "title"), names)
+    known = names if "origin" in names.columns else names.withColumn("origin", F.lit(None).cast("string"))
+    origin = known.groupBy("canonical").agg(F.min_by("origin", "entry_ord").alias("origin"))
+    held = found.join(origin, "canonical", "left").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "canonical", "origin"))).alias("x"))
+    return held.select("id", F.transform("x", lambda a: a["canonical"]).alias("headliners"), F.array_distinct(F.filter(F.transform("x", lambda a: F.nullif(a["origin"], F.lit(""))), lambda o: o.isNotNull())).alias("origins"))
+
+
 def listing_outcomes(listings: DataFrame, names: DataFrame, venue_rules: DataFrame, *, grammars: dict[str, str], today: Column, rules: dict | None = None, account_suffix: str | None = None,
-                     addresses: tuple[tuple[str, str], ...] = (), overrides: DataFrame | None = None) -> DataFrame:
-    """One row a listing with `outcome` (event, needs_review, excluded), `reason`, and the fields of the event.
+                     addresses: tuple[tuple[str, str], ...] = (), overrides: DataFrame | None = None, hedge: str = "(?!)") -> DataFrame:
+    """One row a listing with `outcome` (event, needs_review, excluded), `reason`, `detail`, and the fields of the event.
 
     listings: id (source and raw_id, unique), source, title, venue, address, date_text,
-    price_text, status_text, url, signal, tiers. Text that can't be read gives nulls, and
-    a listing without a date goes to review: no row can stop the job. account_suffix: the
-    host behind which a label names the account of a listing's URL. Venues are cleaned
-    (clean_venue with addresses) but for exclusion, which judges them as given. overrides
-    (field, key, value): a venue or date that replaces what listing `key` (an id) has; an
-    overriding date has no time. The dictionary and
+    price_text, status_text, url, signal, tiers; raw_id, category, run_key and on_sale_text
+    may be there or not. No row can stop the job: a text that can't be read gives nulls, a
+    listing without a date goes to review (date_unparseable, with the text as detail), and
+    so does one without a title or with an on_sale_text that is no moment (normalize_error,
+    with what failed). Exclusion goes before both, but for a missing title. An event
+    whose acts are unknown stays one; review_queue has it besides.
+
+    account_suffix: the host behind which a label names the account of a listing's URL.
+    Venues are cleaned (clean_venue with addresses) but for exclusion, which judges them as
+    given. overrides (field, key, value): a venue, date or category that replaces what
+    listing `key` (an id) has; an overriding date has no time, an empty category takes
+    category and run_key away. A category is the event's type, whatever its title says. The
+    moment of sale given by the source goes before one read from texts. hedge: words
+    behind a general sale that undo a lottery (is_lottery). The dictionary and
     the city rules meet rows by equi-joins on id; everything else is one projection.
     """
     grammar = F.create_map(*[F.lit(x) for kv in grammars.items() for x in kv])[F.col("source")]
-    heads = headliners(match_dictionary(listings.select("id", "title"), names))
-    rows = listings.withColumns({"_given": F.col("venue"), "venue": clean_venue(F.col("venue"), F.col("title"), addresses)})
+    none = F.lit(None).cast("string")
+    rows = listings.withColumns({c: none for c in ("raw_id", "category", "run_key", "on_sale_text") if c not in listings.columns})
+    rows = rows.withColumns({"_given": F.col("venue"), "venue": clean_venue(F.col("venue"), F.col("title"), addresses)})
     if overrides is not None:
         rows = overridden(rows, overrides, "venue", "id")
-    rows = resolve_city(rows.join(heads, "id", "left"), venue_rules)
+        rows = overridden(rows, overrides, "category", "id").withColumn("run_key", F.when(F.coalesce(F.col("category") != "", F.lit(True)), F.col("run_key")))
+    rows = resolve_city(rows.join(_acts(listings, names), "id", "left"), venue_rules)
+    strings = F.array().cast("array<string>")
     rows = rows.withColumns({
-        "headliners": F.coalesce("headliners", F.array().cast("array<string>")), "_d": parse_date(F.col("date_text"), grammar),
-        "reason": exclusion_reason(F.col("title"), F.col("url"), host_label(F.col("url"), account_suffix) if account_suffix else F.lit(None).cast("string"), F.col("_given"), **(rules or {})),
-        "_text_price": price_from_text(F.col("price_text")), "_tier_price": price_from_tiers(F.col("tiers")), "_sale": on_sale_at(F.col("price_text"))})
+        "headliners": F.coalesce("headliners", strings), "origins": F.coalesce("origins", strings), "category": F.nullif("category", F.lit("")), "_d": parse_date(F.col("date_text"), grammar),
+        "_excluded": exclusion_reason(F.col("title"), F.col("url"), host_label(F.col("url"), account_suffix) if account_suffix else none, F.col("_given"), **(rules or {})),
+        "_text_price": price_from_text(F.col("price_text")), "_tier_price": price_from_tiers(F.col("tiers")), "_sale": on_sale_at(F.col("price_text")),
+        "_moment": F.try_to_timestamp("on_sale_text")})
     rows = rows.withColumns({"date": F.col("_d.date"), "time": F.col("_d.time")})
     if overrides is not None:
         rows = overridden(rows, overrides, "date", "id", drops=("time",))
     untiered = F.coalesce(F.size("tiers"), F.lit(0)) <= 0
     tierless = untiered & F.col("signal").isNull()
+    sale = F.coalesce(F.when(F.col("_moment").isNotNull(), F.col("on_sale_text")), F.col("_sale"))
     price = lambda end: F.when(untiered, F.col(f"_text_price.{end}")).otherwise(F.col(f"_tier_price.{end}")).alias(f"price_{end}")
-    state = F.when(tierless, text_status(F.col("status_text"), F.col("_sale"), F.col("date"), today)).otherwise(
-        status_from_tiers(F.col("tiers"), F.col("signal"), F.col("date"), today, F.col("_sale")))
-    rows = rows.withColumn("_state", state)
-    review = F.when(F.col("date").isNull(), "date_unparseable")
-    outcome = F.when(F.col("reason").isNotNull(), "excluded").when(review.isNotNull(), "needs_review").otherwise("event")
+    state = F.when(tierless, text_status(F.col("status_text"), sale, F.col("date"), today)).otherwise(status_from_tiers(F.col("tiers"), F.col("signal"), F.col("date"), today, sale))
+    # each test in order: outcome, reason and what was wrong
+    told = lambda outcome, reason, detail: F.struct(F.lit(outcome).alias("outcome"), reason.alias("reason"), detail.alias("detail"))
+    judged = (
+        F.when(F.col("title").isNull(), told("needs_review", F.lit("normalize_error"), F.lit("title is missing")))
+        .when(F.col("_excluded").isNotNull(), told("excluded", F.col("_excluded"), none))
+        .when(F.col("on_sale_text").isNotNull() & F.col("_moment").isNull(), told("needs_review", F.lit("normalize_error"), F.concat(F.lit("on_sale_text: "), "on_sale_text")))
+        .when(F.col("date").isNull(), told("needs_review", F.lit("date_unparseable"), F.col("date_text"))).otherwise(told("event", none, none)))
+    rows = rows.withColumns({"_state": state, "_judged": judged})
+    source = F.struct(F.col("source").alias("name"), "url", "raw_id")
     return rows.select(
-        "id", "source", outcome.alias("outcome"), F.coalesce("reason", review).alias("reason"), "title", "venue", "city", "date", "time",
-        price("min"), price("max"),
-        F.when(F.col("date") < today, closed_status(F.col("date"), today)).otherwise(F.col("_state.status")).alias("status"), F.col("_state.on_sale_at").alias("on_sale_at"),
-        "headliners", type_tag(F.col("title"), F.col("headliners")).alias("type"), "url")
+        "id", "source", "_judged.*", "title", "venue", "city", "date", "time", price("min"), price("max"), "_state.status", "_state.on_sale_at", "headliners", F.col("headliners").alias("lineup"),
+        F.coalesce(F.col("title").contains(FESTIVAL), F.lit(False)).alias("is_festival"),
+        F.array(F.coalesce("category", type_tag(F.col("title"), F.col("headliners")))).alias("types"), "origins",
+        F.coalesce(is_lottery(F.col("title"), F.col("price_text"), hedge), F.lit(False)).alias("is_lottery"), "category", "run_key", F.array(source).alias("sources"), "url")
+
+
+def review_queue(outcomes: DataFrame) -> DataFrame:
+    """(id, source, title, url, reason, detail): listings in review, and events without known acts (artist_unrecognized).
+
+    The latter are events all the same, and only wait for their acts to be known; events
+    of a category, whose names are no acts, aren't among them.
+    """
+    unknown = F.when((F.col("outcome") == "event") & (F.size("headliners") == 0) & F.col("category").isNull(), "artist_unrecognized")
+    reason = F.when(F.col("outcome") == "needs_review", F.col("reason")).otherwise(unknown)
+    return outcomes.select("id", "source", "title", "url", reason.alias("reason"), "detail").where("reason is not null")
 
 
 def split_outcomes(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(events, needs_review, excluded). Settle or persist outcomes first if all three are read."""
+    """(events, review queue, excluded). Settle or persist outcomes first if all three are read."""
     of = lambda x: outcomes.where(F.col("outcome") == x)
-    return of("event").drop("outcome", "reason"), of("needs_review"), of("excluded")
+    return of("event").drop("outcome", "reason", "detail"), review_queue(outcomes), of("excluded")
 
 
 def review_pending(queue: DataFrame, dismissed: DataFrame) -> DataFrame:

@@ -71,7 +71,7 @@ def backfill(events: DataFrame, images: DataFrame, found: DataFrame) -> DataFram
 
 
 def overridden(rows: DataFrame, overrides: DataFrame, field: str, key: str, drops: tuple[str, ...] = ()) -> DataFrame:
-    """rows with the field's value from an override table (field, key, value), where there is one; the columns in drops are null there."""
-    one = overrides.where(F.col("field") == field).select(F.col("key").alias(key), F.col("value").alias("_v"))
+    """rows with the field's value from an override table (field, key, value), where there is one; the columns in drops are null there. Of several for one key the largest counts."""
+    one = overrides.where(F.col("field") == field).groupBy(F.col("key").alias(key)).agg(F.max("value").alias("_v"))
     return rows.join(one, key, "left").withColumn(field, F.coalesce(F.col("_v").cast(rows.schema[field].dataType), F.col(field))).withColumns(
         {c: F.when(F.col("_v").isNull(), F.col(c)) for c in drops}).drop("_v")

@@ -15,33 +15,56 @@ from marquee.streaming import streams
 
 def _raw(spark, sf_dir):
     v = listings(spark, sf_dir)
-    bad = F.col("l_partkey") % 11 == 0
+    k = F.col("l_partkey")
     first = F.col("source").isin("AF", "AO")
-    text = F.when(bad, "soon").when(first, F.date_format("date", "yyyy/MM/dd")).otherwise(F.date_format("date", "yyyy-MM-dd"))
+    text = F.when(k % 11 == 0, "soon").when(first, F.date_format("date", "yyyy/MM/dd")).otherwise(F.date_format("date", "yyyy-MM-dd"))
+    title = F.concat(F.lit("live "), F.when(k % 7 != 0, F.concat("name", F.lit(" "))).otherwise(""), "title", F.when(k % 41 == 0, " 音樂祭").when(k % 43 == 0, " 登記抽選").otherwise(""))
     return v.select(
-        F.concat_ws("~", "raw_id", F.col("price").cast("string")).alias("id"), "source", F.concat(F.lit("live "), "name", F.lit(" "), "title").alias("title"), F.col("title").alias("venue"), F.lit(None).cast("string").alias("address"),
-        F.concat_ws(" ", text, "time").alias("date_text"), F.concat(F.lit("票價：NT$"), (F.col("l_partkey") % 900 + 100).cast("string")).alias("price_text"), F.when(F.col("l_orderkey") % 4 == 0, "已售完").otherwise("").alias("status_text"),
-        F.when(F.col("l_partkey") % 17 == 0, "http://demo.test/x").when(F.col("l_partkey") % 19 == 0, "http://OUT.test").otherwise("http://a.test").alias("url"), F.lit(None).cast("string").alias("signal"), F.lit(None).cast("array<struct<price:double,closed:boolean,waiting:boolean,on_sale_at:string>>").alias("tiers"))
+        F.concat_ws("~", "raw_id", F.col("price").cast("string")).alias("id"), "raw_id", "source", F.when(k % 31 != 0, title).alias("title"), F.col("title").alias("venue"), F.lit(None).cast("string").alias("address"),
+        F.concat_ws(" ", text, "time").alias("date_text"), F.concat(F.lit("票價：NT$"), (k % 900 + 100).cast("string")).alias("price_text"), F.when(F.col("l_orderkey") % 4 == 0, "已售完").otherwise("").alias("status_text"),
+        F.when(k % 17 == 0, "http://demo.test/x").when(k % 19 == 0, "http://OUT.test").otherwise("http://a.test").alias("url"), F.lit(None).cast("string").alias("signal"), F.lit(None).cast("array<struct<price:double,closed:boolean,waiting:boolean,on_sale_at:string>>").alias("tiers"),
+        F.when(k % 13 == 0, "音樂劇").alias("category"), F.when(k % 13 == 0, F.concat(F.lit("run "), "name")).alias("run_key"), F.when(k % 37 == 0, "soon").when(F.col("l_orderkey") % 5 == 0, "2030-01-01T12:00:00+08:00").alias("on_sale_text"))
 
 
 def _overrides(spark, sf_dir):
     v = listings(spark, sf_dir).select("l_partkey", F.concat_ws("~", "raw_id", F.col("price").cast("string")).alias("key"))
     of = lambda field, each, value: v.where(f"l_partkey % {each} = 0").select(F.lit(field).alias("field"), "key", F.lit(value).alias("value")).distinct()
-    return of("venue", 23, "moved hall").unionAll(of("date", 29, "1999-01-01"))
+    return of("venue", 23, "moved hall").unionAll(of("date", 29, "1999-01-01")).unionAll(of("category", 39, "")).unionAll(of("category", 47, "戲劇"))
 
 
-@query(f"""WITH {LISTING_SQL}, l AS (SELECT *, CASE WHEN l_partkey % 29 = 0 THEN DATE '1999-01-01' WHEN l_partkey % 11 <> 0 THEN date END AS d FROM listing) SELECT raw_id || '~' || CAST(price AS VARCHAR) AS id, CASE WHEN contains(lower(title), 'ring') OR l_partkey % 17 = 0 OR l_partkey % 19 = 0 THEN 'excluded' WHEN d IS NULL THEN 'needs_review' ELSE 'event' END AS outcome,
-  CASE WHEN contains(lower(title), 'ring') THEN 'non_music_noise' WHEN l_partkey % 17 = 0 THEN 'platform_demo_content' WHEN l_partkey % 19 = 0 THEN 'excluded_account' WHEN d IS NULL THEN 'date_unparseable' END AS reason, CASE WHEN l_partkey % 23 = 0 THEN 'moved hall' ELSE title END AS venue, CASE WHEN contains(title, 'red') AND l_partkey % 23 <> 0 THEN '台中' ELSE '未知' END AS city,
-  CAST(d AS VARCHAR) AS date, CASE WHEN l_partkey % 11 <> 0 AND l_partkey % 29 <> 0 THEN time END AS time, CAST(l_partkey % 900 + 100 AS DOUBLE) AS price_min,
-  CASE WHEN d < DATE '1998-01-01' THEN 'ended' WHEN l_orderkey % 4 = 0 THEN CASE WHEN d IS NULL THEN 'ended' ELSE 'sold_out' END ELSE 'on_sale' END AS status,
-  name AS headliner, '專場' AS type FROM l""", dates=("date",))
+OUTCOME_SQL = f"""{LISTING_SQL}, l AS (SELECT *, CASE WHEN l_partkey % 29 = 0 THEN DATE '1999-01-01' WHEN l_partkey % 11 <> 0 THEN date END AS d, CASE WHEN l_partkey % 47 = 0 THEN '戲劇' WHEN l_partkey % 13 = 0 AND l_partkey % 39 <> 0 THEN '音樂劇' END AS cat,
+  CASE WHEN l_partkey % 31 = 0 THEN 'normalize_error' WHEN contains(lower(title), 'ring') THEN 'non_music_noise' WHEN l_partkey % 17 = 0 THEN 'platform_demo_content' WHEN l_partkey % 19 = 0 THEN 'excluded_account' END AS early,
+  CASE WHEN l_partkey % 7 <> 0 AND l_partkey % 31 <> 0 THEN name END AS act FROM listing
+), o AS (SELECT *, raw_id || '~' || CAST(price AS VARCHAR) AS id, coalesce(early, CASE WHEN l_partkey % 37 = 0 THEN 'normalize_error' WHEN d IS NULL THEN 'date_unparseable' END) AS reason,
+  CASE WHEN early IS NULL AND l_partkey % 37 = 0 THEN 'on_sale_text: soon' WHEN early IS NULL AND d IS NULL THEN 'soon' || coalesce(' ' || time, '') WHEN l_partkey % 31 = 0 THEN 'title is missing' END AS detail FROM l
+), outcomes AS (SELECT *, CASE WHEN reason IS NULL THEN 'event' WHEN reason IN ('normalize_error', 'date_unparseable') THEN 'needs_review' ELSE 'excluded' END AS outcome,
+  CASE WHEN l_orderkey % 4 = 0 THEN CASE WHEN d IS NULL OR d < DATE '1998-01-01' THEN 'ended' ELSE 'sold_out' END WHEN l_partkey % 37 <> 0 AND l_orderkey % 5 = 0 THEN 'announced' ELSE 'on_sale' END AS status FROM o)"""
+
+
+@query(f"""WITH {OUTCOME_SQL} SELECT id, outcome, reason, detail, CASE WHEN l_partkey % 23 = 0 THEN 'moved hall' ELSE title END AS venue, CASE WHEN contains(title, 'red') AND l_partkey % 23 <> 0 THEN '台中' ELSE '未知' END AS city,
+  CAST(d AS VARCHAR) AS date, CASE WHEN l_partkey % 11 <> 0 AND l_partkey % 29 <> 0 THEN time END AS time, CAST(l_partkey % 900 + 100 AS DOUBLE) AS price_min, status,
+  CASE WHEN status = 'announced' THEN '2030-01-01T12:00:00+08:00' END AS on_sale_at, act AS headliner, act AS lineup, l_partkey % 41 = 0 AND l_partkey % 31 <> 0 AS is_festival,
+  coalesce(cat, CASE WHEN l_partkey % 41 = 0 AND l_partkey % 31 <> 0 THEN '音樂祭' ELSE '專場' END) AS type, CASE WHEN ends_with(act, '1') OR ends_with(act, '2') THEN 'west' END AS origin,
+  l_partkey % 43 = 0 AND l_partkey % 41 <> 0 AND l_partkey % 31 <> 0 AS is_lottery, cat AS category, CASE WHEN l_partkey % 13 = 0 AND (l_partkey % 39 <> 0 OR cat IS NOT NULL) THEN 'run ' || name END AS run_key, source || '/' || raw_id AS sources
+FROM outcomes""", dates=("date",))
 def normalize_outcomes(spark, sf_dir):
-    names = table(spark, sf_dir, "part").select(F.col("p_brand").alias("canonical"), F.col("p_brand").alias("name")).distinct().withColumn("entry_ord", F.lit(0))
+    out = _outcomes(spark, sf_dir)
+    longest = F.try_element_at(F.array_sort(F.col("headliners")), F.lit(-1))
+    return out.select("id", "outcome", "reason", "detail", "venue", "city", "date", "time", "price_min", "status", "on_sale_at", longest.alias("headliner"), F.try_element_at(F.array_sort("lineup"), F.lit(-1)).alias("lineup"), "is_festival",
+                      F.col("types")[0].alias("type"), F.get("origins", F.lit(0)).alias("origin"), "is_lottery", "category", "run_key", F.concat_ws("/", F.col("sources")[0]["name"], F.col("sources")[0]["raw_id"]).alias("sources"))
+
+
+def _outcomes(spark, sf_dir):
+    brand = F.col("p_brand")
+    names = table(spark, sf_dir, "part").select(brand.alias("canonical"), brand.alias("name"), F.when(F.substring(brand, -1, 1).isin("1", "2"), "west").alias("origin")).distinct().withColumn("entry_ord", F.lit(0))
     rules = spark.createDataFrame([("red", "台中", 1)], "match string, city string, rule_ord int")
     grammars = {s: "slash" if s in ("AF", "AO") else "dash" for s in ("AF", "AO", "NF", "NO", "RF", "RO")}
-    out = normalize.listing_outcomes(_raw(spark, sf_dir), names, rules, grammars=grammars, today=F.to_date(F.lit("1998-01-01")), account_suffix=".test", rules={"noise": ("Ring",), "demo": "^http://demo[.]", "accounts": ("out",)}, overrides=_overrides(spark, sf_dir))
-    longest = F.element_at(F.array_sort(F.col("headliners")), -1)
-    return out.select("id", "outcome", "reason", "venue", "city", "date", "time", "price_min", "status", longest.alias("headliner"), "type")
+    return normalize.listing_outcomes(_raw(spark, sf_dir), names, rules, grammars=grammars, today=F.to_date(F.lit("1998-01-01")), account_suffix=".test", rules={"noise": ("Ring",), "demo": "^http://demo[.]", "accounts": ("out",)}, overrides=_overrides(spark, sf_dir))
+
+
+@query(f"""WITH {OUTCOME_SQL} SELECT id, reason, detail FROM outcomes WHERE outcome = 'needs_review' UNION ALL SELECT id, 'artist_unrecognized', NULL FROM outcomes WHERE outcome = 'event' AND act IS NULL AND cat IS NULL""")
+def review_queue(spark, sf_dir):
+    return normalize.review_queue(_outcomes(spark, sf_dir)).select("id", "reason", "detail")
 
 
 @query(f"WITH {LISTING_SQL} SELECT source, count(*) FILTER (date >= DATE '1998-01-01') AS upcoming, count(*) FILTER (date < DATE '1998-01-01') AS past FROM listing GROUP BY source")

@@ -348,8 +348,33 @@ def test_outcomes(spark):
     names, rules = spark.createDataFrame(NAMES, "canonical string, name string, entry_ord int"), spark.createDataFrame([("legacy", "台北", 1)], "match string, city string, rule_ord int")
     out = normalize.listing_outcomes(spark.createDataFrame(rows, kinds), names, rules, grammars={"s": "slash"}, today=F.lit(DAY))
     got = {r.id: r for r in out.collect()}
-    assert {k: (r.outcome, r.reason) for k, r in got.items()} == {"1": ("event", None), "2": ("needs_review", "date_unparseable"), "3": ("excluded", "junk_title"), "4": ("needs_review", "date_unparseable")}
+    assert {k: (r.outcome, r.reason) for k, r in got.items()} == {"1": ("event", None), "2": ("needs_review", "date_unparseable"), "3": ("excluded", "junk_title"), "4": ("needs_review", "normalize_error")}
     assert (got["1"].headliners, got["1"].city, got["1"].price_min, got["1"].status) == (["IVE"], "台北", 800, "on_sale")
+    assert got["2"].detail == "soon" and {r.id: r.reason for r in normalize.review_queue(out).collect()} == {"2": "date_unparseable", "4": "normalize_error"}
+
+
+def test_outcomes_whole(spark):
+    kinds = "id string, source string, title string, venue string, address string, date_text string, price_text string, status_text string, url string, signal string, tiers array<struct<price:double,closed:boolean,waiting:boolean,on_sale_at:string>>, raw_id string, category string, run_key string, on_sale_text string"
+    row = lambda id_, title, category=None, sale=None, text="": (id_, "s", title, "x", None, "2020/01/01", None, text, "u", None, None, "r" + id_, category, "run", sale)
+    rows = [row("1", "IVE and unknown 音樂祭"), row("2", "nobody known"), row("3", "拼盤 a musical", "音樂劇"), row("4", "IVE", sale="soon"), row("5", "IVE", "音樂劇", "2027-01-01T12:00:00+08:00"), row("6", "登記抽選", text="已售完")]
+    names = spark.createDataFrame([(c, n, k, "KR") for c, n, k in NAMES], "canonical string, name string, entry_ord int, origin string")
+    rules = spark.createDataFrame([("legacy", "台北", 1)], "match string, city string, rule_ord int")
+    overrides = spark.createDataFrame([("category", "5", "")], "field string, key string, value string")
+    out = normalize.listing_outcomes(spark.createDataFrame(rows, kinds), names, rules, grammars={"s": "slash"}, today=F.to_date(F.lit("2026-05-01")), overrides=overrides)
+    got = {r.id: r for r in out.collect()}
+    assert got["1"].is_festival and got["1"].origins == ["KR"] and got["1"].lineup == got["1"].headliners == ["IVE"] and [tuple(x) for x in got["1"].sources] == [("s", "u", "r1")]
+    assert got["1"].status == "on_sale" and got["6"].status == "ended" and got["6"].is_lottery  # a past date alone ends nothing
+    assert (got["3"].types, got["3"].category, got["3"].run_key) == (["音樂劇"], "音樂劇", "run") and (got["5"].types, got["5"].category, got["5"].run_key) == (["專場"], None, None)
+    assert (got["4"].outcome, got["4"].reason, got["4"].detail) == ("needs_review", "normalize_error", "on_sale_text: soon") and got["5"].status == "announced"
+    assert {(r.id, r.reason) for r in normalize.review_queue(out).collect()} == {("2", "artist_unrecognized"), ("4", "normalize_error"), ("6", "artist_unrecognized")}
+    events, review, excluded = normalize.split_outcomes(out)
+    assert events.count() == 5 and review.count() == 3 and excluded.count() == 0 and "reason" not in events.columns
+
+
+def test_names_near_letters_that_grow_in_lower_case(spark):
+    titles = spark.createDataFrame([("1", "İİ abc"), ("2", "İstanbul Trio live"), ("3", "x 甲İ乙 y"), ("4", "甲i̇乙")], "id string, title string")
+    names = spark.createDataFrame([("A", "ABC", 0), ("B", "İstanbul Trio", 1), ("C", "甲İ乙", 2)], "canonical string, name string, entry_ord int")
+    assert {(r.id, r.canonical) for r in match.match_dictionary(titles, names).collect()} == {("1", "A"), ("2", "B"), ("3", "C")}
 
 
 def test_lottery(spark):
