@@ -36,18 +36,21 @@ def type_tag(title: Column, headliners: Column, words=TYPE_WORDS) -> Column:
 def exclusion_reason(title: Column, url: Column, account: Column, venue: Column, *, noise=(), classical=(), greet=(), demo: str | None = None, accounts=(), urls=(), outside: str | None = None, escape: str | None = None) -> Column:
     """The first reason, in fixed order, to leave a listing out; null to keep it.
 
-    Words are literal; demo (a platform's own pages) is a pattern of URLs, outside one of venues.
+    Words are literal, or, as marquee.operators.rules has them, a column each that says whether a listing
+    holds one; demo (a platform's own pages) is a pattern of URLs, outside one of venues.
     """
     title = F.coalesce(title, F.lit(""))
-    plain = any_of(title, classical) & (~title.contains(escape) if escape else F.lit(True))
+    held = lambda given, test: given if isinstance(given, Column) else test(given)
+    one_of = lambda text: lambda words: text.isin(*words) if words else F.lit(False)
+    plain = held(classical, lambda words: any_of(title, words)) & (~title.contains(escape) if escape else F.lit(True))
     checks = (
         ("junk_title", F.trim(title).rlike(JUNK_TITLE)),
-        ("non_music_noise", F.lower(title).rlike(quoted_pattern([w.lower() for w in noise])) if noise else F.lit(False)),
+        ("non_music_noise", held(noise, lambda words: F.lower(title).rlike(quoted_pattern([w.lower() for w in words])) if words else F.lit(False))),
         ("classical", plain),
-        ("meet_and_greet", any_of(F.lower(title), [w.lower() for w in greet])),
+        ("meet_and_greet", held(greet, lambda words: any_of(F.lower(title), [w.lower() for w in words]))),
         ("platform_demo_content", F.coalesce(url.rlike(demo), F.lit(False)) if demo else F.lit(False)),
-        ("excluded_account", account.isin(*accounts) if accounts else F.lit(False)),
-        ("manual_exclude", url.isin(*urls) if urls else F.lit(False)),
+        ("excluded_account", held(accounts, one_of(account))),
+        ("manual_exclude", held(urls, one_of(url))),
         ("outside_taiwan", F.coalesce(venue.rlike(outside), F.lit(False)) if outside else F.lit(False)),
     )
     return F.coalesce(*[F.when(c, F.lit(name)) for name, c in checks], F.lit(None).cast("string"))
@@ -69,16 +72,19 @@ def category_of(codes: Column, classes: dict[str, str], excluded=()) -> Column:
     return F.when(~bad, hit)
 
 
-def is_lottery(title: Column, text: Column, hedge: str, window: int = 150, lookback: int = 20, beside: str = "VIP|加購") -> Column:
+def is_lottery(title: Column, text: Column, hedge, window: int = 150, lookback: int = 20, beside="VIP|加購", words=LOTTERY_TITLE, sale=GENERAL_SALE) -> Column:
     """Whether general tickets are drawn by lot: the title says so, or the text does near a general sale.
 
     A lottery word counts unless `beside` words stand within lookback characters before
-    it; a hedge within `window` characters behind the general sale undoes it.
+    it; a hedge within `window` characters behind the general sale undoes it. All four are
+    patterns, as text or as columns.
     """
     text = F.coalesce(text, F.lit(""))
+    pattern = lambda p: p if isinstance(p, Column) else F.lit(p)
+    found = lambda t, p: F.regexp_instr(t, pattern(p)) > 0
     # what stands before each lottery word, from a text with room before its start
-    before = F.regexp_extract_all(F.concat(F.lit(" " * lookback), text), F.lit(f"(?s)(?=(.{{{lookback}}})(?:{LOTTERY_TITLE}))"), F.lit(1))
-    real = F.exists(before, lambda x: ~x.rlike(beside))
-    sale = F.regexp_instr(text, F.lit(GENERAL_SALE))
-    hedged = (sale > 0) & F.substring(text, sale, F.lit(window)).rlike(hedge)
-    return F.coalesce(title, F.lit("")).rlike(LOTTERY_TITLE) | (real & (sale > 0) & ~hedged)
+    ahead = F.concat(F.lit(f"(?s)(?=(.{{{lookback}}})(?:"), pattern(words), F.lit("))"))
+    real = F.exists(F.regexp_extract_all(F.concat(F.lit(" " * lookback), text), ahead, F.lit(1)), lambda x: ~found(x, beside))
+    at = F.regexp_instr(text, pattern(sale))
+    hedged = (at > 0) & found(F.substring(text, at, F.lit(window)), hedge)
+    return found(F.coalesce(title, F.lit("")), words) | (real & (at > 0) & ~hedged)
