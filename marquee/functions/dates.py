@@ -71,6 +71,17 @@ def local_text(ts: Column, layout: str = "yyyy/MM/dd HH:mm", zone: str = ZONE) -
     return F.date_format(F.from_utc_timestamp(ts, zone), layout)
 
 
+#: The second layout of civil text, which is also the key by which moments are compared.
+MINUTE = "yyyy-MM-dd HH:mm"
+
+
+def minute_key(moment: Column | None = None, text: Column | None = None, zone: str = ZONE) -> Column:
+    """The civil minute of a UTC moment, or of a text that is civil time already, so that the two can be joined; null for null."""
+    if moment is not None:
+        return local_text(moment, MINUTE, zone)
+    return F.substring(F.replace(text, F.lit("T"), F.lit(" ")), 1, 16)
+
+
 def days_until(date: Column, today: Column) -> Column:
     return F.datediff(date, today)
 

@@ -48,7 +48,7 @@ def _acts(listings: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def listing_outcomes(listings: DataFrame, names: DataFrame, venue_rules: DataFrame, *, grammars: dict[str, str], today: Column, rules: dict | None = None, account_suffix: str | None = None,
-                     addresses: tuple[tuple[str, str], ...] = (), overrides: DataFrame | None = None, hedge: str = "(?!)") -> DataFrame:
+                     addresses: tuple[tuple[str, str], ...] = (), overrides: DataFrame | None = None, hedge: str = "(?!)", tiered: tuple[str, ...] = ()) -> DataFrame:
     """One row a listing with `outcome` (event, needs_review, excluded), `reason`, `detail`, and the fields of the event.
 
     listings: id (source and raw_id, unique), source, title, venue, address, date_text,
@@ -65,7 +65,9 @@ def listing_outcomes(listings: DataFrame, names: DataFrame, venue_rules: DataFra
     listing `key` (an id) has; an overriding date has no time, an empty category takes
     category and run_key away. A category is the event's type, whatever its title says. The
     moment of sale given by the source goes before one read from texts. hedge: words
-    behind a general sale that undo a lottery (is_lottery). The dictionary and
+    behind a general sale that undo a lottery (is_lottery). tiered: sources whose listings
+    have tiers as soon as they are sold, so that one without is announced, whatever its
+    texts say; of other sources the texts decide. The dictionary and
     the city rules meet rows by equi-joins on id; everything else is one projection.
     """
     grammar = F.create_map(*[F.lit(x) for kv in grammars.items() for x in kv])[F.col("source")]
@@ -86,7 +88,7 @@ def listing_outcomes(listings: DataFrame, names: DataFrame, venue_rules: DataFra
     if overrides is not None:
         rows = overridden(rows, overrides, "date", "id", drops=("time",))
     untiered = F.coalesce(F.size("tiers"), F.lit(0)) <= 0
-    tierless = untiered & F.col("signal").isNull()
+    tierless = untiered & F.col("signal").isNull() & ~F.coalesce(F.col("source").isin(*tiered), F.lit(False))
     sale = F.coalesce(F.when(F.col("_moment").isNotNull(), F.col("on_sale_text")), F.col("_sale"))
     price = lambda end: F.when(untiered, F.col(f"_text_price.{end}")).otherwise(F.col(f"_tier_price.{end}")).alias(f"price_{end}")
     state = F.when(tierless, text_status(F.col("status_text"), sale, F.col("date"), today)).otherwise(status_from_tiers(F.col("tiers"), F.col("signal"), F.col("date"), today, sale))

@@ -43,10 +43,10 @@ def register_extractor(name: str, priority: int, extract: Callable[[DataFrame],
     EXTRACTORS[name] = (priority, extract)
 
 
-def extract_all(raw_pages: DataFrame) -> tuple[DataFrame, dict[str, str]]:
-    """Listings of all registered sources, each with its priority, and the errors of those whose plan can't be built."""
+def extract_all(raw_pages: DataFrame, extractors: dict | None = None) -> tuple[DataFrame, dict[str, str]]:
+    """Listings of all registered (or the given) sources, each with its priority, and the errors of those whose plan can't be built."""
     frames, errors = [], {}
-    for name, (priority, extract) in EXTRACTORS.items():
+    for name, (priority, extract) in (EXTRACTORS if extractors is None else extractors).items():
         try:
             frames.append(extract(raw_pages.where(F.col("source") == name)).withColumn("priority", F.lit(priority)))
         except Exception as e:  # a broken source must not stop the others
