@@ -121,8 +121,9 @@ def collect_calendar(df: DataFrame, favourites: DataFrame) -> DataFrame:
 
 
 def new_arrivals(df: DataFrame, now: Column, *, days: int = 7) -> DataFrame:
-    """(group, n): rows first seen today and in the past days before."""
-    age = F.floor((F.unix_timestamp(now) - F.unix_timestamp("first_seen_at")) / 86400)
+    """(group, n): rows first seen today and in the past days before, to the microsecond."""
+    at = lambda c: F.unix_micros(c.cast("timestamp"))
+    age = F.floor((at(now) - at(F.col("first_seen_at"))) / 86_400_000_000)
     rows = df.withColumn("_age", age).where((F.col("_age") >= 0) & (F.col("_age") <= days))
     return rows.groupBy(F.when(F.col("_age") < 1, "today").otherwise("week").alias("group")).agg(F.count("*").alias("n"))
 

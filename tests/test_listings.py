@@ -517,3 +517,10 @@ def test_exclusions_that_repeat_come_later_and_end(spark, tmp_path):
     assert len(q.recentProgress) >= 3
     got = [r.id for r in spark.read.schema(out.schema).parquet(f"{tmp_path}/out").collect()]
     assert sorted(got) == sorted(k for k in want if k < 27 or k > 99)  # the watermark holds the last rows back
+
+
+def test_arrivals_are_told_apart_by_parts_of_a_second(spark):
+    rows = spark.createDataFrame([("2024-01-15 12:00:00.5",), ("2024-01-15 12:00:00",), ("2024-01-14 12:00:00.5",), ("2024-01-14 12:00:00",), ("2024-01-07 12:00:00.000001",), ("2024-01-07 12:00:00",), (None,)], "t string")
+    for kind in ("timestamp", "timestamp_ntz"):
+        got = browse.new_arrivals(rows.select(F.col("t").cast(kind).alias("first_seen_at")), F.to_timestamp(F.lit("2024-01-15 12:00:00")))
+        assert {r.group: r.n for r in got.collect()} == {"today": 2, "week": 2}
