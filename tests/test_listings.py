@@ -524,3 +524,45 @@ def test_arrivals_are_told_apart_by_parts_of_a_second(spark):
     for kind in ("timestamp", "timestamp_ntz"):
         got = browse.new_arrivals(rows.select(F.col("t").cast(kind).alias("first_seen_at")), F.to_timestamp(F.lit("2024-01-15 12:00:00")))
         assert {r.group: r.n for r in got.collect()} == {"today": 2, "week": 2}
+
+
+def _preferences(spark, acts, events, users):
+    """Events of so many acts and rules of so many users, with lists that repeat, hold nulls or are null."""
+    rng = random.Random(5)
+    names = lambda k: rng.choice([None, [], [f"a{rng.randrange(acts)}"], [f"a{rng.randrange(acts)}", None, f"a{rng.randrange(acts)}"]]) if k % 3 else [f"a{rng.randrange(acts)}"]
+    e = [(k, DAY + dt.timedelta(days=rng.randrange(9)), rng.choice([None, "20:00"]), names(k), rng.choice([None, ["t0"], ["t1"], ["t0", "t1"]])) for k in range(events)]
+    value = lambda kind: f"a{rng.randrange(acts)}" if kind == "artist" else f"t{rng.randrange(3)}" if kind == "type" else str(rng.randrange(events + 5))
+    r = [(u, kind, value(kind)) for u in range(users) for kind in rng.choices(list(prefs.KINDS), [3, 6, 12, u % 3 == 0], k=rng.randrange(3 * acts))]
+    return e, r, spark.createDataFrame(e, "id long, date date, time string, headliners array<string>, types array<string>"), spark.createDataFrame(r, "user_id long, kind string, value string")
+
+
+def _decided_kind(event, mine):
+    keys = [("favourite", str(event[0])), ("event", str(event[0])), *[("artist", a) for a in event[3] or []], *[("type", t) for t in event[4] or []]]
+    return min((k for k in keys if k in mine), key=lambda k: prefs.KINDS[k[0]], default=(None,))[0]
+
+
+@pytest.mark.parametrize("chunk", [2, 200])
+def test_rules_meet_profiles_as_all_pairs(spark, monkeypatch, chunk):
+    monkeypatch.setattr(prefs, "CHUNK", chunk)
+    monkeypatch.setattr(prefs, "PIECE", 50)
+    e, r, events, rules = _preferences(spark, 7, 120, 25)
+    mine = {u: {x[1:] for x in r if x[0] == u} for u, *_ in r}
+    kinds = {(u, x[0]): _decided_kind(x, mine[u]) for u in mine for x in e}
+    got = [tuple(x) for x in prefs.rule_hits(events, rules).collect()]
+    assert sorted(got) == sorted((*pair, kind) for pair, kind in kinds.items() if kind)
+    order = sorted((x for x in e if x[1] >= DAY + dt.timedelta(days=2)), key=lambda x: (x[1], x[2] or "99:99", x[0]))
+    expect = []
+    for u in mine:
+        seen = [(x[0], kinds[u, x[0]] or "show") for x in order if kinds[u, x[0]] in (None, "favourite")][:6]
+        expect += [(u, k + 1, *x) for k, x in enumerate(seen)]
+    pages = prefs.visible_pages(events, rules, today=F.lit(DAY + dt.timedelta(days=2)), size=6)
+    assert sorted(map(tuple, pages.collect())) == sorted(expect)
+
+
+def test_pairs_spread_over_tasks_by_their_number(spark, monkeypatch):
+    """Small tables whose pairs are many aren't left to one task."""
+    monkeypatch.setattr(prefs, "PIECE", 1000)
+    events = spark.range(400).select("id", F.array(F.lit("a")).alias("headliners"), F.array(F.lit("t")).alias("types"))
+    rules = spark.range(100).select(F.col("id").alias("user_id"), F.lit("type").alias("kind"), F.lit("t").alias("value"))
+    pieces = prefs.rule_hits(events, rules).groupBy(F.spark_partition_id()).count().collect()
+    assert len(pieces) >= 20 and sum(x["count"] for x in pieces) == 40_000 and max(x["count"] for x in pieces) < 8000
