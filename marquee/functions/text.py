@@ -46,9 +46,13 @@ def utrim(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+#: Every character of Unicode's White_Space, which the pattern (?U)\s means.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def hash_norm(c: Column) -> Column:
     """Lower case without any white space."""
-    return F.lower(F.regexp_replace(c, r"(?U)\s", ""))
+    return F.lower(F.translate(c, WHITE, ""))
 
 
 def squash(c: Column) -> Column:

@@ -61,24 +61,28 @@ def resolve_ids(listings: DataFrame, *, gap: int = GAP_MINUTES) -> DataFrame:
     return out.withColumn("id", F.concat_ws("-", "base_id", "bucket", "island"))
 
 
-def merge_groups(resolved: DataFrame, *, keep=("title", "venue", "city", "date", "time"), union=("lineup", "types", "origins")) -> DataFrame:
+def merge_groups(resolved: DataFrame, *, keep=("title", "venue", "city", "date", "time"), union=("lineup", "types", "origins"), sources: bool = True) -> DataFrame:
     """One row an id: the best-ranked listing as the base, its sources and lists united in rank order, prices spanned.
 
     resolved has id, priority, special, price_min, price_max, source, raw_id, ord, and the
     keep and union columns. Grouped with map-side combination; `sources` is an array of
-    (name, raw_id).
+    (name, raw_id), or left out. All listings of a group are collected with what is asked
+    for, so callers should leave out what they don't need.
     """
     rank = F.struct(listing_rank(F.col("priority"), F.col("special")).alias("rank"), F.col("price_min").isNull().alias("free"), F.col("ord").alias("ord"))
     df = resolved.withColumn("_rank", rank)
-    lists = F.collect_list(F.struct("_rank", F.struct(F.col("source").alias("name"), "raw_id").alias("ref"), *[c for c in union if c in resolved.columns]))
-    base = F.min_by(F.struct(*[c for c in keep if c in resolved.columns]), F.col("_rank"))
-    out = df.groupBy("id").agg(base.alias("_base"), F.array_sort(lists).alias("_rows"), F.min("price_min").alias("price_min"), F.max("price_max").alias("price_max"))
+    ref = [F.struct(F.col("source").alias("name"), "raw_id").alias("ref")] if sources else []
+    lists = F.collect_list(F.struct("_rank", *ref, *[c for c in union if c in resolved.columns]))
+    kept = [c for c in keep if c in resolved.columns]
+    base = [F.min_by(F.struct(*kept), F.col("_rank")).alias("_base")] if kept else []
+    out = df.groupBy("id").agg(*base, F.array_sort(lists).alias("_rows"), F.min("price_min").alias("price_min"), F.max("price_max").alias("price_max"))
 
     def united(c):
         none = F.array().cast(resolved.schema[c].dataType)
         return F.array_distinct(F.flatten(F.transform("_rows", lambda r: F.coalesce(r[c], none)))).alias(c)
 
-    return out.select("id", "_base.*", F.transform("_rows", lambda r: r["ref"]).alias("sources"), *[united(c) for c in union if c in resolved.columns], "price_min", "price_max")
+    refs = [F.transform("_rows", lambda r: r["ref"]).alias("sources")] if sources else []
+    return out.select("id", *(["_base.*"] if kept else []), *refs, *[united(c) for c in union if c in resolved.columns], "price_min", "price_max")
 
 
 def dedupe_events(listings: DataFrame, *, gap: int = GAP_MINUTES) -> DataFrame:

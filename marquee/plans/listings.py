@@ -39,7 +39,7 @@ SELECT id, max(CASE WHEN rk = 1 THEN raw_id END) AS base_raw_id, max(CASE WHEN r
        min(CASE WHEN price >= 5000 THEN price END) AS price_min, max(CASE WHEN price >= 5000 THEN price END) AS price_max
 FROM resolved GROUP BY id""")
 def dedupe_full(spark, sf_dir):
-    out = dedupe.merge_groups(_resolved(spark, sf_dir))
+    out = dedupe.merge_groups(_resolved(spark, sf_dir), keep=("city", "time"), union=())
     return out.select("id", F.col("sources")[0]["raw_id"].alias("base_raw_id"), "city", "time", F.array_join(F.transform("sources", lambda s: F.concat_ws("/", s["name"], s["raw_id"])), ",").alias("sources"),
                       F.size("sources").cast("long").alias("n_sources"), "price_min", "price_max")
 
@@ -53,7 +53,7 @@ def time_islands(spark, sf_dir):
 SELECT a.id, lineup, types FROM (SELECT id, string_agg(title, '|' ORDER BY k) AS lineup FROM f GROUP BY id) a
 JOIN (SELECT id, string_agg(source, '|' ORDER BY k) AS types FROM s GROUP BY id) b ON a.id = b.id""")
 def merge_arrays(spark, sf_dir):
-    return dedupe.merge_groups(_resolved(spark, sf_dir)).select("id", F.array_join("lineup", "|").alias("lineup"), F.array_join("types", "|").alias("types"))
+    return dedupe.merge_groups(_resolved(spark, sf_dir), keep=(), union=("lineup", "types"), sources=False).select("id", F.array_join("lineup", "|").alias("lineup"), F.array_join("types", "|").alias("types"))
 
 
 @query(f"""WITH {RESOLVED_SQL} SELECT id, source AS base_source, raw_id AS base_raw_id FROM resolved WHERE rk = 1""")

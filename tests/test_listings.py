@@ -566,3 +566,17 @@ def test_pairs_spread_over_tasks_by_their_number(spark, monkeypatch):
     rules = spark.range(100).select(F.col("id").alias("user_id"), F.lit("type").alias("kind"), F.lit("t").alias("value"))
     pieces = prefs.rule_hits(events, rules).groupBy(F.spark_partition_id()).count().collect()
     assert len(pieces) >= 20 and sum(x["count"] for x in pieces) == 40_000 and max(x["count"] for x in pieces) < 8000
+
+
+def test_white_space_is_what_the_pattern_means(spark):
+    every = "".join(chr(c) for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000)
+    row = spark.createDataFrame([(every,), (" a\u3000B\n",), (None,)], "t string").select(text.hash_norm(F.col("t")).alias("a"), F.lower(F.regexp_replace("t", r"(?U)\s", "")).alias("b"))
+    assert all(r.a == r.b for r in row.collect()) and row.collect()[1].a == "ab"
+
+
+def test_groups_collect_only_what_is_asked_for(spark):
+    rows = spark.createDataFrame([("i", 1, False, 5.0, 5.0, "s", "r1", 1, "t", ["x"]), ("i", 2, False, None, None, "u", "r2", 2, "v", ["y", "x"])], "id string, priority int, special boolean, price_min double, price_max double, source string, raw_id string, ord int, title string, lineup array<string>")
+    assert [tuple(r) for r in dedupe.merge_groups(rows, keep=(), sources=False).select("id", "lineup").collect()] == [("i", ["x", "y"])]
+    slim = dedupe.merge_groups(rows, keep=("title",), union=())
+    assert slim.columns == ["id", "title", "sources", "price_min", "price_max"] and [x.raw_id for x in slim.first().sources] == ["r1", "r2"]
+    assert "lineup" not in slim._jdf.queryExecution().optimizedPlan().toString().split("LogicalRDD")[0]
