@@ -87,4 +87,4 @@ def is_lottery(title: Column, text: Column, hedge, window: int = 150, lookback:
     real = F.exists(F.regexp_extract_all(F.concat(F.lit(" " * lookback), text), ahead, F.lit(1)), lambda x: ~found(x, beside))
     at = F.regexp_instr(text, pattern(sale))
     hedged = (at > 0) & found(F.substring(text, at, F.lit(window)), hedge)
-    return found(F.coalesce(title, F.lit("")), words) | (real & (at > 0) & ~hedged)
+    return found(F.coalesce(title, F.lit("")), words) | (found(text, words) & (at > 0) & real & ~hedged)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from marquee.functions.text import let
+
 ZONE = "Asia/Taipei"
 OFFSET = "+08:00"
 
@@ -25,10 +27,6 @@ def time_bucket(time: Column, evening: int = 17) -> Column:
     return F.when(minutes_of(time) < evening * 60, "day").when(minutes_of(time).isNotNull(), "evening")
 
 
-def _date(y: Column, m: Column, d: Column) -> Column:
-    return F.try_to_date(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
-
-
 def _part(c: Column, pattern: str, k: int) -> Column:
     return F.nullif(F.regexp_extract(c, pattern, k), F.lit(""))
 
@@ -48,14 +46,12 @@ def parse_date(c: Column, grammar: Column) -> Column:
 
     slash_time takes the last time of the text, the others the first after the date.
     """
-    w = lambda k: F.coalesce(_part(c, WORDS, k), _part(c, WORDS, k + 3))
-    words = _date(w(1), w(2), w(3))
-    date = (
-        F.when(grammar.isin("slash", "slash_time"), _date(*[_part(c, SLASH, k) for k in (1, 2, 3)]))
-        .when(grammar == "words", words).when(grammar == "dash", _date(*[_part(c, DASH, k) for k in (1, 2, 3)])))
+    found = lambda pattern: F.regexp_extract(c, pattern, 0)
+    words = F.translate(found(WORDS), "年月.日 \t\n\x0b\x0c\r", "---")
+    date = F.when(grammar.isin("slash", "slash_time"), F.translate(found(SLASH), "/", "-")).when(grammar == "words", words).when(grammar == "dash", found(DASH)).try_cast("date")
     last = F.nullif(F.concat_ws(":", F.lpad(_part(c, r".*(?<!\d)(\d{1,2})[:：](\d{2})", 1), 2, "0"), _part(c, r".*(?<!\d)(\d{1,2})[:：](\d{2})", 2)), F.lit(""))
-    time = F.when(grammar == "slash_time", last).otherwise(F.nullif(_time(c), F.lit("")))
-    return F.struct(date.alias("date"), F.when(date.isNotNull(), time).alias("time"))
+    time = F.when(grammar == "slash_time", last).otherwise(let(found(r"\d{1,2}[:：]\d{2}"), lambda x: F.when(x != "", F.lpad(F.translate(x, "：", ":"), 5, "0"))))
+    return let(date, lambda d: F.struct(d.alias("date"), F.when(d.isNotNull(), time).alias("time")))
 
 
 def slash_timestamp(c: Column, zone: str = ZONE) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from marquee.functions.text import fullwidth_ascii, let, math_digits, utrim
+from marquee.functions.text import any_of, fullwidth_ascii, let, math_digits, utrim
 
 # The patterns by which labels, amounts and sale dates are written.
 PRICE_HEAD = r"票\s*價|門\s*票|票務"
@@ -14,6 +14,7 @@ CURRENCY = r"(?U)(?:NT\$|NT|TWD|\$)\s*([\d,]+)|([\d,]+)\s*元"
 BARE = r"([\d,]{2,})"
 KEYWORD = r"(?i)(?:預售|現場|單人|雙人|套票|adv|door)[^\d]{0,8}(\d[\d,]*)"
 DOLLAR = r"\$\s*([\d,]+)"
+DISCOUNT_WORDS = ("身障", "愛心", "陪同")
 DISCOUNT = r"(?U)(?:身障|愛心|陪同)[^\d]{0,20}[\d,]+(?:\s*[/、,，]\s*[\d,]+)*\s*元?"
 SALE_LABEL = r"(?U)(?:開賣|起售|開放售票|售票)[^｜:：|\n]{0,10}(?:\s*\n\s*時間)?[｜:：|]\s*([^\n]{1,60})"
 SALE_WORD = "開賣|起售|開放售票|售票"
@@ -23,9 +24,10 @@ LEAST, MOST = 50, 100_000
 
 def html_to_lines(c: Column) -> Column:
     """Text with a line break where a block starts or ends, without tags, with the two commonest entities decoded."""
+    out = c
     for pattern, new in ((r"(?i)<(?:br|p|div|li)\b[^>]*>", "\n"), (r"(?i)</(?:p|div|li)>", "\n"), (r"<[^>]+>", ""), (r"(?i)&nbsp;", " "), (r"(?i)&amp;", "&")):
-        c = F.regexp_replace(c, pattern, new)
-    return c
+        out = F.regexp_replace(out, pattern, new)
+    return F.when(c.contains("<") | c.contains("&"), out).otherwise(c)
 
 
 def plain_text(c: Column) -> Column:
@@ -45,6 +47,10 @@ def amounts(texts: Column) -> Column:
     return F.filter(numbers, lambda n: n.between(LEAST, MOST))
 
 
+def without_discounts(text: Column) -> Column:
+    return F.when(any_of(text, DISCOUNT_WORDS), F.regexp_replace(text, DISCOUNT, "")).otherwise(text)
+
+
 def label_block(plain: Column) -> Column:
     """What stands behind a price label: on its line, else the header line's tail and the next five lines; null if nothing."""
     return F.coalesce(F.nullif(utrim(F.regexp_extract(plain, PRICE_LABEL, 1)), F.lit("")), let(F.split(plain, "\n"), _header_block))
@@ -62,8 +68,8 @@ def _header_block(lines: Column) -> Column:
     return F.get(F.filter(F.transform(heads, block), lambda b: b.isNotNull()), F.lit(0))
 
 
-def price_from_text(c: Column) -> Column:
-    """Struct (min, max) of the prices that a description states; nulls rather than guesses.
+def price_from_text(c: Column, plain: Column | None = None) -> Column:
+    """Struct (min, max) of the prices that a description states; nulls rather than guesses. plain: its plain_text, if that is at hand.
 
     Tried in order: marked amounts behind a price label; bare numbers behind one; numbers
     next to a price word; anything with a dollar sign. Reduced prices for entitled
@@ -81,10 +87,10 @@ def price_from_text(c: Column) -> Column:
         return let(every(rest, F.lit(KEYWORD)), lambda k: F.when(F.size(k) > 0, k).otherwise(every(rest, F.lit(DOLLAR))))
 
     def read(plain):
-        label = F.coalesce(let(F.regexp_replace(label_block(plain), DISCOUNT, ""), behind_label), none)
-        return let(label, lambda x: F.when(F.size(x) > 0, x).otherwise(let(F.regexp_replace(plain, DISCOUNT, ""), anywhere)))
+        label = F.coalesce(let(label_block(plain), lambda b: let(without_discounts(b), behind_label)), none)
+        return let(label, lambda x: F.when(F.size(x) > 0, x).otherwise(let(without_discounts(plain), anywhere)))
 
-    return let(let(plain_text(c), read), lambda x: F.struct(F.array_min(x).alias("min"), F.array_max(x).alias("max")))
+    return let(let(plain_text(c) if plain is None else plain, read), lambda x: F.struct(F.array_min(x).alias("min"), F.array_max(x).alias("max")))
 
 
 def sale_moment(text: Column) -> Column:
@@ -97,12 +103,13 @@ def sale_moment(text: Column) -> Column:
     return F.concat(pick(1), F.lit("-"), F.lpad(pick(2), 2, "0"), F.lit("-"), F.lpad(pick(3), 2, "0"), F.lit("T"), time, F.lit(":00+08:00"))
 
 
-def on_sale_at(c: Column) -> Column:
-    """The first sale start that a description dates in full; labels and values that speak of an end are passed over.
+def on_sale_at(c: Column, plain: Column | None = None) -> Column:
+    """The first sale start that a description dates in full; labels and values that speak of an end are passed over. plain: its plain_text, if that is at hand.
 
     Labels may overlap, so each place where a label word starts is read on its own.
     """
-    return let(plain_text(c), _first_sale)
+    plain = plain_text(c) if plain is None else plain
+    return F.when(any_of(plain, SALE_WORD.split("|")), let(plain, _first_sale))
 
 
 def _first_sale(plain: Column) -> Column:

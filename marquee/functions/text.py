@@ -35,21 +35,31 @@ def math_digits(c: Column) -> Column:
     return F.translate(c, "".join(chr(0x1D7CE + k) for k in range(50)), "0123456789" * 5)
 
 
+def is_ascii(c: Column) -> Column:
+    """Whether a text is ASCII alone; null for null."""
+    return F.octet_length(c) == F.char_length(c)
+
+
 @F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Unicode compatibility composition; null stays null."""
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+    return s if s.isna().all() else s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
-def utrim(c: Column) -> Column:
-    """Trim of every Unicode white space."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+def composed(c: Column) -> Column:
+    """nfkc of a column, which sends nothing of ASCII texts to Python: they stay as they are."""
+    return F.coalesce(nfkc(F.when(~is_ascii(c), c)), c)
 
 
 #: Every character of Unicode's White_Space, which the pattern (?U)\s means.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
+def utrim(c: Column) -> Column:
+    """Trim of every Unicode white space."""
+    return F.trim(c, F.lit(WHITE))
+
+
 def hash_norm(c: Column) -> Column:
     """Lower case without any white space."""
     return F.lower(F.translate(c, WHITE, ""))
@@ -63,7 +73,8 @@ def squash(c: Column) -> Column:
 def city_from_address(c: Column, cities=CITIES) -> Column:
     """The first of the cities, in list order, that the address contains; null if none."""
     folded = fold_variant_char(c)
-    return F.coalesce(*[F.when(folded.contains(x), F.lit(x)) for x in cities])
+    found = F.coalesce(*[F.when(folded.contains(x), F.lit(x)) for x in cities])
+    return found if any(x.isascii() for x in cities) else F.when(~is_ascii(c), found)
 
 
 def clip_text(c: Column, n: int) -> Column:

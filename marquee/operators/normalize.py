@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from marquee.functions.classify import exclusion_reason, is_lottery, type_tag
 from marquee.functions.dates import parse_date
-from marquee.functions.price import on_sale_at, price_from_text, price_from_tiers
+from marquee.functions.price import on_sale_at, plain_text, price_from_text, price_from_tiers
 from marquee.functions.status import status_from_tiers, text_status
 from marquee.functions.text import host_label, let, squash, utrim
-from marquee.operators.match import match_dictionary, resolve_city
-from marquee.operators.relations import overridden
+from marquee.operators.match import are_few, dictionary_words, match_dictionary, matched_here, resolve_city
+from marquee.operators.relations import overriding
 
 LINKS = r"(?U)\s*📍?\s*https?://\S+"
 
@@ -22,29 +22,41 @@ def clean_venue(venue: Column, title: Column, addresses: tuple[tuple[str, str],
     A name that only repeats the title gives way to the venue known for its address, by the
     first of the addresses (pattern, venue) found in it, else to the address alone.
     """
-    bare = utrim(F.regexp_replace(F.regexp_replace(F.coalesce(venue, F.lit("")), LINKS, ""), r"(?U)\s*📍\s*$", ""))
+    given = F.coalesce(venue, F.lit(""))
+    stripped = F.regexp_replace(F.regexp_replace(given, LINKS, ""), r"(?U)\s*📍\s*$", "")
+    bare = utrim(F.when(given.contains("://") | given.contains("📍"), stripped).otherwise(given))
+    venue_at = lambda address: F.coalesce(*[F.when(address.rlike(p), F.lit(v)) for p, v in addresses], F.lit(None).cast("string"))
 
     def read(plain):
         parts = F.transform(F.split(plain, "/"), utrim)
         address = F.array_join(F.slice(parts, F.lit(2), F.size(parts)), " / ")
-        known = F.coalesce(*[F.when(address.rlike(p), F.lit(v)) for p, v in addresses], F.lit(None).cast("string"))
+        known = venue_at(address)
         promo = (parts[0] != "") & (squash(parts[0]) == squash(F.coalesce(title, F.lit(""))))
         return F.when(promo & known.isNotNull(), F.concat(known, F.lit(" / "), address)).when(promo & (address != ""), address).otherwise(plain)
 
-    return let(bare, read)
+    # without an address nothing is known of it, but by a pattern that finds the empty one
+    return F.when(bare.contains("/") | venue_at(F.lit("")).isNotNull(), let(bare, read)).otherwise(bare)
 
 
 #: Fixed value: the word of a title that makes a festival.
 FESTIVAL = "音樂祭"
 
 
-def _acts(listings: DataFrame, names: DataFrame) -> DataFrame:
-    """(id, headliners, origins): the acts in each title by position, and the distinct origins that the dictionary gives them."""
-    found = match_dictionary(listings.select("id", "title"), names)
+def _with_acts(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """rows with headliners and origins: the acts in each title by position, and the distinct origins that the dictionary gives them.
+
+    A dictionary of few names is read in each row's place; with more, acts come by a join on id.
+    """
     known = names if "origin" in names.columns else names.withColumn("origin", F.lit(None).cast("string"))
     origin = known.groupBy("canonical").agg(F.min_by("origin", "entry_ord").alias("origin"))
-    held = found.join(origin, "canonical", "left").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "canonical", "origin"))).alias("x"))
-    return held.select("id", F.transform("x", lambda a: a["canonical"]).alias("headliners"), F.array_distinct(F.filter(F.transform("x", lambda a: F.nullif(a["origin"], F.lit(""))), lambda o: o.isNotNull())).alias("origins"))
+    words = dictionary_words(names)
+    if are_few(words):
+        found = matched_here(rows, words.join(origin, "canonical", "left"), "_acts").withColumn("_acts", F.when(F.col("id").isNotNull(), F.col("_acts")))
+    else:
+        acts = match_dictionary(rows.select("id", "title"), names).join(origin, "canonical", "left")
+        found = rows.join(acts.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "canonical", "origin"))).alias("_acts")), "id", "left")
+    origins = F.filter(F.transform("_acts", lambda a: F.nullif(a["origin"], F.lit(""))), lambda o: o.isNotNull())
+    return found.withColumns({"headliners": F.transform("_acts", lambda a: a["canonical"]), "origins": F.array_distinct(origins)}).drop("_acts")
 
 
 def listing_outcomes(listings: DataFrame, names: DataFrame, venue_rules: DataFrame, *, grammars: dict[str, str], today: Column, rules: dict | None = None, account_suffix: str | None = None,
@@ -68,25 +80,28 @@ def listing_outcomes(listings: DataFrame, names: DataFrame, venue_rules: DataFra
     behind a general sale that undo a lottery (is_lottery). tiered: sources whose listings
     have tiers as soon as they are sold, so that one without is announced, whatever its
     texts say; of other sources the texts decide. The dictionary and
-    the city rules meet rows by equi-joins on id; everything else is one projection.
+    the city rules are read in each row's place if they are few, else they meet rows by equi-joins
+    on id, as the overrides do, once for all fields; everything else is one projection.
     """
     grammar = F.create_map(*[F.lit(x) for kv in grammars.items() for x in kv])[F.col("source")]
     none = F.lit(None).cast("string")
     rows = listings.withColumns({c: none for c in ("raw_id", "category", "run_key", "on_sale_text") if c not in listings.columns})
-    rows = rows.withColumns({"_given": F.col("venue"), "venue": clean_venue(F.col("venue"), F.col("title"), addresses)})
     if overrides is not None:
-        rows = overridden(rows, overrides, "venue", "id")
-        rows = overridden(rows, overrides, "category", "id").withColumn("run_key", F.when(F.coalesce(F.col("category") != "", F.lit(True)), F.col("run_key")))
-    rows = resolve_city(rows.join(_acts(listings, names), "id", "left"), venue_rules)
+        rows = overriding(rows, overrides, ("venue", "category", "date"), "id")
+    else:
+        rows = rows.withColumns({f"_new_{c}": none for c in ("venue", "category", "date")})
+    rows = rows.withColumns({"_given": F.col("venue"), "venue": F.coalesce("_new_venue", clean_venue(F.col("venue"), F.col("title"), addresses))})
+    if overrides is not None:
+        rows = rows.withColumn("category", F.coalesce("_new_category", "category")).withColumn("run_key", F.when(F.coalesce(F.col("category") != "", F.lit(True)), F.col("run_key")))
+    rows = resolve_city(_with_acts(rows, names), venue_rules)
     strings = F.array().cast("array<string>")
     rows = rows.withColumns({
-        "headliners": F.coalesce("headliners", strings), "origins": F.coalesce("origins", strings), "category": F.nullif("category", F.lit("")), "_d": parse_date(F.col("date_text"), grammar),
+        "headliners": F.coalesce("headliners", strings), "origins": F.coalesce("origins", strings), "category": F.nullif("category", F.lit("")), "_d": parse_date(F.col("date_text"), grammar), "_plain": plain_text(F.col("price_text")),
         "_excluded": exclusion_reason(F.col("title"), F.col("url"), host_label(F.col("url"), account_suffix) if account_suffix else none, F.col("_given"), **(rules or {})),
-        "_text_price": price_from_text(F.col("price_text")), "_tier_price": price_from_tiers(F.col("tiers")), "_sale": on_sale_at(F.col("price_text")),
-        "_moment": F.try_to_timestamp("on_sale_text")})
-    rows = rows.withColumns({"date": F.col("_d.date"), "time": F.col("_d.time")})
-    if overrides is not None:
-        rows = overridden(rows, overrides, "date", "id", drops=("time",))
+        "_tier_price": price_from_tiers(F.col("tiers")), "_moment": F.try_to_timestamp("on_sale_text")})
+    rows = rows.withColumns({
+        "_text_price": price_from_text(F.col("price_text"), F.col("_plain")), "_sale": on_sale_at(F.col("price_text"), F.col("_plain")),
+        "date": F.coalesce(F.col("_new_date").cast("date"), "_d.date"), "time": F.when(F.col("_new_date").isNull(), F.col("_d.time"))})
     untiered = F.coalesce(F.size("tiers"), F.lit(0)) <= 0
     tierless = untiered & F.col("signal").isNull() & ~F.coalesce(F.col("source").isin(*tiered), F.lit(False))
     sale = F.coalesce(F.when(F.col("_moment").isNotNull(), F.col("on_sale_text")), F.col("_sale"))
@@ -116,7 +131,8 @@ def review_queue(outcomes: DataFrame) -> DataFrame:
     """
     unknown = F.when((F.col("outcome") == "event") & (F.size("headliners") == 0) & F.col("category").isNull(), "artist_unrecognized")
     reason = F.when(F.col("outcome") == "needs_review", F.col("reason")).otherwise(unknown)
-    return outcomes.select("id", "source", "title", "url", reason.alias("reason"), "detail").where("reason is not null")
+    # as a generated column, so that the filter doesn't work out the whole projection once more
+    return outcomes.select("id", "source", "title", "url", F.explode_outer(F.array(reason)).alias("reason"), "detail").where("reason is not null")
 
 
 def split_outcomes(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -70,6 +70,12 @@ def backfill(events: DataFrame, images: DataFrame, found: DataFrame) -> DataFram
     return have.select("id", "image").unionByName(new)
 
 
+def overriding(rows: DataFrame, overrides: DataFrame, fields: tuple[str, ...], key: str) -> DataFrame:
+    """rows with `_new_<field>` for each field, the value that overrides (field, key, value) give it; null where there is none. One join for all fields; of several values for one key the largest counts."""
+    one = overrides.where(F.col("field").isin(*fields)).groupBy(F.col("key").alias(key)).agg(*[F.max(F.when(F.col("field") == f, F.col("value"))).alias(f"_new_{f}") for f in fields])
+    return rows.join(one, key, "left")
+
+
 def overridden(rows: DataFrame, overrides: DataFrame, field: str, key: str, drops: tuple[str, ...] = ()) -> DataFrame:
     """rows with the field's value from an override table (field, key, value), where there is one; the columns in drops are null there. Of several for one key the largest counts."""
     one = overrides.where(F.col("field") == field).groupBy(F.col("key").alias(key)).agg(F.max("value").alias("_v"))

@@ -27,9 +27,12 @@ def _raw(spark, sf_dir):
 
 
 def _overrides(spark, sf_dir):
-    v = listings(spark, sf_dir).select("l_partkey", F.concat_ws("~", "raw_id", F.col("price").cast("string")).alias("key"))
-    of = lambda field, each, value: v.where(f"l_partkey % {each} = 0").select(F.lit(field).alias("field"), "key", F.lit(value).alias("value")).distinct()
-    return of("venue", 23, "moved hall").unionAll(of("date", 29, "1999-01-01")).unionAll(of("category", 39, "")).unionAll(of("category", 47, "戲劇"))
+    k = F.col("l_partkey")
+    of = lambda field, each, value: F.when(k % each == 0, F.struct(F.lit(field).alias("field"), F.lit(value).alias("value")))
+    given = F.array(of("venue", 23, "moved hall"), of("date", 29, "1999-01-01"), of("category", 39, ""), of("category", 47, "戲劇"))
+    v = listings(spark, sf_dir).where(" or ".join(f"l_partkey % {each} = 0" for each in (23, 29, 39, 47)))
+    rows = v.select(F.concat_ws("~", "raw_id", F.col("price").cast("string")).alias("key"), F.explode(F.filter(given, lambda x: x.isNotNull())).alias("o"))
+    return rows.select("o.field", "key", "o.value")
 
 
 OUTCOME_SQL = f"""{LISTING_SQL}, l AS (SELECT *, CASE WHEN l_partkey % 29 = 0 THEN DATE '1999-01-01' WHEN l_partkey % 11 <> 0 THEN date END AS d, CASE WHEN l_partkey % 47 = 0 THEN '戲劇' WHEN l_partkey % 13 = 0 AND l_partkey % 39 <> 0 THEN '音樂劇' END AS cat,
