@@ -224,22 +224,33 @@ def near_pairs(prints: DataFrame, *, threshold: int = 3, plan: list[tuple[int, i
     )
 
 
+def star_links(rows: DataFrame, names: list[str], threshold: int) -> DataFrame:
+    """(src, dst) from rows (anchor, node, f0, ...): rows of an anchor that are near its smallest node, linked to that node. A row gives one link at most."""
+    spokes = rows.select("anchor", F.struct("node", *names).alias("spoke"))
+    hubs = spokes.groupBy("anchor").agg(F.min("spoke").alias("hub"), F.max("spoke.node").alias("last")).where("hub.node != last").drop("last")
+    near = spokes.join(hubs, "anchor").where((F.col("spoke.node") != F.col("hub.node")) & (hamming("spoke", "hub", names) <= threshold))
+    return near.select(F.col("spoke.node").alias("src"), F.col("hub.node").alias("dst"))
+
+
 def link_components(classes: DataFrame, *, threshold: int = 3, plan: list[tuple[int, int]] | None = None, reach: int = 1, compared: int = 1) -> DataFrame:
     """(node, component) of every node of classes (node, f0, ...; distinct) under the links of near_pairs.
 
     First each node is held against the smallest node of its home anchors, which joins
-    most of a large group of near copies by a link a node and block. Then only links
+    most of a large group of near copies by a link a node and block. Where replicas meet
+    replicas (reach 2) near copies often share no home, so the groups so far are then held
+    against the smallest group of every anchor in reach, twice. Then only links
     between different groups are sought at all anchors in reach: those within one would
     change nothing, and there may be as many as the square of its size.
     """
     plan = plan or blocks(compared, threshold)
     names = [c for c in classes.columns if re.fullmatch(r"f\d+", c)]
     near = names[:compared]
-    rows = anchored(classes, plan, ["node", *near], homes=True).select("anchor", F.struct("node", *near).alias("spoke"))
-    hubs = rows.groupBy("anchor").agg(F.min("spoke").alias("hub"), F.max("spoke.node").alias("last")).where("hub.node != last").drop("last")
-    spokes = rows.join(hubs, "anchor").where((F.col("spoke.node") != F.col("hub.node")) & (hamming("spoke", "hub", near) <= threshold))
-    first = components(spokes.select(F.col("spoke.node").alias("src"), F.col("hub.node").alias("dst")))
+    first = components(star_links(anchored(classes, plan, ["node", *near], homes=True), near, threshold))
     grouped = settle(classes.join(first, "node", "left").select("node", F.coalesce("component", "node").alias("group"), *names), "groups")
+    for _ in range(2 if reach == 2 else 0):
+        spread = anchored(grouped.select(F.col("group").alias("node"), *names), plan, ["node", *near], homes=False).repartition("anchor")
+        joined = components(star_links(spread, near, threshold)).withColumnRenamed("node", "group")
+        grouped = settle(grouped.join(joined, "group", "left").select("node", F.coalesce("component", "group").alias("group"), *names), "groups")
     pairs = near_pairs(grouped.select(F.col("group").alias("node"), *names), threshold=threshold, plan=plan, reach=reach, compared=compared)
     second = components(pairs).withColumnRenamed("node", "group")
     return grouped.select("node", "group").join(second, "group", "left").select("node", F.coalesce("component", "group").alias("component"))
