@@ -38,6 +38,7 @@ from marquee.llm.common import components, forest, marked, named_by_id, settle,
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 SEED = 42
+SAMPLED, CROWD = 16, 5  # an anchor is crowded if CROWD groups meet there in one of SAMPLED nodes
 
 
 def shingle_hashes(text: str | None, words: int, seed: int = SEED) -> np.ndarray:
@@ -92,18 +93,20 @@ def fingerprints(docs: DataFrame, *, id_col="doc_id", text_col="text", words: in
         schema = schema.add("text", "long")
 
     def run(batches):
-        for b in batches:
-            out, names = [], []
-            for t in b.column(1).to_pylist():
-                h = shingle_hashes(t, words)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                out, names = [], []
+                for t in b.column(1).to_pylist():
+                    h = shingle_hashes(t, words)
+                    if distinct:
+                        h = np.unique(h)
+                        names.append([*set_name(h), len(h)])
+                    out.append(fold(remixed(h, seeds)))
+                cols = np.array(out, np.uint64).reshape(len(out), seeds).view(np.int64)
                 if distinct:
-                    h = np.unique(h)
-                    names.append([*set_name(h), len(h)])
-                out.append(fold(remixed(h, seeds)))
-            cols = np.array(out, np.uint64).reshape(len(out), seeds).view(np.int64)
-            if distinct:
-                cols = np.hstack([cols, np.array(names, np.int64).reshape(-1, 3)])
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c) for c in cols.T), *b.columns[2:]], names=schema.names)
+                    cols = np.hstack([cols, np.array(names, np.int64).reshape(-1, 3)])
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c) for c in cols.T), *b.columns[2:]], names=schema.names)
 
     return docs.select(F.col(id_col), F.col(text_col), *([F.xxhash64(text_col)] if distinct else [])).mapInArrow(run, schema)
 
@@ -232,13 +235,27 @@ def star_links(rows: DataFrame, names: list[str], threshold: int) -> DataFrame:
     return near.select(F.col("spoke.node").alias("src"), F.col("hub.node").alias("dst"))
 
 
+def crowded_anchors(grouped: DataFrame, plan: list[tuple[int, int]]) -> DataFrame:
+    """(anchor) where, by one in SAMPLED nodes of (node, group, f0, ...), nodes of many groups meet; by more of them if there are few nodes.
+
+    It only says where stars are worth their shuffle: anchors of some 75 groups or more.
+    At the dozen that meet by chance CROWD sampled ones are rare. Groups at other anchors
+    lose nothing: they meet in near_pairs, in pairs whose number an anchor is bounded.
+    """
+    names = [c for c in grouped.columns if re.fullmatch(r"f\d+", c)]
+    one_in = max(1, min(SAMPLED, grouped.count() // 200))
+    some = grouped.where(F.pmod(F.xxhash64("node"), F.lit(one_in)) == 0).select("group", *names)
+    met = anchored(some, plan, ["group"], homes=False).groupBy("anchor").agg(F.count_distinct("group").alias("groups"))
+    return met.where(F.col("groups") >= CROWD).select("anchor")
+
+
 def link_components(classes: DataFrame, *, threshold: int = 3, plan: list[tuple[int, int]] | None = None, reach: int = 1, compared: int = 1) -> DataFrame:
     """(node, component) of every node of classes (node, f0, ...; distinct) under the links of near_pairs.
 
     First each node is held against the smallest node of its home anchors, which joins
     most of a large group of near copies by a link a node and block. Where replicas meet
     replicas (reach 2) near copies often share no home, so the groups so far are then held
-    against the smallest group of every anchor in reach, twice. Then only links
+    against the smallest group of every crowded anchor in reach, twice. Then only links
     between different groups are sought at all anchors in reach: those within one would
     change nothing, and there may be as many as the square of its size.
     """
@@ -247,8 +264,10 @@ def link_components(classes: DataFrame, *, threshold: int = 3, plan: list[tuple[
     near = names[:compared]
     first = components(star_links(anchored(classes, plan, ["node", *near], homes=True), near, threshold))
     grouped = settle(classes.join(first, "node", "left").select("node", F.coalesce("component", "node").alias("group"), *names), "groups")
-    for _ in range(2 if reach == 2 else 0):
-        spread = anchored(grouped.select(F.col("group").alias("node"), *names), plan, ["node", *near], homes=False).repartition("anchor")
+    crowds = settle(crowded_anchors(grouped, plan), "crowds") if reach == 2 else None
+    for _ in range(0 if crowds is None or crowds.isEmpty() else 2):
+        spread = anchored(grouped.select(F.col("group").alias("node"), *names), plan, ["node", *near], homes=False)
+        spread = marked(spread, F.col("anchor"), crowds).where("maybe").select("row.*").repartition("anchor")
         joined = components(star_links(spread, near, threshold)).withColumnRenamed("node", "group")
         grouped = settle(grouped.join(joined, "group", "left").select("node", F.coalesce("component", "group").alias("group"), *names), "groups")
     pairs = near_pairs(grouped.select(F.col("group").alias("node"), *names), threshold=threshold, plan=plan, reach=reach, compared=compared)

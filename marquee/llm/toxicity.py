@@ -29,6 +29,12 @@ EVIDENCE = 4.0  # least z-score of a chosen feature
 FOLDS = 3
 RUN = re.compile(r"[^\W\d_]+")
 CACHE_ENTRIES = 200_000
+ROWS = 500  # texts whose features are held at a time
+
+
+def sliced(batches):
+    """The batches in pieces of ROWS rows."""
+    return (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS))
 
 
 def features(chunk: str) -> set[int]:
@@ -119,7 +125,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], *, id_c
     def count(batches):
         sums = np.zeros((SPACE, 1 + len(ys)), np.int32)
         chunks = _Chunks()
-        for b in batches:
+        for b in sliced(batches):
             for text, *y in zip(*(c.to_pylist() for c in b.columns)):
                 sums[list(chunks.of(text))] += np.array([1, *y], np.int32)
         at = np.flatnonzero(sums[:, 0])
@@ -139,7 +145,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: list[str], *, id_c
 
     def pick(batches):
         chunks = _Chunks({int(f): k for k, f in enumerate(shared.value)})
-        for b in batches:
+        for b in sliced(batches):
             texts = b.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [pa.array([sorted(chunks.of(t)) for t in texts], pa.list_(pa.int32())), pa.array([zlib.crc32(t.encode()) % FOLDS for t in texts], pa.int32()), *b.columns[1:]],
@@ -183,7 +189,7 @@ def score_chain(docs: DataFrame, chain: Chain, *, id_col="doc_id", text_col="tex
     def run(batches):
         m = shared.value
         chunks = _Chunks({int(f): k for k, f in enumerate(m.chosen)})
-        for b in batches:
+        for b in sliced(batches):
             fs = [chunks.of(t) for t in b.column(1).to_pylist()]
             lengths = np.fromiter(map(len, fs), np.int64, len(fs))
             cols = np.fromiter((x for f in fs for x in sorted(f)), np.int64, int(lengths.sum()))
@@ -206,7 +212,7 @@ def keep_clean(docs: DataFrame, chain: Chain, category: str, *, text_col="text",
     def run(batches):
         m = shared.value
         chunks = _Chunks({int(f): k for k, f in enumerate(m.chosen)})
-        for b in batches:
+        for b in sliced(batches):
             fs = [sorted(chunks.of(t)) for t in b.column(at).to_pylist()]
             rows = np.repeat(np.arange(len(fs)), np.fromiter(map(len, fs), np.int64, len(fs)))
             p = m.predict(rows, np.fromiter((x for f in fs for x in f), np.int64, len(rows)), len(fs))
