@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from marquee.llm.common import settle, table
+from marquee.llm.common import local_rows, settle, table
 
 ONES = np.uint32(0xFFFFFFFF)
 POLYNOMIAL = 0xEDB88320  # of CRC-32, reflected
@@ -249,7 +249,7 @@ def numbered(rows: DataFrame, *order) -> DataFrame:
     for p, n in sorted(ranged.groupBy(part.alias("part")).count().collect()):
         shifts.append((p, before))
         before += n
-    shift = spark.createDataFrame(shifts, "_part long, _shift long")
+    shift = local_rows(spark, shifts, _part=pa.int64(), _shift=pa.int64())
     return ranged.withColumn("_part", part).join(shift, "_part").withColumn("number", F.col("_shift") + within + 1).drop("_at", "_part", "_shift")
 
 

@@ -15,10 +15,11 @@ All of it is DataFrame operations.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marquee.llm.common import settle, table
+from marquee.llm.common import local_rows, settle, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -43,7 +44,7 @@ def ordinals(sources: DataFrame, name: str) -> DataFrame:
     for part, n in sorted(ranged.groupBy("_part").count().collect()):
         offsets.append((part, before))
         before += n
-    shift = sources.sparkSession.createDataFrame(offsets, "_part int, _shift long")
+    shift = local_rows(sources.sparkSession, offsets, _part=pa.int32(), _shift=pa.int64())
     rank = F.row_number().over(Window.partitionBy("_part").orderBy("_null", name)) - 1
     return ranged.withColumn("_rank", rank).join(shift, "_part").withColumn("ordinal", F.col("_shift") + F.col("_rank")).drop("_part", "_null", "_rank", "_shift")
 

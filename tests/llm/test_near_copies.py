@@ -6,7 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from marquee.llm import simhash, toxicity
+from marquee.llm import mixing, simhash, toxicity
+from marquee.llm.common import local_rows
 
 
 def test_near_copies_meet_as_groups(spark, monkeypatch):
@@ -41,3 +42,12 @@ def test_fingerprints_and_features_take_bounded_slices(spark):
     docs = spark.createDataFrame([(k, f"w{k} of many words here {k}") for k in range(2100)], "doc_id long, text string").coalesce(1)
     got = simhash.fingerprints(docs, distinct=True, seeds=2)
     assert got.select(F.countDistinct("doc_id"), F.count("*")).first() == (2100, 2100)
+
+
+def test_few_local_rows_need_no_python_workers(spark):
+    made = local_rows(spark, [(0, 5), (1, 7)], _part=pa.int32(), _shift=pa.int64())
+    assert made.dtypes == [("_part", "int"), ("_shift", "bigint")] and made.collect() == [(0, 5), (1, 7)]
+    assert local_rows(spark, [], _part=pa.int32()).collect() == []
+    sizes = spark.createDataFrame([("a", 3), ("b", 4), (None, 5)], "source string, size long")
+    plan = mixing.ordinals(sizes, "source")._jdf.queryExecution().toString()
+    assert "Scan ExistingRDD" not in plan and "LocalTableScan" in plan, plan
