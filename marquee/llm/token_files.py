@@ -18,11 +18,13 @@ import gc
 import os
 import uuid
 import zlib
-from array import array
+from collections.abc import Iterable
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import regex
 from pyspark import TaskContext
@@ -30,11 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from marquee.llm.common import settle, shared_dir, table
+from marquee.llm.common import local_rows, settle, shared_dir, table
 from marquee.llm.token_counts import PATTERN
 
 BATCH = 256  # sequences of a record batch
 CACHE_ENTRIES = 300_000  # of a generation
+GROUP_CHARS = 3_000_000  # of texts whose chunks are looked up together
 MARKS = frozenset(",.;:!?")
 CACHE_CHARS = 8_000_000  # that came into a generation
 MANIFEST = "part int, path string, n_documents long, n_tokens long"
@@ -48,8 +51,8 @@ class Recent:
         self.old: dict[str, bytes] = {}
         self.chars = 0
 
-    def missing(self, keys: set[str]) -> list[str]:
-        """Those of keys that aren't held; the others are young from now on."""
+    def missing(self, keys: Iterable[str]) -> list[str]:
+        """Those of the distinct keys that aren't held; the others are young from now on."""
         if len(self.young) > CACHE_ENTRIES or self.chars > CACHE_CHARS:
             self.young, self.old, self.chars = {}, self.young, 0
         young, old, out = self.young, self.old, []
@@ -85,40 +88,82 @@ class LibraryEncoder:
         self.chunks, self.pieces = Recent(), Recent()
 
     def asked(self, texts: list[str], library=None) -> list[bytes]:
-        code = "H" if self.kind.itemsize == 2 else "I"
-        return [array(code, e.ids).tobytes() for e in (library or self.library).encode_batch_fast(texts, add_special_tokens=False)]
+        found = [e.ids for e in (library or self.library).encode_batch_fast(texts, add_special_tokens=False)]
+        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) * self.kind.itemsize
+        raw = np.fromiter(chain.from_iterable(found), self.kind).tobytes()
+        ends = ends.tolist()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
     def split(self, chunk: str) -> list[str]:
-        """Pre-tokens of a chunk, with the space before it."""
-        if chunk.isalpha():
-            return [" " + chunk]
+        """Pre-tokens of a chunk that isn't letters alone, with the space before it."""
         if chunk[-1:] in MARKS and chunk[:-1].isalpha():
             return [" " + chunk[:-1], chunk[-1]]
         return self.pattern.findall(" " + chunk)
 
-    def learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """The ids of all these chunks, and of others that were met lately."""
+    def learn(self, chunks: list[str]) -> list[bytes]:
+        """The ids of each of these distinct chunks. A chunk of letters is one pre-token with its space, so pieces hold what only others have."""
         new = self.chunks.missing(chunks)
-        parts = [self.split(c) for c in new]
-        missing = self.pieces.missing({p for ps in parts for p in ps})
-        self.pieces.young.update(zip(missing, self.asked(missing, self.of_pieces)))
-        piece = self.pieces.young.__getitem__
-        self.chunks.young.update((c, piece(ps[0]) if len(ps) == 1 else b"".join(map(piece, ps))) for c, ps in zip(new, parts))
-        return self.chunks.young
+        young = self.chunks.young
+        words = [c for c in new if c.isalpha()]
+        young.update(zip(words, self.asked([" " + c for c in words], self.of_pieces)))
+        others = [c for c in new if not c.isalpha()]
+        parts = list(map(self.split, others))
+        missing = self.pieces.missing(set(chain.from_iterable(parts)))
+        pieces = self.pieces.young
+        unknown = []
+        for p in missing:
+            ids = young.get(p[1:]) if p[0] == " " and p[1:].isalpha() else None
+            if ids is None:
+                unknown.append(p)
+            else:
+                pieces[p] = ids
+        pieces.update(zip(unknown, self.asked(unknown, self.of_pieces)))
+        piece = pieces.__getitem__
+        young.update(zip(others, [b"".join(map(piece, ps)) for ps in parts]))
+        return list(map(young.__getitem__, chunks))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         whole = [t for t in texts if "  " in t or t[-1:] == " " or any(s in t for s in self.special)]
         by_text = dict(zip(whole, self.asked(whole))) if whole else {}
-        parts = [None if t in by_text else t.split(" ") for t in texts]
-        first = [*{p[0] for p in parts if p and p[0]}]
-        heads = dict(zip(first, self.asked(first)))
-        heads[""] = b""
+        plain, held, chars = [], [], 0
+        for t in texts:
+            if t not in by_text:
+                held.append(t)
+                chars += len(t)
+                if chars > GROUP_CHARS:
+                    plain += self.joined(held)
+                    held, chars = [], 0
+        ids = iter(plain + self.joined(held))
+        return [by_text[t] if t in by_text else next(ids) for t in texts]
+
+    def joined(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts from those of their chunks: each distinct chunk is looked up once, and its ids are copied to its places."""
+        if not texts:
+            return []
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        ends = lists.offsets.to_numpy()
+        coded = lists.values.dictionary_encode()
+        place = coded.indices.to_numpy().copy()
         gc.disable()  # the lists of pieces are many and hold no cycles
         try:
-            ids = self.learn({c for p in parts if p for c in p[1:]}).__getitem__
+            known = self.learn(coded.dictionary.to_pylist())
         finally:
             gc.enable()
-        return [by_text[t] if p is None else heads[p[0]] + b"".join(map(ids, p[1:])) for t, p in zip(texts, parts)]
+        # a text's first chunk has no space before it
+        first = coded.dictionary.take(pa.array(place[ends[:-1]])).dictionary_encode()
+        heads = first.dictionary.to_pylist()
+        place[ends[:-1]] = len(known) + first.indices.to_numpy()
+        known += [ids if h else b"" for h, ids in zip(heads, self.asked(heads))]
+        raw = np.frombuffer(b"".join(known), self.kind)
+        size = np.fromiter(map(len, known), np.int64, len(known)) // self.kind.itemsize
+        start = np.cumsum(size) - size
+        out = []
+        for a, b in zip(ends.tolist(), ends[1:].tolist()):
+            mine = place[a:b]
+            n = size[mine]
+            past = np.cumsum(n)
+            out.append(raw[np.repeat(start[mine] - past + n, n) + np.arange(past[-1])].tobytes())
+        return out
 
 
 @lru_cache(1)
@@ -247,8 +292,8 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str, *, id_col="
                 system.create_dir(path, recursive=True)
                 sink = system.open_output_stream(f"{path}/{name}")
                 writer = SequenceWriter(sink, whole.schema.field(0).type, encoder.kind, length)
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
+            for at in range(0, whole.num_rows, 2048):
+                b = whole.slice(at, 2048)
                 for document, raw in zip(b.column(0).to_pylist(), encoder.encode([t or "" for t in b.column(1).to_pylist()])):
                     writer.add(document, np.concatenate([np.frombuffer(raw, encoder.kind), end]))
         if writer is not None:
@@ -270,7 +315,7 @@ def read_token_files(manifest: DataFrame, id_type) -> DataFrame:
     for part, n in sorted(manifest.select("part", "n_tokens").collect()):
         bases.append((part, before))
         before += n
-    files = manifest.join(spark.createDataFrame(bases, "part int, base long"), "part").select("part", "path", "base", "n_tokens")
+    files = manifest.join(local_rows(spark, bases, part=pa.int32(), base=pa.int64()), "part").select("part", "path", "base", "n_tokens")
     schema = spark.createDataFrame([], manifest.schema).select(F.lit(None).cast(id_type).alias("doc_id")).schema.add("start", "long").add("n_tokens", "long").add("ids_crc32", "long")
 
     kinds = (to_arrow_type(schema[0].dataType), pa.int64(), pa.int64(), pa.int64())

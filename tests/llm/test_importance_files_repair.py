@@ -310,3 +310,13 @@ def test_no_conversations(spark):
     repairs = conversations.find_repairs(none, copies_col="copies")
     assert conversations.repaired_digests(none, repairs, copies_col="copies").collect() == []
     assert conversations.repaired_turns(none, repairs, copies_col="copies").collect() == []
+
+
+def test_chunks_of_letters_are_kept_once():
+    encoder = token_files.LibraryEncoder(BPE)
+    texts = ["one two three, two", "four three two."]
+    assert [np.frombuffer(x, encoder.kind).tolist() for x in encoder.encode(texts)] == [library_ids(t)[:-1] for t in texts]
+    assert "two" in encoder.chunks.young and set(encoder.pieces.young) == {" three", ",", " two", "."}
+    encoder = token_files.LibraryEncoder(BPE)
+    encoder.encode(["one two"])
+    assert not encoder.pieces.young
