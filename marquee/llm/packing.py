@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.llm.common import settle, table
-from marquee.llm.token_counts import PATTERN, byte_alphabet
+from marquee.llm.token_counts import PATTERN, UNEVEN, byte_alphabet
 
 HASHED = 1024  # buckets of the hashed count vector
 DIMENSIONS, BITS = 3, 16
@@ -52,7 +52,7 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if self.special is not None and self.special.search(text):
             return self.packed(self.encoding.encode(text, allowed_special="all"))
-        if "  " in text or text[-1:] == " ":
+        if UNEVEN.search(text):
             return self.packed(self.encoding.encode_ordinary(text))
         first, *rest = text.split(" ")
         return self.packed(self.encoding.encode_ordinary(first)) + b"".join(map(self.chunks.__getitem__, rest))

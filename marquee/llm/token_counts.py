@@ -23,6 +23,8 @@ from marquee.llm.common import table
 
 #: Fixed value: the published byte-level pre-token pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Spaces that meet, end the text or stand between other white space: a run of it is split by what is behind it, so chunks between spaces don't stand alone.
+UNEVEN = re.compile(r" (?: |\Z|(?<=\s )\s)")
 CACHE_ENTRIES = 800_000
 _MARKS = frozenset(",.;:!?")
 CACHE_CHARS = 64  # longer chunks aren't worth keeping
@@ -92,7 +94,7 @@ class MergeTable:
         """Tokens of text without special strings."""
         if not text:
             return 0
-        if "  " in text or text[-1] == " ":
+        if UNEVEN.search(text):
             return self.plain(text)
         first, *rest = text.split(" ")
         return (self.plain(first) if first else 0) + sum(map(self.chunks.__getitem__, rest))
