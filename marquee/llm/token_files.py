@@ -20,7 +20,6 @@ import uuid
 import zlib
 from collections.abc import Iterable
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,16 +32,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from marquee.llm.common import local_rows, settle, shared_dir, table
-from marquee.llm.token_counts import PATTERN
+from marquee.llm.token_counts import PATTERN, UNEVEN
 
 BATCH = 256  # sequences of a record batch
-CACHE_ENTRIES = 300_000  # of a generation
-GROUP_CHARS = 3_000_000  # of texts whose chunks are looked up together
-MARKS = frozenset(",.;:!?")
+CACHE_ENTRIES = 150_000  # of a generation
+GROUP_BYTES = 8_000_000  # of texts whose chunks are looked up together
+PIECES, DIVIDER = 500, "\0"  # asked for in one text, and what stands between them
 CACHE_CHARS = 8_000_000  # that came into a generation
 MANIFEST = "part int, path string, n_documents long, n_tokens long"
 
 
+def cut(raw: bytes, ends: np.ndarray) -> list[bytes]:
+    ends = ends.tolist()
+    return [raw[a:b] for a, b in zip([0, *ends], ends)]
+
+
 class Recent:
     """What was met lately, in two generations: the elder goes once the younger is full."""
 
@@ -55,14 +59,12 @@ class Recent:
         """Those of the distinct keys that aren't held; the others are young from now on."""
         if len(self.young) > CACHE_ENTRIES or self.chars > CACHE_CHARS:
             self.young, self.old, self.chars = {}, self.young, 0
-        young, old, out = self.young, self.old, []
-        for k in keys:
-            if k not in young:
-                if k in old:
-                    young[k] = old[k]
-                else:
-                    out.append(k)
-                    self.chars += len(k)
+        young, old = self.young, self.old
+        out = [k for k in keys if k not in young]
+        if old:
+            young.update([(k, old[k]) for k in out if k in old])
+            out = [k for k in out if k not in old]
+        self.chars += sum(map(len, out))
         return out
 
 
@@ -70,8 +72,8 @@ class LibraryEncoder:
     """Ids as the tokenizers library gives them; each pre-token is asked for once.
 
     A chunk between spaces, with the space before it, is split and merged alike wherever
-    it stands, and so are its pre-tokens. Texts in which spaces meet, that end in one or
-    hold a special string go to the library whole.
+    it stands, and so are its pre-tokens. Texts in which a space stands amid white space or
+    at the end (UNEVEN), or that hold a special string or DIVIDER, go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -81,59 +83,56 @@ class LibraryEncoder:
         self.library, self.of_pieces = Tokenizer.from_file(path), Tokenizer.from_file(path)
         if not isinstance(self.library.pre_tokenizer, pre_tokenizers.ByteLevel):
             raise ValueError(f"{path} is no byte-level vocabulary")
-        self.of_pieces.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)  # they are split already
+        self.of_pieces.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.CharDelimiterSplit(DIVIDER), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.pattern = regex.compile(PATTERN)
+        self.apart = [DIVIDER, *(t.content for t in self.library.get_added_tokens_decoder().values())]
+        # DIVIDER is a match of its own, and stands for the end of the text to what is before it
+        self.pattern = regex.compile(PATTERN.replace(r"[^\s\p{L}\p{N}]", rf"[^\s\p{{L}}\p{{N}}{DIVIDER}]").replace(r"(?!\S)", rf"(?![^\s{DIVIDER}])") + f"|{DIVIDER}")
         self.chunks, self.pieces = Recent(), Recent()
 
-    def asked(self, texts: list[str], library=None) -> list[bytes]:
-        found = [e.ids for e in (library or self.library).encode_batch_fast(texts, add_special_tokens=False)]
-        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) * self.kind.itemsize
-        raw = np.fromiter(chain.from_iterable(found), self.kind).tobytes()
-        ends = ends.tolist()
-        return [raw[a:b] for a, b in zip([0, *ends], ends)]
+    def asked(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def split(self, chunk: str) -> list[str]:
-        """Pre-tokens of a chunk that isn't letters alone, with the space before it."""
-        if chunk[-1:] in MARKS and chunk[:-1].isalpha():
-            return [" " + chunk[:-1], chunk[-1]]
-        return self.pattern.findall(" " + chunk)
+    def asked_pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each pre-token. PIECES of them are asked for as one text, as an answer of its own costs more than a pre-token's merges."""
+        out = []
+        for at in range(0, len(pieces), PIECES):
+            some = pieces[at:at + PIECES]
+            e = self.of_pieces.encode(DIVIDER.join(some), add_special_tokens=False)
+            raw = np.array(e.ids, self.kind).tobytes()
+            out += cut(raw, np.cumsum(np.bincount(np.array(e.word_ids, np.int64), minlength=len(some))) * self.kind.itemsize)
+        return out
+
+    def split(self, chunks: list[str]) -> tuple[list[str], list[int]]:
+        """Pre-tokens of all chunks, each with the space before it, and how many there are up to each chunk's end."""
+        pieces = self.pattern.findall("".join([f" {c}{DIVIDER}" for c in chunks]))
+        ends = [k for k, p in enumerate(pieces) if p == DIVIDER]
+        return [p for p in pieces if p != DIVIDER], [k - i for i, k in enumerate(ends)]
 
     def learn(self, chunks: list[str]) -> list[bytes]:
         """The ids of each of these distinct chunks. A chunk of letters is one pre-token with its space, so pieces hold what only others have."""
         new = self.chunks.missing(chunks)
         young = self.chunks.young
-        words = [c for c in new if c.isalpha()]
-        young.update(zip(words, self.asked([" " + c for c in words], self.of_pieces)))
-        others = [c for c in new if not c.isalpha()]
-        parts = list(map(self.split, others))
-        missing = self.pieces.missing(set(chain.from_iterable(parts)))
-        pieces = self.pieces.young
-        unknown = []
-        for p in missing:
-            ids = young.get(p[1:]) if p[0] == " " and p[1:].isalpha() else None
-            if ids is None:
-                unknown.append(p)
-            else:
-                pieces[p] = ids
-        pieces.update(zip(unknown, self.asked(unknown, self.of_pieces)))
-        piece = pieces.__getitem__
-        young.update(zip(others, [b"".join(map(piece, ps)) for ps in parts]))
+        words, others = [c for c in new if c.isalpha()], [c for c in new if not c.isalpha()]
+        young.update(zip(words, self.asked_pieces([" " + c for c in words])))
+        if others:
+            parts, ends = self.split(others)
+            missing = self.pieces.missing(set(parts))
+            pieces = self.pieces.young
+            # a chunk's ids are those with its space
+            pieces.update([(p, young[p[1:]]) for p in missing if p[0] == " " and p[1:] in young])
+            unknown = [p for p in missing if p not in pieces]
+            pieces.update(zip(unknown, self.asked_pieces(unknown)))
+            ids = list(map(pieces.__getitem__, parts))
+            young.update(zip(others, cut(b"".join(ids), np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))[np.array(ends) - 1])))
         return list(map(young.__getitem__, chunks))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [t for t in texts if "  " in t or t[-1:] == " " or any(s in t for s in self.special)]
+        """The ids of texts, which are held together: write_token_files gives some GROUP_BYTES."""
+        whole = [t for t in texts if UNEVEN.search(t) or any(s in t for s in self.apart)]
         by_text = dict(zip(whole, self.asked(whole))) if whole else {}
-        plain, held, chars = [], [], 0
-        for t in texts:
-            if t not in by_text:
-                held.append(t)
-                chars += len(t)
-                if chars > GROUP_CHARS:
-                    plain += self.joined(held)
-                    held, chars = [], 0
-        ids = iter(plain + self.joined(held))
+        ids = iter(self.joined([t for t in texts if t not in by_text]))
         return [by_text[t] if t in by_text else next(ids) for t in texts]
 
     def joined(self, texts: list[str]) -> list[bytes]:
@@ -146,7 +145,7 @@ class LibraryEncoder:
         place = coded.indices.to_numpy().copy()
         gc.disable()  # the lists of pieces are many and hold no cycles
         try:
-            known = self.learn(coded.dictionary.to_pylist())
+            known = self.learn(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         finally:
             gc.enable()
         # a text's first chunk has no space before it
@@ -166,6 +165,13 @@ class LibraryEncoder:
         return out
 
 
+def groups(batch: pa.RecordBatch) -> Iterable[pa.RecordBatch]:
+    """Slices of a batch of ids and texts: some GROUP_BYTES of text each, or one longer text with others."""
+    held = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    starts = [0, *(np.flatnonzero(np.diff(held // GROUP_BYTES)) + 1).tolist(), batch.num_rows]
+    return [batch.slice(a, b - a) for a, b in zip(starts, starts[1:])]
+
+
 @lru_cache(1)
 def library_encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
@@ -292,8 +298,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str, *, id_col="
                 system.create_dir(path, recursive=True)
                 sink = system.open_output_stream(f"{path}/{name}")
                 writer = SequenceWriter(sink, whole.schema.field(0).type, encoder.kind, length)
-            for at in range(0, whole.num_rows, 2048):
-                b = whole.slice(at, 2048)
+            for b in groups(whole):
                 for document, raw in zip(b.column(0).to_pylist(), encoder.encode([t or "" for t in b.column(1).to_pylist()])):
                     writer.add(document, np.concatenate([np.frombuffer(raw, encoder.kind), end]))
         if writer is not None:

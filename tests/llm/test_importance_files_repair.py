@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from marquee.llm import conversations, importance, token_files
+from marquee.llm import conversations, importance, packing, token_counts, token_files
 from marquee.llm.common import table
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -320,3 +320,50 @@ def test_chunks_of_letters_are_kept_once():
     encoder = token_files.LibraryEncoder(BPE)
     encoder.encode(["one two"])
     assert not encoder.pieces.young
+
+
+AMID_SPACE = ["a \xa0 \xa0", " \xa0 \xa0 \xa0b", "a\xa0 \xa0 \xa0 c", "a\n \nb", "a\n \n", "a \n b", "a \n", "a\0b c", " \0"]
+
+
+def test_spaces_amid_white_space_are_encoded_as_the_library_does():
+    want = [library_ids(t)[:-1] for t in AMID_SPACE]
+    files, packer, counts = token_files.LibraryEncoder(BPE), packing.Encoder(BPE), token_counts.MergeTable(BPE)
+    assert [np.frombuffer(x, files.kind).tolist() for x in files.encode(AMID_SPACE)] == want
+    assert [np.frombuffer(packer.encode(t), packer.kind).tolist() for t in AMID_SPACE] == want
+    assert [counts.count(t) for t in AMID_SPACE] == list(map(len, want))
+
+
+def test_random_texts_are_encoded_as_the_library_does():
+    rng = random.Random(5)
+    parts = [" ", " ", "\n", "\xa0", "\t", "a", "Bé", "12", "'s", "'ll", "'", "!?", "日", "\0", "<|endoftext|>"]
+    some = lambda k: "".join(rng.choices(parts, [9, 9, 4, 4, 2, 9, 4, 4, 2, 2, 2, 4, 1, k, k], k=rng.randrange(12)))
+    texts = ["q a\n", " b", "c\n d", "e \nf", *(some(k) for k in (0, 1) for _ in range(3000))]
+    want = [e.ids for e in Tokenizer.from_file(BPE).encode_batch(texts, add_special_tokens=False)]
+    files, packer, counts = token_files.LibraryEncoder(BPE), packing.Encoder(BPE), token_counts.MergeTable(BPE)
+    assert [np.frombuffer(x, files.kind).tolist() for x in files.encode(texts)] == want
+    assert [np.frombuffer(x, files.kind).tolist() for t in texts for x in files.encode([t])] == want
+    assert [np.frombuffer(packer.encode(t), packer.kind).tolist() for t in texts] == want
+    assert [counts.count(t) for t in texts] == list(map(len, want))
+
+
+def test_pretokens_are_asked_for_many_at_a_time(monkeypatch):
+    encoder, asked = token_files.LibraryEncoder(BPE), []
+    library = encoder.of_pieces
+
+    class Counted:
+        def __getattr__(self, name):
+            return lambda texts, **more: asked.extend([texts] if isinstance(texts, str) else texts) or getattr(library, name)(texts, **more)
+
+    monkeypatch.setattr(encoder, "of_pieces", Counted())
+    texts = [" ".join(f"{a}{b}x é{b}{a}?! {a}\n{b}" for b in "abcdefghijklmnopqrst") for a in "ABCDEFGHIJKLMNOPQRST"]
+    assert [np.frombuffer(x, encoder.kind).tolist() for x in encoder.encode(texts)] == [library_ids(t)[:-1] for t in texts]
+    assert 0 < len(asked) < 10
+
+
+def test_texts_are_grouped_by_their_bytes(monkeypatch):
+    monkeypatch.setattr(token_files, "GROUP_BYTES", 10)
+    texts = ["abc", None, "d" * 35, "", "éé", "f" * 9, None]
+    batch = pa.RecordBatch.from_pydict({"id": pa.array(range(8)), "text": pa.array(["sliced off", *texts])}).slice(1)
+    parts = [b.column(1).to_pylist() for b in token_files.groups(batch)]
+    assert [t for p in parts for t in p] == texts and list(map(len, parts)) == [2, 2, 1, 2]
+    assert [b.num_rows for b in token_files.groups(batch.slice(7))] == [0]
