@@ -11,6 +11,7 @@ from marquee.functions import classify, dates, price, status, text
 from marquee.operators import browse, dedupe, match, normalize, order, prefs, quality, relations, runs, snapshot
 from marquee.sources import extract, publish, tables
 from marquee.streaming import streams
+from tests.measured import shuffled_bytes
 
 DAY = dt.date(2026, 5, 1)
 
@@ -582,19 +583,6 @@ def test_groups_collect_only_what_is_asked_for(spark):
     assert "lineup" not in slim._jdf.queryExecution().optimizedPlan().toString().split("LogicalRDD")[0]
 
 
-def _shuffled(spark, act):
-    """Bytes of shuffle files that an action writes."""
-    sc = spark.sparkContext._jsc.sc()
-
-    def written():
-        sc.listenerBus().waitUntilEmpty()
-        return sc.statusStore().executorSummary("driver").totalShuffleWrite()
-
-    before = written()
-    act()
-    return written() - before
-
-
 def test_users_arent_shuffled_once_a_task(spark, monkeypatch):
     """Users and events of one profile meet by blocks: what is shuffled grows with the root of their pairs."""
     monkeypatch.setattr(prefs, "PIECE", 1000)
@@ -603,7 +591,7 @@ def test_users_arent_shuffled_once_a_task(spark, monkeypatch):
     named = spark.createDataFrame([(7, "favourite", "3"), (8, "event", "4"), (None, "type", "t")], "user_id long, kind string, value string")
     rules = spark.range(1500).select(F.col("id").alias("user_id"), F.lit("type").alias("kind"), F.lit("t").alias("value")).unionAll(named)
     hits = prefs.rule_hits(events, rules)
-    assert _shuffled(spark, lambda: hits.write.format("noop").mode("overwrite").save()) < 2_000_000
+    assert shuffled_bytes(spark, lambda: hits.write.format("noop").mode("overwrite").save()) < 2_000_000
     counts = {r.kind: r["count"] for r in hits.groupBy("kind").count().collect()}
     assert counts == {"type": 301 * 1501 - 2, "favourite": 1, "event": 1} and hits.distinct().count() == 301 * 1501
     assert hits.where("user_id is null").count() == 301 and hits.where("id is null").count() == 1501
