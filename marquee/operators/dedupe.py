@@ -10,6 +10,9 @@ from marquee.functions.text import hash_norm
 
 GAP_MINUTES = 90
 
+#: What an event has of its best listing, and what it unites of all.
+KEEP, UNION = ("title", "venue", "city", "date", "time"), ("lineup", "types", "origins")
+
 
 def content_id(name: Column, date: Column, venue: Column) -> Column:
     """Sixteen hex digits that name an act, a day and a place, however they are spaced or cased."""
@@ -30,17 +33,29 @@ def island_cells(keyed: DataFrame, gap: int = GAP_MINUTES) -> DataFrame:
     minutes, however large it is. first is the least ord; the cell with the least of its
     group leads.
     """
-    order = [f"ord.{f}" for f in keyed.schema["ord"].dataType.names] if hasattr(keyed.schema["ord"].dataType, "names") else ["ord"]
-    cells = keyed.where("minute is not null").groupBy("base_id", "minute").agg(F.min("time").alias("label"), F.min(F.struct(*order)).alias("first"))
-    own, group = time_bucket(F.concat_ws(":", F.floor(F.col("minute") / 60).cast("string"), F.lpad((F.col("minute") % 60).cast("string"), 2, "0"))), Window.partitionBy("base_id")
-    cells = cells.withColumn("_own", own).withColumn("bucket", F.when(F.min("_own").over(group) != F.max("_own").over(group), F.col("_own")))
-    inner = Window.partitionBy("base_id", "bucket")
-    timed = inner.orderBy("minute")
-    cells = cells.withColumn("_new", (F.coalesce(F.col("minute") - F.lag("minute").over(timed), F.lit(0)) > gap).cast("int")).withColumn("_island", F.sum("_new").over(timed))
+    cells = keyed.where("minute is not null").groupBy("base_id", "minute").agg(F.min("time").alias("label"), F.min(_ord(keyed)).alias("first"))
+    return _islands(cells, gap)
+
+
+def _ord(keyed: DataFrame) -> Column:
+    """ord as a struct, so that nulls compare in it."""
+    kind = keyed.schema["ord"].dataType
+    return F.struct(*[f"ord.{f}" for f in kind.names]) if hasattr(kind, "names") else F.struct("ord")
+
+
+def _islands(cells: DataFrame, gap: int) -> DataFrame:
+    """cells (base_id, minute, label, first) with bucket, island and leads; one without a minute leads nowhere and is no part of any island."""
+    timed = F.col("minute").isNotNull()
+    own = time_bucket(F.concat_ws(":", F.floor(F.col("minute") / 60).cast("string"), F.lpad((F.col("minute") % 60).cast("string"), 2, "0")))
+    group, inner = Window.partitionBy("base_id"), Window.partitionBy("base_id", "bucket")
+    cells = cells.withColumn("_own", F.when(timed, own))
+    cells = cells.withColumn("bucket", F.when(F.min("_own").over(group) != F.max("_own").over(group), F.col("_own")))
+    along = inner.orderBy("minute")
+    cells = cells.withColumn("_new", (F.coalesce(F.col("minute") - F.lag("minute").over(along), F.lit(0)) > gap).cast("int")).withColumn("_island", F.sum("_new").over(along))
     label = F.min("label").over(Window.partitionBy("base_id", "bucket", "_island"))
-    cells = cells.withColumn("island", F.when(F.max("_island").over(inner) > 0, label))
-    leads = F.struct("first", "minute") == F.min(F.struct("first", "minute")).over(group)
-    return cells.withColumn("leads", leads).drop("_own", "_new", "_island")
+    cells = cells.withColumn("island", F.when(timed & (F.max("_island").over(inner) > 0), label))
+    leads = timed & (F.struct("first", "minute") == F.min(F.when(timed, F.struct("first", "minute"))).over(group))
+    return cells.withColumn("leads", F.coalesce(leads, F.lit(False))).drop("_own", "_new", "_island")
 
 
 def resolve_ids(listings: DataFrame, *, gap: int = GAP_MINUTES) -> DataFrame:
@@ -61,7 +76,15 @@ def resolve_ids(listings: DataFrame, *, gap: int = GAP_MINUTES) -> DataFrame:
     return out.withColumn("id", F.concat_ws("-", "base_id", "bucket", "island"))
 
 
-def merge_groups(resolved: DataFrame, *, keep=("title", "venue", "city", "date", "time"), union=("lineup", "types", "origins"), sources: bool = True) -> DataFrame:
+def _rank() -> Column:
+    return F.struct(listing_rank(F.col("priority"), F.col("special")).alias("rank"), F.col("price_min").isNull().alias("free"), F.col("ord").alias("ord"))
+
+
+def _ref(sources: bool) -> list[Column]:
+    return [F.struct(F.col("source").alias("name"), "raw_id").alias("ref")] if sources else []
+
+
+def merge_groups(resolved: DataFrame, *, keep=KEEP, union=UNION, sources: bool = True) -> DataFrame:
     """One row an id: the best-ranked listing as the base, its sources and lists united in rank order, prices spanned.
 
     resolved has id, priority, special, price_min, price_max, source, raw_id, ord, and the
@@ -69,22 +92,41 @@ def merge_groups(resolved: DataFrame, *, keep=("title", "venue", "city", "date",
     (name, raw_id), or left out. All listings of a group are collected with what is asked
     for, so callers should leave out what they don't need.
     """
-    rank = F.struct(listing_rank(F.col("priority"), F.col("special")).alias("rank"), F.col("price_min").isNull().alias("free"), F.col("ord").alias("ord"))
-    df = resolved.withColumn("_rank", rank)
-    ref = [F.struct(F.col("source").alias("name"), "raw_id").alias("ref")] if sources else []
-    lists = F.collect_list(F.struct("_rank", *ref, *[c for c in union if c in resolved.columns]))
+    df = resolved.withColumn("_rank", _rank())
+    lists = F.collect_list(F.struct("_rank", *_ref(sources), *[c for c in union if c in resolved.columns]))
     kept = [c for c in keep if c in resolved.columns]
     base = [F.min_by(F.struct(*kept), F.col("_rank")).alias("_base")] if kept else []
     out = df.groupBy("id").agg(*base, F.array_sort(lists).alias("_rows"), F.min("price_min").alias("price_min"), F.max("price_max").alias("price_max"))
 
+    return _told(out, resolved, kept, union, sources)
+
+
+def _told(out: DataFrame, listings: DataFrame, kept, union, sources: bool) -> DataFrame:
+    """The events of out (id, _rows in rank order, _base, price_min, price_max), listings having the columns of the lists."""
     def united(c):
-        none = F.array().cast(resolved.schema[c].dataType)
+        none = F.array().cast(listings.schema[c].dataType)
         return F.array_distinct(F.flatten(F.transform("_rows", lambda r: F.coalesce(r[c], none)))).alias(c)
 
     refs = [F.transform("_rows", lambda r: r["ref"]).alias("sources")] if sources else []
-    return out.select("id", *(["_base.*"] if kept else []), *refs, *[united(c) for c in union if c in resolved.columns], "price_min", "price_max")
+    return out.select("id", *(["_base.*"] if kept else []), *refs, *[united(c) for c in union if c in listings.columns], "price_min", "price_max")
+
 
+def dedupe_events(listings: DataFrame, *, gap: int = GAP_MINUTES, keep=KEEP, union=UNION, sources: bool = True, behind: dict[str, Column] | None = None) -> DataFrame:
+    """Listings of all sources as one event table, as merge_groups of resolve_ids gives. Rows that are runs already (`sessions`) should be left out before.
 
-def dedupe_events(listings: DataFrame, *, gap: int = GAP_MINUTES) -> DataFrame:
-    """Listings of all sources as one event table. Rows that are runs already (`sessions`) should be left out before."""
-    return merge_groups(resolve_ids(listings, gap=gap))
+    Listings are shuffled once, by base id, which is all that their minutes, islands and
+    events need; windows see a row a minute, with its listings in an array. `behind`
+    holds columns that follow from others: they are worked out behind the shuffle.
+    """
+    rows = listings.withColumn("base_id", F.unhex(content_id(F.col("name"), F.col("date"), F.col("venue")))).drop("bucket", "island", "id").repartition("base_id")
+    rows = rows.withColumns(behind or {}).withColumn("minute", minutes_of(F.col("time")))
+    kept = [c for c in keep if c in rows.columns]
+    entry = F.struct(_rank().alias("_rank"), *_ref(sources), *[c for c in union if c in rows.columns], *([F.struct(*kept).alias("_base")] if kept else []))
+    cells = rows.groupBy("base_id", "minute").agg(F.min(F.when(F.col("minute").isNotNull(), F.col("time"))).alias("label"), F.min(_ord(rows)).alias("first"), F.collect_list(entry).alias("_rows"), F.min("price_min").alias("price_min"), F.max("price_max").alias("price_max"))
+    cells = _islands(cells, gap)
+    # listings without a time go where the first timed one went
+    of_first = lambda c: F.when(F.col("minute").isNull(), F.max(F.when(F.col("leads"), F.col(c))).over(Window.partitionBy("base_id"))).otherwise(F.col(c)).alias(c)
+    cells = cells.select("base_id", of_first("bucket"), of_first("island"), "_rows", "price_min", "price_max")
+    out = cells.groupBy("base_id", "bucket", "island").agg(F.array_sort(F.flatten(F.collect_list("_rows"))).alias("_rows"), F.min("price_min").alias("price_min"), F.max("price_max").alias("price_max"))
+    out = out.withColumn("id", F.concat_ws("-", F.lower(F.hex("base_id")), "bucket", "island")).withColumn("_base", F.col("_rows")[0]["_base"] if kept else F.lit(None))
+    return _told(out, rows, kept, union, sources)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marquee.operators import dedupe, runs
-from marquee.plans.registry import LISTING_SQL, SESSION_SQL, TODAY, listings, query, sessions
+from marquee.plans.registry import LISTING_SQL, SESSION_SQL, TODAY, keyed, listings, query, sessions
 
 _KEY = r"lower(regexp_replace({}, '\s', '', 'g'))"
 _ORD = "l_orderkey, l_linenumber, l_partkey, l_suppkey, price"
@@ -26,11 +26,18 @@ RESOLVED_SQL = f"""{LISTING_SQL}, b AS (
          row_number() OVER (PARTITION BY concat_ws('-', base_id, bucket, island) ORDER BY priority + CASE WHEN special THEN 0.5 ELSE 0 END, price < 5000, {_ORD}) AS rk FROM l)"""
 
 
-def _resolved(spark, sf_dir):
-    rows = listings(spark, sf_dir)
+def _derived():
+    """Columns of a listing that follow from others."""
     paid = F.when(F.col("price") >= 5000, F.col("price"))
-    rows = rows.withColumn("price_min", paid).withColumn("price_max", paid).withColumn("lineup", F.array("title")).withColumn("types", F.array("source"))
-    return dedupe.resolve_ids(rows)
+    return {"price_min": paid, "price_max": paid, "lineup": F.array("title"), "types": F.array("source")}
+
+
+def _resolved(spark, sf_dir):
+    return dedupe.resolve_ids(listings(spark, sf_dir).withColumns(_derived()))
+
+
+def _events(spark, sf_dir, **asked):
+    return dedupe.dedupe_events(listings(spark, sf_dir), behind=keyed() | _derived(), **asked)
 
 
 @query(f"""WITH {RESOLVED_SQL}
@@ -39,7 +46,7 @@ SELECT id, max(CASE WHEN rk = 1 THEN raw_id END) AS base_raw_id, max(CASE WHEN r
        min(CASE WHEN price >= 5000 THEN price END) AS price_min, max(CASE WHEN price >= 5000 THEN price END) AS price_max
 FROM resolved GROUP BY id""")
 def dedupe_full(spark, sf_dir):
-    out = dedupe.merge_groups(_resolved(spark, sf_dir), keep=("city", "time"), union=())
+    out = _events(spark, sf_dir, keep=("city", "time"), union=())
     return out.select("id", F.col("sources")[0]["raw_id"].alias("base_raw_id"), "city", "time", F.array_join(F.transform("sources", lambda s: F.concat_ws("/", s["name"], s["raw_id"])), ",").alias("sources"),
                       F.size("sources").cast("long").alias("n_sources"), "price_min", "price_max")
 
@@ -53,7 +60,7 @@ def time_islands(spark, sf_dir):
 SELECT a.id, lineup, types FROM (SELECT id, string_agg(title, '|' ORDER BY k) AS lineup FROM f GROUP BY id) a
 JOIN (SELECT id, string_agg(source, '|' ORDER BY k) AS types FROM s GROUP BY id) b ON a.id = b.id""")
 def merge_arrays(spark, sf_dir):
-    return dedupe.merge_groups(_resolved(spark, sf_dir), keep=(), union=("lineup", "types"), sources=False).select("id", F.array_join("lineup", "|").alias("lineup"), F.array_join("types", "|").alias("types"))
+    return _events(spark, sf_dir, keep=(), union=("lineup", "types"), sources=False).select("id", F.array_join("lineup", "|").alias("lineup"), F.array_join("types", "|").alias("types"))
 
 
 @query(f"""WITH {RESOLVED_SQL} SELECT id, source AS base_source, raw_id AS base_raw_id FROM resolved WHERE rk = 1""")

@@ -595,3 +595,21 @@ def test_users_arent_shuffled_once_a_task(spark, monkeypatch):
     counts = {r.kind: r["count"] for r in hits.groupBy("kind").count().collect()}
     assert counts == {"type": 301 * 1501 - 2, "favourite": 1, "event": 1} and hits.distinct().count() == 301 * 1501
     assert hits.where("user_id is null").count() == 301 and hits.where("id is null").count() == 1501
+
+
+def test_events_are_merged_in_one_shuffle(spark):
+    """Listings are shuffled once for islands and merging, without what follows from other columns, and give what resolving and then merging gives."""
+    rng = random.Random(5)
+    times = [None, "soon", "9:10", "10:30", "11:55", "14:00", "17:00", "19:30", "23:59"]
+    rows = [(rng.choice(["A", "a ", "B", None]), rng.choice([DAY, DAY + dt.timedelta(1), None]), rng.choice(["x", " X", None]), rng.choice(times[: rng.choice([2, 4, 9])]), rng.choice([1, 2, 3]), rng.choice([True, False, None]), rng.choice([None, 5.0, 7.0]), k) for k in range(400)]
+    frame = spark.createDataFrame(rows, "name string, date date, venue string, time string, priority int, special boolean, price_min double, k int")
+    behind = {"price_max": F.col("price_min") + 1, "source": F.concat(F.lit("s"), F.col("priority").cast("string")), "raw_id": F.col("k").cast("string"), "ord": F.struct(F.when(F.col("k") % 7 != 0, F.col("k") % 5).alias("a"), F.col("k").alias("b")), "lineup": F.array("name", "venue")}
+    whole = frame.withColumns(behind)
+    for asked in ({}, {"keep": ("time", "venue"), "union": ()}, {"keep": (), "sources": False}):
+        merged = dedupe.dedupe_events(frame, behind=behind, **asked)
+        assert merged._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+        expected = dedupe.merge_groups(dedupe.resolve_ids(whole), **asked)
+        assert merged.columns == expected.columns and sorted(map(str, merged.collect())) == sorted(map(str, expected.collect()))
+    assert sorted(map(str, dedupe.dedupe_events(whole).collect())) == sorted(map(str, dedupe.dedupe_events(frame, behind=behind).collect()))
+    before = shuffled_bytes(spark, lambda: dedupe.merge_groups(dedupe.resolve_ids(whole)).write.format("noop").mode("overwrite").save())
+    assert shuffled_bytes(spark, lambda: dedupe.dedupe_events(frame, behind=behind).write.format("noop").mode("overwrite").save()) < before / 2
